@@ -1,3 +1,163 @@
 """Further registered queries (geo, enrichment, sampling, evaluation, ML)."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leadspark.operators import geo
+from leadspark.plans import flows
+from leadspark.plans import oracle as O
+from leadspark.plans import params as P
+from leadspark.plans.catalog import query
+
+# -- near-duplicate sites ------------------------------------------------------
+
+_SITES = """sites as (
+  select MDM_CUST_KEY, LATITUDE, LONGITUDE from (
+    select MDM_CUST_KEY, LATITUDE, LONGITUDE,
+           row_number() over (partition by MDM_CUST_KEY order by LATITUDE, LONGITUDE) as rn
+    from sales where MDM_CUST_KEY is not null and LATITUDE is not null and LONGITUDE is not null)
+  where rn = 1)"""
+
+_HAV = ("atan2(sqrt(pow(sin(radians(b.LATITUDE - a.LATITUDE) / 2.0), 2) + cos(radians(a.LATITUDE)) * "
+        "cos(radians(b.LATITUDE)) * pow(sin(radians(b.LONGITUDE - a.LONGITUDE) / 2.0), 2)), "
+        "sqrt(1.0 - (pow(sin(radians(b.LATITUDE - a.LATITUDE) / 2.0), 2) + cos(radians(a.LATITUDE)) * "
+        "cos(radians(b.LATITUDE)) * pow(sin(radians(b.LONGITUDE - a.LONGITUDE) / 2.0), 2)))) "
+        f"* 2.0 * {P.EARTH_RADIUS_KM} * 1000.0")
+
+
+def match_sites(spark: SparkSession, d: str) -> DataFrame:
+    return geo.sites(flows.unified_sales(spark, d, P.MATCH))
+
+
+@query("first_site", O.with_(O.sales_ctes(P.MATCH), _SITES) + "select * from sites")
+def q_first_site(spark: SparkSession, d: str) -> DataFrame:
+    return match_sites(spark, d)
+
+
+@query("near_pairs", O.with_(O.sales_ctes(P.MATCH), _SITES) + f"""
+select a.MDM_CUST_KEY as MDM_CUST_KEY_1, a.LATITUDE as LATITUDE_1, a.LONGITUDE as LONGITUDE_1,
+       b.MDM_CUST_KEY as MDM_CUST_KEY_2, b.LATITUDE as LATITUDE_2, b.LONGITUDE as LONGITUDE_2,
+       round({_HAV}, 4) as DISTANCE
+from sites a, sites b
+where a.MDM_CUST_KEY != b.MDM_CUST_KEY and {_HAV} < {P.NEAR_METRES}""")
+def q_near_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = geo.near_pairs(match_sites(spark, d), metres=P.NEAR_METRES, radius_km=P.EARTH_RADIUS_KM)
+    return pairs.withColumn("DISTANCE", F.round("DISTANCE", 4))
+
+
+@query("rounded_cells", O.with_(O.sales_ctes(P.MATCH), _SITES) + """
+select round(LATITUDE, 0) as LAT_ROUND, round(LONGITUDE, 0) as LON_ROUND, count(*) as N_SITES
+from sites group by 1, 2""")
+def q_rounded_cells(spark: SparkSession, d: str) -> DataFrame:
+    return geo.rounded_cells(match_sites(spark, d))
+
+
+# -- scoring (rule score) and enrichment ---------------------------------------
+
+from leadspark.operators import enrich, score  # noqa: E402
+from leadspark.plans import derived as D  # noqa: E402
+
+_LEADS = O.with_(O.lead_ctes())
+
+
+def _dbl(df: DataFrame, cols) -> DataFrame:
+    """Integer columns that outer joins can leave null are returned as double
+    (one null representation in every client)."""
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("double"))
+    return df
+
+
+def _dbl_sql(inner: str, cols) -> str:
+    rep = ", ".join(f"cast({c} as double) as {c}" for c in cols)
+    return f"select * replace ({rep}) from ({inner})"
+_DIMS = O.with_(O.lead_ctes(), O.dim_ctes())
+
+
+@query("leads", _LEADS + "select * from leads")
+def q_leads(spark: SparkSession, d: str) -> DataFrame:
+    return flows.lead_table(spark, d)
+
+
+@query("clean_names", _LEADS + "select * from leads")
+def q_clean_names(spark: SparkSession, d: str) -> DataFrame:
+    from leadspark.operators import cleanse
+    return cleanse.clean_names(score.leads(flows.scored_rule(spark, d), P.LEAD_THRESHOLD_ALL))
+
+
+@query("leads_master", _LEADS + "select * from fact order by lead_gen_prob asc nulls first")
+def q_leads_master(spark: SparkSession, d: str) -> DataFrame:
+    return flows.lead_fact(spark, d)
+
+
+@query("install_inner", _DIMS + """select f.*, i.* from fact_sel f
+  join install i on f.MDM_CUST_KEY is not distinct from i.ship_to_mdm_cust_key""")
+def q_install_inner(spark: SparkSession, d: str) -> DataFrame:
+    return enrich.lookup(flows.fact_selection(spark, d), D.install_base(spark, d), P.KEY,
+                         "ship_to_mdm_cust_key", "inner", drop_right_key=False, null_safe=True)
+
+
+@query("install_left", _DIMS + _dbl_sql("""select f.*, i.* from fact_sel f
+  left join install i on f.MDM_CUST_KEY is not distinct from i.ship_to_mdm_cust_key""", ["INSTALL_LINES"]))
+def q_install_left(spark: SparkSession, d: str) -> DataFrame:
+    return _dbl(enrich.lookup(flows.fact_selection(spark, d), D.install_base(spark, d), P.KEY,
+                         "ship_to_mdm_cust_key", "left", drop_right_key=False, null_safe=True),
+                ["INSTALL_LINES"])
+
+
+@query("lookup_first", _DIMS + _dbl_sql("""select f.MDM_CUST_KEY, f.lead_gen_prob, c.SLA_PRIORITY, c.SLA_VALUE,
+  c.SLA_ORDER from fact f left join contracts1 c on f.MDM_CUST_KEY = c.BILL_MDM_KEY""", ["SLA_ORDER"]))
+def q_lookup_first(spark: SparkSession, d: str) -> DataFrame:
+    f = flows.lead_fact(spark, d).select(P.KEY, "lead_gen_prob")
+    return _dbl(enrich.lookup(f, D.contracts(spark, d), P.KEY, "BILL_MDM_KEY", "left",
+                              drop=["BILL_MDM_KEY", "SLA_SKU"], dedupe_order="SLA_ORDER"), ["SLA_ORDER"])
+
+
+@query("zip3_territory", _DIMS + """select f.MDM_CUST_KEY, f.ADDR_ZIP, f.ZIP3, t.TERR_NATION, t.TERR_REP
+  from (select MDM_CUST_KEY, ADDR_ZIP, substr(ADDR_ZIP, 1, 3) as ZIP3 from fact) f
+  left join territory t on f.ZIP3 = t.TERR_ZIP3""")
+def q_zip3_territory(spark: SparkSession, d: str) -> DataFrame:
+    f = flows.lead_fact(spark, d).select(P.KEY, "ADDR_ZIP").withColumn("ZIP3", enrich.zip3("ADDR_ZIP"))
+    return enrich.lookup(f, D.territory(spark, d), "ZIP3", "TERR_ZIP3", "left", drop=["TERR_ZIP3", "TERR_REGION"],
+                         broadcast_max_rows=P.TERRITORY_MAX_ROWS)
+
+
+@query("null_safe_lookup", _DIMS + """select f.MDM_CUST_KEY, f.LAT_BAND, b.BAND_CUSTOMERS
+  from (select MDM_CUST_KEY, round(ADDR_LATITUDE, 0) as LAT_BAND from fact) f
+  left join (select round(ADDR_LATITUDE, 0) as BAND_KEY, count(*) as BAND_CUSTOMERS from master group by 1) b
+  on f.LAT_BAND is not distinct from b.BAND_KEY""")
+def q_null_safe_lookup(spark: SparkSession, d: str) -> DataFrame:
+    f = flows.lead_fact(spark, d).select(P.KEY, F.round("ADDR_LATITUDE", 0).alias("LAT_BAND"))
+    bands = (flows.master(spark, d).groupBy(F.round("ADDR_LATITUDE", 0).alias("BAND_KEY"))
+             .agg(F.count(F.lit(1)).alias("BAND_CUSTOMERS")))
+    return enrich.lookup(f, bands, "LAT_BAND", "BAND_KEY", "left", null_safe=True)
+
+
+_STAR_INTS = ["INSTALL_LINES", "IDB_SIGNUPS"]
+
+
+@query("star_aged", _DIMS.rstrip() + ",\n" + O.star_sql("inner") + "\n" + _dbl_sql("select * from s7", _STAR_INTS))
+def q_star_aged(spark: SparkSession, d: str) -> DataFrame:
+    return _dbl(flows.star_list(spark, d, "inner"), _STAR_INTS)
+
+
+@query("star_prospect", _DIMS.rstrip() + ",\n" + O.star_sql("left") + "\n" + _dbl_sql("select * from s7", _STAR_INTS))
+def q_star_prospect(spark: SparkSession, d: str) -> DataFrame:
+    return _dbl(flows.star_list(spark, d, "left"), _STAR_INTS)
+
+
+@query("implant_full_merge", O.with_(O.MASTER, O.USERS) + _dbl_sql("select * from users", ["IMPLANT_QTY"]))
+def q_implant_full_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _dbl(flows.implant_users(spark, d), ["IMPLANT_QTY"])
+
+
+@query("implant_list", O.with_(O.MASTER, O.DEALER, O.dim_ctes(), O.USERS) + _dbl_sql("""
+select u.USER_KEY, u.CUSTOMER_NAME_x, u.CONT_FULLPHONE_x, u.STREET_x, u.CITY_x, u.STATE_x, u.ZIP_x, u.CONT_EMAIL_x,
+       u.CUSTOMER_NAME_y, u.CONT_FULLPHONE_y, u.STREET_y, u.CITY_y, u.STATE_y, u.ZIP_y, u.CONT_EMAIL_y,
+       u.IMPLANT_QTY, u.IMPLANT_USD, i.*
+from users u left join install i on u.USER_KEY is not distinct from i.ship_to_mdm_cust_key""",
+    ["IMPLANT_QTY", "INSTALL_LINES"]))
+def q_implant_list(spark: SparkSession, d: str) -> DataFrame:
+    return _dbl(flows.implant_list(spark, d), ["IMPLANT_QTY", "INSTALL_LINES"])

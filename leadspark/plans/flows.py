@@ -54,3 +54,78 @@ def top_prospects(spark: SparkSession, d: str) -> DataFrame:
     return (ft.filter(F.col(P.LABEL) == 0)
               .withColumn("TOTAL_SALES", F.round(total, 4))
               .orderBy(F.desc("TOTAL_SALES"), F.asc(P.KEY)))
+
+
+# -- scoring and enrichment ------------------------------------------------------
+
+def scored_rule(spark: SparkSession, d: str) -> DataFrame:
+    """Feature table with a rule-based ``lead_gen_prob`` (stand-in for a model)."""
+    from leadspark.operators import score
+    return score.rule_probability(feature_table(spark, d), P.RULE_SCORE_COLUMN, P.RULE_SCORE_SCALE)
+
+
+def lead_table(spark: SparkSession, d: str, scored: DataFrame | None = None,
+               threshold: float = P.LEAD_THRESHOLD_ALL) -> DataFrame:
+    """Leads (label 0, probability above threshold) with cleaned column names."""
+    from leadspark.operators import score
+    s = scored if scored is not None else scored_rule(spark, d)
+    return cleanse.clean_names(score.leads(s, threshold))
+
+
+def lead_fact(spark: SparkSession, d: str, leads: DataFrame | None = None) -> DataFrame:
+    """Leads left-joined to the customer master (one key column), lowest probability first."""
+    from leadspark.operators import enrich
+    lt = leads if leads is not None else lead_table(spark, d)
+    j = enrich.merge(lt, master(spark, d), P.KEY, P.KEY, "left")
+    return j.orderBy(F.asc_nulls_first("lead_gen_prob"))
+
+
+def fact_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Leads of one customer class, reduced to the columns of the sales list."""
+    f = lead_fact(spark, d).filter(F.col("SDS_CUST_CLASS1") == P.FACT_CLASS)
+    cols = [P.KEY] + P.CONTACT_COLS + ["ADDR_LATITUDE", "ADDR_LONGITUDE", "lead_gen_prob"] + P.FACT_FEATURES
+    return f.select(*cols)
+
+
+def star_specs(spark: SparkSession, d: str, first_how: str) -> list:
+    from leadspark.operators.enrich import Lookup, zip3
+    from leadspark.plans import derived as D
+    return [
+        Lookup(D.install_base(spark, d), P.KEY, "ship_to_mdm_cust_key", first_how, D.install_drop(),
+               null_safe=True),
+        Lookup(D.contracts(spark, d), P.KEY, "BILL_MDM_KEY", drop=["BILL_MDM_KEY", "SLA_SKU", "SLA_ORDER"],
+               dedupe_order="SLA_ORDER", null_safe=True),
+        Lookup(D.tech_calls(spark, d), P.KEY, "MDM_ID", drop=["MDM_ID", "TECH_EVENT"],
+               dedupe_order="TECH_EVENT", null_safe=True),
+        Lookup(D.territory(spark, d), "ZIP3", "TERR_ZIP3", drop=["TERR_ZIP3", "TERR_REGION"],
+               null_safe=True, broadcast_max_rows=P.TERRITORY_MAX_ROWS, derive={"ZIP3": zip3("ADDR_ZIP")}),
+        Lookup(D.external_ids(spark, d), P.KEY, "mdm_site_key", drop=["EXT_ROW", "mdm_site_key"],
+               dedupe_order="EXT_ROW", null_safe=True),
+        Lookup(D.implants_a(spark, d), P.KEY, "IMPL_KEY", drop=D.implants_a_drop(),
+               dedupe_order="IMPL_KEY", null_safe=True),
+        Lookup(D.implants_b(spark, d), P.KEY, "IDB_KEY", drop=["IDB_KEY"], dedupe_order="IDB_KEY",
+               null_safe=True),
+    ]
+
+
+def star_list(spark: SparkSession, d: str, first_how: str) -> DataFrame:
+    """Flat lead list: fact + seven lookups; ``first_how`` is the install-base join."""
+    from leadspark.operators.enrich import star
+    return star(fact_selection(spark, d), star_specs(spark, d, first_how))
+
+
+def implant_users(spark: SparkSession, d: str) -> DataFrame:
+    """Full outer merge of the purchase and signup user lists (``_x``/``_y`` suffixes)."""
+    from leadspark.operators.enrich import merge
+    from leadspark.plans import derived as D
+    return merge(D.purchase_users(spark, d), D.signup_users(spark, d), "USER_KEY", "USER_KEY", "full")
+
+
+def implant_list(spark: SparkSession, d: str) -> DataFrame:
+    from leadspark.operators.enrich import lookup
+    from leadspark.plans import derived as D
+    u = implant_users(spark, d)
+    cols = (["USER_KEY"] + [c + "_x" for c in D.USER_LIST_COLS] + [c + "_y" for c in D.USER_LIST_COLS]
+            + ["IMPLANT_QTY", "IMPLANT_USD"])
+    return lookup(u.select(*cols), D.install_base(spark, d), "USER_KEY", "ship_to_mdm_cust_key", "left",
+                  drop_right_key=False, null_safe=True)

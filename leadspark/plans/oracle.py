@@ -47,7 +47,7 @@ DEALER = f"""dealer as (
          {LON.format(k='o_custkey')} as SHIP_TO_MDM_ADDR_LONGITUDE,
          {ZIP.format(n='c_nationkey')} as SHIP_TO_ZIP,
          p_type as L1_DESC_NEW, p_name as L2_DESC_NEW,
-         cast(year(o_orderdate) as integer) as CAL_445_YYYY,
+         cast(year(o_orderdate) as integer) as CAL_445_YYYY, o_orderdate as ORDER_DATE,
          case when l_returnflag = 'R' then -cast(l_extendedprice as decimal(18,2))
               else cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2))) end
            as EXT_IVC_COST_USD,
@@ -167,3 +167,112 @@ ft as (
 
 def with_(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
+
+
+# -- scoring + enrichment ----------------------------------------------------------
+
+def _clean(name: str) -> str:
+    for ch in P.NAME_CHARS:
+        name = name.replace(ch, "_")
+    return name
+
+
+def lead_ctes() -> str:
+    """``scored``, ``leads`` (cleaned names) and ``fact`` (leads + master)."""
+    cols = (["MDM_CUST_KEY"] + [v for v in P.PIVOT_VALUES if v != P.TARGET_CATEGORY]
+            + [P.TARGET_OUT, P.LABEL, "lead_gen_prob"])
+    sel = ", ".join(f"{_ident(c)} as {_ident(_clean(c))}" for c in cols)
+    return feature_ctes() + f""",
+scored as (
+  select *, least(1.0, cast({_ident(P.RULE_SCORE_COLUMN)} as double) / {float(P.RULE_SCORE_SCALE)}) as lead_gen_prob
+  from ft),
+leads as (
+  select {sel} from scored where {P.LABEL} = 0 and lead_gen_prob > {P.LEAD_THRESHOLD_ALL}),
+fact as (
+  select l.*, m.* exclude (MDM_CUST_KEY) from leads l left join master m on l.MDM_CUST_KEY = m.MDM_CUST_KEY),
+fact_sel as (
+  select MDM_CUST_KEY, {', '.join(P.CONTACT_COLS)}, ADDR_LATITUDE, ADDR_LONGITUDE, lead_gen_prob,
+         {', '.join(P.FACT_FEATURES)}
+  from fact where SDS_CUST_CLASS1 = {_q(P.FACT_CLASS)})"""
+
+
+TS = "'%Y-%m-%d %H:%M:%S'"
+
+
+def dim_ctes() -> str:
+    inst = []
+    for t in P.INSTALL_TYPES:
+        inst.append(f"cast(cast(max(ORDER_DATE) filter (where L1_DESC_NEW = {_q(t)}) as date) as varchar) as {t}_maxdate")
+        inst.append(f"cast(cast(min(ORDER_DATE) filter (where L1_DESC_NEW = {_q(t)}) as date) as varchar) as {t}_min")
+    impl = ", ".join(
+        f"round(cast(sum(cast(value as decimal(18,2)) * 100) filter (where event_type = {_q(t)}) as double), 2)"
+        f" as IMPL_{t.upper()}" for t in P.EVENT_TYPES)
+    return f"""install as (
+  select SHIP_TO_MDM_CUST_KEY as ship_to_mdm_cust_key, {', '.join(inst)}, count(*) as INSTALL_LINES
+  from dealer where L1_DESC_NEW in ({_inlist(P.INSTALL_TYPES)}) group by SHIP_TO_MDM_CUST_KEY),
+contracts as (
+  select cast(o_custkey as varchar) as BILL_MDM_KEY, cast(o_orderkey as varchar) as SLA_SKU,
+         o_orderpriority as SLA_PRIORITY, o_totalprice as SLA_VALUE, o_orderkey as SLA_ORDER
+  from orders where o_orderstatus = {_q(P.CONTRACT_STATUS)}),
+contracts1 as (
+  select * exclude (rn) from (select *, row_number() over (partition by BILL_MDM_KEY order by SLA_ORDER) as rn
+  from contracts) where rn = 1),
+tech1 as (
+  select * exclude (rn) from (
+    select cast(user_id as varchar) as MDM_ID, strftime(ts, {TS}) as TECH_CALL_TS, value as TECH_CALL_VALUE,
+           event_id as TECH_EVENT, row_number() over (partition by user_id order by event_id) as rn
+    from events where event_type = {_q(P.TECH_EVENT_TYPE)}) where rn = 1),
+territory as (
+  select substr(lpad(cast(n_nationkey * 37 as varchar), 5, '0'), 1, 3) as TERR_ZIP3, n_name as TERR_NATION,
+         n_regionkey as TERR_REGION, 'REP ' || cast(n_nationkey as varchar) as TERR_REP
+  from nation),
+ext1 as (
+  select * exclude (rn) from (
+    select cast(o_custkey as varchar) as mdm_site_key, 'EXT-' || cast(o_orderkey as varchar) as EXT_ID,
+           o_orderkey as EXT_ROW, row_number() over (partition by o_custkey order by o_orderkey) as rn
+    from orders) where rn = 1),
+impl_a as (
+  select cast(user_id as varchar) as IMPL_KEY, {impl} from events group by user_id),
+impl_b as (
+  select cast(user_id as varchar) as IDB_KEY, count(*) as IDB_SIGNUPS, strftime(min(ts), {TS}) as IDB_FIRST_SIGNUP
+  from events where event_type = 'signup' group by user_id)"""
+
+
+def star_sql(first_how: str) -> str:
+    j = "join" if first_how == "inner" else "left join"
+    return f"""s1 as (
+  select f.*, i.INSTALL_LINES from fact_sel f {j} install i on f.MDM_CUST_KEY is not distinct from i.ship_to_mdm_cust_key),
+s2 as (
+  select s.*, c.SLA_PRIORITY, c.SLA_VALUE from s1 s left join contracts1 c on s.MDM_CUST_KEY is not distinct from c.BILL_MDM_KEY),
+s3 as (
+  select s.*, t.TECH_CALL_TS, t.TECH_CALL_VALUE from s2 s left join tech1 t on s.MDM_CUST_KEY is not distinct from t.MDM_ID),
+s4 as (
+  select s.*, t.TERR_NATION, t.TERR_REP from (select *, substr(ADDR_ZIP, 1, 3) as ZIP3 from s3) s
+  left join territory t on s.ZIP3 is not distinct from t.TERR_ZIP3),
+s5 as (
+  select s.*, e.EXT_ID from s4 s left join ext1 e on s.MDM_CUST_KEY is not distinct from e.mdm_site_key),
+s6 as (
+  select s.*, a.IMPL_PURCHASE, a.IMPL_SIGNUP from s5 s left join impl_a a on s.MDM_CUST_KEY is not distinct from a.IMPL_KEY),
+s7 as (
+  select s.*, b.IDB_SIGNUPS, b.IDB_FIRST_SIGNUP from s6 s left join impl_b b on s.MDM_CUST_KEY is not distinct from b.IDB_KEY)"""
+
+
+USERS = """ulist_m as (
+  select MDM_CUST_KEY as mk, ACCT_OFFICE_NAME as CUSTOMER_NAME, CONT_FULLPHONE, ADDR_STREETADDR as STREET,
+         ADDR_CITY as CITY, ADDR_STATE as STATE, ADDR_ZIP as ZIP, CONT_EMAIL from master),
+ua as (
+  select u.USER_KEY, m.* exclude (mk), u.IMPLANT_QTY from (
+    select cast(user_id as varchar) as USER_KEY, count(*) as IMPLANT_QTY from events
+    where event_type = 'purchase' group by user_id) u left join ulist_m m on u.USER_KEY = m.mk),
+ub as (
+  select u.USER_KEY, m.* exclude (mk), u.IMPLANT_USD from (
+    select cast(user_id as varchar) as USER_KEY,
+           round(cast(sum(cast(value as decimal(18,2)) * 100) as double), 2) as IMPLANT_USD from events
+    where event_type = 'signup' group by user_id) u left join ulist_m m on u.USER_KEY = m.mk),
+users as (
+  select coalesce(a.USER_KEY, b.USER_KEY) as USER_KEY,
+         a.CUSTOMER_NAME as CUSTOMER_NAME_x, a.CONT_FULLPHONE as CONT_FULLPHONE_x, a.STREET as STREET_x,
+         a.CITY as CITY_x, a.STATE as STATE_x, a.ZIP as ZIP_x, a.CONT_EMAIL as CONT_EMAIL_x, a.IMPLANT_QTY,
+         b.CUSTOMER_NAME as CUSTOMER_NAME_y, b.CONT_FULLPHONE as CONT_FULLPHONE_y, b.STREET as STREET_y,
+         b.CITY as CITY_y, b.STATE as STATE_y, b.ZIP as ZIP_y, b.CONT_EMAIL as CONT_EMAIL_y, b.IMPLANT_USD
+  from ua a full outer join ub b on a.USER_KEY = b.USER_KEY)"""

@@ -77,3 +77,18 @@ class SalesProfile:
 
 MATCH = SalesProfile(name="match")
 FEATURES = SalesProfile(name="features", l2_from_l1=True, spare_part_words=SPARE_PART_WORDS)
+
+# ---------------------------------------------------------------------------
+# Fixed values of the enrichment step on the driver tables.
+INSTALL_TYPES = ["PROMO", "STANDARD"]
+CONTRACT_STATUS = "O"
+TECH_EVENT_TYPE = "error"
+EVENT_TYPES = ["view", "click", "error", "purchase", "signup"]
+RULE_SCORE_COLUMN = "MEDIUM MEDIUM"
+RULE_SCORE_SCALE = 100000
+FACT_CLASS = "BUILDING"
+FACT_FEATURES = ["STANDARD_STANDARD", "SMALL_SMALL", "LARGE_LARGE", "DIRECT_purchase"]
+CONTACT_COLS = ["ACCT_OFFICE_NAME", "ADDR_STREETADDR", "ADDR_CITY", "ADDR_STATE", "ADDR_ZIP",
+                "CONT_FULLPHONE", "CONT_EMAIL"]
+TERRITORY_MAX_ROWS = 100_000
+# ---------------------------------------------------------------------------

@@ -10,6 +10,8 @@ as a diagnostic).
 from __future__ import annotations
 
 import math
+
+import pandas as pd
 import os
 import sys
 import time
@@ -30,7 +32,7 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return (0, "")
     if isinstance(v, float):
         if math.isnan(v):
@@ -74,6 +76,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
         res["cols"] = (c1, c2)
         res["ok"] = False
         return res
+    kinds = {c: (str(sp[c].dtype), str(dd[c].dtype)) for c in c1
+             if (sp[c].dtype.kind in "iuf") != (dd[c].dtype.kind in "iuf")
+             or (sp[c].dtype.kind in "iu") != (dd[c].dtype.kind in "iu")
+             or str(dd[c].dtype) in ("Int64", "Int32")}
+    if kinds:
+        res["dtype_diff"] = kinds
     res["exact"] = r1 == r2
     if not res["exact"] and len(r1) == len(r2):
         bad = [(a, b) for a, b in zip(r1, r2) if not all(_close(x, y) for x, y in zip(a, b))]
