@@ -161,3 +161,157 @@ from users u left join install i on u.USER_KEY is not distinct from i.ship_to_md
     ["IMPLANT_QTY", "INSTALL_LINES"]))
 def q_implant_list(spark: SparkSession, d: str) -> DataFrame:
     return _dbl(flows.implant_list(spark, d), ["IMPLANT_QTY", "INSTALL_LINES"])
+
+
+# -- split, oversampling, profiles, metrics ----------------------------------------
+
+from leadspark.operators import evaluate, profile, sampling  # noqa: E402
+
+_SPLIT = O.with_(O.split_ctes())
+_OVER = O.with_(O.split_ctes(), O.oversample_ctes())
+
+
+def split_table(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.assign_split(flows.scored_rule(spark, d), P.KEY, P.SPLIT_WEIGHTS, P.SEED)
+
+
+def train_oversampled(spark: SparkSession, d: str) -> DataFrame:
+    tr = split_table(spark, d).filter(F.col("split") == "train").drop("split", "lead_gen_prob")
+    return sampling.oversample(tr, P.LABEL, P.KEY, P.SEED)
+
+
+def test_part(spark: SparkSession, d: str) -> DataFrame:
+    return split_table(spark, d).filter(F.col("split") == "test").drop("split")
+
+
+@query("hash_split", _SPLIT + "select * from split")
+def q_hash_split(spark: SparkSession, d: str) -> DataFrame:
+    return split_table(spark, d)
+
+
+@query("oversample", _OVER + "select * from over")
+def q_oversample(spark: SparkSession, d: str) -> DataFrame:
+    return train_oversampled(spark, d)
+
+
+@query("class_counts", _OVER + f"""
+select 'all' as stage, {P.LABEL}, count(*) as n from split group by {P.LABEL}
+union all select split, {P.LABEL}, count(*) from split group by split, {P.LABEL}
+union all select 'oversampled', {P.LABEL}, count(*) from over group by {P.LABEL}""")
+def q_class_counts(spark: SparkSession, d: str) -> DataFrame:
+    sp = split_table(spark, d)
+    parts = [profile.class_counts(sp, P.LABEL).select(F.lit("all").alias("stage"), P.LABEL, "n")]
+    for s in ("train", "test"):
+        parts.append(profile.class_counts(sp.filter(F.col("split") == s), P.LABEL)
+                     .select(F.lit(s).alias("stage"), P.LABEL, "n"))
+    parts.append(profile.class_counts(train_oversampled(spark, d), P.LABEL)
+                 .select(F.lit("oversampled").alias("stage"), P.LABEL, "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("target_histogram", O.with_(O.feature_ctes()).rstrip() + f""",
+mm as (select min({P.TARGET_OUT}) as mn, max({P.TARGET_OUT}) as mx from ft),
+hb as (select cast(coalesce(least(floor(({P.TARGET_OUT} - mn) / nullif(mx - mn, 0) * 20), 19), 0) as integer) as bin
+       from ft, mm)
+select bin, mn + bin * ((mx - mn) / 20.0) as lo, mn + (bin + 1) * ((mx - mn) / 20.0) as hi, count(*) as n
+from hb, mm group by bin, mn, mx""")
+def q_target_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return profile.histogram(flows.feature_table(spark, d), P.TARGET_OUT, 20)
+
+
+def _box_sql() -> str:
+    parts = []
+    for c in P.FACT_FEATURES:
+        parts.append(f"""select '{c}' as feature, q1, median, q3,
+  min(case when v >= q1 - 1.5 * (q3 - q1) and v <= q3 + 1.5 * (q3 - q1) then v end) as lower_whisker,
+  max(case when v >= q1 - 1.5 * (q3 - q1) and v <= q3 + 1.5 * (q3 - q1) then v end) as upper_whisker,
+  cast(sum(case when v >= q1 - 1.5 * (q3 - q1) and v <= q3 + 1.5 * (q3 - q1) then 0 else 1 end) as bigint) as n_outliers
+from (select cast({c} as double) as v from leads where {c} is not null) x,
+     (select quantile_cont(cast({c} as double), 0.25) as q1, quantile_cont(cast({c} as double), 0.5) as median,
+             quantile_cont(cast({c} as double), 0.75) as q3 from leads) q
+group by q1, median, q3""")
+    return _LEADS + "\nunion all\n".join(parts)
+
+
+@query("box_stats", _box_sql())
+def q_box_stats(spark: SparkSession, d: str) -> DataFrame:
+    return profile.box_stats(flows.lead_table(spark, d), P.FACT_FEATURES)
+
+
+def _summary_sql() -> str:
+    parts = []
+    for c in P.FACT_FEATURES:
+        v = f"cast({c} as double)"
+        parts.append(f"""select '{c}' as feature, count({v}) as count,
+  cast(sum(case when {v} is null then 1 else 0 end) as bigint) as nulls, round(avg({v}), 6) as mean,
+  round(stddev_samp({v}), 6) as stddev, min({v}) as min, max({v}) as max,
+  cast(sum(case when {v} = 0 then 1 else 0 end) as bigint) as zeros from leads""")
+    return _LEADS + "\nunion all\n".join(parts)
+
+
+@query("column_summary", _summary_sql())
+def q_column_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = profile.summarize(flows.lead_table(spark, d), P.FACT_FEATURES)
+    return s.withColumn("mean", F.round("mean", 6)).withColumn("stddev", F.round("stddev", 6))
+
+
+@query("lead_count", _SPLIT + f"""select count(*) as n_leads from split
+  where split = 'test' and {P.LABEL} = 0 and lead_gen_prob > {P.LEAD_THRESHOLD_TEST}""")
+def q_lead_count(spark: SparkSession, d: str) -> DataFrame:
+    return score.leads(test_part(spark, d), P.LEAD_THRESHOLD_TEST).agg(F.count(F.lit(1)).alias("n_leads"))
+
+
+@query("buyers", _SPLIT + f"select * exclude (split) from split where split = 'test' and {P.LABEL} = 1")
+def q_buyers(spark: SparkSession, d: str) -> DataFrame:
+    return score.buyers(test_part(spark, d), P.LABEL)
+
+
+def _rule_pred(t: float):
+    return F.when(F.col("lead_gen_prob") > t, 1.0).otherwise(0.0)
+
+
+@query("metrics", _SPLIT + "select * from " + O.metric_sql("case when lead_gen_prob > 0.5 then 1.0 else 0.0 end"))
+def q_metrics(spark: SparkSession, d: str) -> DataFrame:
+    t = test_part(spark, d).withColumn("prediction", _rule_pred(0.5))
+    return evaluate.metrics(t, P.LABEL, "prediction")
+
+
+@query("auc", _SPLIT.rstrip() + f""",
+g as (select lead_gen_prob as s, sum(case when {P.LABEL} = 1 then 1 else 0 end) as pos,
+               sum(case when {P.LABEL} = 1 then 0 else 1 end) as neg
+        from split where split = 'test' and lead_gen_prob is not null group by lead_gen_prob),
+c as (select *, coalesce(sum(neg) over (order by s rows between unbounded preceding and 1 preceding), 0) as below
+      from g)
+select round(case when sum(pos) > 0 and sum(neg) > 0
+                  then sum(pos * (below + 0.5 * neg)) / (cast(sum(pos) as double) * sum(neg)) end, 12) as auc,
+       cast(sum(pos) as bigint) as n_pos, cast(sum(neg) as bigint) as n_neg from c""")
+def q_auc(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.auc(test_part(spark, d), P.LABEL, "lead_gen_prob")
+
+
+_RUN_THRESHOLDS = [0.25, 0.5, 0.75]
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    t = test_part(spark, d)
+    out = None
+    for i, th in enumerate(_RUN_THRESHOLDS):
+        m = evaluate.metrics(t.withColumn("prediction", _rule_pred(th)), P.LABEL, "prediction")
+        m = m.select(F.lit(i).alias("run"), F.lit(th).alias("threshold"), *m.columns)
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def _runs_sql() -> str:
+    parts = [f"select {i} as run, {th} as threshold, * from "
+             + O.metric_sql(f"case when lead_gen_prob > {th} then 1.0 else 0.0 end")
+             for i, th in enumerate(_RUN_THRESHOLDS)]
+    return _SPLIT + "select * from (" + " union all ".join(parts) + ") order by f1 desc, run limit 1"
+
+
+@query("best_run", _runs_sql())
+def q_best_run(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.best_run(runs(spark, d), "f1", "run")

@@ -276,3 +276,50 @@ users as (
          b.CUSTOMER_NAME as CUSTOMER_NAME_y, b.CONT_FULLPHONE as CONT_FULLPHONE_y, b.STREET as STREET_y,
          b.CITY as CITY_y, b.STATE as STATE_y, b.ZIP as ZIP_y, b.CONT_EMAIL as CONT_EMAIL_y, b.IMPLANT_USD
   from ua a full outer join ub b on a.USER_KEY = b.USER_KEY)"""
+
+
+def md5_int(expr: str) -> str:
+    return f"('0x' || substr(md5({expr}), 1, 8))::bigint"
+
+
+def split_ctes() -> str:
+    """``split``: scored feature rows tagged train/test by md5 bucket."""
+    cut = int(round(P.SPLIT_WEIGHTS[0] / sum(P.SPLIT_WEIGHTS) * 10000))
+    b = md5_int(f"MDM_CUST_KEY || ':' || '{P.SEED}'")
+    return lead_ctes() + f""",
+split as (
+  select *, case when {b} % 10000 < {cut} then 'train' else 'test' end as split from scored)"""
+
+
+def oversample_ctes() -> str:
+    h = md5_int(f"MDM_CUST_KEY || ':' || '{P.SEED}' || ':' || 'oversample'")
+    return f"""tr as (select * exclude (split, lead_gen_prob) from split where split = 'train'),
+oc as (select {P.LABEL} as lab, count(*) as n from tr group by {P.LABEL}),
+om as (select max(n) as mx from oc),
+orank as (
+  select tr.*, row_number() over (partition by {P.LABEL} order by {h}, MDM_CUST_KEY) - 1 as rk from tr),
+ocp as (
+  select orank.*, (om.mx // oc.n) + case when rk < om.mx % oc.n then 1 else 0 end as copies
+  from orank join oc on orank.{P.LABEL} = oc.lab cross join om),
+over as (select * exclude (rk, copies), cast(unnest(range(0, copies)) as integer) as COPY from ocp)"""
+
+
+def metric_sql(pred_expr: str, src: str = "split where split = 'test'") -> str:
+    """Select list + FROM producing accuracy, weighted precision/recall, f1, n."""
+    return f"""(
+with pr as (select cast({P.LABEL} as double) as l, {pred_expr} as p from {src}),
+cm as (select l, p, count(*) as n from pr group by l, p),
+t1 as (select l as c, sum(n) as n_true from cm group by l),
+t2 as (select p as c, sum(n) as n_pred from cm group by p),
+t3 as (select l as c, n as tp from cm where l = p),
+per as (select c, coalesce(n_true, 0) as n_true, coalesce(n_pred, 0) as n_pred, coalesce(tp, 0) as tp
+        from t1 full join t2 using (c) full join t3 using (c)),
+tot as (select sum(n_true) as N from per),
+m as (select *, case when n_pred > 0 then tp / n_pred else 0.0 end as pp,
+                case when n_true > 0 then tp / n_true else 0.0 end as rr from per, tot)
+select round(sum(tp) / first(N), 12) as accuracy,
+       round(sum(n_true / N * pp), 12) as weighted_precision,
+       round(sum(n_true / N * rr), 12) as weighted_recall,
+       round(sum(n_true / N * case when pp + rr > 0 then 2.0 * pp * rr / (pp + rr) else 0.0 end), 12) as f1,
+       cast(first(N) as bigint) as n
+from m)"""
