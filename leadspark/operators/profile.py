@@ -67,7 +67,8 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     mm = x.agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
     width = (F.col("_mx") - F.col("_mn")) / F.lit(float(bins))
     raw = F.floor((F.col("_x") - F.col("_mn")) / F.nullif(F.col("_mx") - F.col("_mn"), F.lit(0.0)) * bins)
-    b = F.coalesce(F.least(raw, F.lit(bins - 1)), F.lit(0)).cast("int")
+    # least() skips nulls: map the max == min case (null position) to bin 0 first
+    b = F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
     j = x.crossJoin(F.broadcast(mm)).withColumn("bin", b)
     g = j.groupBy("bin", "_mn", "_mx").agg(F.count(F.lit(1)).alias("n"))
     w = F.coalesce(width, F.lit(0.0))

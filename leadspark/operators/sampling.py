@@ -58,10 +58,11 @@ def oversample(df: DataFrame, label: str = "label", key: str = "MDM_CUST_KEY", s
     h = md5_int(col_of(key), F.lit(str(seed)), F.lit("oversample"))
     ranked = with_global_index(df.withColumn("_h", h).withColumn("_lab", col_of(label)),
                                [F.col("_lab"), F.col("_h"), col_of(key)], "_gi")
-    start = ranked.groupBy("_lab").agg(F.min("_gi").alias("_s"))
-    plan = checked_broadcast(plan.join(start, plan["_lab"].eqNullSafe(start["_lab"])).drop(start["_lab"]),
-                             max_classes)
-    j = ranked.join(plan, ranked["_lab"].eqNullSafe(plan["_lab"])).drop(plan["_lab"])
+    start = ranked.groupBy(F.col("_lab").alias("_slab")).agg(F.min("_gi").alias("_s"))
+    plan = plan.join(start, F.col("_lab").eqNullSafe(F.col("_slab"))).select(
+        F.col("_lab").alias("_plab"), "_q", "_r", "_s")
+    plan = checked_broadcast(plan, max_classes)
+    j = ranked.join(plan, F.col("_lab").eqNullSafe(F.col("_plab")))
     copies = F.col("_q") + F.when(F.col("_gi") - F.col("_s") < F.col("_r"), 1).otherwise(0)
     out = j.withColumn(copy_col, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
     return out.select(*[col_of(c) for c in df.columns], F.col(copy_col).cast("int").alias(copy_col))

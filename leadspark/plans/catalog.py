@@ -25,14 +25,18 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def _register_all() -> None:
+    # imported for their registrations
+    from leadspark.plans import catalog_ml, catalog_more  # noqa: F401
+
+
 def queries() -> dict:
-    # import for registration side effects
-    from leadspark.plans import catalog_more  # noqa: F401
+    _register_all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    from leadspark.plans import catalog_more  # noqa: F401
+    _register_all()
     return dict(_ORACLE)
 
 

@@ -214,7 +214,7 @@ def q_class_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("target_histogram", O.with_(O.feature_ctes()).rstrip() + f""",
 mm as (select min({P.TARGET_OUT}) as mn, max({P.TARGET_OUT}) as mx from ft),
-hb as (select cast(coalesce(least(floor(({P.TARGET_OUT} - mn) / nullif(mx - mn, 0) * 20), 19), 0) as integer) as bin
+hb as (select cast(least(coalesce(floor(({P.TARGET_OUT} - mn) / nullif(mx - mn, 0) * 20), 0), 19) as integer) as bin
        from ft, mm)
 select bin, mn + bin * ((mx - mn) / 20.0) as lo, mn + (bin + 1) * ((mx - mn) / 20.0) as hi, count(*) as n
 from hb, mm group by bin, mn, mx""")

@@ -1,0 +1,5 @@
+"""Structured Streaming.
+
+The lead pipeline has no streaming part: sources are batch tables and the
+model is applied in batch.  No streaming operator is provided.
+"""
