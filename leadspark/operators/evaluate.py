@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions.exprs import col_of
-from leadspark.operators.ordering import with_running_sum
+from leadspark.operators.ordering import with_prefix, with_running_sum
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -63,6 +63,32 @@ def auc(df: DataFrame, label: str = "label", score: str = "score", digits: int =
                     F.col("n_neg").cast("long").alias("n_neg"))
 
 
+def auc_pr(df: DataFrame, label: str = "label", score: str = "score", digits: int = 12) -> DataFrame:
+    """One-row DataFrame (auc_pr): area under the precision-recall curve.
+
+    Points are taken at every distinct score (descending); the curve starts
+    at (0, precision of the first point) and is integrated by trapezoids, as
+    in Spark's BinaryClassificationMetrics without binning.  Consecutive
+    points are paired by their positions (an equi-join), not by a window.
+    """
+    g = (df.select(col_of(score).cast("double").alias("_s"), col_of(label).cast("double").alias("_l"))
+           .filter(F.col("_s").isNotNull() & F.col("_l").isNotNull())
+           .groupBy("_s").agg(F.sum(F.when(F.col("_l") == 1, 1).otherwise(0)).alias("_pos"),
+                             F.sum(F.when(F.col("_l") == 1, 0).otherwise(1)).alias("_neg")))
+    c = with_prefix(g, [F.col("_s").desc()], {"_tp": "_pos", "_fp": "_neg"}, index="_i")
+    tot = c.agg(F.sum("_pos").alias("_P"))
+    pts = c.crossJoin(F.broadcast(tot)).select(
+        "_i", (F.col("_tp") / F.nullif(F.col("_P"), F.lit(0))).alias("_r"), (F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("_p"))
+    first = pts.filter(F.col("_i") == 0).select(F.col("_p").alias("_p_first"))
+    prev = pts.select((F.col("_i") + 1).alias("_i"), F.col("_r").alias("_r0"), F.col("_p").alias("_p0"))
+    seg = (pts.join(prev, "_i", "left").crossJoin(F.broadcast(first))
+              .select(F.col("_r"), F.col("_p"), F.coalesce("_r0", F.lit(0.0)).alias("_r0"),
+                      F.coalesce("_p0", "_p_first").alias("_p0")))
+    a = seg.agg(F.sum((F.col("_r") - F.col("_r0")) * (F.col("_p") + F.col("_p0")) / F.lit(2.0)).alias("_a"))
+    return a.crossJoin(F.broadcast(tot)).select(
+        F.round(F.when(F.col("_P") > 0, F.col("_a")), digits).alias("auc_pr"))
+
+
 def best_run(runs: DataFrame, metric: str, run_col: str = "run") -> DataFrame:
     """The run with the highest ``metric`` (ties: smallest run id)."""
     return runs.orderBy(F.desc(metric), F.asc(run_col)).limit(1)

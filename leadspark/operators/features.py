@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leadspark.functions.exprs import category, col_of
 from leadspark.operators import cleanse
 from leadspark.operators.profile import quantiles
+from leadspark.session import freeze
 
 
 def add_category(df: DataFrame, l1: str = "L1_DESC", l2: str = "L2_DESC", out: str = "L1_L2_DESC") -> DataFrame:
@@ -86,7 +87,7 @@ def check_feature_list(cols) -> list:
 def feature_table(sales: DataFrame, *, key: str, pivot_values, target: str, threshold: float,
                   sentinel: str, k: float = 1.5, target_out: str = "TARGET_SALES",
                   label_col: str = "label", drop_outliers: bool = False,
-                  precision: int = 4) -> DataFrame:
+                  precision: int = 4, materialize: bool = True) -> DataFrame:
     """Unified sales -> one labelled feature row per customer.
 
     keep positive -> category -> pivot -> drop target column, floor target
@@ -102,6 +103,9 @@ def feature_table(sales: DataFrame, *, key: str, pivot_values, target: str, thre
     t = "_target_floor"
     wide = floor_to_zero(wide, target, threshold, out=t).drop(target)
     wide = cleanse.exclude_key(wide, key, sentinel)
+    if materialize:
+        # whisker and cap both read the pivot: compute it once
+        wide = freeze(wide)
     capped = iqr_cap(wide, t, where=col_of(t) >= threshold, k=k, out=target_out,
                      drop_outliers=drop_outliers).drop(t)
     filled = capped.fillna(0)

@@ -1,7 +1,7 @@
 """Model building on Spark ML: assembler, pipelines, the four model families,
 cross-validated grid search, save/load, description and a run log.
 
-Training data is checkpointed (reliable checkpoint folder) before a grid
+Training data is written once to the checkpoint folder before a grid
 search, so the 13 fits of a 2x2 grid with 3 folds read it instead of
 re-running the feature plan, and a lost executor does not restart the
 lineage from the raw tables.
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from leadspark.functions.exprs import col_of, md5_int
 from leadspark.operators.features import check_feature_list
-from leadspark.session import ensure_checkpoint_dir
+from leadspark.session import freeze as _freeze
 
 
 def assembler(cols, out: str = "features") -> VectorAssembler:
@@ -63,9 +63,8 @@ def with_fold(df: DataFrame, key: str, folds: int = 3, seed: int = 42, out: str
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (shared checkpoint folder) to cut lineage before iterative work."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written table in the checkpoint folder: cuts lineage before iterative work."""
+    return _freeze(df)
 
 
 def cross_validate(pipe: Pipeline, grid, train: DataFrame, metric: str = "f1", label: str = "label",

@@ -28,8 +28,9 @@ def quantiles(df: DataFrame, value: str, probs=(0.25, 0.75), names=None) -> Data
     names = list(names or [_qname(p) for p in probs])
     v = col_of(value).cast("double")
     vals = df.select(v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    n = vals.agg(F.count(F.lit(1)).alias("_n"))
-    idx = with_global_index(vals, [F.col("_v")], "_i")
+    # seeded rand splits runs of equal values over several range partitions
+    idx = with_global_index(vals, [F.col("_v"), F.rand(17)], "_i")
+    n = idx.agg(F.count(F.lit(1)).alias("_n"))   # reads the written sort
     pos = [F.lit(p) * (F.col("_n") - 1) for p in probs]
     # one-row frame of n: broadcast of a single row
     j = idx.crossJoin(F.broadcast(n))

@@ -141,3 +141,17 @@ def q_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     files.export_csv(lt, path)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in lt.schema.fields])
     return files.read_lookup_csv(spark, path, schema)
+
+
+@query("lead_top_features")
+def q_lead_top_features(spark: SparkSession, d: str) -> DataFrame:
+    """Test-set leads above the high threshold, projected on the top features
+    (long format: key, feature, value; the top-k list is a broadcast of k rows)."""
+    _, test, _ = models.data(spark, d)
+    leads = score.leads(score.with_probability(models.gbt_model(spark, d).transform(test)),
+                        P.LEAD_THRESHOLD_TEST)
+    cols = flows.feature_columns()
+    stack = ", ".join(f"'{c}', `{c}`" for c in cols)
+    long = leads.selectExpr(P.KEY, "lead_gen_prob", f"stack({len(cols)}, {stack}) as (feature, value)")
+    top = importance.top(importance.gain(spark, _gbt_stage_path(spark, d), cols), P.TOP_FEATURES)
+    return long.join(F.broadcast(top.select("feature", F.col("idx").alias("rank_idx"))), "feature")

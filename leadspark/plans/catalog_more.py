@@ -292,6 +292,22 @@ def q_auc(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.auc(test_part(spark, d), P.LABEL, "lead_gen_prob")
 
 
+@query("auc_pr", _SPLIT.rstrip() + f""",
+g as (select lead_gen_prob as s, sum(case when {P.LABEL} = 1 then 1 else 0 end) as pos,
+             sum(case when {P.LABEL} = 1 then 0 else 1 end) as neg
+      from split where split = 'test' and lead_gen_prob is not null group by lead_gen_prob),
+c as (select sum(pos) over (order by s desc rows between unbounded preceding and current row) as tp,
+             sum(neg) over (order by s desc rows between unbounded preceding and current row) as fp,
+             row_number() over (order by s desc) - 1 as i from g),
+tot as (select sum(pos) as PP from g),
+pts as (select i, tp / nullif(PP, 0) as r, tp / (tp + fp) as p from c, tot),
+seg as (select a.r, a.p, coalesce(b.r, 0.0) as r0, coalesce(b.p, f.p) as p0
+        from pts a left join pts b on b.i = a.i - 1, (select p from pts where i = 0) f)
+select round(case when (select PP from tot) > 0 then sum((r - r0) * (p + p0) / 2.0) end, 12) as auc_pr from seg""")
+def q_auc_pr(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.auc_pr(test_part(spark, d), P.LABEL, "lead_gen_prob")
+
+
 _RUN_THRESHOLDS = [0.25, 0.5, 0.75]
 
 

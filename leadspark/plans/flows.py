@@ -77,7 +77,8 @@ def lead_fact(spark: SparkSession, d: str, leads: DataFrame | None = None) -> Da
     from leadspark.operators import enrich
     lt = leads if leads is not None else lead_table(spark, d)
     j = enrich.merge(lt, master(spark, d), P.KEY, P.KEY, "left")
-    return j.orderBy(F.asc_nulls_first("lead_gen_prob"))
+    # the key breaks ties, so equal probabilities spread over range partitions
+    return j.orderBy(F.asc_nulls_first("lead_gen_prob"), F.asc(P.KEY))
 
 
 def fact_selection(spark: SparkSession, d: str) -> DataFrame:

@@ -32,7 +32,7 @@ def _memo(spark: SparkSession, d: str, name: str, build):
 
 
 def data(spark: SparkSession, d: str):
-    """(balanced train with fold ids, test, all customers), each checkpointed once."""
+    """(balanced train with fold ids, test, all customers), each written once."""
     def build():
         ft = sampling.assign_split(flows.feature_table(spark, d), P.KEY, P.SPLIT_WEIGHTS, P.SEED)
         ft = ml.freeze(ft)

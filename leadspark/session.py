@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # remove checkpoint files once their DataFrame is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -58,3 +61,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint location for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def freeze(df, name: str = "frozen"):
+    """Cut lineage with a written table in the session's checkpoint folder.
+
+    The plan runs once (an eager ``checkpoint()`` runs it twice unless the
+    data is also cached), the files survive lost executors, and reading them
+    back gives partitions sized by ``spark.sql.files.maxPartitionBytes``.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -61,3 +61,14 @@ def test_auc_matches_binary_evaluator_with_ties(spark):
 def test_auc_single_class_is_null(spark):
     df = spark.createDataFrame([(1.0, 0.3), (1.0, 0.5)], "label double, score double")
     assert evaluate.auc(df, "label", "score").collect()[0].auc is None
+
+
+def test_auc_pr_matches_binary_evaluator(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(float(rnd.random() < 0.3), round(rnd.random(), 2)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "label double, score double").repartition(3)
+    ours = evaluate.auc_pr(df, "label", "score").collect()[0].auc_pr
+    theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label",
+                                           metricName="areaUnderPR").evaluate(df)
+    assert ours == pytest.approx(theirs, abs=1e-9)
