@@ -74,3 +74,31 @@ def freeze(df, name: str = "frozen"):
     path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def input_bytes(spark: SparkSession, paths) -> int:
+    """Total size of the given files/folders, via the Hadoop file system of each path."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            total += fs.getContentSummary(path).getLength()
+    return int(total)
+
+
+def size_shuffle_partitions(spark: SparkSession, paths, bytes_per_partition: int = 64 << 20,
+                            max_partitions: int = 100_000) -> int:
+    """Set ``spark.sql.shuffle.partitions`` from the input size.
+
+    About one partition per ``bytes_per_partition`` of (compressed) input,
+    never fewer than twice the default parallelism; AQE then coalesces small
+    partitions and splits skewed ones.  At 100 TB this gives tens of
+    thousands of partitions, on a laptop-sized sample a few dozen.
+    """
+    n = -(-input_bytes(spark, paths) // bytes_per_partition)
+    n = int(min(max_partitions, max(2 * spark.sparkContext.defaultParallelism, n)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
