@@ -60,11 +60,25 @@ def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str | None
     return j.select(*out)
 
 
+def semi_filter(dim: DataFrame, fact: DataFrame, left_on: str, right_on: str, null_safe: bool = False) -> DataFrame:
+    """Rows of ``dim`` whose key occurs in ``fact`` (a left-semi join on the fact's
+    distinct keys).  When the fact is small, AQE broadcasts the key set and the
+    dimension is filtered map-side before any shuffle or dedupe."""
+    keys = fact.select(col_of(left_on).alias("_fk")).distinct()
+    k = col_of(right_on)
+    cond = k.eqNullSafe(keys["_fk"]) if null_safe else (k == keys["_fk"])
+    return dim.join(keys, cond, "left_semi")
+
+
 def lookup(fact: DataFrame, dim: DataFrame, left_on: str, right_on: str, how: str = "left",
            drop=None, dedupe_order=None, null_safe: bool = False,
-           broadcast_max_rows: int | None = None, drop_right_key: bool = True) -> DataFrame:
-    """Enrich ``fact`` with ``dim``; optional keep-first dedupe of ``dim`` on its key
-    (by ``dedupe_order``), then merge and strict drop."""
+           broadcast_max_rows: int | None = None, drop_right_key: bool = True,
+           prefilter: bool = False) -> DataFrame:
+    """Enrich ``fact`` with ``dim``; optional semi-join reduction of ``dim`` to the
+    fact's keys (``prefilter``), keep-first dedupe of ``dim`` on its key (by
+    ``dedupe_order``), then merge and strict drop."""
+    if prefilter and how in ("left", "inner"):
+        dim = semi_filter(dim, fact, left_on, right_on, null_safe)
     if dedupe_order is not None:
         dim = first_by(dim, right_on, dedupe_order)
     j = merge(fact, dim, left_on, right_on, how, null_safe=null_safe, broadcast_max_rows=broadcast_max_rows)
@@ -85,6 +99,7 @@ class Lookup:
     null_safe: bool = False
     broadcast_max_rows: int | None = None
     derive: dict = field(default_factory=dict)   # new fact columns before the join
+    prefilter: bool = True                       # semi-join the dim to the fact's keys first
 
 
 def star(fact: DataFrame, lookups) -> DataFrame:
@@ -93,7 +108,7 @@ def star(fact: DataFrame, lookups) -> DataFrame:
         for name, expr in lk.derive.items():
             fact = fact.withColumn(name, expr)
         fact = lookup(fact, lk.dim, lk.left_on, lk.right_on, lk.how, lk.drop, lk.dedupe_order,
-                      lk.null_safe, lk.broadcast_max_rows, drop_right_key=False)
+                      lk.null_safe, lk.broadcast_max_rows, drop_right_key=False, prefilter=lk.prefilter)
     return fact
 
 

@@ -129,3 +129,15 @@ def test_histogram_edges(spark):
     assert sum(h.values()) == 11 and h[4] == 3          # last bin closed
     same = spark.createDataFrame([(3.0,), (3.0,)], "x double")
     assert [(r.bin, r.n) for r in profile.histogram(same, "x", 20).collect()] == [(0, 2)]
+
+
+def test_feature_table_sentinel_and_labels(spark):
+    from decimal import Decimal
+    rows = [("Master-Unmatched", "T", "T", Decimal("90000")), ("a", "T", "T", Decimal("60000")),
+            ("a", "X", "X", Decimal("5")), ("b", "T", "T", Decimal("40000")), ("c", "X", "X", Decimal("-3")),
+            ("d", "T", "T", Decimal("70000")), (None, "T", "T", Decimal("80000"))]
+    df = spark.createDataFrame(rows, "MDM_CUST_KEY string, L1_DESC string, L2_DESC string, SALES decimal(38,4)")
+    ft = features.feature_table(df, key="MDM_CUST_KEY", pivot_values=["T T", "X X"], target="T T",
+                                threshold=50000, sentinel="Master-Unmatched")
+    got = {r.MDM_CUST_KEY: (r["X X"], r.TARGET_SALES, r.label) for r in ft.collect()}
+    assert got == {"a": (5.0, 60000.0, 1), "b": (0.0, 0.0, 0), "d": (0.0, 70000.0, 1)}

@@ -101,3 +101,13 @@ def test_star_chain(spark):
     ])
     assert out.columns == ["k", "zip", "v1", "ZIP3", "t"]
     assert [tuple(r) for r in out.collect()] == [("a", "01234", 1, "012", "T")]
+
+
+def test_prefilter_keeps_results(spark):
+    fact = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    dim = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("c", 1, "z"), (None, 1, "n")],
+                                "dk string, o int, v string")
+    for ns in (False, True):
+        a = enrich.lookup(fact, dim, "k", "dk", dedupe_order="o", drop=["o"], null_safe=ns)
+        b = enrich.lookup(fact, dim, "k", "dk", dedupe_order="o", drop=["o"], null_safe=ns, prefilter=True)
+        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
