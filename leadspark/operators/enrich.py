@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions.exprs import col_of
 from leadspark.operators.cleanse import drop_strict, first_by
+from leadspark.session import freeze
 
 
 def checked_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -60,25 +61,29 @@ def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str | None
     return j.select(*out)
 
 
-def semi_filter(dim: DataFrame, fact: DataFrame, left_on: str, right_on: str, null_safe: bool = False) -> DataFrame:
-    """Rows of ``dim`` whose key occurs in ``fact`` (a left-semi join on the fact's
-    distinct keys).  When the fact is small, AQE broadcasts the key set and the
+def semi_filter(dim: DataFrame, keys: DataFrame, right_on: str, null_safe: bool = False) -> DataFrame:
+    """Rows of ``dim`` whose key occurs in ``keys`` (one column ``_fk``, distinct):
+    a left-semi join.  When the key set is small, AQE broadcasts it and the
     dimension is filtered map-side before any shuffle or dedupe."""
-    keys = fact.select(col_of(left_on).alias("_fk")).distinct()
     k = col_of(right_on)
     cond = k.eqNullSafe(keys["_fk"]) if null_safe else (k == keys["_fk"])
     return dim.join(keys, cond, "left_semi")
 
 
+def key_set(fact: DataFrame, left_on: str) -> DataFrame:
+    return fact.select(col_of(left_on).alias("_fk")).distinct()
+
+
 def lookup(fact: DataFrame, dim: DataFrame, left_on: str, right_on: str, how: str = "left",
            drop=None, dedupe_order=None, null_safe: bool = False,
            broadcast_max_rows: int | None = None, drop_right_key: bool = True,
-           prefilter: bool = False) -> DataFrame:
+           prefilter: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """Enrich ``fact`` with ``dim``; optional semi-join reduction of ``dim`` to the
-    fact's keys (``prefilter``), keep-first dedupe of ``dim`` on its key (by
-    ``dedupe_order``), then merge and strict drop."""
+    fact's keys (``prefilter``; ``keys`` may supply a precomputed superset),
+    keep-first dedupe of ``dim`` on its key (by ``dedupe_order``), then merge
+    and strict drop."""
     if prefilter and how in ("left", "inner"):
-        dim = semi_filter(dim, fact, left_on, right_on, null_safe)
+        dim = semi_filter(dim, keys if keys is not None else key_set(fact, left_on), right_on, null_safe)
     if dedupe_order is not None:
         dim = first_by(dim, right_on, dedupe_order)
     j = merge(fact, dim, left_on, right_on, how, null_safe=null_safe, broadcast_max_rows=broadcast_max_rows)
@@ -103,12 +108,26 @@ class Lookup:
 
 
 def star(fact: DataFrame, lookups) -> DataFrame:
-    """Chain of lookups (a star enrichment) as one lazy plan."""
+    """Chain of lookups (a star enrichment) as one lazy plan.
+
+    Key sets for the semi-join prefilter are taken once from the base fact
+    (left and inner joins never add keys).  The base fact is written once to
+    the checkpoint folder first, so the key sets and the chain read it
+    instead of re-running its plan.
+    """
+    if any(lk.prefilter for lk in lookups):
+        fact = freeze(fact, "star_fact")
+    base = fact
+    keys = {}
     for lk in lookups:
         for name, expr in lk.derive.items():
             fact = fact.withColumn(name, expr)
+        ks = None
+        if lk.prefilter and lk.left_on in base.columns:
+            ks = keys.setdefault(lk.left_on, key_set(base, lk.left_on))
         fact = lookup(fact, lk.dim, lk.left_on, lk.right_on, lk.how, lk.drop, lk.dedupe_order,
-                      lk.null_safe, lk.broadcast_max_rows, drop_right_key=False, prefilter=lk.prefilter)
+                      lk.null_safe, lk.broadcast_max_rows, drop_right_key=False,
+                      prefilter=ks is not None, keys=ks)
     return fact
 
 
