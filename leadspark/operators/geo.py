@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from leadspark.functions.exprs import col_of
 from leadspark.functions.geo import cell_edge_m, cell_index, ecef_m, haversine_m
 from leadspark.operators.cleanse import first_by
+from leadspark.session import freeze
 
 _OFFSETS = list(itertools.product((-1, 0, 1), repeat=3))
 
@@ -64,7 +65,8 @@ def near_pairs(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE",
     pts = df.select(col_of(key).alias("_k"), col_of(lat).cast("double").alias("_lat"),
                     col_of(lon).cast("double").alias("_lon"))
     pts = pts.filter(F.col("_k").isNotNull() & F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
-    pts = _with_cells(pts, "_lat", "_lon", edge, radius_km)
+    # read three times below (cell counts, probe side, build side): write once
+    pts = freeze(_with_cells(pts, "_lat", "_lon", edge, radius_km), "sites")
     cell = ["_cx", "_cy", "_cz"]
 
     # densest cells: a top-k of the cell counts, so its size is bounded by max_hot_cells

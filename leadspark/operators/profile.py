@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions.exprs import col_of
 from leadspark.operators.ordering import with_global_index
+from leadspark.session import freeze
 
 
 def _qname(p: float) -> str:
@@ -82,11 +83,13 @@ def box_stats(df: DataFrame, cols, k: float = 1.5) -> DataFrame:
 
     (feature, q1, median, q3, lower_whisker, upper_whisker, n_outliers):
     whiskers are the most extreme values inside [q1 - k IQR, q3 + k IQR].
+    The input columns are written once, since every column reads them twice.
     """
+    src = freeze(df.select(*[col_of(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)]), "box")
     parts = []
-    for c in cols:
-        q = quantiles(df, c, (0.25, 0.5, 0.75), ["q1", "median", "q3"])
-        v = df.select(col_of(c).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    for i, c in enumerate(cols):
+        q = quantiles(src, f"_c{i}", (0.25, 0.5, 0.75), ["q1", "median", "q3"])
+        v = src.select(F.col(f"_c{i}").alias("_v")).filter(F.col("_v").isNotNull())
         j = v.crossJoin(F.broadcast(q))
         lo_f = F.col("q1") - k * (F.col("q3") - F.col("q1"))
         hi_f = F.col("q3") + k * (F.col("q3") - F.col("q1"))
@@ -103,25 +106,24 @@ def box_stats(df: DataFrame, cols, k: float = 1.5) -> DataFrame:
     return out
 
 
+_STATS = ["count", "nulls", "mean", "stddev", "min", "max", "zeros"]
+
+
 def summarize(df: DataFrame, cols) -> DataFrame:
-    """Column summary in long format: count, nulls, mean, stddev, min, max, zeros."""
-    parts = []
-    for c in cols:
+    """Column summary in long format (feature, count, nulls, mean, stddev, min,
+    max, zeros): one aggregation pass for all columns, then unpivoted."""
+    aggs = []
+    for i, c in enumerate(cols):
         v = col_of(c).cast("double")
-        parts.append(df.agg(
-            F.lit(c).alias("feature"),
-            F.count(v).alias("count"),
-            F.sum(F.when(v.isNull(), 1).otherwise(0)).cast("long").alias("nulls"),
-            F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("stddev"),
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-            F.sum(F.when(v == 0, 1).otherwise(0)).cast("long").alias("zeros"),
-        ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        aggs += [F.count(v).alias(f"count_{i}"),
+                 F.sum(F.when(v.isNull(), 1).otherwise(0)).cast("long").alias(f"nulls_{i}"),
+                 F.avg(v).alias(f"mean_{i}"), F.stddev_samp(v).alias(f"stddev_{i}"),
+                 F.min(v).alias(f"min_{i}"), F.max(v).alias(f"max_{i}"),
+                 F.sum(F.when(v == 0, 1).otherwise(0)).cast("long").alias(f"zeros_{i}")]
+    wide = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{s}_{i}").alias(s) for s in _STATS])
+                     for i, c in enumerate(cols)])
+    return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def preview(df: DataFrame, n: int, order_by) -> DataFrame:

@@ -81,19 +81,27 @@ def lead_fact(spark: SparkSession, d: str, leads: DataFrame | None = None) -> Da
     return j.orderBy(F.asc_nulls_first("lead_gen_prob"), F.asc(P.KEY))
 
 
-def fact_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Leads of one customer class, reduced to the columns of the sales list."""
+def fact_selection(spark: SparkSession, d: str, min_prob: float | None = None) -> DataFrame:
+    """Leads of one customer class, reduced to the columns of the sales list;
+    ``min_prob`` optionally keeps only leads with a higher probability."""
     f = lead_fact(spark, d).filter(F.col("SDS_CUST_CLASS1") == P.FACT_CLASS)
+    if min_prob is not None:
+        f = f.filter(F.col("lead_gen_prob") > min_prob)
     cols = [P.KEY] + P.CONTACT_COLS + ["ADDR_LATITUDE", "ADDR_LONGITUDE", "lead_gen_prob"] + P.FACT_FEATURES
     return f.select(*cols)
 
 
-def star_specs(spark: SparkSession, d: str, first_how: str) -> list:
+def star_specs(spark: SparkSession, d: str, first_how: str, max_year: int | None = None) -> list:
+    """The seven lookups; ``max_year`` optionally keeps install-base customers whose
+    latest purchase of the tracked types is in that year or earlier."""
     from leadspark.operators.enrich import Lookup, zip3
     from leadspark.plans import derived as D
+    inst = D.install_base(spark, d)
+    if max_year is not None:
+        last = F.greatest(*[F.year(F.col(f"{t}_maxdate").cast("date")) for t in P.INSTALL_TYPES])
+        inst = inst.filter(last <= max_year)
     return [
-        Lookup(D.install_base(spark, d), P.KEY, "ship_to_mdm_cust_key", first_how, D.install_drop(),
-               null_safe=True),
+        Lookup(inst, P.KEY, "ship_to_mdm_cust_key", first_how, D.install_drop(), null_safe=True),
         Lookup(D.contracts(spark, d), P.KEY, "BILL_MDM_KEY", drop=["BILL_MDM_KEY", "SLA_SKU", "SLA_ORDER"],
                dedupe_order="SLA_ORDER", null_safe=True),
         Lookup(D.tech_calls(spark, d), P.KEY, "MDM_ID", drop=["MDM_ID", "TECH_EVENT"],
@@ -109,10 +117,11 @@ def star_specs(spark: SparkSession, d: str, first_how: str) -> list:
     ]
 
 
-def star_list(spark: SparkSession, d: str, first_how: str) -> DataFrame:
+def star_list(spark: SparkSession, d: str, first_how: str, min_prob: float | None = None,
+              max_year: int | None = None) -> DataFrame:
     """Flat lead list: fact + seven lookups; ``first_how`` is the install-base join."""
     from leadspark.operators.enrich import star
-    return star(fact_selection(spark, d), star_specs(spark, d, first_how))
+    return star(fact_selection(spark, d, min_prob), star_specs(spark, d, first_how, max_year))
 
 
 def implant_users(spark: SparkSession, d: str) -> DataFrame:
