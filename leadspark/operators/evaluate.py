@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions.exprs import col_of
 from leadspark.operators.ordering import with_prefix, with_running_sum
+from leadspark.operators.attach import attach_row
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -31,7 +32,7 @@ def metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
     per = (true.join(pred, "c", "full").join(tp, "c", "full")
                .na.fill(0, ["n_true", "n_pred", "tp"]))
     tot = per.agg(F.sum("n_true").alias("N"))
-    per = per.crossJoin(F.broadcast(tot))
+    per = attach_row(per, tot)
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     rec = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(F.lit(0.0))
     per = per.withColumn("_p", prec).withColumn("_r", rec)
@@ -77,15 +78,15 @@ def auc_pr(df: DataFrame, label: str = "label", score: str = "score", digits: in
                              F.sum(F.when(F.col("_l") == 1, 0).otherwise(1)).alias("_neg")))
     c = with_prefix(g, [F.col("_s").desc()], {"_tp": "_pos", "_fp": "_neg"}, index="_i")
     tot = c.agg(F.sum("_pos").alias("_P"))
-    pts = c.crossJoin(F.broadcast(tot)).select(
+    pts = attach_row(c, tot).select(
         "_i", (F.col("_tp") / F.nullif(F.col("_P"), F.lit(0))).alias("_r"), (F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("_p"))
-    first = pts.filter(F.col("_i") == 0).select(F.col("_p").alias("_p_first"))
+    first = pts.agg(F.max(F.when(F.col("_i") == 0, F.col("_p"))).alias("_p_first"))
     prev = pts.select((F.col("_i") + 1).alias("_i"), F.col("_r").alias("_r0"), F.col("_p").alias("_p0"))
-    seg = (pts.join(prev, "_i", "left").crossJoin(F.broadcast(first))
+    seg = (attach_row(pts.join(prev, "_i", "left"), first)
               .select(F.col("_r"), F.col("_p"), F.coalesce("_r0", F.lit(0.0)).alias("_r0"),
                       F.coalesce("_p0", "_p_first").alias("_p0")))
     a = seg.agg(F.sum((F.col("_r") - F.col("_r0")) * (F.col("_p") + F.col("_p0")) / F.lit(2.0)).alias("_a"))
-    return a.crossJoin(F.broadcast(tot)).select(
+    return attach_row(a, tot).select(
         F.round(F.when(F.col("_P") > 0, F.col("_a")), digits).alias("auc_pr"))
 
 

@@ -10,6 +10,7 @@ from leadspark.functions.exprs import category, col_of
 from leadspark.operators import cleanse
 from leadspark.operators.profile import quantiles
 from leadspark.session import freeze
+from leadspark.operators.attach import attach_row
 
 
 def add_category(df: DataFrame, l1: str = "L1_DESC", l2: str = "L2_DESC", out: str = "L1_L2_DESC") -> DataFrame:
@@ -54,7 +55,7 @@ def iqr_cap(df: DataFrame, c: str, where=None, k: float = 1.5, out: str | None =
     """
     up = iqr_upper(df, c, where, k).select(F.col("upper").alias("_upper"))
     v = col_of(c)
-    j = df.crossJoin(F.broadcast(up))
+    j = attach_row(df, up)
     if drop_outliers:
         j = j.filter(~F.coalesce(v >= F.col("_upper"), F.lit(False)))
         res = j.withColumn(out or c, v)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from leadspark.functions.exprs import col_of, md5_int
 from leadspark.operators.ordering import with_global_index
+from leadspark.operators.attach import attach_row
 
 _NAMES = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("feature", T.StringType())])
 
@@ -91,7 +92,7 @@ def permutation(spark: SparkSession, model, df: DataFrame, cols, key: str, metri
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.crossJoin(F.broadcast(base)).select(
+    return attach_row(out, base).select(
         "idx", "feature", (F.col("base") - F.col("permuted")).alias("importance"))
 
 

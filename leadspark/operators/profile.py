@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leadspark.functions.exprs import col_of
 from leadspark.operators.ordering import with_global_index
 from leadspark.session import freeze
+from leadspark.operators.attach import attach_row
 
 
 def _qname(p: float) -> str:
@@ -34,7 +35,7 @@ def quantiles(df: DataFrame, value: str, probs=(0.25, 0.75), names=None) -> Data
     n = idx.agg(F.count(F.lit(1)).alias("_n"))   # reads the written sort
     pos = [F.lit(p) * (F.col("_n") - 1) for p in probs]
     # one-row frame of n: broadcast of a single row
-    j = idx.crossJoin(F.broadcast(n))
+    j = attach_row(idx, n)
     aggs = []
     for i, h in enumerate(pos):
         lo = F.floor(h)
@@ -44,7 +45,7 @@ def quantiles(df: DataFrame, value: str, probs=(0.25, 0.75), names=None) -> Data
     for h in pos:
         keep = keep | (F.col("_i") == F.floor(h)) | (F.col("_i") == F.floor(h) + 1)
     picked = j.filter(keep).agg(*aggs)
-    out = picked.crossJoin(F.broadcast(n))
+    out = attach_row(picked, n)
     cols = []
     for i, (p, name) in enumerate(zip(probs, names)):
         h = F.lit(p) * (F.col("_n") - 1)
@@ -71,7 +72,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     raw = F.floor((F.col("_x") - F.col("_mn")) / F.nullif(F.col("_mx") - F.col("_mn"), F.lit(0.0)) * bins)
     # least() skips nulls: map the max == min case (null position) to bin 0 first
     b = F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
-    j = x.crossJoin(F.broadcast(mm)).withColumn("bin", b)
+    j = attach_row(x, mm).withColumn("bin", b)
     g = j.groupBy("bin", "_mn", "_mx").agg(F.count(F.lit(1)).alias("n"))
     w = F.coalesce(width, F.lit(0.0))
     return g.select("bin", (F.col("_mn") + F.col("bin") * w).alias("lo"),
@@ -90,7 +91,7 @@ def box_stats(df: DataFrame, cols, k: float = 1.5) -> DataFrame:
     for i, c in enumerate(cols):
         q = quantiles(src, f"_c{i}", (0.25, 0.5, 0.75), ["q1", "median", "q3"])
         v = src.select(F.col(f"_c{i}").alias("_v")).filter(F.col("_v").isNotNull())
-        j = v.crossJoin(F.broadcast(q))
+        j = attach_row(v, q)
         lo_f = F.col("q1") - k * (F.col("q3") - F.col("q1"))
         hi_f = F.col("q3") + k * (F.col("q3") - F.col("q1"))
         inside = (F.col("_v") >= lo_f) & (F.col("_v") <= hi_f)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from leadspark.functions.exprs import col_of, md5_int
 from leadspark.operators.enrich import checked_broadcast
 from leadspark.operators.ordering import with_global_index
+from leadspark.operators.attach import attach_row
 
 BUCKETS = 10000
 
@@ -52,7 +53,7 @@ def oversample(df: DataFrame, label: str = "label", key: str = "MDM_CUST_KEY", s
     original row, 1.. its copies."""
     counts = df.groupBy(col_of(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
     mx = counts.agg(F.max("_n").alias("_mx"))
-    plan = counts.crossJoin(F.broadcast(mx)).select(
+    plan = attach_row(counts, mx).select(
         "_lab", F.floor(F.col("_mx") / F.col("_n")).cast("long").alias("_q"),
         (F.col("_mx") % F.col("_n")).alias("_r"))
     h = md5_int(col_of(key), F.lit(str(seed)), F.lit("oversample"))

@@ -12,6 +12,7 @@ from leadspark.plans import params as P
 from leadspark.plans.catalog import query
 from leadspark.session import scratch_path
 from leadspark.sources import files
+from leadspark.operators.attach import attach_row
 
 
 def _test_scores(model, spark: SparkSession, d: str, prob: bool = True) -> DataFrame:
@@ -111,7 +112,7 @@ def q_run_log(spark: SparkSession, d: str) -> DataFrame:
     ]
     log = None
     for i, (name, pred, pcol, scol) in enumerate(runs):
-        m = evaluate.metrics(pred, P.LABEL, pcol).crossJoin(evaluate.auc(pred, P.LABEL, scol).select("auc"))
+        m = attach_row(evaluate.metrics(pred, P.LABEL, pcol), evaluate.auc(pred, P.LABEL, scol).select("auc"))
         log = ml.log_run(spark, path, f"run{i}", name, params, m)
     return log
 

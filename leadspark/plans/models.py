@@ -16,6 +16,7 @@ from leadspark.operators import evaluate, ml, sampling, score
 from leadspark.plans import flows
 from leadspark.plans import params as P
 from leadspark.session import scratch_path
+from leadspark.operators.attach import attach_row
 
 _CACHE: dict = {}
 
@@ -95,7 +96,7 @@ def classifier_metrics(pred: DataFrame, prediction: str = "prediction", prob: st
     m = evaluate.metrics(pred, P.LABEL, prediction)
     score_col = prob or prediction
     a = evaluate.auc(pred, P.LABEL, score_col).select("auc")
-    return m.crossJoin(a)
+    return attach_row(m, a)
 
 
 def model_path(spark: SparkSession, name: str) -> str:

@@ -141,3 +141,12 @@ def test_feature_table_sentinel_and_labels(spark):
                                 threshold=50000, sentinel="Master-Unmatched")
     got = {r.MDM_CUST_KEY: (r["X X"], r.TARGET_SALES, r.label) for r in ft.collect()}
     assert got == {"a": (5.0, 60000.0, 1), "b": (0.0, 0.0, 0), "d": (0.0, 70000.0, 1)}
+
+
+def test_attach_row_requires_one_row(spark):
+    from leadspark.operators.attach import attach_row
+    df = spark.range(5)
+    one = df.agg(F.max("id").alias("m"))
+    assert [r.m for r in attach_row(df, one).collect()] == [4] * 5
+    with pytest.raises(ValueError):
+        attach_row(df, df.groupBy("id").count())
