@@ -72,8 +72,14 @@ def direct_channel(direct: DataFrame, master: DataFrame, profile: SalesProfile)
     if profile.direct_class is not None:
         cond = cond & (F.col("CUST_CLASS_L1") == profile.direct_class)
     n = n.filter(cond)
+    # sum the lines per (customer, zip, category, year) before the join: a
+    # customer holding a large share of the lines reaches the join as a few
+    # rows.  Summing again after the join keeps the SQL result, including the
+    # multiplication by duplicate master keys.
+    pre = n.groupBy("MDM_CUST_KEY", "ADDR_ZIP", "P_CAT_L1_DESC", "P_CAT_L2_DESC", "CAL_445_YYYY") \
+           .agg(F.sum("GROSS_SALES_USD").alias("_s"))
     m = master.select(F.col("MDM_CUST_KEY").alias("_MKEY"), "ADDR_LATITUDE", "ADDR_LONGITUDE")
-    j = n.join(m, n.MDM_CUST_KEY == m._MKEY, "left")
+    j = pre.join(m, pre.MDM_CUST_KEY == m._MKEY, "left")
     return j.groupBy(
         F.lit(profile.direct_tag).alias("OPCO"),
         F.col("MDM_CUST_KEY"),
@@ -83,7 +89,7 @@ def direct_channel(direct: DataFrame, master: DataFrame, profile: SalesProfile)
         F.col("P_CAT_L1_DESC").alias("L1_DESC"),
         F.col("P_CAT_L2_DESC").alias("L2_DESC"),
         F.col("CAL_445_YYYY").alias("YYYY"),
-    ).agg(F.sum("GROSS_SALES_USD").alias("SALES"))
+    ).agg(F.sum("_s").alias("SALES"))
 
 
 def sales(dealer: DataFrame, direct: DataFrame, master: DataFrame, profile: SalesProfile) -> DataFrame:

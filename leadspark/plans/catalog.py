@@ -96,7 +96,8 @@ def q_category_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 @query("feature_table", O.with_(O.feature_ctes()) + "select * from ft")
 def q_feature_table(spark: SparkSession, d: str) -> DataFrame:
-    return flows.feature_table(spark, d)
+    # the feature build itself: always run, and the result is what later steps read
+    return flows.feature_table(spark, d, fresh=True)
 
 
 def _iqr_spark(spark: SparkSession, d: str) -> DataFrame:

@@ -32,11 +32,25 @@ def category_pivot(spark: SparkSession, d: str) -> DataFrame:
     return features.pivot_sum(pos, P.KEY, "L1_L2_DESC", "SALES", P.PIVOT_VALUES)
 
 
-def feature_table(spark: SparkSession, d: str, drop_outliers: bool = False) -> DataFrame:
-    return features.feature_table(
-        unified_sales(spark, d, P.FEATURES), key=P.KEY, pivot_values=P.PIVOT_VALUES,
-        target=P.TARGET_CATEGORY, threshold=P.TARGET_THRESHOLD, sentinel=P.UNMATCHED_KEY,
-        k=P.WHISKER_K, target_out=P.TARGET_OUT, label_col=P.LABEL, drop_outliers=drop_outliers)
+_WRITTEN: dict = {}
+
+
+def feature_table(spark: SparkSession, d: str, drop_outliers: bool = False, fresh: bool = False) -> DataFrame:
+    """The labelled feature table, written once per session and data folder.
+
+    Every later step (split, balance, models, scores, lists, profiles) reads
+    the written table instead of re-running the sales joins; ``fresh``
+    rebuilds it.
+    """
+    from leadspark.session import freeze
+    key = (spark.sparkContext.applicationId, d, drop_outliers)
+    if fresh or key not in _WRITTEN:
+        ft = features.feature_table(
+            unified_sales(spark, d, P.FEATURES), key=P.KEY, pivot_values=P.PIVOT_VALUES,
+            target=P.TARGET_CATEGORY, threshold=P.TARGET_THRESHOLD, sentinel=P.UNMATCHED_KEY,
+            k=P.WHISKER_K, target_out=P.TARGET_OUT, label_col=P.LABEL, drop_outliers=drop_outliers)
+        _WRITTEN[key] = freeze(ft, "features")
+    return _WRITTEN[key]
 
 
 def feature_columns() -> list:

@@ -111,3 +111,14 @@ def test_prefilter_keeps_results(spark):
         a = enrich.lookup(fact, dim, "k", "dk", dedupe_order="o", drop=["o"], null_safe=ns)
         b = enrich.lookup(fact, dim, "k", "dk", dedupe_order="o", drop=["o"], null_safe=ns, prefilter=True)
         assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_master_fanout_distinct_sites(spark):
+    direct = spark.createDataFrame(
+        [("u1", "00001", "DIR", "x", 2020, Decimal("5.00")), ("u1", "00001", "DIR", "x", 2020, Decimal("1.00"))],
+        "MDM_CUST_KEY string, ADDR_ZIP string, P_CAT_L1_DESC string, P_CAT_L2_DESC string, CAL_445_YYYY int, "
+        "GROSS_SALES_USD decimal(18,2)")
+    master = spark.createDataFrame([("u1", 1.0, 2.0), ("u1", 3.0, 4.0)],
+                                   "MDM_CUST_KEY string, ADDR_LATITUDE double, ADDR_LONGITUDE double")
+    out = unify.direct_channel(direct, master, PROFILE).collect()
+    assert sorted((r.LATITUDE, float(r.SALES)) for r in out) == [(1.0, 6.0), (3.0, 6.0)]
