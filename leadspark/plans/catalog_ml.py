@@ -81,7 +81,8 @@ def q_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("top_features")
 def q_top_features(spark: SparkSession, d: str) -> DataFrame:
-    imp = importance.gain(spark, _gbt_stage_path(spark, d), flows.feature_columns())
+    """Top features of the boosted trees by number of splits (ties: input order)."""
+    imp = importance.weight(spark, _gbt_stage_path(spark, d), flows.feature_columns())
     return importance.top(imp, P.TOP_FEATURES)
 
 
@@ -154,5 +155,5 @@ def q_lead_top_features(spark: SparkSession, d: str) -> DataFrame:
     cols = flows.feature_columns()
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     long = leads.selectExpr(P.KEY, "lead_gen_prob", f"stack({len(cols)}, {stack}) as (feature, value)")
-    top = importance.top(importance.gain(spark, _gbt_stage_path(spark, d), cols), P.TOP_FEATURES)
+    top = importance.top(importance.weight(spark, _gbt_stage_path(spark, d), cols), P.TOP_FEATURES)
     return long.join(F.broadcast(top.select("feature", F.col("idx").alias("rank_idx"))), "feature")
