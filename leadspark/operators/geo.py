@@ -1,12 +1,16 @@
 """Near-duplicate sites: all ordered pairs of distinct keys closer than a
 distance, without a cross join.
 
-Points are placed in an Earth-centred 3-D grid whose cell edge is at least
-the threshold.  Two points closer than the threshold along the sphere are
+Points are placed in an Earth-centred 3-D grid whose cell edge is twice the
+threshold.  Two points closer than the threshold along the sphere are
 closer than it along the chord, so they sit in the same or in adjacent
-cells.  One side is exploded to its 27 neighbour cells and equi-joined with
-the other on the cell; the exact haversine distance is the residual filter.
-Poles and the antimeridian need no special case in 3-D.
+cells, and along each axis a point can only reach the neighbour on the side
+whose face is nearer than the threshold.  One side is therefore copied to
+the neighbour cells its threshold ball touches (8 of the 27: 3.4 times fewer
+shuffled copies for a few more candidates per cell) and equi-joined with the
+other side on the cell; the exact
+haversine distance is the residual filter.  Poles and the antimeridian need
+no special case in 3-D.
 
 Skew: a cell holding very many sites (one building, a default geocode)
 would put all its candidates into one task.  The densest cells are found
@@ -47,9 +51,20 @@ def rounded_cells(df: DataFrame, lat: str = "LATITUDE", lon: str = "LONGITUDE",
 
 def _with_cells(df: DataFrame, lat: str, lon: str, edge: float, radius_km: float) -> DataFrame:
     x, y, z = ecef_m(lat, lon, radius_km)
-    return (df.withColumn("_cx", cell_index(x, edge))
-              .withColumn("_cy", cell_index(y, edge))
-              .withColumn("_cz", cell_index(z, edge)))
+    out = df
+    for name, c in (("x", x), ("y", y), ("z", z)):
+        out = out.withColumn(f"_{name}", c)
+        out = out.withColumn(f"_c{name}", cell_index(F.col(f"_{name}"), edge))
+    return out
+
+
+def _reach(axis: str, edge: float, metres: float):
+    """Whether the point's threshold ball crosses the lower / upper cell face on
+    one axis (a micrometre of margin absorbs rounding; an extra neighbour is
+    harmless, the distance filter is exact)."""
+    pos = F.col(f"_{axis}") - F.col(f"_c{axis}") * F.lit(edge)     # 0 <= pos < edge
+    reach = F.lit(metres + 1e-6)
+    return pos < reach, (F.lit(edge) - pos) < reach
 
 
 def near_pairs(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE", lon: str = "LONGITUDE",
@@ -61,7 +76,7 @@ def near_pairs(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE",
     coordinates are ignored.  Output: key/lat/lon with suffixes + DISTANCE (m).
     """
     s1, s2 = suffixes
-    edge = cell_edge_m(metres, radius_km)
+    edge = 2.0 * cell_edge_m(metres, radius_km)
     pts = df.select(col_of(key).alias("_k"), col_of(lat).cast("double").alias("_lat"),
                     col_of(lon).cast("double").alias("_lon"))
     pts = pts.filter(F.col("_k").isNotNull() & F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
@@ -83,11 +98,22 @@ def near_pairs(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE",
     a = a.select(F.col("_k").alias("k1"), F.col("_lat").alias("lat1"), F.col("_lon").alias("lon1"),
                  *cell, "_salt")
 
-    # build side: each point copied to its 27 neighbour cells (and to every salt of a hot one)
+    # build side: each point copied to the neighbour cells its threshold ball
+    # touches (and to every salt of a hot one)
     offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz"))
                      for dx, dy, dz in _OFFSETS])
-    b = pts.select(F.col("_k").alias("k2"), F.col("_lat").alias("lat2"), F.col("_lon").alias("lon2"),
-                   *cell, F.explode(offs).alias("_o"))
+    faces = []
+    for ax in ("x", "y", "z"):
+        lo, hi = _reach(ax, edge, metres)
+        faces += [lo.alias(f"_{ax}lo"), hi.alias(f"_{ax}hi")]
+    b = pts.select(F.col("_k").alias("k2"), F.col("_lat").alias("lat2"), F.col("_lon").alias("lon2"), *cell, *faces)
+
+    def allowed(o):
+        ok = F.lit(True)
+        for ax, d in (("x", "dx"), ("y", "dy"), ("z", "dz")):
+            ok = ok & ((o[d] == 0) | ((o[d] == -1) & F.col(f"_{ax}lo")) | ((o[d] == 1) & F.col(f"_{ax}hi")))
+        return ok
+    b = b.select("k2", "lat2", "lon2", *cell, F.explode(F.filter(offs, allowed)).alias("_o"))
     b = b.select("k2", "lat2", "lon2",
                  (F.col("_cx") + F.col("_o.dx")).alias("_cx"),
                  (F.col("_cy") + F.col("_o.dy")).alias("_cy"),

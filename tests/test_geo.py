@@ -65,3 +65,16 @@ def test_plan_has_no_cartesian_or_python(spark):
         assert bad not in plan
     # the only nested-loop join allowed is none at all: the grid join is an equi-join
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_near_pairs_random_boxes_equal_brute_force(spark):
+    rnd = random.Random(23)
+    m = 1 / 111195.0
+    pts = []
+    for b in range(6):
+        lat0, lon0 = rnd.uniform(-89, 89), rnd.uniform(-180, 180)
+        for i in range(120):
+            pts.append((f"b{b}p{i}", lat0 + rnd.uniform(-12, 12) * m, lon0 + rnd.uniform(-12, 12) * m))
+    df = spark.createDataFrame(pts, "MDM_CUST_KEY string, LATITUDE double, LONGITUDE double").repartition(5)
+    got = {(r.MDM_CUST_KEY_1, r.MDM_CUST_KEY_2) for r in geo.near_pairs(df).collect()}
+    assert got == _brute(pts)
