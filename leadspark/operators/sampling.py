@@ -48,7 +48,8 @@ def hash_split(df: DataFrame, key: str, weights=(0.8, 0.2), seed: int = 42) -> l
 
 
 def oversample(df: DataFrame, label: str = "label", key: str = "MDM_CUST_KEY", seed: int = 42,
-               copy_col: str = "COPY", max_classes: int = 10_000) -> DataFrame:
+               copy_col: str = "COPY", max_classes: int = 10_000, chunk: int = 10_000,
+               inplace_max: int = 16) -> DataFrame:
     """Every class grows to the size of the largest; ``copy_col`` = 0 marks the
     original row, 1.. its copies."""
     counts = df.groupBy(col_of(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
@@ -65,5 +66,22 @@ def oversample(df: DataFrame, label: str = "label", key: str = "MDM_CUST_KEY", s
     plan = checked_broadcast(plan, max_classes)
     j = ranked.join(plan, F.col("_lab").eqNullSafe(F.col("_plab")))
     copies = F.col("_q") + F.when(F.col("_gi") - F.col("_s") < F.col("_r"), 1).otherwise(0)
-    out = j.withColumn(copy_col, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    return out.select(*[col_of(c) for c in df.columns], F.col(copy_col).cast("int").alias(copy_col))
+    j = j.withColumn("_copies", copies)
+    cols = [col_of(c) for c in df.columns]
+    # rows with few copies: generated in place (a task's output is at most
+    # ``inplace_max`` times its input)
+    few = j.filter(F.col("_copies") <= inplace_max).withColumn(
+        copy_col, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    # rows of small classes need many copies; the sort put them side by side,
+    # so they are first cut into chunk rows of at most ``chunk`` copies and
+    # spread over the partitions: no single task generates a large share of
+    # the output.  Only small classes take this path, so the shuffle is small.
+    many = j.filter(F.col("_copies") > inplace_max)
+    many = many.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                          F.ceil(F.col("_copies") / F.lit(chunk)) - 1)))
+    many = many.repartition(col_of(key), F.col("_chunk"))
+    first = F.col("_chunk") * chunk
+    many = many.withColumn(copy_col, F.explode(F.sequence(
+        first, first + F.least(F.lit(chunk).cast("long"), F.col("_copies") - first) - 1)))
+    out = few.select(*cols, copy_col).unionByName(many.select(*cols, copy_col))
+    return out.select(*cols, F.col(copy_col).cast("int").alias(copy_col))

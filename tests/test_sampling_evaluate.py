@@ -72,3 +72,13 @@ def test_auc_pr_matches_binary_evaluator(spark):
     theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label",
                                            metricName="areaUnderPR").evaluate(df)
     assert ours == pytest.approx(theirs, abs=1e-9)
+
+
+def test_oversample_chunks_many_copies(spark):
+    rows = [(f"big{i}", 0) for i in range(2500)] + [("tiny", 1)]
+    df = spark.createDataFrame(rows, "MDM_CUST_KEY string, label int")
+    out = sampling.oversample(df, "label", "MDM_CUST_KEY", 42, chunk=100)
+    counts = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts == {0: 2500, 1: 2500}
+    copies = [r.COPY for r in out.filter("label = 1").collect()]
+    assert sorted(copies) == list(range(2500))
