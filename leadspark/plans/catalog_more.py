@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.operators import geo
+from leadspark.operators import enrich, evaluate, geo, profile, sampling, score
+from leadspark.plans import derived as D
 from leadspark.plans import flows
 from leadspark.plans import oracle as O
 from leadspark.plans import params as P
@@ -56,8 +57,6 @@ def q_rounded_cells(spark: SparkSession, d: str) -> DataFrame:
 
 # -- scoring (rule score) and enrichment ---------------------------------------
 
-from leadspark.operators import enrich, score  # noqa: E402
-from leadspark.plans import derived as D  # noqa: E402
 
 _LEADS = O.with_(O.lead_ctes())
 
@@ -165,7 +164,6 @@ def q_implant_list(spark: SparkSession, d: str) -> DataFrame:
 
 # -- split, oversampling, profiles, metrics ----------------------------------------
 
-from leadspark.operators import evaluate, profile, sampling  # noqa: E402
 
 _SPLIT = O.with_(O.split_ctes())
 _OVER = O.with_(O.split_ctes(), O.oversample_ctes())

@@ -3,7 +3,6 @@ import math
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leadspark.operators import cleanse, features, profile
 from leadspark.operators.ordering import with_global_index, with_running_sum

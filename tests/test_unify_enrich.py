@@ -1,8 +1,6 @@
-from datetime import datetime
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from leadspark.operators import enrich, unify
 from leadspark.plans.params import SalesProfile
