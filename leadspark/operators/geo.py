@@ -69,14 +69,17 @@ def _reach(axis: str, edge: float, metres: float):
 
 def near_pairs(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE", lon: str = "LONGITUDE",
                metres: float = 5.0, radius_km: float = 6371.0, hot_cell_rows: int = 200_000,
-               max_hot_cells: int = 10_000, max_salt: int = 512, suffixes=("_1", "_2")) -> DataFrame:
+               max_hot_cells: int = 10_000, max_salt: int = 512, suffixes=("_1", "_2"),
+               cell_factor: float = 2.0) -> DataFrame:
     """Ordered pairs (k1, k2), k1 != k2, with haversine distance < ``metres``.
 
     ``df`` holds one site per key (see ``sites``); rows with null
     coordinates are ignored.  Output: key/lat/lon with suffixes + DISTANCE (m).
+    ``cell_factor`` = cell edge / threshold (1 copies every site to all 27
+    neighbours; 2 to the 8 its threshold ball touches).
     """
     s1, s2 = suffixes
-    edge = 2.0 * cell_edge_m(metres, radius_km)
+    edge = max(1.0, cell_factor) * cell_edge_m(metres, radius_km)
     pts = df.select(col_of(key).alias("_k"), col_of(lat).cast("double").alias("_lat"),
                     col_of(lon).cast("double").alias("_lon"))
     pts = pts.filter(F.col("_k").isNotNull() & F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
