@@ -80,8 +80,9 @@ def direct_channel(direct: DataFrame, master: DataFrame, profile: SalesProfile)
            .agg(F.sum("GROSS_SALES_USD").alias("_s"))
     m = master.select(F.col("MDM_CUST_KEY").alias("_MKEY"), "ADDR_LATITUDE", "ADDR_LONGITUDE")
     j = pre.join(m, pre.MDM_CUST_KEY == m._MKEY, "left")
+    j = tag_source(j, profile.direct_tag, "OPCO")
     return j.groupBy(
-        F.lit(profile.direct_tag).alias("OPCO"),
+        F.col("OPCO"),
         F.col("MDM_CUST_KEY"),
         F.col("ADDR_LATITUDE").alias("LATITUDE"),
         F.col("ADDR_LONGITUDE").alias("LONGITUDE"),
@@ -100,3 +101,8 @@ def sales(dealer: DataFrame, direct: DataFrame, master: DataFrame, profile: Sale
     a = a.withColumn("SALES", F.col("SALES").cast(t))
     b = b.withColumn("SALES", F.col("SALES").cast(t))
     return a.select(*UNIFIED).unionByName(b.select(*UNIFIED))
+
+
+def tag_source(df: DataFrame, tag: str, out: str = "OPCO") -> DataFrame:
+    """Constant source tag column (a grouping by a literal is a no-op)."""
+    return df.withColumn(out, F.lit(tag))
