@@ -67,18 +67,11 @@ def _reach(axis: str, edge: float, metres: float):
     return pos < reach, (F.lit(edge) - pos) < reach
 
 
-def near_pairs(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE", lon: str = "LONGITUDE",
+def candidates(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE", lon: str = "LONGITUDE",
                metres: float = 5.0, radius_km: float = 6371.0, hot_cell_rows: int = 200_000,
-               max_hot_cells: int = 10_000, max_salt: int = 512, suffixes=("_1", "_2"),
-               cell_factor: float = 2.0) -> DataFrame:
-    """Ordered pairs (k1, k2), k1 != k2, with haversine distance < ``metres``.
-
-    ``df`` holds one site per key (see ``sites``); rows with null
-    coordinates are ignored.  Output: key/lat/lon with suffixes + DISTANCE (m).
-    ``cell_factor`` = cell edge / threshold (1 copies every site to all 27
-    neighbours; 2 to the 8 its threshold ball touches).
-    """
-    s1, s2 = suffixes
+               max_hot_cells: int = 10_000, max_salt: int = 512, cell_factor: float = 2.0) -> DataFrame:
+    """Candidate pairs (k1, lat1, lon1, k2, lat2, lon2) of the grid join, before
+    the exact distance filter: a superset of the near pairs."""
     edge = max(1.0, cell_factor) * cell_edge_m(metres, radius_km)
     pts = df.select(col_of(key).alias("_k"), col_of(lat).cast("double").alias("_lat"),
                     col_of(lon).cast("double").alias("_lon"))
@@ -124,7 +117,22 @@ def near_pairs(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE",
     b = b.join(hot, cell, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
     b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
 
-    j = a.join(b, cell + ["_salt"]).filter(F.col("k1") != F.col("k2"))
+    return a.join(b, cell + ["_salt"]).filter(F.col("k1") != F.col("k2"))
+
+
+def near_pairs(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE", lon: str = "LONGITUDE",
+               metres: float = 5.0, radius_km: float = 6371.0, hot_cell_rows: int = 200_000,
+               max_hot_cells: int = 10_000, max_salt: int = 512, suffixes=("_1", "_2"),
+               cell_factor: float = 2.0) -> DataFrame:
+    """Ordered pairs (k1, k2), k1 != k2, with haversine distance < ``metres``.
+
+    ``df`` holds one site per key (see ``sites``); rows with null
+    coordinates are ignored.  Output: key/lat/lon with suffixes + DISTANCE (m).
+    ``cell_factor`` = cell edge / threshold (1 copies every site to all 27
+    neighbours; 2 to the 8 its threshold ball touches).
+    """
+    s1, s2 = suffixes
+    j = candidates(df, key, lat, lon, metres, radius_km, hot_cell_rows, max_hot_cells, max_salt, cell_factor)
     dist = haversine_m("lat1", "lon1", "lat2", "lon2", radius_km)
     j = j.withColumn("DISTANCE", dist).filter(F.col("DISTANCE") < metres)
     return j.select(F.col("k1").alias(key + s1), F.col("lat1").alias(lat + s1), F.col("lon1").alias(lon + s1),
