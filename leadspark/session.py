@@ -105,3 +105,24 @@ def size_shuffle_partitions(spark: SparkSession, paths, bytes_per_partition: int
     n = int(min(max_partitions, max(2 * spark.sparkContext.defaultParallelism, n)))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return n
+
+
+def cleanup_scratch(spark: SparkSession) -> None:
+    """Delete this application's written intermediates (its own sub-folder of the
+    checkpoint folder; other applications' folders are not touched).  Call at
+    the end of a job, after the last DataFrame reading them is used."""
+    sc = spark.sparkContext
+    # forget memoised tables/models of this application: their files go now
+    from leadspark.plans import flows, models
+    app = sc.applicationId
+    for memo in (flows._WRITTEN, models._CACHE):
+        for k in [k for k in memo if k[0] == app]:
+            del memo[k]
+    d = sc.getCheckpointDir()
+    if not d:
+        return
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(d)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
