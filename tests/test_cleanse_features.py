@@ -149,3 +149,13 @@ def test_attach_row_requires_one_row(spark):
     assert [r.m for r in attach_row(df, one).collect()] == [4] * 5
     with pytest.raises(ValueError):
         attach_row(df, df.groupBy("id").count())
+
+
+def test_feature_list_rejects_duplicates():
+    from leadspark.operators import ml
+    names = ["A A", "B B", "C C", "B B"]
+    with pytest.raises(ValueError):
+        features.check_feature_list(names)
+    with pytest.raises(ValueError):
+        ml.assembler(names)
+    assert features.check_feature_list(["A A", "B B"]) == ["A A", "B B"]
