@@ -17,7 +17,7 @@ def rollup(c, mapping: dict, default=None) -> Column:
     """``CASE WHEN c IN (..) THEN group .. ELSE default END``.
 
     ``mapping`` is group -> list of members.  ``default`` None keeps the
-    input value (the reference's ``ELSE COMPANY``).
+    input value (SQL ``ELSE <column>``).
     """
     c = col_of(c)
     out = None
