@@ -107,7 +107,7 @@ class Lookup:
     prefilter: bool = True                       # semi-join the dim to the fact's keys first
 
 
-def star(fact: DataFrame, lookups) -> DataFrame:
+def star(fact: DataFrame, lookups, keys: dict | None = None, write_fact: bool = True) -> DataFrame:
     """Chain of lookups (a star enrichment) as one lazy plan.
 
     Key sets for the semi-join prefilter are taken once from the base fact
@@ -115,10 +115,10 @@ def star(fact: DataFrame, lookups) -> DataFrame:
     the checkpoint folder first, so the key sets and the chain read it
     instead of re-running its plan.
     """
-    if any(lk.prefilter for lk in lookups):
+    if write_fact and any(lk.prefilter for lk in lookups):
         fact = freeze(fact, "star_fact")
     base = fact
-    keys = {}
+    keys = dict(keys or {})
     for lk in lookups:
         for name, expr in lk.derive.items():
             fact = fact.withColumn(name, expr)

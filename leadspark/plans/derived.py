@@ -24,8 +24,10 @@ def _money(c: str):
     return F.col(c).cast("decimal(18,2)") * 100
 
 
-def install_base(spark: SparkSession, d: str) -> DataFrame:
-    dl = tables.dealer_view(spark, d).filter(F.col("L1_DESC_NEW").isin(P.INSTALL_TYPES))
+def install_base(spark: SparkSession, d: str, customer_keys: DataFrame | None = None) -> DataFrame:
+    """First/last order date per customer for the tracked part types; optionally
+    only for the customers in ``customer_keys`` (column ``_fk``)."""
+    dl = tables.dealer_view(spark, d, customer_keys).filter(F.col("L1_DESC_NEW").isin(P.INSTALL_TYPES))
     aggs = []
     for t in P.INSTALL_TYPES:
         dt = F.when(F.col("L1_DESC_NEW") == t, F.col("ORDER_DATE"))

@@ -105,12 +105,15 @@ def fact_selection(spark: SparkSession, d: str, min_prob: float | None = None) -
     return f.select(*cols)
 
 
-def star_specs(spark: SparkSession, d: str, first_how: str, max_year: int | None = None) -> list:
+def star_specs(spark: SparkSession, d: str, first_how: str, max_year: int | None = None,
+               customer_keys: DataFrame | None = None) -> list:
     """The seven lookups; ``max_year`` optionally keeps install-base customers whose
-    latest purchase of the tracked types is in that year or earlier."""
+    latest purchase of the tracked types is in that year or earlier;
+    ``customer_keys`` (column ``_fk``) lets the install base read only those
+    customers' orders."""
     from leadspark.operators.enrich import Lookup, zip3
     from leadspark.plans import derived as D
-    inst = D.install_base(spark, d)
+    inst = D.install_base(spark, d, customer_keys)
     if max_year is not None:
         last = F.greatest(*[F.year(F.col(f"{t}_maxdate").cast("date")) for t in P.INSTALL_TYPES])
         inst = inst.filter(last <= max_year)
@@ -133,9 +136,17 @@ def star_specs(spark: SparkSession, d: str, first_how: str, max_year: int | None
 
 def star_list(spark: SparkSession, d: str, first_how: str, min_prob: float | None = None,
               max_year: int | None = None) -> DataFrame:
-    """Flat lead list: fact + seven lookups; ``first_how`` is the install-base join."""
-    from leadspark.operators.enrich import star
-    return star(fact_selection(spark, d, min_prob), star_specs(spark, d, first_how, max_year))
+    """Flat lead list: fact + seven lookups; ``first_how`` is the install-base join.
+
+    The lead list is written once; its key set restricts the install base to
+    the leads' orders and prefilters every other lookup.
+    """
+    from leadspark.operators.enrich import key_set, star
+    from leadspark.session import freeze
+    fact = freeze(fact_selection(spark, d, min_prob), "star_fact")
+    keys = key_set(fact, P.KEY)
+    return star(fact, star_specs(spark, d, first_how, max_year, customer_keys=keys),
+                keys={P.KEY: keys}, write_fact=False)
 
 
 def implant_users(spark: SparkSession, d: str) -> DataFrame:

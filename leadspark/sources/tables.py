@@ -76,15 +76,20 @@ def customer_master(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
-def dealer_view(spark: SparkSession, data_dir: str) -> DataFrame:
+def dealer_view(spark: SparkSession, data_dir: str, customer_keys: DataFrame | None = None) -> DataFrame:
     """Dealer sales lines: lineitem x orders x part x customer.
 
     company = brand, L1 = part type, real L2 = part name, commission class =
     order priority, product number = line number, customer class = market
     segment.  Returns are booked negative at full price.
+    ``customer_keys`` (one string column ``_fk``) restricts the orders to
+    those customers before any join: for a short key list the orders shrink
+    to a broadcastable size and the line items are joined without a shuffle.
     """
     li = load(spark, data_dir, "lineitem")
     o = load(spark, data_dir, "orders")
+    if customer_keys is not None:
+        o = o.join(customer_keys, o.o_custkey.cast("string") == customer_keys["_fk"], "left_semi")
     p = load(spark, data_dir, "part")
     c = load(spark, data_dir, "customer")
     k = F.col("o_custkey")
