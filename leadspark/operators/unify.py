@@ -26,8 +26,8 @@ def _year_range(years):
     return (F.col("ORDER_DATE") >= start) & (F.col("ORDER_DATE") < stop)
 
 
-def dealer_channel(dealer: DataFrame, profile: SalesProfile) -> DataFrame:
-    """Filter + roll-up + sum of the dealer lines (one row per fine group)."""
+def dealer_lines(dealer: DataFrame, profile: SalesProfile) -> DataFrame:
+    """The dealer lines that enter the unified fact (filters only)."""
     d = dealer
     cond = F.col("CAL_445_YYYY").isin(profile.dealer_years)
     if "ORDER_DATE" in d.columns:
@@ -42,7 +42,12 @@ def dealer_channel(dealer: DataFrame, profile: SalesProfile) -> DataFrame:
     cond = cond & (F.col("ITEM_COMMISSION_CAT").isin(profile.commission_classes)
                    | (F.col("PRODUCT_NUMBER").isin(profile.product_numbers)
                       & (F.col("SDS_CUST_CLASS1") == profile.customer_class)))
-    d = d.filter(cond)
+    return d.filter(cond)
+
+
+def dealer_channel(dealer: DataFrame, profile: SalesProfile) -> DataFrame:
+    """Filter + roll-up + sum of the dealer lines (one row per fine group)."""
+    d = dealer_lines(dealer, profile)
     opco = rollup("COMPANY", profile.opco_map)
     g = d.groupBy(
         opco.alias("OPCO"),
@@ -59,19 +64,23 @@ def dealer_channel(dealer: DataFrame, profile: SalesProfile) -> DataFrame:
                     l2.alias("L2_DESC"), "YYYY", "SALES")
 
 
+def direct_lines(direct: DataFrame, profile: SalesProfile) -> DataFrame:
+    """The direct-sales lines that enter the unified fact (filters only)."""
+    cond = F.col("CAL_445_YYYY").isin(profile.direct_years) & F.col("P_CAT_L2_DESC").isin(profile.direct_l2_values)
+    if "ORDER_DATE" in direct.columns:
+        cond = cond & _year_range(profile.direct_years)
+    if profile.direct_class is not None:
+        cond = cond & (F.col("CUST_CLASS_L1") == profile.direct_class)
+    return direct.filter(cond)
+
+
 def direct_channel(direct: DataFrame, master: DataFrame, profile: SalesProfile) -> DataFrame:
     """Direct lines, left-joined to the customer master for the site.
 
     A master with duplicate keys multiplies the matching lines (SQL
     semantics of the left join, kept on purpose).
     """
-    n = direct
-    cond = F.col("CAL_445_YYYY").isin(profile.direct_years) & F.col("P_CAT_L2_DESC").isin(profile.direct_l2_values)
-    if "ORDER_DATE" in n.columns:
-        cond = cond & _year_range(profile.direct_years)
-    if profile.direct_class is not None:
-        cond = cond & (F.col("CUST_CLASS_L1") == profile.direct_class)
-    n = n.filter(cond)
+    n = direct_lines(direct, profile)
     # sum the lines per (customer, zip, category, year) before the join: a
     # customer holding a large share of the lines reaches the join as a few
     # rows.  Summing again after the join keeps the SQL result, including the
@@ -106,3 +115,19 @@ def sales(dealer: DataFrame, direct: DataFrame, master: DataFrame, profile: Sale
 def tag_source(df: DataFrame, tag: str, out: str = "OPCO") -> DataFrame:
     """Constant source tag column (a grouping by a literal is a no-op)."""
     return df.withColumn(out, F.lit(tag))
+
+
+def site_lines(dealer: DataFrame, direct: DataFrame, master: DataFrame, profile: SalesProfile) -> DataFrame:
+    """(MDM_CUST_KEY, LATITUDE, LONGITUDE) of every line that enters the unified
+    fact, without summing: the keys and sites of the unified fact are the same,
+    so a per-customer dedupe can run on these directly (one shuffle less than
+    summing at the fine grain first)."""
+    a = dealer_lines(dealer, profile).select(
+        F.col("SHIP_TO_MDM_CUST_KEY").alias("MDM_CUST_KEY"),
+        F.col("SHIP_TO_MDM_ADDR_LATITUDE").alias("LATITUDE"),
+        F.col("SHIP_TO_MDM_ADDR_LONGITUDE").alias("LONGITUDE"))
+    keys = direct_lines(direct, profile).select("MDM_CUST_KEY").distinct()
+    m = master.select(F.col("MDM_CUST_KEY").alias("_MKEY"), F.col("ADDR_LATITUDE").alias("LATITUDE"),
+                      F.col("ADDR_LONGITUDE").alias("LONGITUDE"))
+    b = keys.join(m, keys.MDM_CUST_KEY == m._MKEY, "left").select("MDM_CUST_KEY", "LATITUDE", "LONGITUDE")
+    return a.unionByName(b)

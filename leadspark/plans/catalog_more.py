@@ -29,7 +29,12 @@ _HAV = ("atan2(sqrt(pow(sin(radians(b.LATITUDE - a.LATITUDE) / 2.0), 2) + cos(ra
 
 
 def match_sites(spark: SparkSession, d: str) -> DataFrame:
-    return geo.sites(flows.unified_sales(spark, d, P.MATCH))
+    """One site per customer of the matching profile (deduped from the lines)."""
+    from leadspark.operators import unify
+    from leadspark.sources import tables
+    lines = unify.site_lines(tables.dealer_view(spark, d), tables.direct_view(spark, d),
+                             tables.customer_master(spark, d), P.MATCH)
+    return geo.sites(lines)
 
 
 @query("first_site", O.with_(O.sales_ctes(P.MATCH), _SITES) + "select * from sites")
