@@ -4,9 +4,11 @@
   coalesced, when they share a name), suffixes other clashing names
   (``_x``/``_y``) and can match null keys to each other (``null_safe``), as
   pandas merges do.
-* ``lookup`` = optional keep-first dedupe of the dimension + merge + strict
-  drop of the columns not wanted.
-* ``star`` folds a list of lookups over a fact table.
+* ``lookup`` = optional semi-join of the dimension to the fact's keys
+  (``prefilter``), optional keep-first dedupe of the dimension + merge +
+  strict drop of the columns not wanted.
+* ``star`` folds a list of lookups over a (written) fact table, with one
+  shared key set for all prefilters.
 
 Joins are left to Catalyst/AQE (which turns a shuffle join into a broadcast
 join at run time when the built side turns out small).  A broadcast is

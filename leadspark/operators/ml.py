@@ -4,7 +4,9 @@ cross-validated grid search, save/load, description and a run log.
 Training data is written once to the checkpoint folder before a grid
 search, so the 13 fits of a 2x2 grid with 3 folds read it instead of
 re-running the feature plan, and a lost executor does not restart the
-lineage from the raw tables.
+lineage from the raw tables.  The 12 fold x parameter fits run
+concurrently (``cross_validate``); only one metric per fit reaches the
+driver.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ with n_c rows in class c and m rows in the largest class, q, r = divmod(m,
 n_c); every row is kept q times and the first r rows of the class in md5
 order once more.  Positions within a class come from a distributed total
 sort (``ordering.with_global_index``), not from a per-class window, so a
-class holding most of the rows is not sorted in one task.
+class holding most of the rows is not sorted in one task; rows that need
+many copies (small classes) are cut into bounded chunks spread over the
+partitions before the copies are generated.
 """
 
 from __future__ import annotations
