@@ -78,3 +78,13 @@ def test_near_pairs_random_boxes_equal_brute_force(spark):
     df = spark.createDataFrame(pts, "MDM_CUST_KEY string, LATITUDE double, LONGITUDE double").repartition(5)
     got = {(r.MDM_CUST_KEY_1, r.MDM_CUST_KEY_2) for r in geo.near_pairs(df).collect()}
     assert got == _brute(pts)
+
+
+def test_near_pairs_dense_site_salted(spark):
+    m = 1 / 111195.0
+    pts = [(f"d{i}", 12.0, 34.0) for i in range(60)] + [(f"n{i}", 12.0 + i * 0.7 * m, 34.0) for i in range(1, 12)]
+    df = spark.createDataFrame(pts, "MDM_CUST_KEY string, LATITUDE double, LONGITUDE double")
+    out = geo.near_pairs(df, hot_cell_rows=10, max_salt=4)
+    got = [(r.MDM_CUST_KEY_1, r.MDM_CUST_KEY_2) for r in out.collect()]
+    assert len(got) == len(set(got))            # no pair twice across salts
+    assert set(got) == _brute(pts)

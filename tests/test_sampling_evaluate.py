@@ -82,3 +82,11 @@ def test_oversample_chunks_many_copies(spark):
     assert counts == {0: 2500, 1: 2500}
     copies = [r.COPY for r in out.filter("label = 1").collect()]
     assert sorted(copies) == list(range(2500))
+
+
+def test_oversample_null_label_is_a_class(spark):
+    rows = [("a", 1), ("b", 1), ("c", 1), ("d", None)]
+    df = spark.createDataFrame(rows, "MDM_CUST_KEY string, label int")
+    out = sampling.oversample(df, "label", "MDM_CUST_KEY", 1)
+    counts = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts == {1: 3, None: 3}
