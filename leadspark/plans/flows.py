@@ -118,7 +118,9 @@ def star_specs(spark: SparkSession, d: str, first_how: str, max_year: int | None
         last = F.greatest(*[F.year(F.col(f"{t}_maxdate").cast("date")) for t in P.INSTALL_TYPES])
         inst = inst.filter(last <= max_year)
     return [
-        Lookup(inst, P.KEY, "ship_to_mdm_cust_key", first_how, D.install_drop(), null_safe=True),
+        # already restricted to the leads' orders when customer_keys is given
+        Lookup(inst, P.KEY, "ship_to_mdm_cust_key", first_how, D.install_drop(), null_safe=True,
+               prefilter=customer_keys is None),
         Lookup(D.contracts(spark, d), P.KEY, "BILL_MDM_KEY", drop=["BILL_MDM_KEY", "SLA_SKU", "SLA_ORDER"],
                dedupe_order="SLA_ORDER", null_safe=True),
         Lookup(D.tech_calls(spark, d), P.KEY, "MDM_ID", drop=["MDM_ID", "TECH_EVENT"],
