@@ -90,7 +90,8 @@ def lead_fact(spark: SparkSession, d: str, leads: DataFrame | None = None) -> Da
     """Leads left-joined to the customer master (one key column), lowest probability first."""
     from leadspark.operators import enrich
     lt = leads if leads is not None else lead_table(spark, d)
-    j = enrich.merge(lt, master(spark, d), P.KEY, P.KEY, "left")
+    # the master is reduced to the leads' keys first (map-side when the lead list is short)
+    j = enrich.lookup(lt, master(spark, d), P.KEY, P.KEY, "left", prefilter=True)
     # the key breaks ties, so equal probabilities spread over range partitions
     return j.orderBy(F.asc_nulls_first("lead_gen_prob"), F.asc(P.KEY))
 
