@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leadspark.llm import exact_dedup, url_filter
+from leadspark.llm import exact_dedup, simhash, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL = {
