@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from leadspark.llm import exact_dedup, simhash, url_filter
+from leadspark.llm import decontaminate, exact_dedup, simhash, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL = {
     "op1_url_filters": url_filter.SQL,
+    "op3_decontaminate": decontaminate.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }

@@ -10,10 +10,9 @@ from leadspark.session import ensure_checkpoint_dir, freeze
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: space, tab, line feed, vertical tab, form feed, carriage return
 SPACES = " \t\n\x0b\x0c\r"
-WORD_GAP = r"[ \t-\r]+"
 
-__all__ = ["UPPER", "SPACES", "WORD_GAP", "ensure_checkpoint_dir", "freeze", "read", "ascii_lower", "words",
-           "shuffle_partitions", "keep_rows"]
+__all__ = ["UPPER", "SPACES", "ensure_checkpoint_dir", "freeze", "read", "ascii_lower", "let", "words",
+           "spread_join", "shuffle_partitions", "keep_rows"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,10 +24,29 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, UPPER.lower())
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, wherever the result is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(c: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a non-null string; no word gives an empty array."""
-    t = F.btrim(c, F.lit(SPACES))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WORD_GAP))
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text after lower-casing A-Z; null or no word gives an empty array."""
+    t = F.translate(F.coalesce(c, F.lit("")), UPPER + SPACES[1:], UPPER.lower() + " " * len(SPACES[1:]))
+    return F.array_remove(F.split(t, " "), "")
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with one row per ``key``, with hot keys apart.
+
+    ``size`` says how many of the ``total`` rows have the key.  Keys with more
+    than a thousandth of all rows - a thousand at most, so that broadcasting
+    them is bounded - are joined where the rows lie; the others by a shuffle in
+    which no key is large.
+    """
+    is_hot = F.col(size) * 1000 > total
+    hot = unique.where(is_hot)
+    marked = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(marked.join(unique.where(~is_hot), key))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -62,8 +62,11 @@ class DigestIndex:
         self._append(rows.join(known, "digest", "left_anti"))
 
     def flags(self, batch: DataFrame) -> DataFrame:
-        """Each row of ``batch`` with keep_id, group_size and whether it is the one that stays."""
-        out = batch.join(self.table().hint("merge"), "digest")
+        """Each row of ``batch`` with keep_id, group_size and whether it is the one that stays.
+
+        The few digests that hold more than a thousandth of the batch are joined apart.
+        """
+        out = C.spread_join(batch, self.table(), "digest", "group_size", batch.count())
         return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 

@@ -149,14 +149,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, de
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
     rows = C.freeze(fingerprints(docs, k), "llm_fp")
-    groups = C.freeze(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "llm_fp_groups")
+    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    groups = C.freeze(groups, "llm_fp_groups")
     roots = components(links(groups.select("fp"), max_bits), "a", "b")
     named = groups.join(roots, groups["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
+        "fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     named = C.freeze(named, "llm_named")
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(named.join(low, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id")
+    labels = named.join(low, "root").select("fp", "n", "component_id")
+    return C.spread_join(rows, labels, "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
