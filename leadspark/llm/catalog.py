@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leadspark.llm import decontaminate, exact_dedup, simhash, url_filter
+from leadspark.llm import decontaminate, exact_dedup, simhash, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_warc": warc.op5_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
@@ -14,5 +15,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_url_filters": url_filter.SQL,
     "op3_decontaminate": decontaminate.SQL,
+    "op5_warc": warc.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
