@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leadspark.llm import decontaminate, exact_dedup, simhash, url_filter, warc
+from leadspark.llm import decontaminate, exact_dedup, quality, simhash, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op2_quality": quality.op2_quality,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_warc": warc.op5_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
