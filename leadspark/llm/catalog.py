@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from leadspark.llm import decontaminate, exact_dedup, quality, simhash, url_filter, warc
+from leadspark.llm import decontaminate, exact_dedup, quality, sentencepiece_codec, simhash, token_count, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_quality": quality.op2_quality,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_warc": warc.op5_warc,
+    "op6_token_counts": token_count.op6_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
