@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from leadspark.llm import decontaminate, exact_dedup, quality, sentencepiece_codec, simhash, token_count, url_filter, warc
+from leadspark.llm import (decontaminate, exact_dedup, licenses, quality, sentencepiece_codec, simhash,
+                           suffix_dedup, token_count, url_filter, warc)
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -11,8 +12,10 @@ QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_warc": warc.op5_warc,
     "op6_token_counts": token_count.op6_token_counts,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLE_SQL = {
