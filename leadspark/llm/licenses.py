@@ -203,11 +203,13 @@ def fit(background: list[np.ndarray], copies: int = COPIES, rounds: int = 250) -
         for t in TEMPLATES[f]:
             h = _word_hashes(t)
             for c in range(copies):
-                kept = h if c % 2 else h[rng.random(len(h)) > 0.08]  # half of them with words lost
+                kept = h if c % 2 or len(h) < 12 else h[rng.random(len(h)) > 0.08]  # some of the long ones lose words
                 samples.append(around(kept) if c % 4 else kept)
                 labels.append(k)
-                samples.append(around(rng.permutation(h)))  # the words without their order
-                labels.append(UNKNOWN)
+                mixed = rng.permutation(h)  # the words without their order
+                if not any(_confirmed(mixed, j, templates) for j in range(UNKNOWN)):
+                    samples.append(around(mixed))
+                    labels.append(UNKNOWN)
     for h in [*noise, *map(_word_hashes, NEAR_MISSES * copies)]:
         samples.append(h[:WINDOW])
         labels.append(UNKNOWN)
