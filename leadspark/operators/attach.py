@@ -16,10 +16,11 @@ def _plan_is_one_row(plan) -> bool:
         name = plan.nodeName()
         if name == "Aggregate":
             return plan.groupingExpressions().isEmpty()
-        if name in ("Project", "Filter"):
+        if name == "Project":
             plan = plan.children().head()
             continue
-        if name == "Join":
+        # a filter could remove the row, and with it every data row; so could a join that is not a plain pairing
+        if name == "Join" and plan.condition().isEmpty() and plan.joinType().sql() in ("CROSS", "INNER"):
             kids = plan.children()
             return all(_plan_is_one_row(kids.apply(i)) for i in range(kids.size()))
         return False

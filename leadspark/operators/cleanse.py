@@ -35,21 +35,26 @@ def exclude_key(df: DataFrame, key: str, sentinel: str) -> DataFrame:
 
 
 def first_by(df: DataFrame, keys, order, keep=None) -> DataFrame:
-    """One row per key: the row that comes first by ``order``.
-
-    Runs as ``min_by`` aggregate (partial + final), so a key that holds a
-    large share of the rows is reduced map-side instead of being sorted in
-    one task.  ``order`` should be unique within a key for a reproducible
-    survivor; null keys form one group (as in a pandas ``drop_duplicates``).
+    """One row per key: the row that comes first by ``order`` (nulls last).
+
+    For each order column the least value per key is found by a hash aggregate
+    (partial + final, so a key that holds a large share of the rows is reduced
+    map-side) and the rows are joined back to it; nothing is sorted by key and
+    order.  Rows that agree in all order columns are equal candidates: ``order``
+    should be unique within a key for a reproducible survivor.  Null keys form
+    one group (as in a pandas ``drop_duplicates``).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
-    keep = [c for c in (keep or df.columns) if c not in keys]
-    packed = F.struct(*[col_of(c).alias(f"_v{i}") for i, c in enumerate(keep)])
-    rank = F.struct(*[col_of(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    g = df.groupBy(*[col_of(k).alias(k) for k in keys]).agg(F.min_by(packed, rank).alias("_first"))
-    out = [col_of(k) for k in keys] + [F.col(f"_first._v{i}").alias(c) for i, c in enumerate(keep)]
-    return g.select(*out).select(*[col_of(c) for c in df.columns if c in keys or c in keep])
+    out = df.select(*[col_of(c) for c in df.columns if c in keys or c in order or c in (keep or df.columns)])
+    for c in order:
+        least = out.groupBy(*[col_of(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(col_of(c)).alias("_m"))
+        cond = col_of(c).eqNullSafe(F.col("_m"))
+        for i, k in enumerate(keys):
+            cond = cond & col_of(k).eqNullSafe(F.col(f"_k{i}"))
+        out = out.join(least, cond, "left_semi")
+    out = out.dropDuplicates(keys)
+    return out.select(*[col_of(c) for c in df.columns if c in keys or c in (keep or df.columns)])
 
 
 def clean_names(df: DataFrame, chars=(" ", ",", ";"), repl: str = "_") -> DataFrame:

@@ -11,8 +11,7 @@
   shared key set for all prefilters.
 
 Joins are left to Catalyst/AQE (which turns a shuffle join into a broadcast
-join at run time when the built side turns out small).  A broadcast is
-forced only behind an explicit row-count check (``broadcast_max_rows``).
+join at run time when the bytes of the built side turn out small).
 Null-safe keys use ``<=>``, which Spark still plans as an equi-join.
 """
 
@@ -28,39 +27,30 @@ from leadspark.operators.cleanse import drop_strict, first_by
 from leadspark.session import freeze
 
 
-def checked_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with a
-    bounded ``limit`` count); otherwise return it unchanged for a shuffle join."""
-    if max_rows is None:
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str | None = None, how: str = "left",
-          suffixes=("_x", "_y"), null_safe: bool = False, broadcast_max_rows: int | None = None) -> DataFrame:
+          suffixes=("_x", "_y"), null_safe: bool = False) -> DataFrame:
     right_on = right_on or left_on
     same = right_on == left_on
-    lk, rk = "_lk", "_rk"
+    rk = "_rk"
     sx, sy = suffixes
     lcols = [c for c in left.columns]
     rcols = [c for c in right.columns if not (same and c == right_on)]
     clash = {c for c in lcols if c in rcols and not (same and c == left_on)}
     lnames = {c: (c + sx if c in clash else c) for c in lcols}
     rnames = {c: (c + sy if c in clash else c) for c in rcols}
-    L = left.select(*[col_of(c).alias(lnames[c]) for c in lcols], col_of(left_on).alias(lk))
+    # the left side keeps its own columns, the key among them: a chain of joins
+    # on one key then shuffles the left side once
+    L = left.select(*[col_of(c).alias(lnames[c]) for c in lcols]) if clash else left
     R = right.select(*[col_of(c).alias(rnames[c]) for c in rcols], col_of(right_on).alias(rk))
-    R = checked_broadcast(R, broadcast_max_rows)
-    # ``<=>`` is planned as an equi-join key (null flag + value), so null keys
-    # still take the hash/sort-merge path; a large null group is one skewed
-    # partition, which AQE's skew-join split divides at run time.
-    cond = L[lk].eqNullSafe(R[rk]) if null_safe else (L[lk] == R[rk])
-    j = L.join(R, cond, how)
-    out = [col_of(lnames[c]) if not (same and c == left_on) else
-           (F.coalesce(F.col(lk), F.col(rk)) if how in ("outer", "full", "right") else F.col(lk)).alias(c)
-           for c in lcols]
-    out += [col_of(rnames[c]) for c in rcols]
-    return j.select(*out)
+    lk = col_of(lnames[left_on])
+    # ``<=>`` is planned as an equi-join key (null flag + value).  A large null
+    # group of a left or inner join is divided by the skew join; a full outer
+    # join is never divided.
+    j = L.join(R, lk.eqNullSafe(F.col(rk)) if null_safe else (lk == F.col(rk)), how)
+    if same and how in ("outer", "full", "right"):
+        out = [F.coalesce(col_of(c), F.col(rk)).alias(c) if c == left_on else col_of(lnames[c]) for c in lcols]
+        return j.select(*out, *[col_of(rnames[c]) for c in rcols])
+    return j.drop(rk)
 
 
 def semi_filter(dim: DataFrame, keys: DataFrame, right_on: str, null_safe: bool = False) -> DataFrame:
@@ -78,7 +68,7 @@ def key_set(fact: DataFrame, left_on: str) -> DataFrame:
 
 def lookup(fact: DataFrame, dim: DataFrame, left_on: str, right_on: str, how: str = "left",
            drop=None, dedupe_order=None, null_safe: bool = False,
-           broadcast_max_rows: int | None = None, drop_right_key: bool = True,
+           drop_right_key: bool = True,
            prefilter: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """Enrich ``fact`` with ``dim``; optional semi-join reduction of ``dim`` to the
     fact's keys (``prefilter``; ``keys`` may supply a precomputed superset),
@@ -88,7 +78,7 @@ def lookup(fact: DataFrame, dim: DataFrame, left_on: str, right_on: str, how: st
         dim = semi_filter(dim, keys if keys is not None else key_set(fact, left_on), right_on, null_safe)
     if dedupe_order is not None:
         dim = first_by(dim, right_on, dedupe_order)
-    j = merge(fact, dim, left_on, right_on, how, null_safe=null_safe, broadcast_max_rows=broadcast_max_rows)
+    j = merge(fact, dim, left_on, right_on, how, null_safe=null_safe)
     to_drop = list(drop or [])
     if drop_right_key and right_on != left_on and right_on not in to_drop:
         to_drop.append(right_on)
@@ -104,7 +94,6 @@ class Lookup:
     drop: list = field(default_factory=list)
     dedupe_order: object = None
     null_safe: bool = False
-    broadcast_max_rows: int | None = None
     derive: dict = field(default_factory=dict)   # new fact columns before the join
     prefilter: bool = True                       # semi-join the dim to the fact's keys first
 
@@ -128,7 +117,7 @@ def star(fact: DataFrame, lookups, keys: dict | None = None, write_fact: bool =
         if lk.prefilter and lk.left_on in base.columns:
             ks = keys.setdefault(lk.left_on, key_set(base, lk.left_on))
         fact = lookup(fact, lk.dim, lk.left_on, lk.right_on, lk.how, lk.drop, lk.dedupe_order,
-                      lk.null_safe, lk.broadcast_max_rows, drop_right_key=False,
+                      lk.null_safe, drop_right_key=False,
                       prefilter=ks is not None, keys=ks)
     return fact
 

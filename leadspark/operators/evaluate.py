@@ -24,43 +24,57 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
               .agg(F.count(F.lit(1)).alias("n")))
 
 
-def metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", digits: int = 12) -> DataFrame:
-    cm = confusion(df, label, prediction)
-    true = cm.groupBy(F.col("label").alias("c")).agg(F.sum("n").alias("n_true"))
-    pred = cm.groupBy(F.col("prediction").alias("c")).agg(F.sum("n").alias("n_pred"))
-    tp = cm.filter(F.col("label") == F.col("prediction")).select(F.col("label").alias("c"), F.col("n").alias("tp"))
-    per = (true.join(pred, "c", "full").join(tp, "c", "full")
-               .na.fill(0, ["n_true", "n_pred", "tp"]))
-    tot = per.agg(F.sum("n_true").alias("N"))
-    per = attach_row(per, tot)
+def metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", digits: int = 12,
+            by: str | None = None) -> DataFrame:
+    """One row of metrics, or one for each value of ``by``; one confusion aggregation either way."""
+    g = [] if by is None else [by]
+    cm = (df.groupBy(*g, col_of(label).cast("double").alias("_l"), col_of(prediction).cast("double").alias("_c"))
+          .agg(F.count(F.lit(1)).alias("_n")))
+    # each cell counts for its label's row and its prediction's row
+    zero = F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("_l").alias("c"), F.col("_n").alias("n_true"), zero.alias("n_pred")),
+                    F.struct(F.col("_c").alias("c"), zero.alias("n_true"), F.col("_n").alias("n_pred")))
+    hit = F.when(F.col("_l") == F.col("_c"), F.col("_n")).otherwise(zero)
+    per = cm.select(*g, hit.alias("_hit"), F.posexplode(sides).alias("_side", "_s"))
+    per = per.groupBy(*g, F.col("_s.c").alias("c")).agg(
+        F.sum("_s.n_true").alias("n_true"), F.sum("_s.n_pred").alias("n_pred"),
+        F.sum(F.when(F.col("_side") == 0, F.col("_hit")).otherwise(0)).alias("tp"))
+    tot = per.groupBy(*g).agg(F.sum("n_true").alias("N"))
+    per = attach_row(per, tot) if by is None else per.join(tot, by)
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     rec = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(F.lit(0.0))
     per = per.withColumn("_p", prec).withColumn("_r", rec)
     f1 = F.when(F.col("_p") + F.col("_r") > 0, F.lit(2.0) * F.col("_p") * F.col("_r") / (F.col("_p") + F.col("_r"))) \
           .otherwise(F.lit(0.0))
     w = F.col("n_true") / F.col("N")
-    agg = per.agg(
+    agg = per.groupBy(*g).agg(
         (F.sum("tp") / F.first("N")).alias("accuracy"),
         F.sum(w * F.col("_p")).alias("weighted_precision"),
         F.sum(w * F.col("_r")).alias("weighted_recall"),
         F.sum(w * f1).alias("f1"),
         F.first("N").cast("long").alias("n"))
-    return agg.select(*[F.round(c, digits).alias(c) for c in ("accuracy", "weighted_precision",
-                                                               "weighted_recall", "f1")], "n")
+    return agg.select(*g, *[F.round(c, digits).alias(c) for c in ("accuracy", "weighted_precision",
+                                                                   "weighted_recall", "f1")], "n")
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score", digits: int = 12) -> DataFrame:
-    """One-row DataFrame (auc, n_pos, n_neg); auc is null without both classes."""
-    g = (df.select(col_of(score).cast("double").alias("_s"), col_of(label).cast("double").alias("_l"))
+def auc(df: DataFrame, label: str = "label", score: str = "score", digits: int = 12,
+        by: str | None = None) -> DataFrame:
+    """One-row DataFrame (auc, n_pos, n_neg), or a row for each value of ``by``, by one total sort
+    either way; auc is null without both classes."""
+    k = [] if by is None else [by]
+    g = (df.select(*k, col_of(score).cast("double").alias("_s"), col_of(label).cast("double").alias("_l"))
            .filter(F.col("_s").isNotNull() & F.col("_l").isNotNull())
-           .groupBy("_s").agg(F.sum(F.when(F.col("_l") == 1, 1).otherwise(0)).alias("_pos"),
-                             F.sum(F.when(F.col("_l") == 1, 0).otherwise(1)).alias("_neg")))
-    c = with_running_sum(g, [F.col("_s")], "_neg", "_below", inclusive=False)
-    a = c.agg(F.sum(F.col("_pos") * (F.col("_below") + F.lit(0.5) * F.col("_neg"))).alias("_u"),
-              F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+           .groupBy(*k, "_s").agg(F.sum(F.when(F.col("_l") == 1, 1).otherwise(0)).alias("_pos"),
+                                  F.sum(F.when(F.col("_l") == 1, 0).otherwise(1)).alias("_neg")))
+    c = with_running_sum(g, [*map(F.col, k), F.col("_s")], "_neg", "_below", inclusive=False)
+    # the running sum goes on from group to group: what came before a group's first score is taken off
+    a = c.groupBy(*k).agg(
+        (F.sum(F.col("_pos") * (F.col("_below") + F.lit(0.5) * F.col("_neg")))
+         - F.min("_below") * F.sum("_pos")).alias("_u"),
+        F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     val = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
                  F.col("_u") / (F.col("n_pos").cast("double") * F.col("n_neg")))
-    return a.select(F.round(val, digits).alias("auc"), F.col("n_pos").cast("long").alias("n_pos"),
+    return a.select(*k, F.round(val, digits).alias("auc"), F.col("n_pos").cast("long").alias("n_pos"),
                     F.col("n_neg").cast("long").alias("n_neg"))
 
 

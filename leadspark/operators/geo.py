@@ -13,11 +13,11 @@ haversine distance is the residual filter.  Poles and the antimeridian need
 no special case in 3-D.
 
 Skew: a cell holding very many sites (one building, a default geocode)
-would put all its candidates into one task.  The densest cells are found
-with a bounded top-k of the cell counts; in those cells the probe side is
-split by a salt and the build side replicated per salt, so the work of a
-hot cell spreads over several tasks.  Other cells join unsalted.  AQE's
-skew-join split stays enabled as a second line.
+would put all its candidates into one task.  Cells are counted on both sides;
+where either count exceeds ``block_rows``, both sides are cut into blocks of
+about that many rows, and each pair of blocks is a join key of its own.  A task
+then compares at most about ``block_rows`` squared pairs of a cell, however many
+dense cells there are and however dense they are.
 """
 
 from __future__ import annotations
@@ -67,35 +67,27 @@ def _reach(axis: str, edge: float, metres: float):
     return pos < reach, (F.lit(edge) - pos) < reach
 
 
+def _blocks(n: str, block_rows: int):
+    return F.greatest(F.ceil(F.col(n) / F.lit(block_rows)), F.lit(1)).cast("int")
+
+
 def candidates(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE", lon: str = "LONGITUDE",
-               metres: float = 5.0, radius_km: float = 6371.0, hot_cell_rows: int = 200_000,
-               max_hot_cells: int = 10_000, max_salt: int = 512, cell_factor: float = 2.0) -> DataFrame:
+               metres: float = 5.0, radius_km: float = 6371.0, block_rows: int = 2048,
+               cell_factor: float = 2.0) -> DataFrame:
     """Candidate pairs (k1, lat1, lon1, k2, lat2, lon2) of the grid join, before
     the exact distance filter: a superset of the near pairs."""
     edge = max(1.0, cell_factor) * cell_edge_m(metres, radius_km)
     pts = df.select(col_of(key).alias("_k"), col_of(lat).cast("double").alias("_lat"),
                     col_of(lon).cast("double").alias("_lon"))
     pts = pts.filter(F.col("_k").isNotNull() & F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
-    # read three times below (cell counts, probe side, build side): write once
+    # read several times below (cell counts, probe side, build side): write once
     pts = freeze(_with_cells(pts, "_lat", "_lon", edge, radius_km), "sites")
     cell = ["_cx", "_cy", "_cz"]
 
-    # densest cells: a top-k of the cell counts, so its size is bounded by max_hot_cells
-    hot = (pts.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") > hot_cell_rows)
-              .orderBy(F.desc("_n")).limit(max_hot_cells)
-              .select(*cell, F.least(F.lit(max_salt), F.ceil(F.col("_n") / F.lit(hot_cell_rows)))
-                      .cast("int").alias("_salts")))
-    hot = F.broadcast(hot)
-
-    # probe side: each point once, in its own cell, salted when the cell is hot
-    a = pts.join(hot, cell, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
-    a = a.withColumn("_salt", (F.xxhash64("_k") % F.col("_salts") + F.col("_salts")) % F.col("_salts"))
-    a = a.select(F.col("_k").alias("k1"), F.col("_lat").alias("lat1"), F.col("_lon").alias("lon1"),
-                 *cell, "_salt")
-
-    # build side: each point copied to the neighbour cells its threshold ball
-    # touches (and to every salt of a hot one)
+    # probe side: each point once, in its own cell
+    a = pts.select(F.col("_k").alias("k1"), F.col("_lat").alias("lat1"), F.col("_lon").alias("lon1"), *cell)
+
+    # build side: each point copied to the neighbour cells its threshold ball touches
     offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz"))
                      for dx, dy, dz in _OFFSETS])
     faces = []
@@ -114,16 +106,28 @@ def candidates(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE",
                  (F.col("_cx") + F.col("_o.dx")).alias("_cx"),
                  (F.col("_cy") + F.col("_o.dy")).alias("_cy"),
                  (F.col("_cz") + F.col("_o.dz")).alias("_cz"))
-    b = b.join(hot, cell, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
-    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
 
-    return a.join(b, cell + ["_salt"]).filter(F.col("k1") != F.col("k2"))
+    # cells with more than a block on either side: both sides are cut into blocks,
+    # and each block of one side meets each block of the other in a task of its own
+    na = a.groupBy(*cell).agg(F.count(F.lit(1)).alias("_na"))
+    nb = b.groupBy(*cell).agg(F.count(F.lit(1)).alias("_nb"))
+    dense = na.join(nb, cell).filter((F.col("_na") > block_rows) | (F.col("_nb") > block_rows))
+    dense = freeze(dense.select(*cell, _blocks("_na", block_rows).alias("_pa"),
+                                _blocks("_nb", block_rows).alias("_pb")), "dense_cells")
+
+    def blocked(side, key_col, own, other, own_out, other_out):
+        d = side.join(dense, cell, "left").withColumn("_own", F.coalesce(own, F.lit(1)))
+        d = d.withColumn(own_out, F.pmod(F.xxhash64(key_col), F.col("_own")).cast("int"))
+        d = d.withColumn(other_out, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        return d.drop("_own", "_pa", "_pb")
+    a = blocked(a, "k1", F.col("_pa"), F.col("_pb"), "_ia", "_ib")
+    b = blocked(b, "k2", F.col("_pb"), F.col("_pa"), "_ib", "_ia")
+    return a.join(b, cell + ["_ia", "_ib"]).filter(F.col("k1") != F.col("k2"))
 
 
 def near_pairs(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE", lon: str = "LONGITUDE",
-               metres: float = 5.0, radius_km: float = 6371.0, hot_cell_rows: int = 200_000,
-               max_hot_cells: int = 10_000, max_salt: int = 512, suffixes=("_1", "_2"),
-               cell_factor: float = 2.0) -> DataFrame:
+               metres: float = 5.0, radius_km: float = 6371.0, block_rows: int = 2048,
+               suffixes=("_1", "_2"), cell_factor: float = 2.0) -> DataFrame:
     """Ordered pairs (k1, k2), k1 != k2, with haversine distance < ``metres``.
 
     ``df`` holds one site per key (see ``sites``); rows with null
@@ -132,7 +136,7 @@ def near_pairs(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE",
     neighbours; 2 to the 8 its threshold ball touches).
     """
     s1, s2 = suffixes
-    j = candidates(df, key, lat, lon, metres, radius_km, hot_cell_rows, max_hot_cells, max_salt, cell_factor)
+    j = candidates(df, key, lat, lon, metres, radius_km, block_rows, cell_factor)
     dist = haversine_m("lat1", "lon1", "lat2", "lon2", radius_km)
     j = j.withColumn("DISTANCE", dist).filter(F.col("DISTANCE") < metres)
     return j.select(F.col("k1").alias(key + s1), F.col("lat1").alias(lat + s1), F.col("lon1").alias(lon + s1),

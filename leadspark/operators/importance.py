@@ -80,20 +80,30 @@ def permute_column(df: DataFrame, col: str, key: str, seed: int = 42) -> DataFra
 def permutation(spark: SparkSession, model, df: DataFrame, cols, key: str, metric_fn, seed: int = 42) -> DataFrame:
     """(idx, feature, importance = base metric - metric with the feature permuted).
 
-    ``metric_fn(predictions) -> float-valued one-row DataFrame column`` is applied
-    to ``model.transform`` of the raw-column frame; the model must contain its
-    assembler so the permuted column reaches the vector.
+    ``metric_fn(predictions, by) -> (by, m)`` gets the predictions of all
+    variants stacked, ``by`` naming the variant: -1 with no feature permuted, i
+    with feature i.  Rows are numbered once by key, and all features' values
+    once by (feature, md5, key); each variant's row then takes the value with
+    its own number.  Three total sorts in all, whatever the number of features.
+    The model must contain its assembler so the permuted column reaches the vector.
     """
-    base = metric_fn(model.transform(df)).withColumnRenamed("m", "base")
-    parts = []
+    rows = with_global_index(df, [col_of(key)], "_pos")
+    vals = F.array(*[F.struct(F.lit(i).alias("_f"), col_of(c).cast("double").alias("_v"),
+                              md5_int(col_of(key), F.lit(str(seed)), F.lit(c)).alias("_h"))
+                     for i, c in enumerate(cols)])
+    long = df.select(col_of(key).alias("_pk"), F.explode(vals).alias("_x")).select("_pk", "_x.*")
+    long = with_global_index(long, [F.col("_f"), F.col("_h"), F.col("_pk")], "_g")
+    start = long.groupBy("_f").agg(F.min("_g").alias("_g0"))  # a row per feature
+    moved = long.join(F.broadcast(start), "_f").select("_f", (F.col("_g") - F.col("_g0")).alias("_pos"), "_v")
+    stacked = rows.withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(len(cols) - 1))))
+    stacked = stacked.join(moved, ["_f", "_pos"], "left")
     for i, c in enumerate(cols):
-        perm = metric_fn(model.transform(permute_column(df, c, key, seed)))
-        parts.append(perm.select(F.lit(i).alias("idx"), F.lit(c).alias("feature"), F.col("m").alias("permuted")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return attach_row(out, base).select(
-        "idx", "feature", (F.col("base") - F.col("permuted")).alias("importance"))
+        stacked = stacked.withColumn(c, F.when(F.col("_f") == i, F.col("_v")).otherwise(col_of(c)))
+    m = metric_fn(model.transform(stacked.drop("_v", "_pos")), "_f")
+    base = m.agg(F.max(F.when(F.col("_f") == -1, F.col("m"))).alias("base"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_f") + 1)
+    return attach_row(m.filter(F.col("_f") >= 0), base).select(
+        F.col("_f").alias("idx"), name.alias("feature"), (F.col("base") - F.col("m")).alias("importance"))
 
 
 def top(imp: DataFrame, k: int) -> DataFrame:

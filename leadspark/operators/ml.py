@@ -4,9 +4,7 @@ cross-validated grid search, save/load, description and a run log.
 Training data is written once to the checkpoint folder before a grid
 search, so the 13 fits of a 2x2 grid with 3 folds read it instead of
 re-running the feature plan, and a lost executor does not restart the
-lineage from the raw tables.  The 12 fold x parameter fits run
-concurrently (``cross_validate``); only one metric per fit reaches the
-driver.
+lineage from the raw tables.
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassif
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,49 +67,16 @@ def freeze(df: DataFrame) -> DataFrame:
     return _freeze(df)
 
 
-class CVResult:
-    """Outcome of ``cross_validate``: best refitted model and mean metric per param map."""
+def grid_search(pipe: Pipeline, grid, metric: str = "f1", label: str = "label", prediction: str = "prediction",
+                folds: int = 3, seed: int = 42, fold_col: str = "fold", parallelism: int = 4) -> CrossValidator:
+    """k-fold grid search over rows whose fold is in ``fold_col`` (``with_fold``: copies of a customer share one).
 
-    def __init__(self, best_model, avg_metrics, best_index, param_maps):
-        self.bestModel = best_model
-        self.avgMetrics = avg_metrics
-        self.bestIndex = best_index
-        self.paramMaps = param_maps
-
-
-def cross_validate(pipe: Pipeline, grid, train: DataFrame, metric: str = "f1", label: str = "label",
-                   prediction: str = "prediction", folds: int = 3, seed: int = 42, fold_col: str | None = "fold",
-                   parallelism: int = 12) -> CVResult:
-    """k-fold grid search; all (fold, param map) fits run concurrently.
-
-    ``fold_col`` holds the fold of each row (use ``with_fold`` so copies of a
-    customer share a fold); without it folds come from a seeded random
-    column.  Each fit is an independent Spark job set; only metrics (one
-    number per fit) come back to the driver.  The best param map (highest
-    mean metric; ties: first) is refitted on all rows.
+    ``parallelism`` fits run at a time; each holds its own copy of the tree
+    input, so the number bounds executor memory.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName=metric)
-    if fold_col is None:
-        fold_col = "_fold"
-        train = train.withColumn(fold_col, (F.rand(seed) * folds).cast("int"))
-    tasks = [(f, i) for f in range(folds) for i in range(len(grid))]
-
-    def run(task):
-        f, i = task
-        fit_part = train.filter(F.col(fold_col) != f)
-        val_part = train.filter(F.col(fold_col) == f)
-        model = pipe.fit(fit_part, grid[i])
-        return f, i, ev.evaluate(model.transform(val_part))
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
-        results = list(pool.map(run, tasks))
-    avg = [0.0] * len(grid)
-    for _, i, m in results:
-        avg[i] += m / folds
-    best = max(range(len(grid)), key=lambda i: (avg[i], -i))
-    return CVResult(pipe.fit(train, grid[best]), avg, best, grid)
+    return CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, seed=seed,
+                          foldCol=fold_col, parallelism=parallelism)
 
 
 def grid(pairs) -> list:

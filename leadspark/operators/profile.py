@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from leadspark.functions.exprs import col_of
 from leadspark.operators.ordering import with_global_index
-from leadspark.session import freeze
 from leadspark.operators.attach import attach_row
 
 
@@ -79,32 +78,40 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
                     (F.col("_mn") + (F.col("bin") + 1) * w).alias("hi"), "n")
 
 
+def _long(df: DataFrame, cols) -> DataFrame:
+    """(feature index, value) of every value that is a number."""
+    vals = F.array(*[F.struct(F.lit(i).alias("_f"), col_of(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
+    rows = df.select(F.explode(vals).alias("_x")).select("_x._f", "_x._v")
+    return rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+
 def box_stats(df: DataFrame, cols, k: float = 1.5) -> DataFrame:
     """Box-plot numbers per column in long format.
 
     (feature, q1, median, q3, lower_whisker, upper_whisker, n_outliers):
-    whiskers are the most extreme values inside [q1 - k IQR, q3 + k IQR].
-    The input columns are written once, since every column reads them twice.
+    whiskers are the most extreme values inside [q1 - k IQR, q3 + k IQR];
+    nulls and NaN are ignored.  All columns are sorted together, once.
     """
-    src = freeze(df.select(*[col_of(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)]), "box")
-    parts = []
-    for i, c in enumerate(cols):
-        q = quantiles(src, f"_c{i}", (0.25, 0.5, 0.75), ["q1", "median", "q3"])
-        v = src.select(F.col(f"_c{i}").alias("_v")).filter(F.col("_v").isNotNull())
-        j = attach_row(v, q)
-        lo_f = F.col("q1") - k * (F.col("q3") - F.col("q1"))
-        hi_f = F.col("q3") + k * (F.col("q3") - F.col("q1"))
-        inside = (F.col("_v") >= lo_f) & (F.col("_v") <= hi_f)
-        parts.append(j.groupBy("q1", "median", "q3").agg(
-            F.min(F.when(inside, F.col("_v"))).alias("lower_whisker"),
-            F.max(F.when(inside, F.col("_v"))).alias("upper_whisker"),
-            F.sum(F.when(inside, 0).otherwise(1)).alias("n_outliers"),
-        ).select(F.lit(c).alias("feature"), "q1", "median", "q3", "lower_whisker",
-                 "upper_whisker", F.col("n_outliers").cast("long").alias("n_outliers")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    idx = with_global_index(_long(df, cols), [F.col("_f"), F.col("_v"), F.rand(17)], "_i")
+    per = idx.groupBy("_f").agg(F.min("_i").alias("_i0"), F.count(F.lit(1)).alias("_n"))  # a row per column
+    j = idx.join(F.broadcast(per), "_f").withColumn("_i", F.col("_i") - F.col("_i0"))
+    aggs, cuts = [], {}
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        h = F.lit(p) * (F.col("_n") - 1)
+        aggs += [F.max(F.when(F.col("_i") == F.floor(h), F.col("_v"))).alias(f"_lo_{name}"),
+                 F.max(F.when(F.col("_i") == F.floor(h) + 1, F.col("_v"))).alias(f"_hi_{name}")]
+        lo, hi = F.col(f"_lo_{name}"), F.coalesce(F.col(f"_hi_{name}"), F.col(f"_lo_{name}"))
+        cuts[name] = F.when(h - F.floor(h) == 0, lo).otherwise(lo + (hi - lo) * (h - F.floor(h)))
+    q = j.groupBy("_f", "_n").agg(*aggs).select("_f", *[e.alias(n) for n, e in cuts.items()])
+    lo_f = F.col("q1") - k * (F.col("q3") - F.col("q1"))
+    hi_f = F.col("q3") + k * (F.col("q3") - F.col("q1"))
+    inside = (F.col("_v") >= lo_f) & (F.col("_v") <= hi_f)
+    out = idx.join(F.broadcast(q), "_f").groupBy("_f", "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("_v"))).alias("lower_whisker"),
+        F.max(F.when(inside, F.col("_v"))).alias("upper_whisker"),
+        F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_outliers"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_f") + 1)
+    return out.select(name.alias("feature"), "q1", "median", "q3", "lower_whisker", "upper_whisker", "n_outliers")
 
 
 _STATS = ["count", "nulls", "mean", "stddev", "min", "max", "zeros"]

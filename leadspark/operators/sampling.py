@@ -7,8 +7,8 @@ with n_c rows in class c and m rows in the largest class, q, r = divmod(m,
 n_c); every row is kept q times and the first r rows of the class in md5
 order once more.  Positions within a class come from a distributed total
 sort (``ordering.with_global_index``), not from a per-class window, so a
-class holding most of the rows is not sorted in one task; rows that need
-many copies (small classes) are cut into bounded chunks spread over the
+class holding most of the rows is not sorted in one task; a row that needs
+many copies (small classes) is cut into bounded chunks spread over the
 partitions before the copies are generated.
 """
 
@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions.exprs import col_of, md5_int
-from leadspark.operators.enrich import checked_broadcast
 from leadspark.operators.ordering import with_global_index
 from leadspark.operators.attach import attach_row
 
-BUCKETS = 10000
+#: A split compares the key's whole 32-bit hash with the weights' bounds.
+HASHES = 1 << 32
 
 
 def split_bucket(key, seed: int) -> object:
-    return md5_int(key, F.lit(str(seed))) % BUCKETS
+    return md5_int(key, F.lit(str(seed)))
 
 
 def assign_split(df: DataFrame, key: str, weights=(0.8, 0.2), seed: int = 42, names=("train", "test"),
@@ -37,7 +37,7 @@ def assign_split(df: DataFrame, key: str, weights=(0.8, 0.2), seed: int = 42, na
     expr, acc = None, 0.0
     for w, name in zip(weights[:-1], names[:-1]):
         acc += w / total
-        cut = int(round(acc * BUCKETS))
+        cut = int(round(acc * HASHES))
         expr = F.when(b < cut, F.lit(name)) if expr is None else expr.when(b < cut, F.lit(name))
     last = F.lit(names[len(weights) - 1])
     return df.withColumn(out, last if expr is None else expr.otherwise(last))
@@ -50,8 +50,7 @@ def hash_split(df: DataFrame, key: str, weights=(0.8, 0.2), seed: int = 42) -> l
 
 
 def oversample(df: DataFrame, label: str = "label", key: str = "MDM_CUST_KEY", seed: int = 42,
-               copy_col: str = "COPY", max_classes: int = 10_000, chunk: int = 10_000,
-               inplace_max: int = 16) -> DataFrame:
+               copy_col: str = "COPY", chunk: int = 10_000) -> DataFrame:
     """Every class grows to the size of the largest; ``copy_col`` = 0 marks the
     original row, 1.. its copies."""
     counts = df.groupBy(col_of(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
@@ -65,25 +64,17 @@ def oversample(df: DataFrame, label: str = "label", key: str = "MDM_CUST_KEY", s
     start = ranked.groupBy(F.col("_lab").alias("_slab")).agg(F.min("_gi").alias("_s"))
     plan = plan.join(start, F.col("_lab").eqNullSafe(F.col("_slab"))).select(
         F.col("_lab").alias("_plab"), "_q", "_r", "_s")
-    plan = checked_broadcast(plan, max_classes)
     j = ranked.join(plan, F.col("_lab").eqNullSafe(F.col("_plab")))
     copies = F.col("_q") + F.when(F.col("_gi") - F.col("_s") < F.col("_r"), 1).otherwise(0)
     j = j.withColumn("_copies", copies)
     cols = [col_of(c) for c in df.columns]
-    # rows with few copies: generated in place (a task's output is at most
-    # ``inplace_max`` times its input)
-    few = j.filter(F.col("_copies") <= inplace_max).withColumn(
-        copy_col, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    # rows of small classes need many copies; the sort put them side by side,
-    # so they are first cut into chunk rows of at most ``chunk`` copies and
-    # spread over the partitions: no single task generates a large share of
-    # the output.  Only small classes take this path, so the shuffle is small.
-    many = j.filter(F.col("_copies") > inplace_max)
-    many = many.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                          F.ceil(F.col("_copies") / F.lit(chunk)) - 1)))
-    many = many.repartition(col_of(key), F.col("_chunk"))
+    # the sort put the rows of a class side by side, so rows are cut into chunk
+    # rows of at most ``chunk`` copies and spread over the partitions first: no
+    # task generates a large share of the output
+    j = j.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                    F.ceil(F.col("_copies") / F.lit(chunk)) - 1)))
+    j = j.repartition(col_of(key), F.col("_chunk"))
     first = F.col("_chunk") * chunk
-    many = many.withColumn(copy_col, F.explode(F.sequence(
+    j = j.withColumn(copy_col, F.explode(F.sequence(
         first, first + F.least(F.lit(chunk).cast("long"), F.col("_copies") - first) - 1)))
-    out = few.select(*cols, copy_col).unionByName(many.select(*cols, copy_col))
-    return out.select(*cols, F.col(copy_col).cast("int").alias(copy_col))
+    return j.select(*cols, F.col(copy_col).cast("int").alias(copy_col))

@@ -4,6 +4,8 @@ Both channels are filtered, rolled up and summed at the grain
 (operating company, customer, site, ZIP, L1, L2, year) and appended by
 name.  The sums run as partial + final hash aggregates, so a customer that
 holds a large share of the lines is collapsed map-side before the shuffle.
+
+``profile`` holds the domain values (see ``SalesProfile``).
 """
 
 from __future__ import annotations
@@ -12,32 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions.exprs import rollup
-from leadspark.plans.params import SalesProfile
 
 UNIFIED = ["OPCO", "MDM_CUST_KEY", "LATITUDE", "LONGITUDE", "ZIP",
            "L1_DESC", "L2_DESC", "YYYY", "SALES"]
 
 
-def _year_range(years):
-    """Extra, pushable bound on the raw date for a year IN-list."""
-    lo, hi = min(years), max(years)
-    start = F.lit(f"{lo:04d}-01-01 00:00:00").cast("timestamp_ntz")
-    stop = F.lit(f"{hi + 1:04d}-01-01 00:00:00").cast("timestamp_ntz")
-    return (F.col("ORDER_DATE") >= start) & (F.col("ORDER_DATE") < stop)
-
+def dealer_lines(dealer: DataFrame, profile) -> DataFrame:
+    """The dealer lines that enter the unified fact (filters only).
 
-def dealer_lines(dealer: DataFrame, profile: SalesProfile) -> DataFrame:
-    """The dealer lines that enter the unified fact (filters only)."""
+    ``CAL_445_YYYY`` is a fiscal year: its edge weeks may lie in another
+    calendar year, so nothing is derived from a line's date.
+    """
     d = dealer
-    cond = F.col("CAL_445_YYYY").isin(profile.dealer_years)
-    if "ORDER_DATE" in d.columns:
-        cond = cond & _year_range(profile.dealer_years)
     members = [m for ms in profile.opco_map.values() for m in ms]
-    cond = cond & F.col("COMPANY").isin(members) & F.col("L1_DESC_NEW").isin(profile.l1_values)
-    if profile.spare_part_words:
-        # NOT IN: a null L2 drops the row as in SQL
-        first_word = F.substring_index(F.col("L2_DESC_NEW"), " ", 1)
-        cond = cond & ~first_word.isin(profile.spare_part_words)
+    cond = (F.col("CAL_445_YYYY").isin(profile.dealer_years) & F.col("COMPANY").isin(members)
+            & F.col("L0_DESC_NEW").isin(profile.l0_values) & F.col("L1_DESC_NEW").isin(profile.l1_values))
+    if profile.excluded_l2:
+        # NOT IN on the whole value: a null L2 drops the row as in SQL
+        cond = cond & ~F.col("L2_DESC_NEW").isin(profile.excluded_l2)
     # AND binds tighter than OR: class filter only for the listed products
     cond = cond & (F.col("ITEM_COMMISSION_CAT").isin(profile.commission_classes)
                    | (F.col("PRODUCT_NUMBER").isin(profile.product_numbers)
@@ -45,7 +39,7 @@ def dealer_lines(dealer: DataFrame, profile: SalesProfile) -> DataFrame:
     return d.filter(cond)
 
 
-def dealer_channel(dealer: DataFrame, profile: SalesProfile) -> DataFrame:
+def dealer_channel(dealer: DataFrame, profile) -> DataFrame:
     """Filter + roll-up + sum of the dealer lines (one row per fine group)."""
     d = dealer_lines(dealer, profile)
     opco = rollup("COMPANY", profile.opco_map)
@@ -64,17 +58,13 @@ def dealer_channel(dealer: DataFrame, profile: SalesProfile) -> DataFrame:
                     l2.alias("L2_DESC"), "YYYY", "SALES")
 
 
-def direct_lines(direct: DataFrame, profile: SalesProfile) -> DataFrame:
+def direct_lines(direct: DataFrame, profile) -> DataFrame:
     """The direct-sales lines that enter the unified fact (filters only)."""
     cond = F.col("CAL_445_YYYY").isin(profile.direct_years) & F.col("P_CAT_L2_DESC").isin(profile.direct_l2_values)
-    if "ORDER_DATE" in direct.columns:
-        cond = cond & _year_range(profile.direct_years)
-    if profile.direct_class is not None:
-        cond = cond & (F.col("CUST_CLASS_L1") == profile.direct_class)
-    return direct.filter(cond)
+    return direct.filter(cond & (F.col("CUST_CLASS_L1") == profile.direct_class))
 
 
-def direct_channel(direct: DataFrame, master: DataFrame, profile: SalesProfile) -> DataFrame:
+def direct_channel(direct: DataFrame, master: DataFrame, profile) -> DataFrame:
     """Direct lines, left-joined to the customer master for the site.
 
     A master with duplicate keys multiplies the matching lines (SQL
@@ -102,7 +92,7 @@ def direct_channel(direct: DataFrame, master: DataFrame, profile: SalesProfile)
     ).agg(F.sum("_s").alias("SALES"))
 
 
-def sales(dealer: DataFrame, direct: DataFrame, master: DataFrame, profile: SalesProfile) -> DataFrame:
+def sales(dealer: DataFrame, direct: DataFrame, master: DataFrame, profile) -> DataFrame:
     """UNION ALL of both channels in the unified layout (SALES stays decimal)."""
     a = dealer_channel(dealer, profile)
     b = direct_channel(direct, master, profile)
@@ -117,7 +107,7 @@ def tag_source(df: DataFrame, tag: str, out: str = "OPCO") -> DataFrame:
     return df.withColumn(out, F.lit(tag))
 
 
-def site_lines(dealer: DataFrame, direct: DataFrame, master: DataFrame, profile: SalesProfile) -> DataFrame:
+def site_lines(dealer: DataFrame, direct: DataFrame, master: DataFrame, profile) -> DataFrame:
     """(MDM_CUST_KEY, LATITUDE, LONGITUDE) of every line that enters the unified
     fact, without summing: the keys and sites of the unified fact are the same,
     so a per-customer dedupe can run on these directly (one shuffle less than

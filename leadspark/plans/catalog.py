@@ -61,7 +61,7 @@ def q_sales_features(spark: SparkSession, d: str) -> DataFrame:
 def q_sales_master_join(spark: SparkSession, d: str) -> DataFrame:
     from leadspark.operators import unify
     from leadspark.sources import tables
-    return _sales_out(unify.direct_channel(tables.direct_view(spark, d), tables.customer_master(spark, d),
+    return _sales_out(unify.direct_channel(flows.direct_view(spark, d), tables.customer_master(spark, d),
                                            P.FEATURES))
 
 

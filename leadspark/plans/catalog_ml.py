@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadspark.operators import evaluate, importance, ml, score
+from leadspark.operators import enrich, evaluate, importance, ml, score
+from leadspark.plans import derived as D
 from leadspark.plans import flows, models
+from leadspark.plans import oracle as O
 from leadspark.plans import params as P
 from leadspark.plans.catalog import query
 from leadspark.session import scratch_path
@@ -15,6 +17,14 @@ from leadspark.sources import files
 from leadspark.operators.attach import attach_row
 
 
+FAMILIES = [  # name, fitted model, column of the class, column of the score
+    ("gbt", models.gbt_model, "prediction", "lead_gen_prob"), ("mlp", models.mlp_model, "prediction", "lead_gen_prob"),
+    ("tree", models.tree_model, "pred01", "prediction"), ("forest", models.forest_model, "pred01", "prediction"),
+]
+_TEST = O.with_(O.split_ctes())
+_LEADS = O.with_(O.lead_ctes())
+
+
 def _test_scores(model, spark: SparkSession, d: str, prob: bool = True) -> DataFrame:
     _, test, _ = models.data(spark, d)
     p = score.predict(model, test)
@@ -73,8 +83,9 @@ def q_split_count_importance(spark: SparkSession, d: str) -> DataFrame:
 def q_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     _, test, _ = models.data(spark, d)
 
-    def metric(pred):
-        return evaluate.auc(score.with_probability(pred), P.LABEL, "lead_gen_prob").select(F.col("auc").alias("m"))
+    def metric(pred, by):
+        a = evaluate.auc(score.with_probability(pred), P.LABEL, "lead_gen_prob", by=by)
+        return a.select(by, F.col("auc").alias("m"))
     return importance.permutation(spark, models.mlp_model(spark, d), test, flows.feature_columns(), P.KEY,
                                   metric, P.SEED)
 
@@ -105,20 +116,66 @@ def _last_model(pm):
 def q_run_log(spark: SparkSession, d: str) -> DataFrame:
     path = models.model_path(spark, "runlog")
     params = {"label": P.LABEL, "features": ",".join(flows.feature_columns())}
-    runs = [
-        ("gbt", _test_scores(models.gbt_model(spark, d), spark, d), "prediction", "lead_gen_prob"),
-        ("mlp", _test_scores(models.mlp_model(spark, d), spark, d), "prediction", "lead_gen_prob"),
-        ("tree", _test_scores(models.tree_model(spark, d), spark, d, prob=False), "pred01", "prediction"),
-        ("forest", _test_scores(models.forest_model(spark, d), spark, d, prob=False), "pred01", "prediction"),
-    ]
     log = None
-    for i, (name, pred, pcol, scol) in enumerate(runs):
+    for i, (name, build, pcol, scol) in enumerate(FAMILIES):
+        model = build(spark, d)
+        pred = _test_scores(model, spark, d, prob=scol == "lead_gen_prob")
         m = attach_row(evaluate.metrics(pred, P.LABEL, pcol), evaluate.auc(pred, P.LABEL, scol).select("auc"))
-        log = ml.log_run(spark, path, f"run{i}", name, params, m)
+        log = ml.log_run(spark, path, f"run{i}", name, params, m, ml.save(model, models.model_path(spark, name)))
     return log
 
 
-@query("model_roundtrip")
+def _logged(spark: SparkSession, d: str) -> DataFrame:
+    return models._memo(spark, d, "run_log", lambda: q_run_log(spark, d))
+
+
+@query("run_log_params", f"""select 'run' || i as run_id, name as run_name, p as name, v as value from
+  (values (0, 'gbt'), (1, 'mlp'), (2, 'tree'), (3, 'forest')) r(i, name),
+  (values ('label', '{P.LABEL}'), ('features', '{",".join(flows.feature_columns())}')) q(p, v)""")
+def q_run_log_params(spark: SparkSession, d: str) -> DataFrame:
+    return _logged(spark, d).filter(F.col("kind") == "param").select("run_id", "run_name", "name", "value")
+
+
+@query("best_logged_run", _TEST + f"select MDM_CUST_KEY, {P.LABEL}, true as scored from split where split = 'test'")
+def q_best_logged_run(spark: SparkSession, d: str) -> DataFrame:
+    """The model of the logged run with the best AUC, loaded by its run id, scores the test set."""
+    log = _logged(spark, d)
+    best = evaluate.best_run(log.filter((F.col("kind") == "metric") & (F.col("name") == "auc"))
+                             .withColumn("value", F.col("value").cast("double")), "value", "run_id").first()
+    model = ml.load(log.filter(F.col("run_id") == best["run_id"]).first()["model_path"])
+    _, test, _ = models.data(spark, d)
+    return model.transform(test).select(P.KEY, P.LABEL, F.col("prediction").isNotNull().alias("scored"))
+
+
+@query("score_ranges", _TEST + f"""select m.model, MDM_CUST_KEY, {P.LABEL}, true as in_range from split,
+  (values ('gbt'), ('mlp'), ('tree'), ('forest')) m(model) where split = 'test'""")
+def q_score_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Test set scored by each model family: is every score a probability?"""
+    out = None
+    for name, build, _, scol in FAMILIES:
+        p = _test_scores(build(spark, d), spark, d, prob=scol == "lead_gen_prob")
+        p = p.select(F.lit(name).alias("model"), P.KEY, P.LABEL,
+                     ((F.col(scol) >= -1e-9) & (F.col(scol) <= 1 + 1e-9)).alias("in_range"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+_PERMUTED = flows.feature_columns()[0]
+
+
+@query("permuted_feature", _TEST + f"""select a.MDM_CUST_KEY, b.v as permuted from
+  (select MDM_CUST_KEY, row_number() over (order by MDM_CUST_KEY) as i from split where split = 'test') a
+  join (select {O._ident(_PERMUTED)} as v, row_number() over (order by
+        {O.md5_int(f"MDM_CUST_KEY || ':' || '{P.SEED}' || ':' || '{_PERMUTED}'")}, MDM_CUST_KEY) as i
+        from split where split = 'test') b using (i)""")
+def q_permuted_feature(spark: SparkSession, d: str) -> DataFrame:
+    """One feature of the test set moved between customers by the seeded permutation."""
+    _, test, _ = models.data(spark, d)
+    return importance.permute_column(test, _PERMUTED, P.KEY, P.SEED).select(
+        P.KEY, F.col(f"`{_PERMUTED}`").alias("permuted"))
+
+
+@query("model_roundtrip", _TEST + "select MDM_CUST_KEY, true as same from split where split = 'test'")
 def q_model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     m = models.gbt_model(spark, d)
     path = ml.save(m, models.model_path(spark, "gbt"))
@@ -126,17 +183,62 @@ def q_model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     _, test, _ = models.data(spark, d)
     a = score.with_probability(m.transform(test)).select(P.KEY, F.col("lead_gen_prob").alias("p_saved"))
     b = score.with_probability(back.transform(test)).select(P.KEY, F.col("lead_gen_prob").alias("p_loaded"))
-    return a.join(b, P.KEY).withColumn("same", F.col("p_saved") == F.col("p_loaded"))
+    return a.join(b, P.KEY).select(P.KEY, (F.col("p_saved") == F.col("p_loaded")).alias("same"))
 
 
-@query("table_roundtrip")
+@query("table_roundtrip", _LEADS + "select * from leads")
 def q_table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, f"tables/leads-{models.uuid.uuid4().hex[:8]}")
     files.save_table(flows.lead_table(spark, d), path)
     return spark.read.parquet(path)
 
 
-@query("csv_roundtrip")
+@query("catalog_table", _LEADS + "select * from leads")
+def q_catalog_table(spark: SparkSession, d: str) -> DataFrame:
+    """The lead table saved as a catalog table, overwritten, and read back by name."""
+    name = f"leads_{models.uuid.uuid4().hex}"
+    lt = flows.lead_table(spark, d)
+    files.save_table(lt.limit(1), name, as_table=True)
+    files.save_table(lt, name, as_table=True)
+    return spark.table(name)
+
+
+def _csv_back(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(spark, f"csv/{name}-{models.uuid.uuid4().hex[:8]}")
+    files.export_csv(df, path)
+    return files.read_lookup_csv(spark, path, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]))
+
+
+@query("territory_from_csv", O.with_(O.lead_ctes(), O.dim_ctes()) + """
+  select f.MDM_CUST_KEY, f.ADDR_ZIP, f.ZIP3, t.TERR_NATION, t.TERR_REP
+  from (select MDM_CUST_KEY, ADDR_ZIP, substr(ADDR_ZIP, 1, 3) as ZIP3 from fact) f
+  left join territory t on f.ZIP3 = t.TERR_ZIP3""")
+def q_territory_from_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The territory lookup read from a CSV file with a stated schema, so ZIP prefixes keep their zeros."""
+    f = flows.lead_fact(spark, d).select(P.KEY, "ADDR_ZIP").withColumn("ZIP3", enrich.zip3("ADDR_ZIP"))
+    return enrich.lookup(f, _csv_back(spark, D.territory(spark, d), "territory"), "ZIP3", "TERR_ZIP3", "left",
+                         drop=["TERR_ZIP3", "TERR_REGION"])
+
+
+@query("list_exports", O.with_(O.lead_ctes(), O.dim_ctes(), O.star_sql("inner"), O.USERS) + """
+  select 'aged' as list, MDM_CUST_KEY as customer, count(*) as n from s7 group by 2
+  union all select 'prospect', f.MDM_CUST_KEY, count(*) from fact_sel f
+    left join territory t on substr(f.ADDR_ZIP, 1, 3) is not distinct from t.TERR_ZIP3 group by 2
+  union all select 'implant', USER_KEY, count(*) from users group by 2""")
+def q_list_exports(spark: SparkSession, d: str) -> DataFrame:
+    """The three flat lists exported as CSV and read back: rows per customer."""
+    out = None
+    for name, df, key in (("aged", flows.star_list(spark, d, "inner"), P.KEY),
+                          ("prospect", flows.star_list(spark, d, "left"), P.KEY),
+                          ("implant", flows.implant_list(spark, d), "USER_KEY")):
+        back = _csv_back(spark, df, name)
+        n = back.groupBy(F.col(key).alias("customer")).agg(F.count(F.lit(1)).alias("n"))
+        n = n.select(F.lit(name).alias("list"), "customer", "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("csv_roundtrip", _LEADS + "select * from leads")
 def q_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     lt = flows.lead_table(spark, d)
     path = scratch_path(spark, f"csv/leads-{models.uuid.uuid4().hex[:8]}")

@@ -11,6 +11,7 @@ from leadspark.plans import flows
 from leadspark.plans import oracle as O
 from leadspark.plans import params as P
 from leadspark.plans.catalog import query
+from leadspark.session import freeze
 
 # -- near-duplicate sites ------------------------------------------------------
 
@@ -31,9 +32,8 @@ _HAV = ("atan2(sqrt(pow(sin(radians(b.LATITUDE - a.LATITUDE) / 2.0), 2) + cos(ra
 def match_sites(spark: SparkSession, d: str) -> DataFrame:
     """One site per customer of the matching profile (deduped from the lines)."""
     from leadspark.operators import unify
-    from leadspark.sources import tables
-    lines = unify.site_lines(tables.dealer_view(spark, d), tables.direct_view(spark, d),
-                             tables.customer_master(spark, d), P.MATCH)
+    lines = unify.site_lines(flows.dealer_view(spark, d, P.MATCH), flows.direct_view(spark, d, P.MATCH),
+                             flows.master(spark, d), P.MATCH)
     return geo.sites(lines)
 
 
@@ -99,23 +99,27 @@ def q_leads_master(spark: SparkSession, d: str) -> DataFrame:
 @query("install_inner", _DIMS + """select f.*, i.* from fact_sel f
   join install i on f.MDM_CUST_KEY is not distinct from i.ship_to_mdm_cust_key""")
 def q_install_inner(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.lookup(flows.fact_selection(spark, d), D.install_base(spark, d), P.KEY,
-                         "ship_to_mdm_cust_key", "inner", drop_right_key=False, null_safe=True)
+    return _with_install(spark, d, "inner")
+
+
+def _with_install(spark: SparkSession, d: str, how: str) -> DataFrame:
+    """The lead list is written once; its keys restrict the install base to the leads' orders."""
+    fact = freeze(flows.fact_selection(spark, d), "lead_list")
+    base = D.install_base(spark, d, enrich.key_set(fact, P.KEY))
+    return enrich.lookup(fact, base, P.KEY, "ship_to_mdm_cust_key", how, drop_right_key=False, null_safe=True)
 
 
 @query("install_left", _DIMS + _dbl_sql("""select f.*, i.* from fact_sel f
   left join install i on f.MDM_CUST_KEY is not distinct from i.ship_to_mdm_cust_key""", ["INSTALL_LINES"]))
 def q_install_left(spark: SparkSession, d: str) -> DataFrame:
-    return _dbl(enrich.lookup(flows.fact_selection(spark, d), D.install_base(spark, d), P.KEY,
-                         "ship_to_mdm_cust_key", "left", drop_right_key=False, null_safe=True),
-                ["INSTALL_LINES"])
+    return _dbl(_with_install(spark, d, "left"), ["INSTALL_LINES"])
 
 
 @query("lookup_first", _DIMS + _dbl_sql("""select f.MDM_CUST_KEY, f.lead_gen_prob, c.SLA_PRIORITY, c.SLA_VALUE,
   c.SLA_ORDER from fact f left join contracts1 c on f.MDM_CUST_KEY = c.BILL_MDM_KEY""", ["SLA_ORDER"]))
 def q_lookup_first(spark: SparkSession, d: str) -> DataFrame:
     f = flows.lead_fact(spark, d).select(P.KEY, "lead_gen_prob")
-    return _dbl(enrich.lookup(f, D.contracts(spark, d), P.KEY, "BILL_MDM_KEY", "left",
+    return _dbl(enrich.lookup(f, D.contracts(spark, d), P.KEY, "BILL_MDM_KEY", "left", prefilter=True,
                               drop=["BILL_MDM_KEY", "SLA_SKU"], dedupe_order="SLA_ORDER"), ["SLA_ORDER"])
 
 
@@ -124,8 +128,7 @@ def q_lookup_first(spark: SparkSession, d: str) -> DataFrame:
   left join territory t on f.ZIP3 = t.TERR_ZIP3""")
 def q_zip3_territory(spark: SparkSession, d: str) -> DataFrame:
     f = flows.lead_fact(spark, d).select(P.KEY, "ADDR_ZIP").withColumn("ZIP3", enrich.zip3("ADDR_ZIP"))
-    return enrich.lookup(f, D.territory(spark, d), "ZIP3", "TERR_ZIP3", "left", drop=["TERR_ZIP3", "TERR_REGION"],
-                         broadcast_max_rows=P.TERRITORY_MAX_ROWS)
+    return enrich.lookup(f, D.territory(spark, d), "ZIP3", "TERR_ZIP3", "left", drop=["TERR_ZIP3", "TERR_REGION"])
 
 
 @query("null_safe_lookup", _DIMS + """select f.MDM_CUST_KEY, f.LAT_BAND, b.BAND_CUSTOMERS
@@ -202,17 +205,11 @@ select 'all' as stage, {P.LABEL}, count(*) as n from split group by {P.LABEL}
 union all select split, {P.LABEL}, count(*) from split group by split, {P.LABEL}
 union all select 'oversampled', {P.LABEL}, count(*) from over group by {P.LABEL}""")
 def q_class_counts(spark: SparkSession, d: str) -> DataFrame:
-    sp = split_table(spark, d)
-    parts = [profile.class_counts(sp, P.LABEL).select(F.lit("all").alias("stage"), P.LABEL, "n")]
-    for s in ("train", "test"):
-        parts.append(profile.class_counts(sp.filter(F.col("split") == s), P.LABEL)
-                     .select(F.lit(s).alias("stage"), P.LABEL, "n"))
-    parts.append(profile.class_counts(train_oversampled(spark, d), P.LABEL)
-                 .select(F.lit("oversampled").alias("stage"), P.LABEL, "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    stages = F.explode(F.array(F.lit("all"), F.col("split")))
+    n = F.count(F.lit(1)).alias("n")
+    parts = split_table(spark, d).select(stages.alias("stage"), P.LABEL).groupBy("stage", P.LABEL).agg(n)
+    over = profile.class_counts(train_oversampled(spark, d), P.LABEL)
+    return parts.unionByName(over.select(F.lit("oversampled").alias("stage"), P.LABEL, "n"))
 
 
 @query("target_histogram", O.with_(O.feature_ctes()).rstrip() + f""",
@@ -225,10 +222,14 @@ def q_target_histogram(spark: SparkSession, d: str) -> DataFrame:
     return profile.histogram(flows.feature_table(spark, d), P.TARGET_OUT, 20)
 
 
+# every feature of the lead table, under its cleaned name
+LEAD_FEATURES = [O._clean(c) for c in flows.feature_columns()]
+
+
 def _box_sql() -> str:
     parts = []
-    for c in P.FACT_FEATURES:
-        parts.append(f"""select '{c}' as feature, q1, median, q3,
+    for c in LEAD_FEATURES:
+        parts.append(f"""select '{c}' as feature, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3,
   min(case when v >= q1 - 1.5 * (q3 - q1) and v <= q3 + 1.5 * (q3 - q1) then v end) as lower_whisker,
   max(case when v >= q1 - 1.5 * (q3 - q1) and v <= q3 + 1.5 * (q3 - q1) then v end) as upper_whisker,
   cast(sum(case when v >= q1 - 1.5 * (q3 - q1) and v <= q3 + 1.5 * (q3 - q1) then 0 else 1 end) as bigint) as n_outliers
@@ -241,12 +242,13 @@ group by q1, median, q3""")
 
 @query("box_stats", _box_sql())
 def q_box_stats(spark: SparkSession, d: str) -> DataFrame:
-    return profile.box_stats(flows.lead_table(spark, d), P.FACT_FEATURES)
+    b = profile.box_stats(flows.lead_table(spark, d), LEAD_FEATURES)
+    return b.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
 
 
 def _summary_sql() -> str:
     parts = []
-    for c in P.FACT_FEATURES:
+    for c in LEAD_FEATURES:
         v = f"cast({c} as double)"
         parts.append(f"""select '{c}' as feature, count({v}) as count,
   cast(sum(case when {v} is null then 1 else 0 end) as bigint) as nulls, round(avg({v}), 6) as mean,
@@ -257,7 +259,7 @@ def _summary_sql() -> str:
 
 @query("column_summary", _summary_sql())
 def q_column_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = profile.summarize(flows.lead_table(spark, d), P.FACT_FEATURES)
+    s = profile.summarize(flows.lead_table(spark, d), LEAD_FEATURES)
     return s.withColumn("mean", F.round("mean", 6)).withColumn("stddev", F.round("stddev", 6))
 
 
@@ -315,13 +317,12 @@ _RUN_THRESHOLDS = [0.25, 0.5, 0.75]
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    t = test_part(spark, d)
-    out = None
-    for i, th in enumerate(_RUN_THRESHOLDS):
-        m = evaluate.metrics(t.withColumn("prediction", _rule_pred(th)), P.LABEL, "prediction")
-        m = m.select(F.lit(i).alias("run"), F.lit(th).alias("threshold"), *m.columns)
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Metrics of the rule at each threshold, in one aggregation over the test set."""
+    th = F.array(*[F.struct(F.lit(i).alias("run"), F.lit(t).alias("threshold")) for i, t in enumerate(_RUN_THRESHOLDS)])
+    t = test_part(spark, d).select(P.LABEL, "lead_gen_prob", F.explode(th).alias("_t"))
+    t = t.withColumn("prediction", F.when(F.col("lead_gen_prob") > F.col("_t.threshold"), 1.0).otherwise(0.0))
+    m = evaluate.metrics(t.withColumn("run", F.col("_t.run")), P.LABEL, "prediction", by="run")
+    return m.withColumn("threshold", F.element_at(F.array(*map(F.lit, _RUN_THRESHOLDS)), F.col("run") + 1))
 
 
 def _runs_sql() -> str:

@@ -27,7 +27,8 @@ def _money(c: str):
 def install_base(spark: SparkSession, d: str, customer_keys: DataFrame | None = None) -> DataFrame:
     """First/last order date per customer for the tracked part types; optionally
     only for the customers in ``customer_keys`` (column ``_fk``)."""
-    dl = tables.dealer_view(spark, d, customer_keys).filter(F.col("L1_DESC_NEW").isin(P.INSTALL_TYPES))
+    dl = tables.dealer_view(spark, d, customer_keys).filter(
+        F.col("L1_DESC_NEW").isin(P.INSTALL_TYPES) & F.col("PRODUCT_NUMBER").isin(P.INSTALL_LINES))
     aggs = []
     for t in P.INSTALL_TYPES:
         dt = F.when(F.col("L1_DESC_NEW") == t, F.col("ORDER_DATE"))
@@ -90,8 +91,9 @@ def implants_b(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("IDB_SIGNUPS"), F.date_format(F.min("ts"), _TS).alias("IDB_FIRST_SIGNUP"))
 
 
-def _user_list(spark: SparkSession, d: str, event_type: str, agg) -> DataFrame:
-    e = tables.load(spark, d, "events").filter(F.col("event_type") == event_type)
+def _user_list(spark: SparkSession, d: str, event_type: str, skip: int, agg) -> DataFrame:
+    """Users of an event type; every ``skip``-th user is on no such list."""
+    e = tables.load(spark, d, "events").filter((F.col("event_type") == event_type) & (F.col("user_id") % skip != 0))
     u = e.groupBy(F.col("user_id").cast("string").alias("USER_KEY")).agg(agg)
     m = tables.customer_master(spark, d).select(
         F.col("MDM_CUST_KEY").alias("_mk"), F.col("ACCT_OFFICE_NAME").alias("CUSTOMER_NAME"),
@@ -101,11 +103,11 @@ def _user_list(spark: SparkSession, d: str, event_type: str, agg) -> DataFrame:
 
 
 def purchase_users(spark: SparkSession, d: str) -> DataFrame:
-    return _user_list(spark, d, "purchase", F.count(F.lit(1)).alias("IMPLANT_QTY"))
+    return _user_list(spark, d, "purchase", 3, F.count(F.lit(1)).alias("IMPLANT_QTY"))
 
 
 def signup_users(spark: SparkSession, d: str) -> DataFrame:
-    return _user_list(spark, d, "signup", F.round(F.sum(_money("value")).cast("double"), 2).alias("IMPLANT_USD"))
+    return _user_list(spark, d, "signup", 5, F.round(F.sum(_money("value")).cast("double"), 2).alias("IMPLANT_USD"))
 
 
 USER_LIST_COLS = ["CUSTOMER_NAME", "CONT_FULLPHONE", "STREET", "CITY", "STATE", "ZIP", "CONT_EMAIL"]

@@ -19,8 +19,15 @@ def master(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unified_sales(spark: SparkSession, d: str, profile: P.SalesProfile = P.FEATURES) -> DataFrame:
-    return unify.sales(tables.dealer_view(spark, d), tables.direct_view(spark, d),
-                       tables.customer_master(spark, d), profile)
+    return unify.sales(dealer_view(spark, d, profile), direct_view(spark, d, profile), master(spark, d), profile)
+
+
+def dealer_view(spark: SparkSession, d: str, profile: P.SalesProfile = P.FEATURES) -> DataFrame:
+    return tables.dealer_view(spark, d, years=profile.dealer_years)
+
+
+def direct_view(spark: SparkSession, d: str, profile: P.SalesProfile = P.FEATURES) -> DataFrame:
+    return tables.direct_view(spark, d, P.DIRECT_L1, P.UNMATCHED_KEY, profile.direct_years)
 
 
 def positive_sales(spark: SparkSession, d: str) -> DataFrame:
@@ -32,25 +39,22 @@ def category_pivot(spark: SparkSession, d: str) -> DataFrame:
     return features.pivot_sum(pos, P.KEY, "L1_L2_DESC", "SALES", P.PIVOT_VALUES)
 
 
-_WRITTEN: dict = {}
-
-
 def feature_table(spark: SparkSession, d: str, drop_outliers: bool = False, fresh: bool = False) -> DataFrame:
-    """The labelled feature table, written once per session and data folder.
+    """The labelled feature table, written once per session and state of the data folder.
 
     Every later step (split, balance, models, scores, lists, profiles) reads
     the written table instead of re-running the sales joins; ``fresh``
     rebuilds it.
     """
-    from leadspark.session import freeze
-    key = (spark.sparkContext.applicationId, d, drop_outliers)
-    if fresh or key not in _WRITTEN:
+    from leadspark.session import freeze, memo
+
+    def build():
         ft = features.feature_table(
             unified_sales(spark, d, P.FEATURES), key=P.KEY, pivot_values=P.PIVOT_VALUES,
             target=P.TARGET_CATEGORY, threshold=P.TARGET_THRESHOLD, sentinel=P.UNMATCHED_KEY,
             k=P.WHISKER_K, target_out=P.TARGET_OUT, label_col=P.LABEL, drop_outliers=drop_outliers)
-        _WRITTEN[key] = freeze(ft, "features")
-    return _WRITTEN[key]
+        return freeze(ft, "features")
+    return memo(spark, d, f"features {drop_outliers}", build, fresh)
 
 
 def feature_columns() -> list:
@@ -86,12 +90,17 @@ def lead_table(spark: SparkSession, d: str, scored: DataFrame | None = None,
     return cleanse.clean_names(score.leads(s, threshold))
 
 
-def lead_fact(spark: SparkSession, d: str, leads: DataFrame | None = None) -> DataFrame:
-    """Leads left-joined to the customer master (one key column), lowest probability first."""
+def lead_master(spark: SparkSession, d: str, leads: DataFrame | None = None) -> DataFrame:
+    """Leads left-joined to the customer master (one key column), in no order."""
     from leadspark.operators import enrich
     lt = leads if leads is not None else lead_table(spark, d)
     # the master is reduced to the leads' keys first (map-side when the lead list is short)
-    j = enrich.lookup(lt, master(spark, d), P.KEY, P.KEY, "left", prefilter=True)
+    return enrich.lookup(lt, master(spark, d), P.KEY, P.KEY, "left", prefilter=True)
+
+
+def lead_fact(spark: SparkSession, d: str, leads: DataFrame | None = None) -> DataFrame:
+    """Leads with the customer master, lowest probability first."""
+    j = lead_master(spark, d, leads)
     # the key breaks ties, so equal probabilities spread over range partitions
     return j.orderBy(F.asc_nulls_first("lead_gen_prob"), F.asc(P.KEY))
 
@@ -99,7 +108,7 @@ def lead_fact(spark: SparkSession, d: str, leads: DataFrame | None = None) -> Da
 def fact_selection(spark: SparkSession, d: str, min_prob: float | None = None) -> DataFrame:
     """Leads of one customer class, reduced to the columns of the sales list;
     ``min_prob`` optionally keeps only leads with a higher probability."""
-    f = lead_fact(spark, d).filter(F.col("SDS_CUST_CLASS1") == P.FACT_CLASS)
+    f = lead_master(spark, d).filter(F.col("SDS_CUST_CLASS1") == P.FACT_CLASS)
     if min_prob is not None:
         f = f.filter(F.col("lead_gen_prob") > min_prob)
     cols = [P.KEY] + P.CONTACT_COLS + ["ADDR_LATITUDE", "ADDR_LONGITUDE", "lead_gen_prob"] + P.FACT_FEATURES
@@ -127,13 +136,11 @@ def star_specs(spark: SparkSession, d: str, first_how: str, max_year: int | None
         Lookup(D.tech_calls(spark, d), P.KEY, "MDM_ID", drop=["MDM_ID", "TECH_EVENT"],
                dedupe_order="TECH_EVENT", null_safe=True),
         Lookup(D.territory(spark, d), "ZIP3", "TERR_ZIP3", drop=["TERR_ZIP3", "TERR_REGION"],
-               null_safe=True, broadcast_max_rows=P.TERRITORY_MAX_ROWS, derive={"ZIP3": zip3("ADDR_ZIP")}),
+               null_safe=True, derive={"ZIP3": zip3("ADDR_ZIP")}),
         Lookup(D.external_ids(spark, d), P.KEY, "mdm_site_key", drop=["EXT_ROW", "mdm_site_key"],
                dedupe_order="EXT_ROW", null_safe=True),
-        Lookup(D.implants_a(spark, d), P.KEY, "IMPL_KEY", drop=D.implants_a_drop(),
-               dedupe_order="IMPL_KEY", null_safe=True),
-        Lookup(D.implants_b(spark, d), P.KEY, "IDB_KEY", drop=["IDB_KEY"], dedupe_order="IDB_KEY",
-               null_safe=True),
+        Lookup(D.implants_a(spark, d), P.KEY, "IMPL_KEY", drop=D.implants_a_drop(), null_safe=True),
+        Lookup(D.implants_b(spark, d), P.KEY, "IDB_KEY", drop=["IDB_KEY"], null_safe=True),
     ]
 
 
@@ -160,10 +167,13 @@ def implant_users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def implant_list(spark: SparkSession, d: str) -> DataFrame:
-    from leadspark.operators.enrich import lookup
+    """The merged user lists with the install base of their customers' orders only."""
+    from leadspark.operators.enrich import key_set, lookup
+    from leadspark.session import freeze
     from leadspark.plans import derived as D
     u = implant_users(spark, d)
+    u = freeze(u, "implant_users")
     cols = (["USER_KEY"] + [c + "_x" for c in D.USER_LIST_COLS] + [c + "_y" for c in D.USER_LIST_COLS]
             + ["IMPLANT_QTY", "IMPLANT_USD"])
-    return lookup(u.select(*cols), D.install_base(spark, d), "USER_KEY", "ship_to_mdm_cust_key", "left",
+    return lookup(u.select(*cols), D.install_base(spark, d, key_set(u, "USER_KEY")), "USER_KEY", "ship_to_mdm_cust_key", "left",
                   drop_right_key=False, null_safe=True)

@@ -1,8 +1,8 @@
 """Model flows on the feature table: split, balance, grid search, scoring.
 
-Fitted models are memoised per data folder inside one session, so the
-queries that look at the same boosted-tree search (scores, importances,
-description, round trip) fit it once.
+Fitted models are kept per state of the data folder inside one session (see
+``session.memo``), so the queries that look at the same boosted-tree search
+(scores, importances, description, round trip) fit it once.
 """
 
 from __future__ import annotations
@@ -12,24 +12,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.operators import evaluate, ml, sampling, score
+from leadspark.operators import ml, sampling, score
 from leadspark.plans import flows
 from leadspark.plans import params as P
+from leadspark.session import memo as _memo
 from leadspark.session import scratch_path
-from leadspark.operators.attach import attach_row
-
-_CACHE: dict = {}
-
-GBT_GRID = {"maxDepth": [2, 4], "maxIter": [10, 100]}
-FOREST_GRID = {"maxDepth": [2, 5], "numTrees": [5, 10]}
-FOLDS = 3
-
-
-def _memo(spark: SparkSession, d: str, name: str, build):
-    k = (spark.sparkContext.applicationId, d, name)
-    if k not in _CACHE:
-        _CACHE[k] = build()
-    return _CACHE[k]
 
 
 def data(spark: SparkSession, d: str):
@@ -38,7 +25,7 @@ def data(spark: SparkSession, d: str):
         ft = sampling.assign_split(flows.feature_table(spark, d), P.KEY, P.SPLIT_WEIGHTS, P.SEED)
         ft = ml.freeze(ft)
         train = sampling.oversample(ft.filter(F.col("split") == "train").drop("split"), P.LABEL, P.KEY, P.SEED)
-        train = ml.freeze(ml.with_fold(train, P.KEY, FOLDS, P.SEED))
+        train = ml.freeze(ml.with_fold(train, P.KEY, P.FOLDS, P.SEED))
         test = ft.filter(F.col("split") == "test").drop("split")
         return train, test, ft.drop("split")
     return _memo(spark, d, "data", build)
@@ -49,8 +36,8 @@ def gbt_model(spark: SparkSession, d: str):
         train, _, _ = data(spark, d)
         g = ml.gbt(P.LABEL)
         pipe = ml.pipeline(ml.assembler(flows.feature_columns()), g)
-        grid = ml.grid([(g.maxDepth, GBT_GRID["maxDepth"]), (g.maxIter, GBT_GRID["maxIter"])])
-        return ml.cross_validate(pipe, grid, train, "f1", P.LABEL, folds=FOLDS, seed=P.SEED).bestModel
+        grid = ml.grid([(g.maxDepth, P.GBT_GRID["maxDepth"]), (g.maxIter, P.GBT_GRID["maxIter"])])
+        return ml.grid_search(pipe, grid, "f1", P.LABEL, folds=P.FOLDS, seed=P.SEED).fit(train).bestModel
     return _memo(spark, d, "gbt", build)
 
 
@@ -75,9 +62,9 @@ def forest_model(spark: SparkSession, d: str):
         train, _, _ = data(spark, d)
         rf = ml.forest(P.LABEL)
         pipe = ml.pipeline(ml.assembler(flows.feature_columns()), rf, ml.threshold_stage())
-        grid = ml.grid([(rf.maxDepth, FOREST_GRID["maxDepth"]), (rf.numTrees, FOREST_GRID["numTrees"])])
-        return ml.cross_validate(pipe, grid, train, "f1", P.LABEL, prediction="pred01", folds=FOLDS,
-                                 seed=P.SEED).bestModel
+        grid = ml.grid([(rf.maxDepth, P.FOREST_GRID["maxDepth"]), (rf.numTrees, P.FOREST_GRID["numTrees"])])
+        return ml.grid_search(pipe, grid, "f1", P.LABEL, prediction="pred01", folds=P.FOLDS,
+                              seed=P.SEED).fit(train).bestModel
     return _memo(spark, d, "forest", build)
 
 
@@ -92,12 +79,5 @@ def gbt_leads(spark: SparkSession, d: str, threshold: float = P.LEAD_THRESHOLD_A
     return flows.lead_table(spark, d, scored=s, threshold=threshold)
 
 
-def classifier_metrics(pred: DataFrame, prediction: str = "prediction", prob: str | None = "lead_gen_prob") -> DataFrame:
-    m = evaluate.metrics(pred, P.LABEL, prediction)
-    score_col = prob or prediction
-    a = evaluate.auc(pred, P.LABEL, score_col).select("auc")
-    return attach_row(m, a)
-
-
 def model_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"models/{name}-{uuid.uuid4().hex[:8]}")

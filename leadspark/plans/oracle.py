@@ -1,7 +1,7 @@
 """DuckDB twins of the registered queries (correctness oracle).
 
-Written independently of the Spark code as plain SQL over the driver
-tables.  Shared building blocks are CTE texts combined per query.
+Plain SQL over the driver tables, with the same parameter values as the Spark
+code.  Shared building blocks are CTE texts combined per query.
 """
 
 from __future__ import annotations
@@ -21,20 +21,22 @@ def _ident(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-LAT = ("case when {k} % 11 = 0 then null else cast((({k} // 4) % 120 - 60) * 100000 + ({k} % 4) * 2 as double)"
-       " / 100000.0 end")
-LON = "cast(((({k} // 4) * 7) % 360 - 180) * 100000 + ({k} % 4) as double) / 100000.0"
+SITE = "(case when {k} <= 40 then 0 else {k} // 4 end)"
+LAT = (f"case when {{k}} % 11 = 0 then null else cast(({SITE} * 104729) % 16000000 - 8000000 + ({{k}} % 4) * 2"
+       " + {shift} as double) / 100000.0 end")
+LON = f"cast(({SITE} * 15485863) % 36000000 - 18000000 + ({{k}} % 4) as double) / 100000.0"
 ZIP = "lpad(cast({n} * 37 as varchar), 5, '0')"
 
 MASTER = f"""master as (
   select cast(c_custkey as varchar) as MDM_CUST_KEY,
-         {LAT.format(k='c_custkey')} as ADDR_LATITUDE,
+         {LAT.format(k='c_custkey', shift=0)} as ADDR_LATITUDE,
          {LON.format(k='c_custkey')} as ADDR_LONGITUDE,
          {ZIP.format(n='c_nationkey')} as ADDR_ZIP,
          c_mktsegment as SDS_CUST_CLASS1,
          c_name as ACCT_OFFICE_NAME,
          cast(c_custkey as varchar) || ' MAIN ST' as ADDR_STREETADDR,
-         'CITY ' || cast(c_nationkey as varchar) as ADDR_CITY,
+         unnest(case when c_custkey % 50 = 0 then ['CITY ', 'TOWN '] else ['CITY '] end)
+           || cast(c_nationkey as varchar) as ADDR_CITY,
          'ST' || cast(c_nationkey as varchar) as ADDR_STATE,
          lpad(cast(c_custkey as varchar), 10, '5') as CONT_FULLPHONE,
          'c' || cast(c_custkey as varchar) || '@example.com' as CONT_EMAIL
@@ -43,10 +45,11 @@ MASTER = f"""master as (
 DEALER = f"""dealer as (
   select p_brand as COMPANY,
          cast(o_custkey as varchar) as SHIP_TO_MDM_CUST_KEY,
-         {LAT.format(k='o_custkey')} as SHIP_TO_MDM_ADDR_LATITUDE,
+         {LAT.format(k='o_custkey', shift='(case when o_orderkey % 16 = 0 then 50000 else 0 end)')} as SHIP_TO_MDM_ADDR_LATITUDE,
          {LON.format(k='o_custkey')} as SHIP_TO_MDM_ADDR_LONGITUDE,
          {ZIP.format(n='c_nationkey')} as SHIP_TO_ZIP,
-         p_type as L1_DESC_NEW, p_name as L2_DESC_NEW,
+         'L0_' || cast(p_size % 4 as varchar) as L0_DESC_NEW, p_type as L1_DESC_NEW,
+         case when split_part(p_name, ' ', 1) = 'small' then 'SPARE PARTS' else p_name end as L2_DESC_NEW,
          cast(year(o_orderdate) as integer) as CAL_445_YYYY, o_orderdate as ORDER_DATE,
          case when l_returnflag = 'R' then -cast(l_extendedprice as decimal(18,2))
               else cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2))) end
@@ -58,11 +61,13 @@ DEALER = f"""dealer as (
        join customer on o_custkey = c_custkey)"""
 
 DIRECT = f"""direct as (
-  select cast(user_id as varchar) as MDM_CUST_KEY,
+  select case event_id % 101 when 0 then null when 1 then '' when 2 then {_q(P.UNMATCHED_KEY)}
+              else cast(user_id as varchar) end as MDM_CUST_KEY,
          {ZIP.format(n='(user_id % 25)')} as ADDR_ZIP,
          {_q(P.DIRECT_L1)} as P_CAT_L1_DESC, event_type as P_CAT_L2_DESC,
          cast(year(ts) as integer) as CAL_445_YYYY,
-         cast(value as decimal(18,2)) * 100 as GROSS_SALES_USD
+         cast(value as decimal(18,2)) * 100 as GROSS_SALES_USD,
+         case when user_id % 7 = 0 then 'INTERNAL' else 'CUSTOMER' end as CUST_CLASS_L1
   from events)"""
 
 
@@ -75,8 +80,8 @@ def channel_a(profile: P.SalesProfile, name: str = "ch_a") -> str:
     members = [m for ms in profile.opco_map.values() for m in ms]
     l2 = "L1_DESC_NEW" if profile.l2_from_l1 else "L2_DESC_NEW"
     spare = ""
-    if profile.spare_part_words:
-        spare = f"and split_part(L2_DESC_NEW, ' ', 1) not in ({_inlist(profile.spare_part_words)})"
+    if profile.excluded_l2:
+        spare = f"and L2_DESC_NEW not in ({_inlist(profile.excluded_l2)})"
     return f"""{name} as (
   select {_opco_case()} as OPCO, SHIP_TO_MDM_CUST_KEY as MDM_CUST_KEY,
          SHIP_TO_MDM_ADDR_LATITUDE as LATITUDE, SHIP_TO_MDM_ADDR_LONGITUDE as LONGITUDE,
@@ -85,6 +90,7 @@ def channel_a(profile: P.SalesProfile, name: str = "ch_a") -> str:
   from dealer
   where CAL_445_YYYY in ({_inlist(profile.dealer_years)})
     and COMPANY in ({_inlist(members)})
+    and L0_DESC_NEW in ({_inlist(profile.l0_values)})
     and L1_DESC_NEW in ({_inlist(profile.l1_values)})
     {spare}
     and (ITEM_COMMISSION_CAT in ({_inlist(profile.commission_classes)})
@@ -103,6 +109,7 @@ def channel_b(profile: P.SalesProfile, name: str = "ch_b") -> str:
   from direct n left join master c on n.MDM_CUST_KEY = c.MDM_CUST_KEY
   where n.CAL_445_YYYY in ({_inlist(profile.direct_years)})
     and n.P_CAT_L2_DESC in ({_inlist(profile.direct_l2_values)})
+    and n.CUST_CLASS_L1 = {_q(profile.direct_class)}
   group by n.MDM_CUST_KEY, c.ADDR_LATITUDE, c.ADDR_LONGITUDE, n.ADDR_ZIP,
            n.P_CAT_L1_DESC, n.P_CAT_L2_DESC, n.CAL_445_YYYY)"""
 
@@ -209,7 +216,8 @@ def dim_ctes() -> str:
         f" as IMPL_{t.upper()}" for t in P.EVENT_TYPES)
     return f"""install as (
   select SHIP_TO_MDM_CUST_KEY as ship_to_mdm_cust_key, {', '.join(inst)}, count(*) as INSTALL_LINES
-  from dealer where L1_DESC_NEW in ({_inlist(P.INSTALL_TYPES)}) group by SHIP_TO_MDM_CUST_KEY),
+  from dealer where L1_DESC_NEW in ({_inlist(P.INSTALL_TYPES)})
+    and PRODUCT_NUMBER in ({_inlist(P.INSTALL_LINES)}) group by SHIP_TO_MDM_CUST_KEY),
 contracts as (
   select cast(o_custkey as varchar) as BILL_MDM_KEY, cast(o_orderkey as varchar) as SLA_SKU,
          o_orderpriority as SLA_PRIORITY, o_totalprice as SLA_VALUE, o_orderkey as SLA_ORDER
@@ -263,12 +271,12 @@ USERS = """ulist_m as (
 ua as (
   select u.USER_KEY, m.* exclude (mk), u.IMPLANT_QTY from (
     select cast(user_id as varchar) as USER_KEY, count(*) as IMPLANT_QTY from events
-    where event_type = 'purchase' group by user_id) u left join ulist_m m on u.USER_KEY = m.mk),
+    where event_type = 'purchase' and user_id % 3 != 0 group by user_id) u left join ulist_m m on u.USER_KEY = m.mk),
 ub as (
   select u.USER_KEY, m.* exclude (mk), u.IMPLANT_USD from (
     select cast(user_id as varchar) as USER_KEY,
            round(cast(sum(cast(value as decimal(18,2)) * 100) as double), 2) as IMPLANT_USD from events
-    where event_type = 'signup' group by user_id) u left join ulist_m m on u.USER_KEY = m.mk),
+    where event_type = 'signup' and user_id % 5 != 0 group by user_id) u left join ulist_m m on u.USER_KEY = m.mk),
 users as (
   select coalesce(a.USER_KEY, b.USER_KEY) as USER_KEY,
          a.CUSTOMER_NAME as CUSTOMER_NAME_x, a.CONT_FULLPHONE as CONT_FULLPHONE_x, a.STREET as STREET_x,
@@ -284,11 +292,11 @@ def md5_int(expr: str) -> str:
 
 def split_ctes() -> str:
     """``split``: scored feature rows tagged train/test by md5 bucket."""
-    cut = int(round(P.SPLIT_WEIGHTS[0] / sum(P.SPLIT_WEIGHTS) * 10000))
+    cut = int(round(P.SPLIT_WEIGHTS[0] / sum(P.SPLIT_WEIGHTS) * 2 ** 32))
     b = md5_int(f"MDM_CUST_KEY || ':' || '{P.SEED}'")
     return lead_ctes() + f""",
 split as (
-  select *, case when {b} % 10000 < {cut} then 'train' else 'test' end as split from scored)"""
+  select *, case when {b} < {cut} then 'train' else 'test' end as split from scored)"""
 
 
 def oversample_ctes() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if conf_dir and not sc.master.startswith("local"):
+        refuse_own_folder(conf_dir)
     if not conf_dir:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
@@ -60,6 +63,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def refuse_own_folder(path: str) -> None:
+    """Raise if ``path`` lies in this machine's temporary folder, which other machines don't see.
+
+    Another ``file:`` path may be a mount that all machines share.
+    """
+    if path.startswith("file:"):
+        own = os.path.realpath(path.removeprefix("file:").replace("//", "/"))
+        for top in {"/tmp", "/var/tmp", tempfile.gettempdir()}:
+            if own == top or own.startswith(os.path.realpath(top) + "/"):
+                raise RuntimeError(f"spark.checkpoint.dir is {path}, in the temporary folder of one machine: "
+                                   "name a folder that all executors share")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint location for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -92,32 +108,55 @@ def input_bytes(spark: SparkSession, paths) -> int:
     return int(total)
 
 
-def size_shuffle_partitions(spark: SparkSession, paths, bytes_per_partition: int = 64 << 20,
-                            max_partitions: int = 100_000) -> int:
+def size_shuffle_partitions(spark: SparkSession, paths, bytes_per_partition: int = 64 << 20) -> int:
     """Set ``spark.sql.shuffle.partitions`` from the input size.
 
     About one partition per ``bytes_per_partition`` of (compressed) input,
     never fewer than twice the default parallelism; AQE then coalesces small
-    partitions and splits skewed ones.  At 100 TB this gives tens of
-    thousands of partitions, on a laptop-sized sample a few dozen.
+    partitions and splits skewed ones.  At 100 TB this gives about 1.6 million
+    partitions, on a laptop-sized sample a few dozen.
     """
     n = -(-input_bytes(spark, paths) // bytes_per_partition)
-    n = int(min(max_partitions, max(2 * spark.sparkContext.defaultParallelism, n)))
+    n = int(max(2 * spark.sparkContext.defaultParallelism, n))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return n
 
 
+_MEMO: dict = {}
+
+
+def data_identity(spark: SparkSession, d: str) -> str:
+    """Names, sizes and times of the files below a data folder: another value once any of them changes."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(d)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+
+
+def memo(spark: SparkSession, d: str, name: str, build, fresh: bool = False):
+    """``build()``, once per application and state of the files of ``d``, until ``forget``."""
+    key = (spark.sparkContext.applicationId, data_identity(spark, d), name)
+    if fresh or key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
+def forget(spark: SparkSession | None = None) -> None:
+    """Drop what ``memo`` holds (of one application)."""
+    for k in [k for k in _MEMO if spark is None or k[0] == spark.sparkContext.applicationId]:
+        del _MEMO[k]
+
+
 def cleanup_scratch(spark: SparkSession) -> None:
     """Delete this application's written intermediates (its own sub-folder of the
     checkpoint folder; other applications' folders are not touched).  Call at
     the end of a job, after the last DataFrame reading them is used."""
     sc = spark.sparkContext
-    # forget memoised tables/models of this application: their files go now
-    from leadspark.plans import flows, models
-    app = sc.applicationId
-    for memo in (flows._WRITTEN, models._CACHE):
-        for k in [k for k in memo if k[0] == app]:
-            del memo[k]
+    forget(spark)  # their files go now
     d = sc.getCheckpointDir()
     if not d:
         return

@@ -47,7 +47,7 @@ def test_near_pairs_equals_brute_force(spark):
 def test_near_pairs_salted_hot_cells(spark):
     pts = _fixture()
     df = spark.createDataFrame(pts, "MDM_CUST_KEY string, LATITUDE double, LONGITUDE double")
-    got = {(r.MDM_CUST_KEY_1, r.MDM_CUST_KEY_2) for r in geo.near_pairs(df, hot_cell_rows=3, max_salt=4).collect()}
+    got = {(r.MDM_CUST_KEY_1, r.MDM_CUST_KEY_2) for r in geo.near_pairs(df, block_rows=3).collect()}
     assert got == _brute(pts)
 
 
@@ -84,7 +84,9 @@ def test_near_pairs_dense_site_salted(spark):
     m = 1 / 111195.0
     pts = [(f"d{i}", 12.0, 34.0) for i in range(60)] + [(f"n{i}", 12.0 + i * 0.7 * m, 34.0) for i in range(1, 12)]
     df = spark.createDataFrame(pts, "MDM_CUST_KEY string, LATITUDE double, LONGITUDE double")
-    out = geo.near_pairs(df, hot_cell_rows=10, max_salt=4)
+    out = geo.near_pairs(df, block_rows=10)
     got = [(r.MDM_CUST_KEY_1, r.MDM_CUST_KEY_2) for r in out.collect()]
-    assert len(got) == len(set(got))            # no pair twice across salts
+    assert len(got) == len(set(got))            # no pair twice across blocks
+    keys = geo.candidates(df, block_rows=10).select("_cx", "_cy", "_cz", "_ia", "_ib").distinct().count()
+    assert keys > 36                            # the dense cell's work lies in many join keys
     assert set(got) == _brute(pts)

@@ -43,7 +43,7 @@ def test_cross_validation_with_key_folds(spark, planted):
     assert {r.fold for r in train.select("fold").distinct().collect()} <= {0, 1, 2}
     g = ml.gbt(maxIter=5)
     pipe = ml.pipeline(ml.assembler(["x", "n"]), g)
-    cvm = ml.cross_validate(pipe, ml.grid([(g.maxDepth, [2, 3])]), train, "f1", parallelism=2)
+    cvm = ml.grid_search(pipe, ml.grid([(g.maxDepth, [2, 3])]), "f1", parallelism=2).fit(train)
     assert len(cvm.avgMetrics) == 2 and max(cvm.avgMetrics) > 0.9
 
 
@@ -51,8 +51,9 @@ def test_permutation_importance_planted(spark, planted):
     pipe = ml.pipeline(ml.assembler(["x", "n"]), ml.mlp(2, 5, maxIter=200))
     model = pipe.fit(planted)
 
-    def metric(pred):
-        return evaluate.auc(score.with_probability(pred), "label", "lead_gen_prob").select(F.col("auc").alias("m"))
+    def metric(pred, by):
+        a = evaluate.auc(score.with_probability(pred), "label", "lead_gen_prob", by=by)
+        return a.select(by, F.col("auc").alias("m"))
     imp = {r.feature: r.importance for r in
            importance.permutation(spark, model, planted, ["x", "n"], "MDM_CUST_KEY", metric).collect()}
     assert imp["x"] > 0.2 and abs(imp["n"]) < 0.1

@@ -27,7 +27,7 @@ def test_oversample_property(spark, sizes):
         rows += [(f"k{k + i}", label) for i in range(n)]
         k += n
     df = spark.createDataFrame(rows, "MDM_CUST_KEY string, label int")
-    out = sampling.oversample(df, "label", "MDM_CUST_KEY", 7, chunk=3, inplace_max=2)
+    out = sampling.oversample(df, "label", "MDM_CUST_KEY", 7, chunk=3)
     counts = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
     assert counts == {i: max(sizes) for i in range(len(sizes))}
     # every original row is kept once as copy 0

@@ -39,3 +39,34 @@ def test_cleanup_scratch_forgets_and_deletes(spark):
     cleanup_scratch(spark)
     assert not os.path.exists(base)
     assert flows.feature_table(spark, d).count() == n      # rebuilt, not read from deleted files
+
+
+def test_memo_follows_the_files(spark, tmp_path):
+    from leadspark.session import forget, memo
+    d = str(tmp_path)
+    spark.range(3).write.parquet(f"{d}/t.parquet")
+    first = memo(spark, d, "n", lambda: spark.read.parquet(f"{d}/t.parquet").count())
+    assert memo(spark, d, "n", lambda: -1) == first == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{d}/t.parquet")
+    assert memo(spark, d, "n", lambda: spark.read.parquet(f"{d}/t.parquet").count()) == 5
+    forget(spark)
+    assert memo(spark, d, "n", lambda: 7) == 7
+
+
+def test_temporary_folders_are_refused():
+    import pytest
+    from leadspark.session import refuse_own_folder
+    with pytest.raises(RuntimeError):
+        refuse_own_folder("file:///tmp/x")
+    refuse_own_folder("hdfs://n/tmp/x")
+    refuse_own_folder("file:///mnt/shared/x")
+
+
+def test_attach_row_refuses_filters(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from leadspark.operators.attach import attach_row
+    one = spark.range(4).agg(F.max("id").alias("m"))
+    assert attach_row(spark.range(5), one).count() == 5
+    with pytest.raises(ValueError):
+        attach_row(spark.range(5), one.filter("m > 100"))

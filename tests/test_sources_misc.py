@@ -43,14 +43,14 @@ def test_rule_probability_and_leads(spark):
     assert [r.k for r in score.buyers(s).collect()] == ["c"]
 
 
-def test_cross_validate_without_fold_column(spark):
-    rows = [(float(i % 10), 1 if i % 10 > 5 else 0) for i in range(200)]
-    df = spark.createDataFrame(rows, "x double, label int")
+def test_grid_search_folds_come_from_the_key(spark):
+    rows = [(f"k{i % 40}", float(i % 10), 1 if i % 10 > 5 else 0) for i in range(200)]
+    df = ml.with_fold(spark.createDataFrame(rows, "k string, x double, label int"), "k")
+    assert df.groupBy("k").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
     g = ml.gbt(maxIter=3)
-    res = ml.cross_validate(ml.pipeline(ml.assembler(["x"]), g), ml.grid([(g.maxDepth, [1, 2])]), df,
-                            fold_col=None, parallelism=2)
-    assert len(res.avgMetrics) == 2 and res.bestIndex in (0, 1)
-    assert res.bestModel.transform(df).filter("prediction = label").count() > 180
+    search = ml.grid_search(ml.pipeline(ml.assembler(["x"]), g), ml.grid([(g.maxDepth, [1, 2])]), parallelism=2)
+    assert search.getFoldCol() == "fold"
+    assert len(search.fit(df).avgMetrics) == 2
 
 
 def test_driver_tables_load(spark):
