@@ -131,7 +131,8 @@ def _signals(col: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
         add("doubled", mark & (b.buf[np.maximum(w.end - 2, 0)] == lastb), row)
     words = sums["words"]
     out = {"symbol": _ratio(sums["symbol"], sums["bytes"]), "upper": _ratio(sums["upper"], sums["letters"])}
-    out |= {k: _ratio(sums[k], words) for k in ("same", "function", "bar", "stop", "long", "decorated", "doubled", "variety", "run")}
+    per_word = sums.keys() - {"bytes", "letters", "words", "symbol", "upper"}
+    out |= {k: _ratio(sums[k], words) for k in per_word}
     return out, words
 
 

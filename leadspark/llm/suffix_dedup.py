@@ -15,7 +15,8 @@ a document of smaller id, or earlier in the same one).
    the bytes before the anchor as context.  Suffixes that agree in all they
    are compared by collapse to the first one in their part.  The run is front-coded.
 4. *Exchange and merge.*  Runs are cut at splitters (quantiles of a bounded
-   sample of keys) and each range is merged by a loser tree that never
+   sample of keys, no longer than an anchor, so suffixes of one anchor stay
+   together) and each range is merged by a loser tree that never
    compares known prefixes again.  The merged order with its common prefixes
    says, for each distance of window start and anchor, which windows are equal:
    equal to the right by the common prefix, equal to the left by the order of
@@ -93,7 +94,8 @@ def window_anchors(buf: np.ndarray, length: int, size: int) -> tuple[np.ndarray,
     p = np.arange(n - w + 1)
     a, b = onward[p], upto[p + w - 1]
     left = (a & ~_FLAGS) <= (b & ~_FLAGS)
-    at = np.where(left, p // w * w + (a & _FLAGS).astype(np.int64), (p + w - 1) // w * w + (b & _FLAGS).astype(np.int64))
+    in_a, in_b = (a & _FLAGS).astype(np.int64), (b & _FLAGS).astype(np.int64)
+    at = np.where(left, p // w * w + in_a, (p + w - 1) // w * w + in_b)
     return at, h
 
 
@@ -258,61 +260,63 @@ def _shared(m: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _run_rows(length: int, size: int, every: int = 64):
-    """Part and its repeated hashes -> (part, run, sample of keys, stretches repeated within the part)."""
-    names = ["part", "run", "sample", "removed"]
+SAMPLED, DENSE = 0, 1  # kinds of runs: suffixes at anchors; suffixes of windows
+RUNS = "part int, kind int, run binary, sample array<binary>, removed binary"
+
+
+def _sorted_run(g: dict[str, np.ndarray], part: int, ids: np.ndarray, ties: np.ndarray, length: int,
+                every: int) -> tuple[bytes, list[bytes], bytes]:
+    """(run, sample of its keys, stretches repeated within the part) of a part's suffixes."""
+    order = np.lexsort((g["at"], g["doc"], g["far"], *_words_of(g["ctx"])[::-1], g["key_n"],
+                        *_words_of(g["key"])[::-1]))
+    g = {k: v[order] for k, v in g.items()}
+    same = np.zeros(len(order), bool)  # as the one before in all that is compared: repeated, for that is earlier
+    same[1:] = ((g["key_n"][1:] == g["key_n"][:-1]) & (g["far"][1:] == g["far"][:-1])
+                & (g["key"][1:] == g["key"][:-1]).all(axis=1) & (g["ctx"][1:] == g["ctx"][:-1]).all(axis=1))
+    removed = _blob(*_joined(g["doc"][same], (g["at"] - g["far"])[same], (g["at"] - g["near"])[same] + length))
+    g = {k: v[~same] for k, v in g.items()}
+    keys = [r[:n].tobytes() for r, n in zip(g["key"], g["key_n"].tolist())]
+    contexts = [r[:n].tobytes() for r, n in zip(g["ctx"], g["ctx_n"].tolist())]
+    meta = {"near": g["near"], "far": g["far"], "doc": g["doc"], "part": np.full(len(keys), part),
+            "id": ids[g["doc"]], "tie": ties[g["doc"]], "at": g["at"]}
+    run = Run(keys, _shared(g["key"], g["key_n"]).tolist(), contexts, meta)
+    return run.pack(0, len(keys)), keys[every // 2::every], removed
+
 
+def _run_rows(length: int, size: int, every: int = 64):
+    """Part and its repeated hashes -> a row for each kind of suffixes it has."""
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.binary())),
-                          pa.array([], pa.binary())], names)
-        if not len(docs) or not len(hits):
-            return empty
-        docs = _in_order(docs)
-        part = docs.column("part")[0].as_py()
-        ids, ties = docs.column("doc_id").to_numpy(), docs.column("tie").to_numpy()
-        want = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in hits.column("hits").to_pylist()]))
-        bare = want & ~_FLAGS
-        got = {k: [] for k in ("key", "key_n", "ctx", "ctx_n", "near", "far", "doc", "at")}
-        for a in stretches(_texts(docs), length, size):
-            if not len(a.at) or not len(want):
-                continue
-            k = np.searchsorted(bare, a.hash).clip(max=len(bare) - 1)
-            use = bare[k] == a.hash
-            dense = use & ((want[k] & np.uint64(1)) > 0)
-            use &= ~dense
-            at, near, far = a.at[use], (a.at - a.hi)[use], (a.at - a.lo)[use]
-            doc, shift = a.doc[use], a.shift[use]
-            if dense.any():  # each window is its own suffix
-                count = (a.hi - a.lo + 1)[dense]
-                own = np.repeat(a.lo[dense], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        found = {SAMPLED: [], DENSE: []}
+
+        def add(kind, a, at, near, far, doc, shift):
+            if len(at):
+                found[kind].append({"key": _matrix(a.buf, at, length - near, length), "key_n": length - near,
+                                    "ctx": _matrix(a.buf, at - 1, far, length - size, -1), "ctx_n": far,
+                                    "near": near, "far": far, "doc": doc, "at": at + shift})
+        if len(docs) and len(hits):
+            docs = _in_order(docs)
+            want = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in hits.column("hits").to_pylist()]))
+            bare = want & ~_FLAGS
+            for a in stretches(_texts(docs), length, size) if len(want) else ():
+                k = np.searchsorted(bare, a.hash).clip(max=len(bare) - 1)
+                use = bare[k] == a.hash
+                many = use & ((want[k] & np.uint64(1)) > 0)
+                use &= ~many
+                add(SAMPLED, a, a.at[use], (a.at - a.hi)[use], (a.at - a.lo)[use], a.doc[use], a.shift[use])
+                count = (a.hi - a.lo + 1)[many]  # each window is its own suffix
+                own = np.repeat(a.lo[many], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 zero = np.zeros(len(own), np.int64)
-                at, near, far = np.append(at, own), np.append(near, zero), np.append(far, zero)
-                doc = np.append(doc, np.repeat(a.doc[dense], count))
-                shift = np.append(shift, np.repeat(a.shift[dense], count))
-            got["key"].append(_matrix(a.buf, at, length - near, length))
-            got["ctx"].append(_matrix(a.buf, at - 1, far, length - size, -1))
-            for name, v in (("key_n", length - near), ("ctx_n", far), ("near", near), ("far", far), ("doc", doc),
-                            ("at", at + shift)):
-                got[name].append(v)
-        if not got["at"] or not sum(map(len, got["at"])):
-            return empty
-        g = {k: np.concatenate(v) for k, v in got.items()}
-        order = np.lexsort((g["at"], g["doc"], g["far"], *_words_of(g["ctx"])[::-1], g["key_n"],
-                            *_words_of(g["key"])[::-1]))
-        g = {k: v[order] for k, v in g.items()}
-        same = np.zeros(len(order), bool)  # as the one before in all that is compared: repeated, for that is earlier
-        same[1:] = ((g["key_n"][1:] == g["key_n"][:-1]) & (g["far"][1:] == g["far"][:-1])
-                    & (g["key"][1:] == g["key"][:-1]).all(axis=1) & (g["ctx"][1:] == g["ctx"][:-1]).all(axis=1))
-        removed = _blob(*_joined(g["doc"][same], (g["at"] - g["far"])[same], (g["at"] - g["near"])[same] + length))
-        g = {k: v[~same] for k, v in g.items()}
-        keys = [r[:n].tobytes() for r, n in zip(g["key"], g["key_n"].tolist())]
-        contexts = [r[:n].tobytes() for r, n in zip(g["ctx"], g["ctx_n"].tolist())]
-        meta = {"near": g["near"], "far": g["far"], "doc": g["doc"], "part": np.full(len(keys), part),
-                "id": ids[g["doc"]], "tie": ties[g["doc"]], "at": g["at"]}
-        blob = Run(keys, _shared(g["key"], g["key_n"]).tolist(), contexts, meta).pack(0, len(keys))
-        return pa.table([pa.array([part], pa.int32()), pa.array([blob], pa.binary()),
-                         pa.array([keys[every // 2::every]], pa.list_(pa.binary())),
-                         pa.array([removed], pa.binary())], names)
+                add(DENSE, a, own, zero, zero, np.repeat(a.doc[many], count), np.repeat(a.shift[many], count))
+        rows = []
+        for kind, got in found.items():
+            if got:
+                g = {k: np.concatenate([x[k] for x in got]) for k in got[0]}
+                part = docs.column("part")[0].as_py()
+                rows.append((part, kind, *_sorted_run(g, part, docs.column("doc_id").to_numpy(),
+                                                      docs.column("tie").to_numpy(), length, every)))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+        cols = list(zip(*rows)) or [[]] * len(kinds)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], [f.split()[0] for f in RUNS.split(", ")])
     return run
 
 
@@ -333,15 +337,15 @@ def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], far[last] - doc[first] * gap
 
 
-def _cut_runs(splitters: list[bytes]):
-    """Runs -> (range, run): each cut where the splitters fall."""
+def _cut_runs(splitters: dict[int, list[bytes]], ranges: int):
+    """Runs (kind, run) -> (range, run): each cut where its kind's splitters fall; kinds have ranges of their own."""
     def run(batches):
         from bisect import bisect_left
         for b in batches:
-            for blob in b.column(0).to_pylist():
+            for kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 r = Run.unpack(blob)
-                cut = [0, *(bisect_left(r.keys, s) for s in splitters), len(r.keys)]
-                rows = [(k, r.pack(i, j)) for k, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+                cut = [0, *(bisect_left(r.keys, s) for s in splitters[kind]), len(r.keys)]
+                rows = [(kind * ranges + k, r.pack(i, j)) for k, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()),
                                                   pa.array([x[1] for x in rows], pa.binary())], ["range", "run"])
     return run
@@ -423,12 +427,15 @@ def _removal(docs: pa.Table, removed: pa.Table) -> pa.Table:
 
 # -- operator -----------------------------------------------------------------
 
-def _splitters(runs: DataFrame, ranges: int, sample: int) -> list[bytes]:
-    """Quantiles of a bounded sample of keys; they only balance the ranges."""
-    keys = runs.select(F.explode("sample").alias("key"))
+def _splitters(runs: DataFrame, kind: int, ranges: int, sample: int, whole: int) -> list[bytes]:
+    """Quantiles of a bounded sample of keys; they only balance the ranges.
+
+    A splitter has at most ``whole`` bytes: keys that agree so far stay together.
+    """
+    keys = runs.where(F.col("kind") == kind).select(F.explode("sample").alias("key"))
     rows = keys.orderBy(F.xxhash64("key"), "key").limit(sample).collect()  # at most `sample` keys
     s = sorted(bytes(r[0]) for r in rows)
-    return sorted({s[len(s) * k // ranges] for k in range(1, ranges)}) if s else []
+    return sorted({s[len(s) * k // ranges][:whole] for k in range(1, ranges)}) if s else []
 
 
 def removed_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
@@ -465,10 +472,13 @@ def removed_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     hits = hashes.groupBy("bucket").applyInArrow(_repeated_rows(dense_from), "part int, hits binary")
     hits = C.freeze(hits, "llm_hits")
     runs = table.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(
-        _run_rows(length, gram), "part int, run binary, sample array<binary>, removed binary")
+        _run_rows(length, gram), RUNS)
     runs = C.freeze(runs, "llm_runs")
 
-    cut = runs.select("run").mapInArrow(_cut_runs(_splitters(runs, n, sample)), "range int, run binary")
+    # suffixes of one anchor are compared by prefixes of ``gram`` bytes and more: none is cut off from another;
+    # windows are compared whole
+    splitters = {SAMPLED: _splitters(runs, SAMPLED, n, sample, gram), DENSE: _splitters(runs, DENSE, n, sample, length)}
+    cut = runs.select("kind", "run").mapInArrow(_cut_runs(splitters, n), "range int, run binary")
     merged = cut.groupBy("range").applyInArrow(_merge_rows(length, gram), "part int, removed binary")
     removed = merged.unionByName(runs.select("part", "removed"))
     lost = table.groupBy("part").cogroup(removed.groupBy("part")).applyInArrow(_removal, OUT)

@@ -176,9 +176,10 @@ def _removed(rows, size=100):
     return out
 
 
-@pytest.mark.parametrize("dense", [4096, 1])
-def test_passages_equal_brute_force(docs, dense, monkeypatch):
+@pytest.mark.parametrize("dense, partitions", [(4096, 8), (1, 8), (4096, 60)])
+def test_passages_equal_brute_force(spark, docs, dense, partitions, monkeypatch):
     monkeypatch.setattr(X, "WINDOWS", 500)
+    monkeypatch.setattr(X.C, "shuffle_partitions", lambda s: partitions)  # many ranges cut many groups
     r = random.Random(8)
 
     def noise(n):
