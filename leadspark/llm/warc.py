@@ -4,9 +4,10 @@ A record's payload travels as rows (record identifier, chunk number, bytes):
 no step after the source holds a whole payload.  An oversized payload becomes
 several WARC segments (``WARC-Segment-Number``, ``continuation`` records), each
 of at most ``SEGMENT`` payload bytes, so an archive is written and read in
-bounded pieces as well.  Reading gives chunk rows back; they are dealt by
-record, sorted by segment and chunk, and streamed through one digest per
-record that carries its state from chunk to chunk.
+bounded pieces as well.  Reading gives chunk rows back.  They stream through
+one digest per record that carries its state from chunk to chunk: where they
+are read if the record is whole, else dealt by record and sorted by segment
+and chunk.
 
 Archives are gzip files in any folder Spark can write.  A gzip file cannot be
 split, so each is read by one task, front to back, line by line.  Lost
@@ -173,7 +174,7 @@ class _Parser:
         origin = h.get("warc-segment-origin-id", h.get("warc-record-id", ""))
         declared = h.get("warc-payload-digest", "").removeprefix("sha1:")
         row = (origin, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), declared,
-               int(h.get("warc-segment-number", 1)), self.no, data)
+               int(h.get("warc-segment-number", 0)), self.no, data)
         self.no += 1
         return row
 
@@ -239,38 +240,87 @@ def read_chunks(spark: SparkSession, path: str, chunk: int = SEGMENT) -> DataFra
     return lines.mapInArrow(run, CHUNKS)
 
 
+class _Digest:
+    """The record being read: its header fields, bytes so far and running digest."""
+
+    def __init__(self, head: dict):
+        self.head, self.n, self.h = head, 0, hashlib.sha1()
+
+    def add(self, data: pa.Scalar) -> None:
+        part = data.as_buffer()
+        self.n += part.size
+        self.h.update(part)
+
+    def row(self) -> tuple:
+        named = tuple(self.head[c] for c in ("record_id", "type", "target", "refers_to"))
+        declared = self.head["declared"]
+        if self.head["type"] == "revisit":
+            return (*named, None, declared, None)
+        found = base64.b32encode(self.h.digest()).decode()
+        return (*named, self.n, found, found == declared)
+
+
+_HEAD = ["record_id", "type", "target", "refers_to", "declared"]
+_KINDS = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.bool_()]
+_NAMES = [f.split()[0] for f in RECORDS.split(", ")]
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], _NAMES)
+
+
 def records(chunks: DataFrame) -> DataFrame:
-    """One row per record: payload size and digest, streamed chunk by chunk."""
-    names = [f.split()[0] for f in RECORDS.split(", ")]
-    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.bool_()]
+    """One row per record of ``chunks`` (as ``read_chunks`` gives them): payload size and digest.
+
+    A record that is not segmented lies in one archive, so its chunks come one
+    after the other and are digested where they are read.  Only the chunks of
+    segmented records, which may lie in several archives, are dealt by record
+    and sorted; their digest runs over them in order.
+    """
+    own = [*_NAMES, "declared", "segment", "chunk_no", "data"]
+    kinds = [*_KINDS, pa.string(), pa.int32(), pa.int32(), pa.binary()]
+
+    def in_place(batches):
+        state = None
+        for b in batches:
+            rows = []
+            heads = b.select([*_HEAD, "segment", "chunk_no"]).to_pylist()
+            for head, data in zip(heads, b.column("data")):
+                if state and state.head["record_id"] != head["record_id"]:
+                    rows.append((*state.row(), None, None, None, None))
+                    state = None
+                if head["segment"]:
+                    rows.append((*(head[c] for c in _HEAD[:4]), None, None, None, head["declared"],
+                                 head["segment"], head["chunk_no"], data.as_py()))
+                else:
+                    state = state or _Digest(head)
+                    state.add(data)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], own)
+        if state:
+            rows = [(*state.row(), None, None, None, None)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], own)
 
-    def run(batches):
-        state = None  # (first row, bytes so far, running digest)
-
-        def close(s):
-            first, n, h = s
-            found = base64.b32encode(h.digest()).decode()
-            if first["type"] == "revisit":
-                return (*(first[c] for c in names[:4]), None, first["declared"], None)
-            return (*(first[c] for c in names[:4]), n, found, found == first["declared"])
+    def dealt(batches):
+        state = None
         for b in batches:
             done = []
-            heads = b.select(["record_id", "type", "target", "refers_to", "declared"]).to_pylist()
-            for head, data in zip(heads, b.column("data")):
-                if state is None or state[0]["record_id"] != head["record_id"]:
+            for head, data in zip(b.select(_HEAD).to_pylist(), b.column("data")):
+                if state is None or state.head["record_id"] != head["record_id"]:
                     if state:
-                        done.append(close(state))
-                    state = [head, 0, hashlib.sha1()]
-                part = data.as_buffer()
-                state[1] += part.size
-                state[2].update(part)
+                        done.append(state.row())
+                    state = _Digest(head)
+                state.add(data)
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names)
+                yield _table(done)
         if state:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(close(state), kinds)], names)
+            yield _table([state.row()])
+    read = chunks.mapInArrow(in_place, RECORDS + ", declared string, segment int, chunk_no int, data binary")
+    read = C.freeze(read, "llm_warc_read")
     n = C.shuffle_partitions(chunks.sparkSession)
-    dealt = chunks.repartition(n, "record_id").sortWithinPartitions("record_id", "segment", "chunk_no")
-    return dealt.mapInArrow(run, RECORDS)
+    parts = read.where("segment is not null").select(*_HEAD, "segment", "chunk_no", "data")
+    parts = parts.repartition(n, "record_id").sortWithinPartitions("record_id", "segment", "chunk_no")
+    return read.where("segment is null").select(*_NAMES).unionByName(parts.mapInArrow(dealt, RECORDS))
 
 
 def resolved(recs: DataFrame) -> DataFrame:
