@@ -109,12 +109,23 @@ class Pieces:
         usable = np.array(sorted(usable), np.int64)
         self.sorted_hash = np.sort(h[usable])
         self.sorted_id = usable[np.argsort(h[usable], kind="stable")]
+        self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece: one look here says so
+        self.maybe[(self.sorted_hash >> np.uint64(44)).astype(np.int64)] = True
+        # border tests already made: a slot holds the last pair that fell on it
+        self.pair_slot = np.full(1 << 21, -1, np.int64)
+        self.pair_fits = np.zeros(1 << 21, bool)
         cut = [c for c in "\n\t\r\x0b\x0c" if not any(c in j for j in self.joint)]
         self.cut_marks = not any(j[1] == MARK != j[0] for j in self.joint)
         alone = "".join(map(re.escape, cut))
         self.word = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")
                                if self.cut_marks else r"(?s).+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with no word remembered."""
+        self.known: dict[str, int] = {}  # word -> its place in the arrays below
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
 
     @staticmethod
     def _hashes(codes: np.ndarray) -> np.ndarray:
@@ -132,7 +143,20 @@ class Pieces:
         return np.where(self.pair_key[at] == key, self.pair_rank[at], np.iinfo(np.int64).max)
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether no merge crosses the border of the pieces a | b.  Ids below zero (unknown characters) never merge."""
+        """Whether no merge crosses the border of the pieces a | b, from the tests made before or a new one."""
+        key = a * len(self.text) + b
+        slot = (key * 0x9E3779B1 >> 11) & (len(self.pair_slot) - 1)
+        out = self.pair_fits[slot]
+        new = np.flatnonzero(self.pair_slot[slot] != key)
+        if len(new):
+            out[new] = self._fits(a[new], b[new])
+            self.pair_slot[slot[new]] = key[new]
+            self.pair_fits[slot[new]] = out[new]
+            out[a < 0] = True
+        return out
+
+    def _fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The border test.  Ids below zero (unknown characters) never merge."""
         ok = np.ones(len(a), bool)
         live = np.flatnonzero((a >= 0) & (b >= 0))
         x, y = a[live].copy(), b[live].copy()
@@ -162,9 +186,11 @@ class Pieces:
             for k in range(1, top + 1):
                 power = power * BASE
                 sub = h[:, k:] - h[:, :-k] * power
-                at = np.searchsorted(self.sorted_hash, sub).clip(max=len(self.sorted_hash) - 1)
-                w, e = np.nonzero(self.sorted_hash[at] == sub)
-                i = self.sorted_id[at[w, e]]
+                w, e = np.nonzero(self.maybe[(sub >> np.uint64(44)).astype(np.int64)])
+                own = sub[w, e]
+                at = np.searchsorted(self.sorted_hash, own).clip(max=len(self.sorted_hash) - 1)
+                hit = self.sorted_hash[at] == own
+                w, e, i = w[hit], e[hit], self.sorted_id[at[hit]]
                 same = self.length[i] == k
                 for c in range(k):  # the hash proposes, the characters decide
                     same &= self.chars[i, c] == codes[w, e + c]
@@ -198,7 +224,7 @@ class Pieces:
                 value[:, 0] = np.where(have[:, 0], value[:, 0], total[:, e - 1] + floor)
             best = value.argmax(axis=1)
             back[:, e] = best + 1
-            last[:, e] = np.where(np.isfinite(value[rows, best]), c[rows, best], -1)
+            last[:, e] = np.where(np.isfinite(value[rows, best]), np.maximum(c[rows, best], -1), -1)
             total[:, e] = value[rows, best]
         return last, back
 
@@ -206,9 +232,11 @@ class Pieces:
         raw = chr(char).encode("utf-8", "surrogatepass")
         return tuple(self.byte[x] for x in raw) if len(self.byte) == 256 else (self.unknown,)
 
-    def _encode_equal(self, words: list[str]) -> None:
+    def _encode_equal(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one after the other, and how many each has) of words of one length."""
         size = len(words[0])
         step = max(1, CELLS // (size * min(self.max_len, size)))
+        flat, count = [], []
         for at in range(0, len(words), step):
             some = words[at:at + step]
             raw = "".join(some).encode("utf-32-le", "surrogatepass")
@@ -216,18 +244,38 @@ class Pieces:
             last, back = self._best_lengths(codes)
             place, ids = np.full(len(some), size), []
             while (place > 0).any():
-                on = place > 0
-                rows = np.flatnonzero(on)
+                rows = np.flatnonzero(place > 0)
                 got = np.full(len(some), -3, np.int64)
                 got[rows] = last[rows, place[rows]]
                 unknown = rows[got[rows] == -1]
                 got[unknown] = -10 - codes[unknown, place[unknown] - 1].astype(np.int64)
                 ids.append(got)
                 place[rows] -= back[rows, place[rows]]
-            table = np.stack(ids[::-1], axis=1).tolist()
-            for word, row in zip(some, table):
-                self.known[word] = tuple(chain.from_iterable(
-                    (i,) if i >= 0 else self._spell(-10 - i) for i in row if i != -3))
+            table = np.stack(ids[::-1], axis=1)
+            n = (table != -3).sum(axis=1)
+            ids = table[table != -3]
+            if (ids <= -10).any():  # characters without a piece: their bytes
+                spelt = [self._spell(-10 - i) if i < 0 else (i,) for i in ids.tolist()]
+                row = np.repeat(np.arange(len(n)), n)
+                n = np.bincount(row, weights=list(map(len, spelt)), minlength=len(n)).astype(np.int64)
+                ids = np.fromiter(chain.from_iterable(spelt), np.int64)
+            flat.append(ids)
+            count.append(n)
+        return np.concatenate(flat), np.concatenate(count)
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode words and remember them."""
+        groups: dict[int, list[str]] = {}
+        for w in words:
+            groups.setdefault(len(w), []).append(w)
+        flat, count = [self.flat], [self.count]
+        for own in groups.values():
+            self.known.update(zip(own, range(len(self.known), len(self.known) + len(own))))
+            ids, n = self._encode_equal(own)
+            flat.append(ids.astype(np.int32))
+            count.append(n)
+        self.flat, self.count = np.concatenate(flat), np.concatenate(count)
+        self.first = np.cumsum(self.count) - self.count
 
     def _cut(self, word: str) -> list[str]:
         """A long word in parts between which no piece reaches."""
@@ -247,16 +295,21 @@ class Pieces:
             found = list(chain.from_iterable([w] if len(w) <= LONG_WORD else self._cut(w) for w in found))
         return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other, and how many each has)."""
         split = [self.words(t) for t in texts]
         if len(self.known) > REMEMBER:
-            self.known.clear()
-        new: dict[int, list[str]] = {}
-        for w in set(chain.from_iterable(split)).difference(self.known):
-            new.setdefault(len(w), []).append(w)
-        for group in new.values():
-            self._encode_equal(group)
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, ws)), np.int32) for ws in split]
+            self.forget()
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+        n = self.count[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(n) else 0
+        ids = self.flat[np.repeat(self.first[at] - (ends - n), n) + np.arange(total)]
+        words = np.cumsum([0, *map(len, split)])
+        return ids, np.diff(np.concatenate(([0], ends))[words])
 
 
 @lru_cache(maxsize=2)
@@ -296,9 +349,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         for b in batches:
             at = 0
             for texts in _some([t or "" for t in b.column(1).to_pylist()], len):
-                got = p.encode(texts)
-                ends = np.cumsum([0, *map(len, got)])
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(got)))
+                flat, count = p.encode(texts)
+                ends = np.concatenate(([0], np.cumsum(count)))
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 part = b.slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "text", "ids"])
@@ -315,10 +368,13 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
             flat = raw.take(ids.flatten())
             size = np.asarray(pc.list_value_length(ids))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), flat)
-            whole = pc.binary_join(lists, b"").to_pylist()
-            text = [t.removeprefix(b" ").decode("utf-8", "replace") for t in whole]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(text, pa.string())],
-                                             ["doc_id", "text", "ids", "decoded"])
+            whole = pc.binary_join(lists, b"")
+            whole = pc.if_else(pc.starts_with(whole, b" "), pc.binary_replace_slice(whole, 0, 1, b""), whole)
+            try:
+                text = whole.cast(pa.string())
+            except pa.ArrowInvalid:  # ids that are no encoding may spell broken characters
+                text = pa.array([t.decode("utf-8", "replace") for t in whole.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], text], ["doc_id", "text", "ids", "decoded"])
     return rows.select("doc_id", "text", "ids").mapInArrow(
         run, "doc_id long, text string, ids array<int>, decoded string")
 
