@@ -39,7 +39,8 @@ def sites(df: DataFrame, key: str = "MDM_CUST_KEY", lat: str = "LATITUDE", lon:
     """One site per key: rows with a null key or coordinate go first, then the
     smallest (lat, lon) survives, so the pick is reproducible."""
     s = df.select(col_of(key).alias(key), col_of(lat).alias(lat), col_of(lon).alias(lon))
-    s = s.na.drop(subset=[key, lat, lon])
+    # distinct sites are few and read several times by the pick: write them once
+    s = freeze(s.na.drop(subset=[key, lat, lon]).distinct(), "site_lines")
     return first_by(s, key, [lat, lon])
 
 

@@ -54,7 +54,7 @@ def q_near_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("rounded_cells", O.with_(O.sales_ctes(P.MATCH), _SITES) + """
-select round(LATITUDE, 0) as LAT_ROUND, round(LONGITUDE, 0) as LON_ROUND, count(*) as N_SITES
+select round(LATITUDE, 0) + 0.0 as LAT_ROUND, round(LONGITUDE, 0) + 0.0 as LON_ROUND, count(*) as N_SITES
 from sites group by 1, 2""")
 def q_rounded_cells(spark: SparkSession, d: str) -> DataFrame:
     return geo.rounded_cells(match_sites(spark, d))
@@ -132,12 +132,13 @@ def q_zip3_territory(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("null_safe_lookup", _DIMS + """select f.MDM_CUST_KEY, f.LAT_BAND, b.BAND_CUSTOMERS
-  from (select MDM_CUST_KEY, round(ADDR_LATITUDE, 0) as LAT_BAND from fact) f
-  left join (select round(ADDR_LATITUDE, 0) as BAND_KEY, count(*) as BAND_CUSTOMERS from master group by 1) b
+  from (select MDM_CUST_KEY, round(ADDR_LATITUDE, 0) + 0.0 as LAT_BAND from fact) f
+  left join (select round(ADDR_LATITUDE, 0) + 0.0 as BAND_KEY, count(*) as BAND_CUSTOMERS from master group by 1) b
   on f.LAT_BAND is not distinct from b.BAND_KEY""")
 def q_null_safe_lookup(spark: SparkSession, d: str) -> DataFrame:
-    f = flows.lead_fact(spark, d).select(P.KEY, F.round("ADDR_LATITUDE", 0).alias("LAT_BAND"))
-    bands = (flows.master(spark, d).groupBy(F.round("ADDR_LATITUDE", 0).alias("BAND_KEY"))
+    band = F.round("ADDR_LATITUDE", 0) + F.lit(0.0)  # no negative zero
+    f = flows.lead_fact(spark, d).select(P.KEY, band.alias("LAT_BAND"))
+    bands = (flows.master(spark, d).groupBy(band.alias("BAND_KEY"))
              .agg(F.count(F.lit(1)).alias("BAND_CUSTOMERS")))
     return enrich.lookup(f, bands, "LAT_BAND", "BAND_KEY", "left", null_safe=True)
 

@@ -135,12 +135,13 @@ def star_specs(spark: SparkSession, d: str, first_how: str, max_year: int | None
                dedupe_order="SLA_ORDER", null_safe=True),
         Lookup(D.tech_calls(spark, d), P.KEY, "MDM_ID", drop=["MDM_ID", "TECH_EVENT"],
                dedupe_order="TECH_EVENT", null_safe=True),
-        Lookup(D.territory(spark, d), "ZIP3", "TERR_ZIP3", drop=["TERR_ZIP3", "TERR_REGION"],
-               null_safe=True, derive={"ZIP3": zip3("ADDR_ZIP")}),
         Lookup(D.external_ids(spark, d), P.KEY, "mdm_site_key", drop=["EXT_ROW", "mdm_site_key"],
                dedupe_order="EXT_ROW", null_safe=True),
         Lookup(D.implants_a(spark, d), P.KEY, "IMPL_KEY", drop=D.implants_a_drop(), null_safe=True),
         Lookup(D.implants_b(spark, d), P.KEY, "IDB_KEY", drop=["IDB_KEY"], null_safe=True),
+        # another key, so last: the lookups above shuffle the lead list once
+        Lookup(D.territory(spark, d), "ZIP3", "TERR_ZIP3", drop=["TERR_ZIP3", "TERR_REGION"],
+               null_safe=True, derive={"ZIP3": zip3("ADDR_ZIP")}),
     ]
 
 
