@@ -34,15 +34,16 @@ def exclude_key(df: DataFrame, key: str, sentinel: str) -> DataFrame:
     return df.filter(col_of(key) != sentinel)
 
 
-def first_by(df: DataFrame, keys, order, keep=None) -> DataFrame:
+def first_by(df: DataFrame, keys, order, keep=None, unique: bool = False) -> DataFrame:
     """One row per key: the row that comes first by ``order`` (nulls last).
 
     For each order column the least value per key is found by a hash aggregate
     (partial + final, so a key that holds a large share of the rows is reduced
     map-side) and the rows are joined back to it; nothing is sorted by key and
-    order.  Rows that agree in all order columns are equal candidates: ``order``
-    should be unique within a key for a reproducible survivor.  Null keys form
-    one group (as in a pandas ``drop_duplicates``).
+    order.  Rows that agree in all order columns are equal candidates, and any
+    one of them stays; ``unique`` says that there are none (the order is a row
+    number or a primary key), which saves looking for them.  Null keys form one
+    group (as in a pandas ``drop_duplicates``).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
@@ -53,7 +54,8 @@ def first_by(df: DataFrame, keys, order, keep=None) -> DataFrame:
         for i, k in enumerate(keys):
             cond = cond & col_of(k).eqNullSafe(F.col(f"_k{i}"))
         out = out.join(least, cond, "left_semi")
-    out = out.dropDuplicates(keys)
+    if not unique:
+        out = out.dropDuplicates(keys)
     return out.select(*[col_of(c) for c in df.columns if c in keys or c in (keep or df.columns)])
 
 

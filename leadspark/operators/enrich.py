@@ -69,7 +69,7 @@ def key_set(fact: DataFrame, left_on: str) -> DataFrame:
 def lookup(fact: DataFrame, dim: DataFrame, left_on: str, right_on: str, how: str = "left",
            drop=None, dedupe_order=None, null_safe: bool = False,
            drop_right_key: bool = True,
-           prefilter: bool = False, keys: DataFrame | None = None) -> DataFrame:
+           prefilter: bool = False, keys: DataFrame | None = None, unique_order: bool = False) -> DataFrame:
     """Enrich ``fact`` with ``dim``; optional semi-join reduction of ``dim`` to the
     fact's keys (``prefilter``; ``keys`` may supply a precomputed superset),
     keep-first dedupe of ``dim`` on its key (by ``dedupe_order``), then merge
@@ -77,7 +77,7 @@ def lookup(fact: DataFrame, dim: DataFrame, left_on: str, right_on: str, how: st
     if prefilter and how in ("left", "inner"):
         dim = semi_filter(dim, keys if keys is not None else key_set(fact, left_on), right_on, null_safe)
     if dedupe_order is not None:
-        dim = first_by(dim, right_on, dedupe_order)
+        dim = first_by(dim, right_on, dedupe_order, unique=unique_order)
     j = merge(fact, dim, left_on, right_on, how, null_safe=null_safe)
     to_drop = list(drop or [])
     if drop_right_key and right_on != left_on and right_on not in to_drop:
@@ -93,6 +93,7 @@ class Lookup:
     how: str = "left"
     drop: list = field(default_factory=list)
     dedupe_order: object = None
+    unique_order: bool = False                   # dedupe_order has no ties within a key
     null_safe: bool = False
     derive: dict = field(default_factory=dict)   # new fact columns before the join
     prefilter: bool = True                       # semi-join the dim to the fact's keys first
@@ -118,7 +119,7 @@ def star(fact: DataFrame, lookups, keys: dict | None = None, write_fact: bool =
             ks = keys.setdefault(lk.left_on, key_set(base, lk.left_on))
         fact = lookup(fact, lk.dim, lk.left_on, lk.right_on, lk.how, lk.drop, lk.dedupe_order,
                       lk.null_safe, drop_right_key=False,
-                      prefilter=ks is not None, keys=ks)
+                      prefilter=ks is not None, keys=ks, unique_order=lk.unique_order)
     return fact
 
 

@@ -120,7 +120,8 @@ def q_install_left(spark: SparkSession, d: str) -> DataFrame:
 def q_lookup_first(spark: SparkSession, d: str) -> DataFrame:
     f = flows.lead_fact(spark, d).select(P.KEY, "lead_gen_prob")
     return _dbl(enrich.lookup(f, D.contracts(spark, d), P.KEY, "BILL_MDM_KEY", "left", prefilter=True,
-                              drop=["BILL_MDM_KEY", "SLA_SKU"], dedupe_order="SLA_ORDER"), ["SLA_ORDER"])
+                              drop=["BILL_MDM_KEY", "SLA_SKU"], dedupe_order="SLA_ORDER",
+                              unique_order=True), ["SLA_ORDER"])
 
 
 @query("zip3_territory", _DIMS + """select f.MDM_CUST_KEY, f.ADDR_ZIP, f.ZIP3, t.TERR_NATION, t.TERR_REP

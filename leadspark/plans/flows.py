@@ -132,11 +132,11 @@ def star_specs(spark: SparkSession, d: str, first_how: str, max_year: int | None
         Lookup(inst, P.KEY, "ship_to_mdm_cust_key", first_how, D.install_drop(), null_safe=True,
                prefilter=customer_keys is None),
         Lookup(D.contracts(spark, d), P.KEY, "BILL_MDM_KEY", drop=["BILL_MDM_KEY", "SLA_SKU", "SLA_ORDER"],
-               dedupe_order="SLA_ORDER", null_safe=True),
+               dedupe_order="SLA_ORDER", unique_order=True, null_safe=True),
         Lookup(D.tech_calls(spark, d), P.KEY, "MDM_ID", drop=["MDM_ID", "TECH_EVENT"],
-               dedupe_order="TECH_EVENT", null_safe=True),
+               dedupe_order="TECH_EVENT", unique_order=True, null_safe=True),
         Lookup(D.external_ids(spark, d), P.KEY, "mdm_site_key", drop=["EXT_ROW", "mdm_site_key"],
-               dedupe_order="EXT_ROW", null_safe=True),
+               dedupe_order="EXT_ROW", unique_order=True, null_safe=True),
         Lookup(D.implants_a(spark, d), P.KEY, "IMPL_KEY", drop=D.implants_a_drop(), null_safe=True),
         Lookup(D.implants_b(spark, d), P.KEY, "IDB_KEY", drop=["IDB_KEY"], null_safe=True),
         # another key, so last: the lookups above shuffle the lead list once
