@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -95,6 +97,35 @@ def freeze(df, name: str = "frozen"):
     return spark.read.parquet(path)
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let executors import this package, wherever the driver found it (once per application).
+
+    The package goes as a zip file to the checkpoint folder, from which Spark
+    hands it to each executor.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "leadspark")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, root))
+    target = scratch_path(spark, f"package/{uuid.uuid4().hex}/leadspark.zip")
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def input_bytes(spark: SparkSession, paths) -> int:
     """Total size of the given files/folders, via the Hadoop file system of each path."""
     jvm = spark.sparkContext._jvm
