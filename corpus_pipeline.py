@@ -16,6 +16,7 @@ from leadspark.llm import decontaminate, exact_dedup, quality, sentencepiece_cod
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the weak labels of ``docs``, does not reject (operator 2)."""
+    C.ship_package(spark)
     return quality.keep_good(docs)
 
 
@@ -26,6 +27,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, the one of the smallest id (operator 9)."""
+    C.ship_package(spark)
     return simhash.keep_one(docs)
 
 
@@ -36,6 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text (operator 4)."""
+    C.ship_package(spark)
     coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.session import ensure_checkpoint_dir, freeze
+from leadspark.session import ensure_checkpoint_dir, freeze, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: space, tab, line feed, vertical tab, form feed, carriage return
 SPACES = " \t\n\x0b\x0c\r"
 
 __all__ = ["UPPER", "SPACES", "ensure_checkpoint_dir", "freeze", "read", "ascii_lower", "let", "words",
-           "spread_join", "shuffle_partitions", "keep_rows"]
+           "spread_join", "shuffle_partitions", "ship_package", "keep_rows"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
