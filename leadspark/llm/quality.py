@@ -39,8 +39,9 @@ SAMPLE = 8192
 BUCKETS = 1 << 14
 #: 4-grams of a text that weigh as much as the usual log-odds.
 LEAST_GRAMS = 16
-#: A document scored below this is rejected.
-KEEP_FROM = 0.5
+#: A document scored below this is rejected: one that is at least three times as likely bad as good, for a filter
+#: should keep clean documents rather than catch the last bad one.
+KEEP_FROM = 0.25
 #: Bad votes on good documents, at most, for any labeller.
 FALSE_ALARM = 0.01
 EM_ROUNDS = 200

@@ -142,4 +142,4 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty, tmp_path):
 
 
 def test_quality_constants():
-    assert quality.KEEP_FROM == 0.5 and decontaminate.SHINGLE == 5 and decontaminate.CONTAINMENT == 0.8
+    assert quality.KEEP_FROM == 0.25 and decontaminate.SHINGLE == 5 and decontaminate.CONTAINMENT == 0.8
