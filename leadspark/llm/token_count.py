@@ -1,7 +1,9 @@
 """Token counts of whole texts by a tokenizer of the ``tokenizers`` library.
 
-Documents of up to ``CHUNK`` characters are encoded as they are.  A longer one
-is encoded in chunks that overlap, with offsets, and the chunks' token
+Documents of up to ``CHUNK`` characters are counted word by word: white space is
+a boundary (see below), so a text has as many tokens as its words together, and
+each worker asks the library for a word's count once and remembers it.  A longer
+document is encoded in chunks that overlap, with offsets, and the chunks' token
 sequences are spliced inside each overlap.  A splice point is a place after
 white space at which both sequences start a token, with the same ids at the
 same offsets from the overlap's first such place to its last one.  White space
@@ -24,6 +26,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +39,11 @@ MODEL = "word_bpe_49k.json"
 CHUNK = 1 << 15
 OVERLAP = 1 << 9
 LIMIT = 2048
-#: Characters handed to the library at once.
+#: Characters of documents handled at once.
 BATCH = 1 << 20
+#: Words whose counts a worker remembers, and the longest word it does so for.
+REMEMBER = 400_000
+WORD = 64
 
 _AFTER_SPACE = re.compile(r"(?<=[ \n\t\r])[^ \n\t\r]")
 
@@ -111,15 +117,42 @@ def chunked(text: str, encode: Callable[[str, int], Tokens], chunk: int = CHUNK,
     yield [x for x in left if x[0] >= keep_from]
 
 
+class WordCounts:
+    """Token counts of texts from the library's counts of their words."""
+
+    def __init__(self, model: str):
+        self.tokenizer, self.known = tokenizer(model), {"": 0}
+
+    def _ask(self, words: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def count(self, texts: list[str]) -> list[int]:
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.known) > REMEMBER:
+            self.known = {"": 0}
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        known, long = self.known, {}
+        for w, n in zip(new, self._ask(new)):
+            (known if len(w) <= WORD else long)[w] = n
+        if long:
+            known = known | long
+        return [sum(map(known.__getitem__, ws)) for ws in split]
+
+
+@lru_cache(maxsize=4)
+def word_counts(model: str) -> WordCounts:
+    """One copy a worker."""
+    return WordCounts(model)
+
+
 def count_tokens(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row of ``docs``."""
     def counts(texts: list[str]) -> list[int]:
         out, held, size = [0] * len(texts), [], 0
-        t = tokenizer(model)
 
         def flush():
-            for i, e in zip(held, t.encode_batch_fast([texts[i] for i in held], add_special_tokens=False)):
-                out[i] = len(e)
+            for i, n in zip(held, word_counts(model).count([texts[i] for i in held])):
+                out[i] = n
             held.clear()
         for i, text in enumerate(texts):
             if len(text) > chunk:
