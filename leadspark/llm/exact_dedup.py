@@ -58,6 +58,8 @@ class DigestIndex:
                                       F.lit(0).cast("long").alias("group_size")).where(F.lit(False)))
         rows = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"),
                                            F.count(F.lit(1)).alias("group_size"))
+        # written, for the optimizer would move the anti-join below the aggregate and shuffle all rows of a digest
+        rows = C.freeze(rows, "llm_digest_groups")
         known = self.table().select("digest").hint("merge")
         self._append(rows.join(known, "digest", "left_anti"))
 
