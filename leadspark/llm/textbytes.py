@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a vectorised pass holds at once (a few 8-byte arrays of this length).
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 #: The white space of this package: space and the control characters 9 to 13.
 IS_SPACE = np.zeros(256, bool)
