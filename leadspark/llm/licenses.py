@@ -1,7 +1,8 @@
 """Licence scan by a trained paragraph classifier.
 
-A paragraph is a line; one of more than ``WINDOW`` words is read in windows
-that overlap by half, so a notice inside a long line is seen whole.  Its
+A paragraph is a run of lines between blank ones, so a notice may be wrapped or
+stand behind comment marks; one of more than ``WINDOW`` words is read in
+windows that overlap by half, so a notice inside it is seen whole.  Its
 features are the 1- to 3-grams of its words (A-Z lower-cased, cut at anything
 but letters and digits) that occur in the templates: a sparse vocabulary of a
 few thousand.  A multinomial logistic regression over the licence families and
@@ -95,7 +96,6 @@ FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 
 _FOLD = np.full(256, 32, np.uint8)
-_FOLD[10] = 10
 _FOLD[48:58] = np.arange(48, 58)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -123,6 +123,15 @@ class Windows(NamedTuple):
     row: np.ndarray    # and the text
 
 
+def _blank_lines(buf: np.ndarray) -> np.ndarray:
+    """For each byte, how many lines of nothing but white space end before it or at it."""
+    feed = np.flatnonzero(buf == 10)
+    solid = np.cumsum(~T.IS_SPACE[buf])[feed]
+    blank = np.zeros(len(buf), np.int64)
+    blank[feed[1:][solid[1:] == solid[:-1]]] = 1
+    return np.cumsum(blank)
+
+
 def windows(col: pa.Array, size: int = WINDOW) -> Iterator[Windows]:
     """Windows of the paragraphs of a column's texts, block by block."""
     for b in T.blocks(col):
@@ -130,9 +139,9 @@ def windows(col: pa.Array, size: int = WINDOW) -> Iterator[Windows]:
         w = T.word_table(b._replace(buf=buf))
         if not len(w.start):
             continue
-        line = np.cumsum(buf == 10)[w.start]  # words of one line of one text stand together
+        par = _blank_lines(b.buf)[w.start]  # words of one paragraph of one text stand together
         new = np.ones(len(w.start), bool)
-        new[1:] = (line[1:] != line[:-1]) | (w.piece[1:] != w.piece[:-1])
+        new[1:] = (par[1:] != par[:-1]) | (w.piece[1:] != w.piece[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(new))
         half = size // 2

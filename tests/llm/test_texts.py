@@ -1,6 +1,7 @@
 """Operators 2, 4, 6, 7, 10: classifier, tokens, repeated passages, licences."""
 import hashlib
 import random
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -224,3 +225,29 @@ def test_licences_odd_rows(odd, empty):
     assert len(got) == len(ODD) and not any(r.licenses for r in got)
     assert {r.n_windows for r in got if r.doc_id in (1, 2, 3)} == {0}
     assert L.scan(empty, L.train(empty)).count() == 0
+
+
+def _licences(docs, texts):
+    d = docs([(1000 + i, "\n\n".join(_prose(R.randrange(5, 80)) for _ in range(4))) for i in range(60)]
+             + list(enumerate(texts)))
+    got = {r.doc_id: list(r.licenses) for r in L.scan(d, L.train(d)).collect()}
+    assert not any(f for i, f in got.items() if i >= 1000)
+    return [got[i] for i in range(len(texts))]
+
+
+def test_licences_in_wrapped_lines(docs):
+    families, texts = [], []
+    for f in L.FAMILIES:
+        for notice in L.TEMPLATES[f]:
+            for k, mark in enumerate(("", "# ", " * ", "// ")):
+                lines = textwrap.wrap(notice, (72, 40, 30, 25)[k])
+                texts.append("\r\n".join([mark + x for x in [_prose(12), "", *lines, "", _prose(9)]])
+                             if k else "\n".join([_prose(60), "", *lines, " \t", _prose(20)]))
+                families.append([f])
+    assert _licences(docs, texts) == families
+
+
+def test_paragraphs_end_at_blank_lines():
+    def sizes(text):
+        return [int(n) for w in L.windows(pa.array([text])) for n in w.last - w.first]
+    assert sizes("a b\nc\n\nd\n \t\r\ne f\n# \ng\n\n\n") == [3, 1, 3]
