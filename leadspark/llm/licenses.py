@@ -117,38 +117,60 @@ def _word_hashes(text: str) -> np.ndarray:
 
 
 class Windows(NamedTuple):
-    hash: np.ndarray   # of every word of a block
+    hash: np.ndarray   # of every word of a block, after the words carried over
     first: np.ndarray  # windows: first word, word after the last
     last: np.ndarray
     row: np.ndarray    # and the text
 
 
-def _blank_lines(buf: np.ndarray) -> np.ndarray:
-    """For each byte, how many lines of nothing but white space end before it or at it."""
+def _blank_lines(buf: np.ndarray, blank_so_far: bool) -> tuple[np.ndarray, bool]:
+    """For each byte, how many lines of nothing but white space end before it or at it; whether the last line is such."""
     feed = np.flatnonzero(buf == 10)
-    solid = np.cumsum(~T.IS_SPACE[buf])[feed]
+    solid = np.cumsum(~T.IS_SPACE[buf])
+    at = np.concatenate(([0 if blank_so_far else -1], solid[feed]))
     blank = np.zeros(len(buf), np.int64)
-    blank[feed[1:][solid[1:] == solid[:-1]]] = 1
-    return np.cumsum(blank)
+    blank[feed[at[1:] == at[:-1]]] = 1
+    return np.cumsum(blank), bool(at[-1] == solid[-1])
 
 
 def windows(col: pa.Array, size: int = WINDOW) -> Iterator[Windows]:
-    """Windows of the paragraphs of a column's texts, block by block."""
-    for b in T.blocks(col):
-        buf = _FOLD[b.buf]
-        w = T.word_table(b._replace(buf=buf))
-        if not len(w.start):
+    """Windows of the paragraphs of a column's texts, block by block, the same for any block size.
+
+    Of a paragraph that goes on in the next block, the words from the first
+    window that is not yet full are carried over.
+    """
+    half = size // 2
+    held, held_par, begun = np.zeros(0, np.uint64), 0, False  # the paragraph that goes on
+    par, blank = 0, False                                     # blank lines of the text that goes on
+    for b, w, more in T.whole_words(col, _FOLD):
+        if not len(b.buf):
             continue
-        par = _blank_lines(b.buf)[w.start]  # words of one paragraph of one text stand together
-        new = np.ones(len(w.start), bool)
-        new[1:] = (par[1:] != par[:-1]) | (w.piece[1:] != w.piece[:-1])
+        lines, blank = _blank_lines(b.buf, blank)
+        lines += par
+        hashes = np.concatenate((held, w.hash))
+        row = np.concatenate((np.full(len(held), b.row[0]), w.row))
+        at = np.concatenate((np.full(len(held), held_par), lines[w.start]))
+        par, blank = (int(lines[-1]), blank) if more else (0, False)
+        if not len(hashes):
+            continue
+        new = np.ones(len(hashes), bool)  # words of one paragraph of one text stand together
+        new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(new))
-        half = size // 2
         count = np.maximum(1, -(-(last - first - half) // half))
+        if begun:
+            count[0] = max(0, -(-(last[0] - half) // half))
+        held, begun = np.zeros(0, np.uint64), begun and len(first) == 1
+        if more:
+            count[-1] = max(0, (last[-1] - first[-1] - size) // half + 1)
+            begun = begun or bool(count[-1])
+            held, held_par = hashes[first[-1] + count[-1] * half:].copy(), at[-1]
+        else:
+            begun = False
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = np.repeat(first, count) + step * half
-        yield Windows(w.hash, start, np.minimum(start + size, np.repeat(last, count)), b.row[w.piece[start]])
+        if len(start):
+            yield Windows(hashes, start, np.minimum(start + size, np.repeat(last, count)), row[start])
 
 
 class Model(NamedTuple):

@@ -90,13 +90,39 @@ LABELLERS = {
 }
 
 
+class Distinct:
+    """Distinct words of a text that comes in pieces: merged whenever as many new ones are held as merged ones."""
+
+    def __init__(self):
+        self.held, self.new, self.merged = [], 0, 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.held.append(np.unique(hashes))
+        self.new += len(self.held[-1])
+        if self.new > max(self.merged, T.BLOCK):
+            self._merge()
+
+    def _merge(self) -> None:
+        self.held = [np.unique(np.concatenate(self.held))]
+        self.new, self.merged = 0, len(self.held[0])
+
+    def take(self) -> int:
+        """The number of distinct words; the next text begins."""
+        self._merge()
+        n = self.merged
+        self.__init__()
+        return n
+
+
 def _signals(col: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Signals of the column's texts, and their numbers of words."""
     n = len(col)
     sums = {k: np.zeros(n) for k in ("bytes", "letters", "words", "symbol", "upper", "same", "function", "bar",
                                      "stop", "long", "decorated", "doubled", "variety", "run")}
     function = np.sort(np.array([T.hash_of(w) for w in FUNCTION_WORDS], np.uint64))
-    for b in T.blocks(col):
+    back = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # row and hash of the last two words of the blocks before
+    seen = Distinct()
+    for b, w, more in T.whole_words(col):
         if not len(b.buf):
             continue
         pos_row = np.repeat(b.row, b.end - b.start)
@@ -109,27 +135,31 @@ def _signals(col: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
         add("letters", letter, pos_row)
         add("symbol", np.isin(b.buf, np.frombuffer(b"#$%&*@^~<>{}[]\\=_+", np.uint8)), pos_row)
         sums["bytes"] += np.bincount(pos_row, minlength=n)
-        w = T.word_table(b)
-        if not len(w.start):
-            continue
-        row = b.row[w.piece]
-        size, lastb = w.end - w.start, b.buf[w.end - 1]
+        row, lastb = w.row, w.last
         sums["words"] += np.bincount(row, minlength=n)
-        add("same", np.concatenate(([False], (w.hash[1:] == w.hash[:-1]) & (row[1:] == row[:-1]))), row)
-        add("run", np.concatenate(([False] * 2, (w.hash[2:] == w.hash[1:-1]) & (w.hash[2:] == w.hash[:-2])
-                                   & (row[2:] == row[:-2])))[:len(row)], row)
-        order = np.lexsort((w.hash, row))
-        fresh = np.ones(len(row), bool)
-        fresh[1:] = (row[order][1:] != row[order][:-1]) | (w.hash[order][1:] != w.hash[order][:-1])
-        add("variety", fresh, row[order])  # distinct words, block by block for a text of several blocks
+        rows, hashes = (np.concatenate(x) for x in zip(back, (row, w.hash)))
+        same = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
+        old = len(rows) - len(row)
+        add("same", np.concatenate(([False], same))[:len(rows)][old:], row)
+        add("run", np.concatenate(([False] * 2, same[1:] & same[:-1]))[:len(rows)][old:], row)
+        back = rows[-2:], hashes[-2:]
+        if more or seen.held:  # distinct words of the whole text
+            seen.add(w.hash)
+            if not more:
+                sums["variety"][b.row[0]] += seen.take()
+        else:
+            order = np.lexsort((w.hash, row))
+            fresh = np.ones(len(row), bool)
+            fresh[1:] = (row[order][1:] != row[order][:-1]) | (w.hash[order][1:] != w.hash[order][:-1])
+            add("variety", fresh, row[order])
         near = np.searchsorted(function, w.hash).clip(max=len(function) - 1)
         add("function", function[near] == w.hash, row)
-        add("bar", (size == 1) & ((lastb == 124) | (lastb == 45) | (lastb == 42)), row)
-        add("stop", (lastb == 46) | (lastb == 63) | ((lastb == 33) & (b.buf[np.maximum(w.end - 2, 0)] != 33)), row)
-        add("long", size > 14, row)
-        mark = _MARK[lastb] & (size > 1)
+        add("bar", (w.size == 1) & ((lastb == 124) | (lastb == 45) | (lastb == 42)), row)
+        add("stop", (lastb == 46) | (lastb == 63) | ((lastb == 33) & (w.before != 33)), row)
+        add("long", w.size > 14, row)
+        mark = _MARK[lastb] & (w.size > 1)
         add("decorated", mark, row)
-        add("doubled", mark & (b.buf[np.maximum(w.end - 2, 0)] == lastb), row)
+        add("doubled", mark & (w.before == lastb), row)
     words = sums["words"]
     out = {"symbol": _ratio(sums["symbol"], sums["bytes"]), "upper": _ratio(sums["upper"], sums["letters"])}
     per_word = sums.keys() - {"bytes", "letters", "words", "symbol", "upper"}
@@ -208,22 +238,22 @@ def _grams(b: T.Block) -> tuple[np.ndarray, np.ndarray]:
     return row[:-3][inside], bucket[inside]
 
 
-def _repeats(b: T.Block) -> tuple[np.ndarray, np.ndarray]:
-    """(row, whether a word repeats the one before it) of a block's words."""
-    w = T.word_table(b)
-    row = b.row[w.piece]
-    same = np.zeros(len(row), bool)
-    same[1:] = (w.hash[1:] == w.hash[:-1]) & (row[1:] == row[:-1])
-    return row, same
-
-
 def features(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, bucket, share), the relative frequency of each feature within a text, and each text's 4-grams."""
     n = len(col)
     rows, buckets, counts = [], [], []
-    for b in T.blocks(col):
+    tail = np.zeros(0, np.uint8)  # last bytes of the text that goes on
+    back = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # row and hash of the last word of the blocks before
+    for b, w, more in T.whole_words(col):
+        if len(tail):
+            b = T.Block(np.concatenate((tail, b.buf)), b.start, b.end + len(tail), b.row)
         r, k = _grams(b)
-        row, same = _repeats(b)
+        tail = b.buf[1 - GRAM:].copy() if more else tail[:0]
+        row, hashes = (np.concatenate(x) for x in zip(back, (w.row, w.hash)))
+        same = np.zeros(len(row), bool)  # whether a word repeats the one before it
+        same[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
+        old, back = len(row) - len(w.row), (row[-1:], hashes[-1:])
+        row, same = row[old:], same[old:]
         key = np.concatenate((r * BUCKETS + k, row * BUCKETS + np.where(same, BUCKETS - 1, BUCKETS - 2)))
         u, c = np.unique(key, return_counts=True)
         rows.append(u // BUCKETS), buckets.append(u % BUCKETS), counts.append(c)

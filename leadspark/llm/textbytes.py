@@ -36,8 +36,9 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off.astype(np.int64)
 
 
-def blocks(col: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
+def blocks(col: pa.Array, limit: int | None = None) -> Iterator[Block]:
     """The column's texts in blocks of about ``limit`` bytes; longer texts in pieces cut before white space."""
+    limit = limit or BLOCK
     buf, off = column_bytes(col)
     first = 0
     while first < len(col):
@@ -117,6 +118,58 @@ def word_table(b: Block) -> Words:
     return Words(start, end, piece, mix(h + length * np.uint64(0xC2B2AE3D27D4EB4F)))
 
 
+class Whole(NamedTuple):
+    row: np.ndarray
+    start: np.ndarray   # in the block, 0 if in an earlier one
+    size: np.ndarray
+    last: np.ndarray    # byte
+    before: np.ndarray  # the byte before it in the word, or 0
+    hash: np.ndarray
+
+
+def whole_words(col: pa.Array, fold: np.ndarray | None = None) -> Iterator[tuple[Block, Whole, bool]]:
+    """(block, words that end in it, whether its text goes on), the same words for any block size.
+
+    ``fold`` maps the bytes that words are made of; blocks come unmapped.  A
+    word cut by the end of a block is carried on as the sum, size and last
+    bytes of what is read of it.
+    """
+    held, stream = None, blocks(col)
+    b = next(stream, None)
+    while b is not None:
+        after = next(stream, None)
+        more = after is not None and after.row[0] == b.row[-1]
+        buf = b.buf if fold is None else fold[b.buf]
+        w = word_table(b._replace(buf=buf))
+        size, last = w.end - w.start, buf[w.end - 1]
+        got = Whole(b.row[w.piece], w.start, size, last, np.where(size > 1, buf[w.end - 2], 0), w.hash)
+        if held is not None or more:
+            got = Whole(*(np.array(x) for x in got))
+        total = None
+        if held is not None:  # the first word began earlier
+            total = (held[0] + pow(int(BASE), held[1], 1 << 64) * _sum(buf[:size[0]])) % (1 << 64)
+            got.before[0] = got.before[0] if size[0] > 1 else held[2]
+            got.size[0] += held[1]
+            got.hash[0] = _finish(total, int(got.size[0]))
+            held = None
+        if more and len(buf) and not (IS_SPACE[buf[-1]] or IS_SPACE[(after.buf if fold is None else fold[after.buf[:1]])[0]]):
+            if total is None or len(size) > 1:
+                total = _sum(buf[w.start[-1]:])
+            held = total, int(got.size[-1]), int(got.last[-1])
+            got = Whole(*(x[:-1] for x in got))
+        yield b, got, more
+        b = after
+
+
+def _sum(word: np.ndarray) -> int:
+    """The polynomial hash of a word before its bits are spread."""
+    return int(((word.astype(np.uint64) + np.uint64(1)) * powers(len(word))).sum())
+
+
+def _finish(total: int, size: int) -> np.uint64:
+    return mix(np.array([total], np.uint64) + np.array([size], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[0]
+
+
 def _inverse_power(k: int) -> np.uint64:
     return np.uint64(pow(pow(int(BASE), k, 1 << 64), -1, 1 << 64))
 

@@ -50,6 +50,57 @@ def test_word_table_in_any_blocks(monkeypatch):
         assert {r for r, _ in found} == {0, 3, 4, 5}
 
 
+def _long_texts():
+    r = random.Random(4)
+
+    def word():
+        return "".join(r.choice("abcXY12é-,!#") for _ in range(r.choice([1, 2, 3, 5, 9, 40])))
+    texts = ["a b", "", "! x", None]
+    for _ in range(12):
+        sep = r.choice([" ", "\n", "  \n \t\n"])
+        texts.append("".join(word() + (r.choice([" ", " ", "\n", sep, "-"])) for _ in range(r.randrange(300))))
+    p = " ".join(word() for _ in range(400))
+    return texts + [p, p + " " + p, "y" * 1000, "\n\n" * 300 + "z " * 200, "same " * 400, "- " + "é" * 300 + " !"]
+
+
+def _in_block_sizes(monkeypatch, f):
+    out = []
+    for size in (1 << 18, 200, 64, 33):
+        monkeypatch.setattr(T, "BLOCK", size)
+        out.append(f())
+    assert all(x == out[0] for x in out[1:])
+
+
+def test_words_and_windows_are_the_same_in_any_blocks(monkeypatch):
+    col = pa.array(_long_texts())
+    for fold in (None, L._FOLD):
+        _in_block_sizes(monkeypatch, lambda: [
+            tuple(map(int, x)) for _, w, _ in T.whole_words(col, fold) for x in zip(w.row, w.size, w.last, w.before, w.hash)])
+    for size in (64, 8):
+        _in_block_sizes(monkeypatch, lambda: sorted(
+            (int(r), w.hash[f:e].tolist()) for w in L.windows(col, size) for f, e, r in zip(w.first, w.last, w.row)))
+
+
+def test_votes_and_features_are_the_same_in_any_blocks(monkeypatch):
+    col = pa.array(_long_texts())
+
+    def votes():
+        signals, words = Q._signals(col)
+        return {k: v.tolist() for k, v in signals.items()}, words.tolist()
+
+    def shares():
+        out = {}
+        for row, bucket, share, _ in Q.features(col):
+            for k, v in zip(zip(row.tolist(), bucket.tolist()), share.tolist()):
+                out[k] = out.get(k, 0) + v
+        return {k: round(v, 9) for k, v in out.items()}
+    _in_block_sizes(monkeypatch, votes)
+    _in_block_sizes(monkeypatch, shares)
+    monkeypatch.undo()
+    signals, _ = Q._signals(pa.array([" ".join(f"w{i}" for i in range(50000)) + " " + " ".join(f"w{i}" for i in range(50000))]))
+    assert signals["variety"][0] == 0.5  # 678 KB
+
+
 # -- operator 2 ---------------------------------------------------------------
 
 def test_label_model_finds_rates():
@@ -251,3 +302,12 @@ def test_paragraphs_end_at_blank_lines():
     def sizes(text):
         return [int(n) for w in L.windows(pa.array([text])) for n in w.last - w.first]
     assert sizes("a b\nc\n\nd\n \t\r\ne f\n# \ng\n\n\n") == [3, 1, 3]
+
+
+def test_licence_across_the_cut_of_a_long_text(docs, monkeypatch):
+    f, g = L.FAMILIES[2], L.FAMILIES[11]
+    texts = []
+    for k in range(-20, 21, 8):  # the notice lies about the cut
+        head = "river " * ((T.BLOCK - 100) // 6 + k)
+        texts += [head + L.TEMPLATES[f][-1] + " " + "stone " * 40, head + L.TEMPLATES[g][-1].replace(" ", "\n") + " green"]
+    assert _licences(docs, texts) == [[f], [g]] * (len(texts) // 2)
