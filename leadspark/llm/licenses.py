@@ -9,10 +9,12 @@ few thousand.  A multinomial logistic regression over the licence families and
 the class ``unknown`` is fitted to template notices in random surroundings,
 and to paragraphs of the corpus and reshuffled notices as ``unknown``.  Its
 probabilities are calibrated on held-out examples: a temperature by least
-log-loss, then the least probability at which at most ``FALSE_ALARM`` of the
-held-out unknown ones pass.  A prediction that passes is confirmed by the
-family's templates: at least ``SIMILAR`` of the five-word shingles of one of
-them must occur in the paragraph.
+log-loss, then the least probability of being any family at which at most
+``FALSE_ALARM`` of the held-out unknown ones pass.  In a window that passes,
+every family is confirmed by its templates: at least ``SIMILAR`` of the
+five-word shingles of one of them must occur, and not all of them inside the
+notice of another family that agrees better (the GPL's header is most of the
+AGPL's).  So a window shows as many families as it has notices.
 
 The fit uses at most ``SAMPLE_DOCS`` documents (smallest hash of the id) and
 ``PER_DOC`` windows of each; the scan reads all paragraphs of all documents.
@@ -178,7 +180,7 @@ class Model(NamedTuple):
     weights: np.ndarray     # a row per n-gram, a column per class
     intercept: np.ndarray
     temperature: float
-    least: float            # probability from which a family counts
+    least: float            # probability of any family from which a window is looked at
 
 
 def template_vocabulary() -> np.ndarray:
@@ -211,19 +213,28 @@ def _presence(samples: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
     return x
 
 
-def _confirmed(h: np.ndarray, family: int, templates, similar: float = SIMILAR) -> bool:
+def _confirmed(h: np.ndarray, templates, similar: float = SIMILAR) -> list[int]:
+    """Families with a template that occurs in the words, by shingles that are not all part of a better one's."""
+    grams = {n: _grams(h, n) for n in {n for _, n, _ in templates} if n <= len(h)}
+    found = []
     for k, n, s in templates:
-        if k == family and len(h) >= n and np.isin(s, _grams(h, n)).mean() >= similar:
-            return True
-    return False
+        if n in grams:
+            at = np.isin(grams[n], s)
+            share = len(np.unique(grams[n][at])) / len(s)
+            if share >= similar:
+                covered = np.zeros(len(h), bool)
+                for i in range(n):
+                    covered[i:len(at) + i] |= at
+                found.append((k, share, covered))
+    return sorted({k for k, share, own in found if not any(
+        j != k and more > share and not (own & ~other).any() for j, more, other in found)})
 
 
 def fit(background: list[np.ndarray], copies: int = COPIES, rounds: int = 250) -> Model:
     """Classifier of windows; ``background`` has word hashes of paragraphs of the corpus."""
     rng = np.random.default_rng(SEED)
     vocabulary, templates = template_vocabulary(), template_shingles()
-    noise = [h for h in background if len(h)
-             and not any(_confirmed(h, k, templates) for k in range(UNKNOWN))]
+    noise = [h for h in background if len(h) and not _confirmed(h, templates)]
     pool = np.concatenate(noise) if noise else np.arange(1, 512, dtype=np.uint64) * _N2
 
     def around(h: np.ndarray) -> np.ndarray:
@@ -238,7 +249,7 @@ def fit(background: list[np.ndarray], copies: int = COPIES, rounds: int = 250) -
                 samples.append(around(kept) if c % 4 else kept)
                 labels.append(k)
                 mixed = rng.permutation(h)  # the words without their order
-                if not any(_confirmed(mixed, j, templates) for j in range(UNKNOWN)):
+                if not _confirmed(mixed, templates):
                     samples.append(around(mixed))
                     labels.append(UNKNOWN)
     for h in [*noise, *map(_word_hashes, NEAR_MISSES * copies)]:
@@ -262,7 +273,7 @@ def fit(background: list[np.ndarray], copies: int = COPIES, rounds: int = 250) -
     yh = y[held]
     heat = min(np.geomspace(0.25, 8, 40), key=lambda s: -np.log(
         _softmax(z / s)[np.arange(len(yh)), yh] + 1e-12).mean())
-    best = np.sort(_softmax(z / heat)[yh == UNKNOWN, :UNKNOWN].max(axis=1, initial=0.0))
+    best = np.sort(1 - _softmax(z / heat)[yh == UNKNOWN, UNKNOWN])
     least = best[max(0, int(np.ceil(len(best) * (1 - FALSE_ALARM))) - 1)] if len(best) else 0.5
     return Model(vocabulary, w, b, float(heat), float(np.clip(least, 0.5, 0.99)))
 
@@ -295,8 +306,8 @@ def train(docs: DataFrame) -> Model:
     return fit(_background(docs))
 
 
-def _scores(ws: Windows, m: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Most probable family and its probability, for each window that has any n-gram of the templates."""
+def _scores(ws: Windows, m: Model) -> np.ndarray:
+    """Probability that a window shows any family; 0 if it has no n-gram of the templates."""
     # n-grams of the vocabulary: place of the first word, entry
     place, entry, width = [], [], []
     for k in (1, 2, 3):
@@ -314,34 +325,36 @@ def _scores(ws: Windows, m: Model) -> tuple[np.ndarray, np.ndarray]:
     inside = place[idx] + width[idx] <= ws.last[win]
     key = np.unique(win[inside] * len(m.vocabulary) + entry[idx[inside]])  # presence, not number
     win, ent = key // len(m.vocabulary), key % len(m.vocabulary)
-    family, prob = np.full(len(count), UNKNOWN), np.zeros(len(count))
+    prob = np.zeros(len(count))
     seen, start = np.unique(win, return_index=True)
     for a in range(0, len(seen), 4096):  # a bounded number of windows at a time
         some = seen[a:a + 4096]
         i, j = start[a], start[a + 4096] if a + 4096 < len(start) else len(win)
         z = np.add.reduceat(m.weights[ent[i:j]], start[a:a + 4096] - i, axis=0) + m.intercept
-        p = _softmax(z / m.temperature)
-        family[some] = p.argmax(axis=1)
-        prob[some] = p.max(axis=1)
-    return family, prob
+        prob[some] = 1 - _softmax(z / m.temperature)[:, UNKNOWN]
+    return prob
+
+
+def found(ws: Windows, m: Model, templates) -> Iterator[tuple[int, int]]:
+    """(window, family) of each family that a window shows."""
+    for i in np.flatnonzero(_scores(ws, m) >= m.least).tolist():
+        for k in _confirmed(ws.hash[ws.first[i]:ws.last[i]], templates):
+            yield i, k
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_windows, licenses): families predicted and confirmed, with the number of windows that show each."""
+    """(doc_id, n_windows, licenses): the number of windows, and the families that any of them shows."""
     m = docs.sparkSession.sparkContext.broadcast(tuple(model))  # as large as the templates' vocabulary
 
     def run(batches):
         model, templates = Model(*m.value), template_shingles()
         for b in batches:
-            count, found = np.zeros(len(b), np.int64), [{} for _ in range(len(b))]
+            count, names = np.zeros(len(b), np.int64), [set() for _ in range(len(b))]
             for ws in windows(b.column(1)):
                 count += np.bincount(ws.row, minlength=len(b))
-                family, prob = _scores(ws, model)
-                for i in np.flatnonzero((family != UNKNOWN) & (prob >= model.least)).tolist():
-                    if _confirmed(ws.hash[ws.first[i]:ws.last[i]], family[i], templates):
-                        f, own = FAMILIES[family[i]], found[ws.row[i]]
-                        own[f] = own.get(f, 0) + 1
-            names = [sorted(x) for x in found]
+                for i, k in found(ws, model, templates):
+                    names[ws.row[i]].add(FAMILIES[k])
+            names = [sorted(x) for x in names]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(count), pa.array(names, pa.list_(pa.string()))],
                 ["doc_id", "n_windows", "licenses"])

@@ -311,3 +311,15 @@ def test_licence_across_the_cut_of_a_long_text(docs, monkeypatch):
         head = "river " * ((T.BLOCK - 100) // 6 + k)
         texts += [head + L.TEMPLATES[f][-1] + " " + "stone " * 40, head + L.TEMPLATES[g][-1].replace(" ", "\n") + " green"]
     assert _licences(docs, texts) == [[f], [g]] * (len(texts) // 2)
+
+
+def test_two_licences_in_one_line(docs):
+    notices = [(f, t) for f in L.FAMILIES for t in (L.TEMPLATES[f][0], L.TEMPLATES[f][-1])]
+    texts = ["Licensed under the MIT License. Licensed under CC BY 4.0."]
+    families = [["CC-BY", "MIT"]]
+    for f, a in notices:
+        for g, b in notices:
+            if f != g:
+                texts.append(a + " " + _prose(R.randrange(3)) + " " + b)
+                families.append(sorted([f, g]))
+    assert _licences(docs, texts) == families
