@@ -66,9 +66,13 @@ class DigestIndex:
     def flags(self, batch: DataFrame) -> DataFrame:
         """Each row of ``batch`` with keep_id, group_size and whether it is the one that stays.
 
-        The few digests that hold more than a thousandth of the batch are joined apart.
+        The index is cut to the batch's digests first, written once.  The few
+        that hold more than a thousandth of the batch - of this batch, whatever
+        their groups had in earlier ones - are joined apart.
         """
-        out = C.spread_join(batch, self.table(), "digest", "group_size", batch.count())
+        own = batch.groupBy("digest").agg(F.count(F.lit(1)).alias("__llm_rows"))
+        entries = C.freeze(self.table().hint("merge").join(own, "digest"), "llm_digest_entries")
+        out = C.spread_join(batch, entries, "digest", "__llm_rows", batch.count()).drop("__llm_rows")
         return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 

@@ -50,6 +50,26 @@ def test_index_persists_over_batches(spark, docs):
     assert "Bucketed: true" in plan or "bucket" in plan.lower()
 
 
+def test_small_batch_leaves_the_index_where_it_lies(spark, docs):
+    index = E.temporary_index(spark)
+    index.ingest(E.digests(docs([(i, f"text {i % 700}") for i in range(1400)])))
+    batch = C.freeze(E.digests(docs([(5000, "text 3"), (5001, "new"), (5002, "TEXT 4"), (5003, "new")])), "batch")
+    index.ingest(batch)
+    out = index.flags(batch)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()} == {
+        (5000, 703, 2, False), (5001, 5003, 2, False), (5002, 704, 2, False), (5003, 5003, 2, True)}
+    plan = out._jdf.queryExecution().optimizedPlan()
+    leaves, most = plan.collectLeaves(), 0
+    for k in range(leaves.size()):
+        files = spark.read.parquet(*[f for f in _files(leaves.apply(k))])
+        most = max(most, files.count())
+    assert index.table().count() == 701 and most <= 4  # no more rows than the batch has are joined, broadcast or not
+
+
+def _files(leaf):
+    return list(leaf.relation().location().inputFiles())
+
+
 def test_hot_keys_join_apart(spark):
     rows = spark.createDataFrame([(i, "hot") for i in range(900)] + [(i, f"k{i}") for i in range(100)], "i int, key string")
     unique = rows.groupBy("key").count().withColumnRenamed("count", "n")
