@@ -9,8 +9,8 @@ a document of smaller id, or earlier in the same one).
 2. *Which suffixes.*  Of the ``GRAM``-byte strings inside a 100-byte window the
    leftmost of least hash is the window's anchor.  Equal windows have equal
    anchors at the same place, so only anchors whose hash occurs twice matter.
-   Hashes are exchanged by value and counted (once per part, so a passage in
-   every document counts once a part).
+   Hashes are exchanged by value, once per part with its number of holders, and
+   counted.
 3. *Sorted runs.*  Each part sorts the suffixes at its remaining anchors, with
    the bytes before the anchor as context.  Suffixes that agree in all they
    are compared by collapse to the first one in their part.  The run is front-coded.
@@ -23,9 +23,11 @@ a document of smaller id, or earlier in the same one).
    the contexts.  All but the first of equal windows are repeated.
 5. *Removal.*  Repeated stretches go back to their part and are cut out.
 
-A key with very many holders: an anchor found in more than ``DENSE_FROM`` parts
-is replaced by the suffixes of its windows themselves, which differ at the
-passage's edges, so ranges split them; equal ones collapse in their part.
+A key with very many holders: an anchor found at more than ``DENSE_FROM`` places
+(parts round their number up to a power of two), however few the parts are, is
+replaced by the suffixes of its windows themselves, which differ at the
+passage's edges, so ranges split them; equal ones collapse in their part, stretch
+by stretch before their bytes are copied.
 
 All texts are handled whole, and all windows; nothing is sampled but the
 splitters, which only balance the ranges.
@@ -53,13 +55,15 @@ from leadspark.llm import textbytes as T
 
 LENGTH = 100
 GRAM = 40
-#: Parts that may share an anchor before its windows are sorted one by one.
+#: Places that may share an anchor before its windows are sorted one by one.
 DENSE_FROM = 4096
 #: Keys the splitters are chosen from, at most.
 SAMPLE = 1 << 14
 #: Windows handled at once.
 WINDOWS = 1 << 20
 _FLAGS = np.uint64(63)
+#: Rows of bytes gathered at once.
+_ROWS = 1 << 14
 _TIMES = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -166,13 +170,13 @@ def _blob(*arrays: np.ndarray) -> bytes:
 
 
 def _hash_rows(buckets: int, length: int, size: int):
-    """Part -> (bucket, part, sorted distinct hashes); the lowest bit says that the part has it twice."""
+    """Part -> (bucket, part, sorted distinct hashes); the low bits say, as a power of two, how often the part has it."""
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
         found = [a.hash for a in stretches(_texts(t), length, size)]
         h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         to = ((h >> np.uint64(6)) % np.uint64(buckets)).astype(np.int64)
-        h = h | (n > 1).astype(np.uint64)
+        h = h | np.ceil(np.log2(n)).astype(np.uint64)
         order = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[order], np.arange(buckets + 1))
         rows = [(k, part, h[order[i:j]].tobytes()) for k, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
@@ -182,16 +186,15 @@ def _hash_rows(buckets: int, length: int, size: int):
 
 
 def _repeated_rows(dense_from: int):
-    """Bucket of hashes -> (part, those that occur twice); the lowest bit marks those of many parts."""
+    """Bucket of hashes -> (part, those that occur twice); the lowest bit marks those of many places."""
     def run(t: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(b, np.uint64) for b in t.column("hashes").to_pylist()]
         all_ = np.concatenate(blobs)
         bare = all_ & ~_FLAGS
-        u, inverse, n = np.unique(bare, return_inverse=True, return_counts=True)
-        twice = np.bincount(inverse, weights=(all_ & np.uint64(1)).astype(float), minlength=len(u)) > 0
-        good = (n > 1) | twice
+        u, inverse = np.unique(bare, return_inverse=True)
+        n = np.bincount(inverse, weights=np.exp2((all_ & _FLAGS).astype(float)), minlength=len(u))
         out = bare | (n > dense_from).astype(np.uint64)[inverse]
-        good = good[inverse]
+        good = (n > 1)[inverse]
         cut = np.cumsum([0, *map(len, blobs)])
         hits = [out[i:j][good[i:j]].tobytes() for i, j in zip(cut, cut[1:])]
         return pa.table([t.column("part"), pa.array(hits, pa.binary())], ["part", "hits"])
@@ -236,10 +239,24 @@ class Run:
 
 def _matrix(buf: np.ndarray, at: np.ndarray, size: np.ndarray, width: int, step: int = 1) -> np.ndarray:
     """Bytes from ``at`` on (backwards for step -1), padded with zeros to ``width``."""
-    j = np.arange(width)
-    inside = j < size[:, None]
-    place = np.where(inside, at[:, None] + step * j, 0)
-    return np.where(inside, buf[place], 0).astype(np.uint8)
+    out, j = np.empty((len(at), width), np.uint8), np.arange(width)
+    for i in range(0, len(at), _ROWS):
+        inside = j < size[i:i + _ROWS, None]
+        place = np.where(inside, at[i:i + _ROWS, None] + step * j, 0)
+        out[i:i + _ROWS] = np.where(inside, buf[place], 0)
+    return out
+
+
+def _again(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows at ``at`` (ascending) equal an earlier one of them: found by hash, compared by bytes."""
+    _, first, inverse = np.unique(_hash_grams(buf, length)[at], return_index=True, return_inverse=True)
+    before = first[inverse]
+    rows = np.flatnonzero(before != np.arange(len(at)))
+    out, j = np.zeros(len(at), bool), np.arange(length)
+    for i in range(0, len(rows), _ROWS):
+        r = rows[i:i + _ROWS]
+        out[r] = (buf[at[r][:, None] + j] == buf[at[before[r]][:, None] + j]).all(axis=1)
+    return out
 
 
 def _words_of(m: np.ndarray) -> list[np.ndarray]:
@@ -265,15 +282,16 @@ RUNS = "part int, kind int, run binary, sample array<binary>, removed binary"
 
 
 def _sorted_run(g: dict[str, np.ndarray], part: int, ids: np.ndarray, ties: np.ndarray, length: int,
-                every: int) -> tuple[bytes, list[bytes], bytes]:
-    """(run, sample of its keys, stretches repeated within the part) of a part's suffixes."""
+                every: int, gone: list) -> tuple[bytes, list[bytes], bytes]:
+    """(run, sample of its keys, stretches repeated within the part, with ``gone``) of a part's suffixes."""
     order = np.lexsort((g["at"], g["doc"], g["far"], *_words_of(g["ctx"])[::-1], g["key_n"],
                         *_words_of(g["key"])[::-1]))
     g = {k: v[order] for k, v in g.items()}
     same = np.zeros(len(order), bool)  # as the one before in all that is compared: repeated, for that is earlier
     same[1:] = ((g["key_n"][1:] == g["key_n"][:-1]) & (g["far"][1:] == g["far"][:-1])
                 & (g["key"][1:] == g["key"][:-1]).all(axis=1) & (g["ctx"][1:] == g["ctx"][:-1]).all(axis=1))
-    removed = _blob(*_joined(g["doc"][same], (g["at"] - g["far"])[same], (g["at"] - g["near"])[same] + length))
+    gone = [*gone, (g["doc"][same], (g["at"] - g["far"])[same], (g["at"] - g["near"])[same] + length)]
+    removed = _blob(*_joined(*map(np.concatenate, zip(*gone))))
     g = {k: v[~same] for k, v in g.items()}
     keys = [r[:n].tobytes() for r, n in zip(g["key"], g["key_n"].tolist())]
     contexts = [r[:n].tobytes() for r, n in zip(g["ctx"], g["ctx_n"].tolist())]
@@ -286,7 +304,7 @@ def _sorted_run(g: dict[str, np.ndarray], part: int, ids: np.ndarray, ties: np.n
 def _run_rows(length: int, size: int, every: int = 64):
     """Part and its repeated hashes -> a row for each kind of suffixes it has."""
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        found = {SAMPLED: [], DENSE: []}
+        found, gone = {SAMPLED: [], DENSE: []}, {SAMPLED: [], DENSE: []}
 
         def add(kind, a, at, near, far, doc, shift):
             if len(at):
@@ -305,15 +323,20 @@ def _run_rows(length: int, size: int, every: int = 64):
                 add(SAMPLED, a, a.at[use], (a.at - a.hi)[use], (a.at - a.lo)[use], a.doc[use], a.shift[use])
                 count = (a.hi - a.lo + 1)[many]  # each window is its own suffix
                 own = np.repeat(a.lo[many], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                if not len(own):
+                    continue
+                doc, shift, again = np.repeat(a.doc[many], count), np.repeat(a.shift[many], count), _again(a.buf, own, length)
+                gone[DENSE].append(_joined(doc[again], (own + shift)[again], (own + shift)[again] + length))
+                own, doc, shift = own[~again], doc[~again], shift[~again]
                 zero = np.zeros(len(own), np.int64)
-                add(DENSE, a, own, zero, zero, np.repeat(a.doc[many], count), np.repeat(a.shift[many], count))
+                add(DENSE, a, own, zero, zero, doc, shift)
         rows = []
         for kind, got in found.items():
             if got:
                 g = {k: np.concatenate([x[k] for x in got]) for k in got[0]}
                 part = docs.column("part")[0].as_py()
                 rows.append((part, kind, *_sorted_run(g, part, docs.column("doc_id").to_numpy(),
-                                                      docs.column("tie").to_numpy(), length, every)))
+                                                      docs.column("tie").to_numpy(), length, every, gone[kind])))
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
         cols = list(zip(*rows)) or [[]] * len(kinds)
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], [f.split()[0] for f in RUNS.split(", ")])

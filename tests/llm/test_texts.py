@@ -245,6 +245,37 @@ def test_passages_equal_brute_force(spark, docs, dense, partitions, monkeypatch)
     assert got == _removed(rows)
 
 
+def _boilerplate(n):
+    r = random.Random(2)
+
+    def noise(k):
+        return "".join(r.choice("abcdefgh ") for _ in range(k))
+    line, near = noise(70), noise(900)
+    rows = [(i, noise(r.randrange(40, 120)) + line + noise(r.randrange(40, 120))) for i in range(n)]
+    return rows + [(n + i, near[:i] + noise(9) + near[i:]) for i in range(0, n, 2)] + [(3 * n, "x" * 700), (3 * n + 1, near)]
+
+
+def test_hot_anchors_are_told_by_their_places_at_any_partition_number():
+    rows = _boilerplate(40)
+    parts = [pa.table({"part": pa.array([p] * 21, pa.int32()), "text": [t.encode() for _, t in rows[20 * p:20 * p + 21]]})
+             for p in (0, 1)]
+    hashes = pa.concat_tables([X._hash_rows(1, 100, 40)(t) for t in parts])  # two parts, far fewer than places
+    for limit, hot in ((10, True), (4096, False)):
+        hits = X._repeated_rows(limit)(hashes).column("hits").to_pylist()
+        assert any((np.frombuffer(h, np.uint64) & np.uint64(1)).any() for h in hits) == hot
+
+
+@pytest.mark.parametrize("dense", [10, 30])
+def test_hot_passages_equal_brute_force(docs, dense, monkeypatch):
+    monkeypatch.setattr(X.C, "shuffle_partitions", lambda s: 3)
+    monkeypatch.setattr(X, "WINDOWS", 2000)
+    rows, kinds, sort = _boilerplate(40), [], X._splitters
+    monkeypatch.setattr(X, "_splitters", lambda runs, kind, *a: kinds.append(
+        (kind, runs.where(f"kind = {kind}").count())) or sort(runs, kind, *a))
+    got = {x.doc_id: tuple(x)[1:] for x in X.removed_passages(docs(rows), dense_from=dense).collect()}
+    assert got == _removed(rows) and dict(kinds)[X.DENSE] > 0
+
+
 def test_passages_odd_rows(odd, empty):
     got = {x.doc_id: tuple(x)[1:] for x in X.removed_passages(odd).collect()}
     exp = _removed([x for x in ODD if x[0] not in (8, 9)])
