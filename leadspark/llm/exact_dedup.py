@@ -18,16 +18,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadspark.llm import common as C
 
+def _digest() -> Column:
+    return F.unhex(F.sha2(C.ascii_lower(F.col("text")).cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest): the digest of each row's normalised text, 32 bytes."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.unhex(F.sha2(C.ascii_lower(F.col("text")).cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"))
 
 
 class DigestIndex:
@@ -96,11 +99,18 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; repeated rows of one document come once."""
-    kept = dedup(docs, index).where("kept").select("doc_id").distinct()
-    rows = C.keep_rows(docs, kept)
-    same = W.partitionBy("doc_id").orderBy(F.sha2(C.ascii_lower(F.col("text")).cast("binary"), 256))
-    return rows.withColumn("__llm_copy", F.row_number().over(same)).where("__llm_copy = 1").drop("__llm_copy")
+    """The rows of ``docs`` that stay, with all their columns; rows equal in id and normalised text come once.
+
+    A row is told by its id and digest together, so different texts without an id, or of one id, all stay.
+    """
+    kept = dedup(docs, index).where("kept").select(F.col("doc_id").alias("__llm_keep"),
+                                                   F.col("digest").alias("__llm_kept")).distinct()
+    rows = docs.withColumn("__llm_digest", _digest())
+    rows = rows.join(kept, (F.col("__llm_digest") == F.col("__llm_kept"))
+                     & F.col("doc_id").eqNullSafe(F.col("__llm_keep")), "left_semi")
+    same = W.partitionBy("doc_id", "__llm_digest").orderBy("text")
+    return (rows.withColumn("__llm_copy", F.row_number().over(same)).where("__llm_copy = 1")
+            .drop("__llm_copy", "__llm_digest"))
 
 
 # -- query --------------------------------------------------------------------

@@ -40,6 +40,12 @@ def test_exact_repeated_row_stays_once(docs):
     assert E.keep_first(docs([(1, "a"), (1, "a"), (0, "A")])).count() == 1
 
 
+def test_exact_keeps_different_texts_of_one_id(docs):
+    rows = [(None, "a"), (None, "b"), (None, "c"), (None, "C"), (1, "d"), (1, "e"), (2, "E"), (3, "f"), (3, "F")]
+    kept = sorted((r.doc_id or 0, r.text.lower()) for r in E.keep_first(docs(rows)).collect())
+    assert kept == [(0, "a"), (0, "b"), (0, "c"), (1, "d"), (2, "e"), (3, "f")]
+
+
 def test_index_persists_over_batches(spark, docs):
     index = E.temporary_index(spark)
     index.ingest(E.digests(docs([(1, "a"), (2, "b"), (3, "A")])))
