@@ -63,11 +63,10 @@ def test_merging_by_its_definition():
     for _ in range(300):
         word = bytes(r.choices(b"thean ingor\xc3\xa9", k=r.randrange(1, 20)))
         parts = [own.byte_id[b] for b in word]
-        while True:
-            best = min((ranks.get(a << B.ID_BITS | b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:] + [0])))
-            if best[0] == 1 << 60 or best[1] == len(parts) - 1:
+        while len(parts) > 1:
+            rank, i = min((ranks.get(a << B.ID_BITS | b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == 1 << 60:
                 break
-            i = best[1]
             parts[i:i + 2] = [own.merges[parts[i] << B.ID_BITS | parts[i + 1]] & B.IDS]
         assert own.merge(word) == parts
     assert len(own.merge(b"ab" * 100_000)) < 200_000
