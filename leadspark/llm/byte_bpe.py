@@ -369,7 +369,8 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
             if ids.null_count or ids.flatten().null_count:
                 ids = pa.array([[i for i in x or [] if i is not None] for x in ids.to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, own.decode(ids)], ["doc_id", "ids", "decoded"])
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    return own.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:

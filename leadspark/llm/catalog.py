@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadspark.llm import (byte_bpe, decontaminate, exact_dedup, licenses, quality, sentencepiece_codec, simhash,
+from leadspark.llm import (byte_bpe, decontaminate, exact_dedup, licenses, quality, sentencepiece_codec, simhash, spelling,
                            suffix_dedup, token_count, url_filter, warc)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_licenses": licenses.op10_licenses,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.session import ensure_checkpoint_dir, freeze, ship_package
+from leadspark.session import ensure_checkpoint_dir, freeze, scratch_path, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: space, tab, line feed, vertical tab, form feed, carriage return
 SPACES = " \t\n\x0b\x0c\r"
 
 __all__ = ["UPPER", "SPACES", "ensure_checkpoint_dir", "freeze", "read", "ascii_lower", "let", "words",
-           "spread_join", "shuffle_partitions", "ship_package", "keep_rows"]
+           "spread_join", "shuffle_partitions", "ship_package", "keep_rows", "scratch_folder"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written intermediates, in the session's checkpoint folder."""
+    return scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(c, F.lit("")), UPPER, UPPER.lower())
