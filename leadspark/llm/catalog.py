@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leadspark.llm import (byte_bpe, decontaminate, exact_dedup, licenses, quality, sentencepiece_codec, simhash, spelling,
-                           suffix_dedup, token_count, url_filter, warc)
+from leadspark.llm import (byte_bpe, decontaminate, exact_dedup, hard_negatives, licenses, quality,
+                           sentencepiece_codec, simhash, spelling, suffix_dedup, token_count, url_filter, warc)
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_licenses": licenses.op10_licenses,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op3_decontaminate": decontaminate.SQL,
     "op5_warc": warc.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
