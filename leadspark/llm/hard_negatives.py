@@ -331,13 +331,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 with e as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-         list_transform(embedding, x -> floor(256 * x::double)::bigint) as v
+         [floor(256 * x::double)::bigint for x in embedding] as v
   from embeddings
   where label is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 scored as (
   select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as alike,
-         list_sum(list_transform(list_zip(a.v, b.v), p -> p[1] * p[2]))::bigint as score
+         list_sum([p[1] * p[2] for p in list_zip(a.v, b.v)])::bigint as score
   from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
 positive as (
   select anchor_id, other_id as positive_id, score as positive_score from scored where alike
