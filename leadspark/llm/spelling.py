@@ -68,7 +68,10 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
     runs = F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"[{LETTERS}]{{{least_length},}}+"), F.lit(0))
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(own.alias("id"), F.explode(runs).alias("run"))
-    rows = rows.select("id", F.translate("run", C.UPPER, C.UPPER.lower()).alias("run"))
+    # lower() changes A-Z only where all is ASCII, and is the faster there
+    lower = F.when(F.octet_length("run") == F.length("run"), F.lower("run")).otherwise(
+        F.translate("run", C.UPPER, C.UPPER.lower()))
+    rows = rows.select("id", lower.alias("run"))
     rows = rows.select("run", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")).alias("h"))
     at = (F.col("h") % F.length("run")).cast("int")
     word = F.when(F.col("h") % slips == 0, F.concat(F.col("run").substr(F.lit(1), at),
