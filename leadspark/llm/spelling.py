@@ -126,7 +126,7 @@ def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
         F.col("w").substr(F.col("pos") + 2, F.lit(1)).alias("c1"), _from("w", F.col("pos") + 1).alias("rest1"),
         _from("w", F.col("pos") + 2).alias("rest2"))
     own = own.withColumns({"bit1": _bit(F.col("rest1")), "bit2": _bit(F.col("rest2"))})
-    j = own.join(nodes, ["side", "node"])
+    j = own.join(nodes, ["node", "side"])  # sorted by what tells rows apart first
 
     def reaches(x, rest: str, bit: str) -> Column:
         return (x["below"].bitwiseAND(F.col(bit)) != 0) & ((F.col(rest) != "") | x["ends"])
