@@ -53,7 +53,8 @@ RATIO = 10
 SLIPS = 31
 #: Code points of the longest words that walk the trie.
 LEVELS = 32
-_TRIE = "side int, node string, is_word int, next array<struct<c: string, ends: boolean, below: bigint>>, level int"
+_TRIE = ("side int, node string, is_word int, next array<struct<c: string, ends: boolean, below: bigint>>, "
+         "chars string, level int")
 
 
 # -- words ----------------------------------------------------------------------
@@ -102,10 +103,10 @@ def _from(w: str, at) -> Column:
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """(side, level, node, is_word, next): the nodes from each word's middle to its end.
+    """(side, level, node, is_word, next, chars): the nodes from each word's middle to its end.
 
     ``next`` lists a node's characters: (c, ends, below), whether a word ends
-    there and the signature of the endings below.
+    there and the signature of the endings below; ``chars`` has the characters alone.
     """
     rows = _sides(words).select("side", "w", F.explode(F.sequence("middle", "size")).alias("level"))
     at = F.col("level")
@@ -114,9 +115,10 @@ def trie(words: DataFrame) -> DataFrame:
     edges = rows.groupBy("side", "level", "node", "c").agg(
         F.max((F.col("rest") == "").cast("int")).alias("ends"), F.bit_or(_bit(F.col("rest"))).alias("below"))
     edge = F.struct("c", (F.col("ends") == 1).alias("ends"), "below")
-    return edges.groupBy("side", "level", "node").agg(
+    nodes = edges.groupBy("side", "level", "node").agg(
         F.max((F.col("c") == "").cast("int")).alias("is_word"),
         F.collect_list(F.when(F.col("c") != "", edge)).alias("next"))
+    return nodes.withColumn("chars", F.array_join("next.c", ""))
 
 
 def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -127,6 +129,11 @@ def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
         _from("w", F.col("pos") + 2).alias("rest2"))
     own = own.withColumns({"bit1": _bit(F.col("rest1")), "bit2": _bit(F.col("rest2"))})
     j = own.join(nodes, ["node", "side"])  # sorted by what tells rows apart first
+    # of a run of one character, the last is deleted
+    may_drop = (F.col("edits") == 0) & (F.col("c0") != F.col("c1"))
+    # most nodes have one way on, along the word itself: an edit leads nowhere there
+    j = j.where((F.col("edits") == 1) | (F.col("chars") != F.col("c0"))
+                | may_drop & (F.col("rest1") == "") & (F.col("is_word") == 1))
 
     def reaches(x, rest: str, bit: str) -> Column:
         return (x["below"].bitwiseAND(F.col(bit)) != 0) & ((F.col(rest) != "") | x["ends"])
@@ -137,8 +144,6 @@ def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
     along = F.transform(F.filter("next", lambda x: F.when(F.col("edits") == 1, x["c"] == F.col("c0"))
                                  .otherwise(x["c"] > F.col("c0")) & reaches(x, "rest1", "bit1")),
                         lambda x: moved(x, 1, "rest1"))
-    # of a run of one character, the last is deleted
-    may_drop = (F.col("edits") == 0) & (F.col("c0") != F.col("c1"))
     past = F.transform(F.filter("next", lambda x: may_drop & (x["c"] == F.col("c1")) & reaches(x, "rest2", "bit2")),
                        lambda x: moved(x, 2, "rest2"))
     here = F.struct(F.col("node"), (F.col("pos") + 1).alias("pos"), F.lit(True).alias("done"))
