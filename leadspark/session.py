@@ -182,12 +182,23 @@ def forget(spark: SparkSession | None = None) -> None:
         del _MEMO[k]
 
 
+_TABLES: set = set()
+
+
+def keep_table(spark: SparkSession, name: str) -> None:
+    """Note a catalog table of this application, to be dropped by ``cleanup_scratch``."""
+    _TABLES.add((spark.sparkContext.applicationId, name))
+
+
 def cleanup_scratch(spark: SparkSession) -> None:
     """Delete this application's written intermediates (its own sub-folder of the
     checkpoint folder; other applications' folders are not touched).  Call at
     the end of a job, after the last DataFrame reading them is used."""
     sc = spark.sparkContext
     forget(spark)  # their files go now
+    for app, name in [t for t in _TABLES if t[0] == sc.applicationId]:
+        spark.sql(f"drop table if exists {name}")
+        _TABLES.discard((app, name))
     d = sc.getCheckpointDir()
     if not d:
         return
