@@ -103,10 +103,10 @@ def q_install_inner(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_install(spark: SparkSession, d: str, how: str) -> DataFrame:
-    """The lead list is written once; its keys restrict the install base to the leads' orders."""
-    fact = freeze(flows.fact_selection(spark, d), "lead_list")
-    base = D.install_base(spark, d, enrich.key_set(fact, P.KEY))
-    return enrich.lookup(fact, base, P.KEY, "ship_to_mdm_cust_key", how, drop_right_key=False, null_safe=True)
+    """Lead list and install base, which covers only the leads' orders, lie together by customer."""
+    from leadspark.operators.store import JOIN_KEY
+    store = flows.lookup_store(spark, d)
+    return store.join(store.table("leads"), "install", how).drop(JOIN_KEY)
 
 
 @query("install_left", _DIMS + _dbl_sql("""select f.*, i.* from fact_sel f
@@ -144,7 +144,7 @@ def q_null_safe_lookup(spark: SparkSession, d: str) -> DataFrame:
     return enrich.lookup(f, bands, "LAT_BAND", "BAND_KEY", "left", null_safe=True)
 
 
-_STAR_INTS = ["INSTALL_LINES", "IDB_SIGNUPS"]
+_STAR_INTS = ["INSTALL_LINES"]
 
 
 @query("star_aged", _DIMS.rstrip() + ",\n" + O.star_sql("inner") + "\n" + _dbl_sql("select * from s7", _STAR_INTS))

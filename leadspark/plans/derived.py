@@ -5,8 +5,11 @@ contracts      <- open orders per customer (several per key; keep-first by order
 tech calls     <- error events per user (keep-first by event id)
 territory      <- nations with a ZIP; several nations share a ZIP3 (fan-out on purpose)
 external ids   <- orders per customer (keep-first by the saved row number)
-implants A / B <- event totals per user (by type) / signup counts per user
-user lists     <- purchase users and signup users with contact data (full outer merge)
+implants A / B <- events of a user / signups of a user (several per key; keep-first by event id)
+user lists     <- users with a large purchase and with a large signup, with contact data (full outer merge)
+
+``order_lookups`` and ``event_lookups`` reduce the keep-first lookups of one source
+together; the single tables stand for lookups that arrive as files.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadspark.operators.firsts import First, firsts
 from leadspark.plans import params as P
 from leadspark.sources import tables
 
@@ -75,25 +79,53 @@ def external_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def implants_a(spark: SparkSession, d: str) -> DataFrame:
+    """First implant records: one row per event, its money under the event's type; many per key."""
     e = tables.load(spark, d, "events")
-    aggs = [F.round(F.sum(F.when(F.col("event_type") == t, _money("value"))).cast("double"), 2)
-            .alias(f"IMPL_{t.upper()}") for t in P.EVENT_TYPES]
-    return e.groupBy(F.col("user_id").cast("string").alias("IMPL_KEY")).agg(*aggs)
-
-
-def implants_a_drop() -> list:
-    return ["IMPL_KEY"] + [f"IMPL_{t.upper()}" for t in P.EVENT_TYPES if t not in ("purchase", "signup")]
+    money = F.round(_money("value").cast("double"), 2)
+    cols = [F.when(F.col("event_type") == t, money).alias(f"IMPL_{t.upper()}") for t in P.EVENT_TYPES]
+    return e.select(F.col("user_id").cast("string").alias("IMPL_KEY"), F.col("event_id").alias("IMPL_ROW"), *cols)
 
 
 def implants_b(spark: SparkSession, d: str) -> DataFrame:
+    """Second implant records: one row per signup; many per key."""
     e = tables.load(spark, d, "events").filter(F.col("event_type") == "signup")
-    return e.groupBy(F.col("user_id").cast("string").alias("IDB_KEY")).agg(
-        F.count(F.lit(1)).alias("IDB_SIGNUPS"), F.date_format(F.min("ts"), _TS).alias("IDB_FIRST_SIGNUP"))
+    return e.select(F.col("user_id").cast("string").alias("IDB_KEY"), F.col("event_id").alias("IDB_ROW"),
+                    F.col("value").alias("IDB_VALUE"), F.date_format("ts", _TS).alias("IDB_FIRST_SIGNUP"))
 
 
-def _user_list(spark: SparkSession, d: str, event_type: str, skip: int, agg) -> DataFrame:
-    """Users of an event type; every ``skip``-th user is on no such list."""
-    e = tables.load(spark, d, "events").filter((F.col("event_type") == event_type) & (F.col("user_id") % skip != 0))
+def order_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Keep-first contract and external id of each customer: ``contracts`` and ``external_ids`` from one scan."""
+    o = tables.load(spark, d, "orders")
+    both = firsts(o, "o_custkey", [
+        First("o_orderkey", {"SLA_PRIORITY": "o_orderpriority", "SLA_VALUE": "o_totalprice"},
+              F.col("o_orderstatus") == P.CONTRACT_STATUS, {"SLA_PRIORITY": P.ORDER_PRIORITIES}),
+        First("o_orderkey", order_as="EXT_ROW")])
+    return both.select(F.col("o_custkey").cast("string").alias("ORDER_KEY"), "SLA_PRIORITY", "SLA_VALUE",
+                       F.concat(F.lit("EXT-"), F.col("EXT_ROW").cast("string")).alias("EXT_ID"))
+
+
+def event_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Keep-first tech call and implant records of each user: ``tech_calls``, ``implants_a`` and ``implants_b``
+    from one scan."""
+    e = tables.load(spark, d, "events")
+    money = F.round(_money("value").cast("double"), 2)
+    kinds = [t for t in P.EVENT_TYPES if t in P.IMPLANT_KINDS]
+    e = e.select("*", *[F.when(F.col("event_type") == t, money).alias(f"_{t}") for t in kinds])
+    is_a = lambda t: F.col("event_type") == t
+    out = firsts(e, "user_id", [
+        First("event_id", {"_call": "ts", "TECH_CALL_VALUE": "value"}, is_a(P.TECH_EVENT_TYPE)),
+        First("event_id", {f"IMPL_{t.upper()}": f"_{t}" for t in kinds}),
+        First("event_id", {"IDB_VALUE": "value", "_signup": "ts"}, is_a("signup"))])
+    return out.select(F.col("user_id").cast("string").alias("EVENT_KEY"),
+                      F.date_format("_call", _TS).alias("TECH_CALL_TS"), "TECH_CALL_VALUE",
+                      *[f"IMPL_{t.upper()}" for t in kinds], "IDB_VALUE",
+                      F.date_format("_signup", _TS).alias("IDB_FIRST_SIGNUP"))
+
+
+def _user_list(spark: SparkSession, d: str, event_type: str, agg) -> DataFrame:
+    """Users with an event of a type and of the least value that a list asks for."""
+    e = tables.load(spark, d, "events").filter(
+        (F.col("event_type") == event_type) & (F.col("value") >= P.IMPLANT_LEAST))
     u = e.groupBy(F.col("user_id").cast("string").alias("USER_KEY")).agg(agg)
     m = tables.customer_master(spark, d).select(
         F.col("MDM_CUST_KEY").alias("_mk"), F.col("ACCT_OFFICE_NAME").alias("CUSTOMER_NAME"),
@@ -103,11 +135,11 @@ def _user_list(spark: SparkSession, d: str, event_type: str, skip: int, agg) ->
 
 
 def purchase_users(spark: SparkSession, d: str) -> DataFrame:
-    return _user_list(spark, d, "purchase", 3, F.count(F.lit(1)).alias("IMPLANT_QTY"))
+    return _user_list(spark, d, "purchase", F.count(F.lit(1)).alias("IMPLANT_QTY"))
 
 
 def signup_users(spark: SparkSession, d: str) -> DataFrame:
-    return _user_list(spark, d, "signup", 5, F.round(F.sum(_money("value")).cast("double"), 2).alias("IMPLANT_USD"))
+    return _user_list(spark, d, "signup", F.round(F.sum(_money("value")).cast("double"), 2).alias("IMPLANT_USD"))
 
 
 USER_LIST_COLS = ["CUSTOMER_NAME", "CONT_FULLPHONE", "STREET", "CITY", "STATE", "ZIP", "CONT_EMAIL"]

@@ -115,49 +115,58 @@ def fact_selection(spark: SparkSession, d: str, min_prob: float | None = None) -
     return f.select(*cols)
 
 
-def star_specs(spark: SparkSession, d: str, first_how: str, max_year: int | None = None,
-               customer_keys: DataFrame | None = None) -> list:
-    """The seven lookups; ``max_year`` optionally keeps install-base customers whose
-    latest purchase of the tracked types is in that year or earlier;
-    ``customer_keys`` (column ``_fk``) lets the install base read only those
-    customers' orders."""
-    from leadspark.operators.enrich import Lookup, zip3
+def lookup_store(spark: SparkSession, d: str):
+    """The lead list and its six lookups of one customer key, as co-located tables.
+
+    Written once per session and state of the data folder, for all lists:
+    ``leads``, ``install`` (only the leads' orders are read), ``orders`` (contract
+    and external id) and ``events`` (tech call and both implant records).
+    """
+    from leadspark.operators.enrich import key_set
+    from leadspark.operators.store import LookupStore
     from leadspark.plans import derived as D
-    inst = D.install_base(spark, d, customer_keys)
+    from leadspark.session import memo
+
+    def build():
+        store = LookupStore(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        leads = store.write("leads", fact_selection(spark, d), P.KEY)
+        store.write("install", D.install_base(spark, d, key_set(leads, P.KEY)), "ship_to_mdm_cust_key")
+        store.write("orders", D.order_lookups(spark, d), "ORDER_KEY")
+        store.write("events", D.event_lookups(spark, d), "EVENT_KEY")
+        return store
+    return memo(spark, d, "lookup store", build)
+
+
+STAR_ORDERS = ["SLA_PRIORITY", "SLA_VALUE", "EXT_ID"]
+STAR_EVENTS = ["TECH_CALL_TS", "TECH_CALL_VALUE", *[f"IMPL_{t.upper()}" for t in P.IMPLANT_KINDS],
+               "IDB_VALUE", "IDB_FIRST_SIGNUP"]
+
+
+def star_customer(spark: SparkSession, d: str, first_how: str, min_prob: float | None = None,
+                  max_year: int | None = None) -> DataFrame:
+    """The lead list with its six lookups of the customer key: joins of co-located tables, no shuffle."""
+    from leadspark.operators.store import JOIN_KEY
+    store = lookup_store(spark, d)
+    fact = store.table("leads")
+    if min_prob is not None:
+        fact = fact.filter(F.col("lead_gen_prob") > min_prob)
+    inst = store.table("install")
     if max_year is not None:
         last = F.greatest(*[F.year(F.col(f"{t}_maxdate").cast("date")) for t in P.INSTALL_TYPES])
         inst = inst.filter(last <= max_year)
-    return [
-        # already restricted to the leads' orders when customer_keys is given
-        Lookup(inst, P.KEY, "ship_to_mdm_cust_key", first_how, D.install_drop(), null_safe=True,
-               prefilter=customer_keys is None),
-        Lookup(D.contracts(spark, d), P.KEY, "BILL_MDM_KEY", drop=["BILL_MDM_KEY", "SLA_SKU", "SLA_ORDER"],
-               dedupe_order="SLA_ORDER", unique_order=True, null_safe=True),
-        Lookup(D.tech_calls(spark, d), P.KEY, "MDM_ID", drop=["MDM_ID", "TECH_EVENT"],
-               dedupe_order="TECH_EVENT", unique_order=True, null_safe=True),
-        Lookup(D.external_ids(spark, d), P.KEY, "mdm_site_key", drop=["EXT_ROW", "mdm_site_key"],
-               dedupe_order="EXT_ROW", unique_order=True, null_safe=True),
-        Lookup(D.implants_a(spark, d), P.KEY, "IMPL_KEY", drop=D.implants_a_drop(), null_safe=True),
-        Lookup(D.implants_b(spark, d), P.KEY, "IDB_KEY", drop=["IDB_KEY"], null_safe=True),
-        # another key, so last: the lookups above shuffle the lead list once
-        Lookup(D.territory(spark, d), "ZIP3", "TERR_ZIP3", drop=["TERR_ZIP3", "TERR_REGION"],
-               null_safe=True, derive={"ZIP3": zip3("ADDR_ZIP")}),
-    ]
+    fact = fact.join(inst.select(JOIN_KEY, "INSTALL_LINES"), JOIN_KEY, first_how)
+    fact = store.join(fact, "orders", cols=STAR_ORDERS)
+    return store.join(fact, "events", cols=STAR_EVENTS).drop(JOIN_KEY)
 
 
 def star_list(spark: SparkSession, d: str, first_how: str, min_prob: float | None = None,
               max_year: int | None = None) -> DataFrame:
-    """Flat lead list: fact + seven lookups; ``first_how`` is the install-base join.
-
-    The lead list is written once; its key set restricts the install base to
-    the leads' orders and prefilters every other lookup.
-    """
-    from leadspark.operators.enrich import key_set, star
-    from leadspark.session import freeze
-    fact = freeze(fact_selection(spark, d, min_prob), "star_fact")
-    keys = key_set(fact, P.KEY)
-    return star(fact, star_specs(spark, d, first_how, max_year, customer_keys=keys),
-                keys={P.KEY: keys}, write_fact=False)
+    """Flat lead list: fact + seven lookups; ``first_how`` is the install-base join, ``max_year`` keeps
+    install-base customers whose latest purchase of the tracked types is in that year or earlier."""
+    from leadspark.operators.enrich import lookup, zip3
+    from leadspark.plans import derived as D
+    fact = star_customer(spark, d, first_how, min_prob, max_year).withColumn("ZIP3", zip3("ADDR_ZIP"))
+    return lookup(fact, D.territory(spark, d), "ZIP3", "TERR_ZIP3", drop=["TERR_REGION"], null_safe=True)
 
 
 def implant_users(spark: SparkSession, d: str) -> DataFrame:

@@ -212,7 +212,7 @@ def dim_ctes() -> str:
         inst.append(f"cast(cast(max(ORDER_DATE) filter (where L1_DESC_NEW = {_q(t)}) as date) as varchar) as {t}_maxdate")
         inst.append(f"cast(cast(min(ORDER_DATE) filter (where L1_DESC_NEW = {_q(t)}) as date) as varchar) as {t}_min")
     impl = ", ".join(
-        f"round(cast(sum(cast(value as decimal(18,2)) * 100) filter (where event_type = {_q(t)}) as double), 2)"
+        f"case when event_type = {_q(t)} then round(cast(cast(value as decimal(18,2)) * 100 as double), 2) end"
         f" as IMPL_{t.upper()}" for t in P.EVENT_TYPES)
     return f"""install as (
   select SHIP_TO_MDM_CUST_KEY as ship_to_mdm_cust_key, {', '.join(inst)}, count(*) as INSTALL_LINES
@@ -240,43 +240,48 @@ ext1 as (
            o_orderkey as EXT_ROW, row_number() over (partition by o_custkey order by o_orderkey) as rn
     from orders) where rn = 1),
 impl_a as (
-  select cast(user_id as varchar) as IMPL_KEY, {impl} from events group by user_id),
+  select * exclude (rn) from (
+    select cast(user_id as varchar) as IMPL_KEY, {impl}, row_number() over (partition by user_id order by event_id) as rn
+    from events) where rn = 1),
 impl_b as (
-  select cast(user_id as varchar) as IDB_KEY, count(*) as IDB_SIGNUPS, strftime(min(ts), {TS}) as IDB_FIRST_SIGNUP
-  from events where event_type = 'signup' group by user_id)"""
+  select * exclude (rn) from (
+    select cast(user_id as varchar) as IDB_KEY, value as IDB_VALUE, strftime(ts, {TS}) as IDB_FIRST_SIGNUP,
+           row_number() over (partition by user_id order by event_id) as rn
+    from events where event_type = 'signup') where rn = 1)"""
 
 
-def star_sql(first_how: str) -> str:
+def star_sql(first_how: str, s: str = "s") -> str:
+    """The chain of seven lookups; its steps are named ``s`` and a number."""
     j = "join" if first_how == "inner" else "left join"
-    return f"""s1 as (
+    return f"""{s}1 as (
   select f.*, i.INSTALL_LINES from fact_sel f {j} install i on f.MDM_CUST_KEY is not distinct from i.ship_to_mdm_cust_key),
-s2 as (
-  select s.*, c.SLA_PRIORITY, c.SLA_VALUE from s1 s left join contracts1 c on s.MDM_CUST_KEY is not distinct from c.BILL_MDM_KEY),
-s3 as (
-  select s.*, t.TECH_CALL_TS, t.TECH_CALL_VALUE from s2 s left join tech1 t on s.MDM_CUST_KEY is not distinct from t.MDM_ID),
-s4 as (
-  select s.*, t.TERR_NATION, t.TERR_REP from (select *, substr(ADDR_ZIP, 1, 3) as ZIP3 from s3) s
+{s}2 as (
+  select s.*, c.SLA_PRIORITY, c.SLA_VALUE from {s}1 s left join contracts1 c on s.MDM_CUST_KEY is not distinct from c.BILL_MDM_KEY),
+{s}3 as (
+  select s.*, t.TECH_CALL_TS, t.TECH_CALL_VALUE from {s}2 s left join tech1 t on s.MDM_CUST_KEY is not distinct from t.MDM_ID),
+{s}4 as (
+  select s.*, t.TERR_NATION, t.TERR_REP from (select *, substr(ADDR_ZIP, 1, 3) as ZIP3 from {s}3) s
   left join territory t on s.ZIP3 is not distinct from t.TERR_ZIP3),
-s5 as (
-  select s.*, e.EXT_ID from s4 s left join ext1 e on s.MDM_CUST_KEY is not distinct from e.mdm_site_key),
-s6 as (
-  select s.*, a.IMPL_PURCHASE, a.IMPL_SIGNUP from s5 s left join impl_a a on s.MDM_CUST_KEY is not distinct from a.IMPL_KEY),
-s7 as (
-  select s.*, b.IDB_SIGNUPS, b.IDB_FIRST_SIGNUP from s6 s left join impl_b b on s.MDM_CUST_KEY is not distinct from b.IDB_KEY)"""
+{s}5 as (
+  select s.*, e.EXT_ID from {s}4 s left join ext1 e on s.MDM_CUST_KEY is not distinct from e.mdm_site_key),
+{s}6 as (
+  select s.*, a.IMPL_PURCHASE, a.IMPL_SIGNUP from {s}5 s left join impl_a a on s.MDM_CUST_KEY is not distinct from a.IMPL_KEY),
+{s}7 as (
+  select s.*, b.IDB_VALUE, b.IDB_FIRST_SIGNUP from {s}6 s left join impl_b b on s.MDM_CUST_KEY is not distinct from b.IDB_KEY)"""
 
 
-USERS = """ulist_m as (
+USERS = f"""ulist_m as (
   select MDM_CUST_KEY as mk, ACCT_OFFICE_NAME as CUSTOMER_NAME, CONT_FULLPHONE, ADDR_STREETADDR as STREET,
          ADDR_CITY as CITY, ADDR_STATE as STATE, ADDR_ZIP as ZIP, CONT_EMAIL from master),
 ua as (
   select u.USER_KEY, m.* exclude (mk), u.IMPLANT_QTY from (
     select cast(user_id as varchar) as USER_KEY, count(*) as IMPLANT_QTY from events
-    where event_type = 'purchase' and user_id % 3 != 0 group by user_id) u left join ulist_m m on u.USER_KEY = m.mk),
+    where event_type = 'purchase' and value >= {P.IMPLANT_LEAST} group by user_id) u left join ulist_m m on u.USER_KEY = m.mk),
 ub as (
   select u.USER_KEY, m.* exclude (mk), u.IMPLANT_USD from (
     select cast(user_id as varchar) as USER_KEY,
            round(cast(sum(cast(value as decimal(18,2)) * 100) as double), 2) as IMPLANT_USD from events
-    where event_type = 'signup' and user_id % 5 != 0 group by user_id) u left join ulist_m m on u.USER_KEY = m.mk),
+    where event_type = 'signup' and value >= {P.IMPLANT_LEAST} group by user_id) u left join ulist_m m on u.USER_KEY = m.mk),
 users as (
   select coalesce(a.USER_KEY, b.USER_KEY) as USER_KEY,
          a.CUSTOMER_NAME as CUSTOMER_NAME_x, a.CONT_FULLPHONE as CONT_FULLPHONE_x, a.STREET as STREET_x,

@@ -89,6 +89,10 @@ FEATURES = SalesProfile(name="features", l2_from_l1=True, excluded_l2=SPARE_PART
 INSTALL_TYPES = ["PROMO", "STANDARD"]
 CONTRACT_STATUS = "O"
 TECH_EVENT_TYPE = "error"
+ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+# event types whose money an implant record shows in the lists, and the least value of the two user lists
+IMPLANT_KINDS = ["purchase", "signup"]
+IMPLANT_LEAST = 100.0
 EVENT_TYPES = ["view", "click", "error", "purchase", "signup"]
 RULE_SCORE_COLUMN = "MEDIUM MEDIUM"
 RULE_SCORE_SCALE = 100000
