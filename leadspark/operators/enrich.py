@@ -126,10 +126,3 @@ def star(fact: DataFrame, lookups, keys: dict | None = None, write_fact: bool =
 def zip3(c) -> object:
     """First three characters of a ZIP kept as a string (leading zeros stay)."""
     return F.substring(col_of(c), 1, 3)
-
-
-def full_merge(left: DataFrame, right: DataFrame, key: str, suffixes=("_x", "_y"),
-               null_safe: bool = False) -> DataFrame:
-    """Full outer merge on a shared key name: one coalesced key column, clashing
-    names suffixed."""
-    return merge(left, right, key, key, "full", suffixes=suffixes, null_safe=null_safe)

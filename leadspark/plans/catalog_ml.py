@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadspark.functions.exprs import col_of
 from leadspark.operators import enrich, evaluate, importance, ml, score
 from leadspark.plans import derived as D
 from leadspark.plans import flows, models
@@ -220,21 +221,41 @@ def q_territory_from_csv(spark: SparkSession, d: str) -> DataFrame:
                          drop=["TERR_ZIP3", "TERR_REGION"])
 
 
-@query("list_exports", O.with_(O.lead_ctes(), O.dim_ctes(), O.star_sql("inner"), O.USERS) + """
-  select 'aged' as list, MDM_CUST_KEY as customer, count(*) as n from s7 group by 2
-  union all select 'prospect', f.MDM_CUST_KEY, count(*) from fact_sel f
-    left join territory t on substr(f.ADDR_ZIP, 1, 3) is not distinct from t.TERR_ZIP3 group by 2
-  union all select 'implant', USER_KEY, count(*) from users group by 2""")
+_AGED = [P.KEY, *P.CONTACT_COLS, "ADDR_LATITUDE", "ADDR_LONGITUDE", "lead_gen_prob", *P.FACT_FEATURES, "INSTALL_LINES",
+         *flows.STAR_ORDERS, *flows.STAR_EVENTS, "ZIP3", "TERR_NATION", "TERR_REP"]
+_IMPLANT = ["USER_KEY", *[c + s for s in ("_x", "_y") for c in D.USER_LIST_COLS], "IMPLANT_QTY", "IMPLANT_USD",
+            "ship_to_mdm_cust_key", *[f"{t}_{s}" for t in P.INSTALL_TYPES for s in ("maxdate", "min")], "INSTALL_LINES"]
+_EXPORTS = {"aged": _AGED, "prospect": _AGED, "implant": _IMPLANT}
+_NUMBERS = {"ADDR_LATITUDE", "ADDR_LONGITUDE", "lead_gen_prob", *P.FACT_FEATURES, "INSTALL_LINES", "SLA_VALUE",
+            "TECH_CALL_VALUE", *[f"IMPL_{t.upper()}" for t in P.IMPLANT_KINDS], "IDB_VALUE", "IMPLANT_QTY", "IMPLANT_USD"}
+
+
+def _fields_sql(name: str, table: str) -> str:
+    """Each field of a list as a row, and the empty contents of a column of empty strings."""
+    key = _EXPORTS[name][0]
+    rows = [f"select '{name}' as list, {key} as customer, '{c}' as field, "
+            + (f"cast(null as varchar) as text, cast({c} as double) as number" if c in _NUMBERS
+               else f"cast({c} as varchar) as text, cast(null as double) as number") + f" from {table}"
+            for c in _EXPORTS[name]]
+    return " union all ".join([*rows, f"select '{name}', {key}, '_empty', '', null from {table}"])
+
+
+@query("list_exports", O.with_(O.lead_ctes(), O.dim_ctes(), O.star_sql("inner"), O.star_sql("left", "t"), O.USERS) + """,
+  implant as (select u.*, i.* from users u left join install i on u.USER_KEY is not distinct from i.ship_to_mdm_cust_key)
+  """ + " union all ".join(_fields_sql(n, t) for n, t in (("aged", "s7"), ("prospect", "t7"), ("implant", "implant"))))
 def q_list_exports(spark: SparkSession, d: str) -> DataFrame:
-    """The three flat lists exported as CSV and read back: rows per customer."""
+    """The three flat lists exported as CSV and read back: every field of every row."""
     out = None
-    for name, df, key in (("aged", flows.star_list(spark, d, "inner"), P.KEY),
-                          ("prospect", flows.star_list(spark, d, "left"), P.KEY),
-                          ("implant", flows.implant_list(spark, d), "USER_KEY")):
-        back = _csv_back(spark, df, name)
-        n = back.groupBy(F.col(key).alias("customer")).agg(F.count(F.lit(1)).alias("n"))
-        n = n.select(F.lit(name).alias("list"), "customer", "n")
-        out = n if out is None else out.unionByName(n)
+    for name, df in (("aged", flows.star_list(spark, d, "inner")), ("prospect", flows.star_list(spark, d, "left")),
+                     ("implant", flows.implant_list(spark, d))):
+        back = _csv_back(spark, df.withColumn("_empty", F.lit("")), name)
+        fields = [F.struct(F.lit(c).alias("field"),
+                           (F.lit(None) if c in _NUMBERS else col_of(c)).cast("string").alias("text"),
+                           (col_of(c) if c in _NUMBERS else F.lit(None)).cast("double").alias("number"))
+                  for c in [*_EXPORTS[name], "_empty"]]
+        rows = back.select(F.lit(name).alias("list"), col_of(_EXPORTS[name][0]).alias("customer"),
+                           F.inline(F.array(*fields)))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

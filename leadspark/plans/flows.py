@@ -171,7 +171,7 @@ def star_list(spark: SparkSession, d: str, first_how: str, min_prob: float | Non
 
 def implant_users(spark: SparkSession, d: str) -> DataFrame:
     """Full outer merge of the purchase and signup user lists (``_x``/``_y`` suffixes)."""
-    from leadspark.operators.enrich import full_merge
+    from leadspark.operators.outer import full_merge
     from leadspark.plans import derived as D
     return full_merge(D.purchase_users(spark, d), D.signup_users(spark, d), "USER_KEY")
 
