@@ -221,6 +221,41 @@ def q_territory_from_csv(spark: SparkSession, d: str) -> DataFrame:
                          drop=["TERR_ZIP3", "TERR_REGION"])
 
 
+def _from_file(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A lookup as it arrives: a CSV file read with a stated schema, malformed records set aside."""
+    path = scratch_path(spark, f"csv/{name}-{models.uuid.uuid4().hex[:8]}")
+    files.export_csv(df, path)
+    return files.read_lookup(spark, path, df.schema, scratch_path(spark, "quarantine"), multiline=False, most_bad=0.01).rows
+
+
+@query("star_from_files", O.with_(O.lead_ctes(), O.dim_ctes(), O.star_sql("left"))
+       + "select * replace (cast(INSTALL_LINES as double) as INSTALL_LINES) from s7")
+def q_star_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """The prospect list with all seven lookups read from CSV files, each deduplicated in file order and joined in turn."""
+    Lookup, key = enrich.Lookup, P.KEY
+
+    def file(name: str, df: DataFrame) -> DataFrame:
+        return _from_file(spark, df, name)
+    kept = [f"IMPL_{t.upper()}" for t in P.EVENT_TYPES if t not in P.IMPLANT_KINDS]
+    looks = [
+        Lookup(file("install", D.install_base(spark, d)), key, "ship_to_mdm_cust_key", drop=D.install_drop(), null_safe=True),
+        Lookup(file("contracts", D.contracts(spark, d)), key, "BILL_MDM_KEY", drop=["BILL_MDM_KEY", "SLA_SKU", "SLA_ORDER"],
+               dedupe_order="SLA_ORDER", unique_order=True, null_safe=True),
+        Lookup(file("tech_calls", D.tech_calls(spark, d)), key, "MDM_ID", drop=["MDM_ID", "TECH_EVENT"],
+               dedupe_order="TECH_EVENT", unique_order=True, null_safe=True),
+        Lookup(file("external_ids", D.external_ids(spark, d)), key, "mdm_site_key", drop=["EXT_ROW", "mdm_site_key"],
+               dedupe_order="EXT_ROW", unique_order=True, null_safe=True),
+        Lookup(file("implants_a", D.implants_a(spark, d)), key, "IMPL_KEY", drop=["IMPL_KEY", "IMPL_ROW", *kept],
+               dedupe_order="IMPL_ROW", unique_order=True, null_safe=True),
+        Lookup(file("implants_b", D.implants_b(spark, d)), key, "IDB_KEY", drop=["IDB_KEY", "IDB_ROW"],
+               dedupe_order="IDB_ROW", unique_order=True, null_safe=True),
+        Lookup(file("territory", D.territory(spark, d)), "ZIP3", "TERR_ZIP3", drop=["TERR_ZIP3", "TERR_REGION"],
+               null_safe=True, derive={"ZIP3": enrich.zip3("ADDR_ZIP")}),
+    ]
+    out = enrich.star(flows.fact_selection(spark, d), looks)
+    return out.withColumn("INSTALL_LINES", F.col("INSTALL_LINES").cast("double"))
+
+
 _AGED = [P.KEY, *P.CONTACT_COLS, "ADDR_LATITUDE", "ADDR_LONGITUDE", "lead_gen_prob", *P.FACT_FEATURES, "INSTALL_LINES",
          *flows.STAR_ORDERS, *flows.STAR_EVENTS, "ZIP3", "TERR_NATION", "TERR_REP"]
 _IMPLANT = ["USER_KEY", *[c + s for s in ("_x", "_y") for c in D.USER_LIST_COLS], "IMPLANT_QTY", "IMPLANT_USD",
