@@ -1,8 +1,9 @@
 """Descriptive statistics as DataFrames: quantiles, counts, histogram, box
 statistics, column summary, preview.
 
-Exact quantiles use the distributed positions of ``ordering`` rather than
-``percentile`` (whose final merge holds every distinct value in one task).
+Exact quantiles are selected by counting (``selection``) rather than by
+``percentile`` (whose final merge holds every distinct value in one task) or by
+a sort.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions.exprs import col_of
-from leadspark.operators.ordering import with_global_index
+from leadspark.functions.images import double_image, image_double
 from leadspark.operators.attach import attach_row
+from leadspark.operators.selection import quantile_ranks, quantile_value, select_ranks
 
 
 def _qname(p: float) -> str:
@@ -28,31 +30,14 @@ def quantiles(df: DataFrame, value: str, probs=(0.25, 0.75), names=None) -> Data
     """
     names = list(names or [_qname(p) for p in probs])
     v = col_of(value).cast("double")
-    vals = df.select(v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    # seeded rand splits runs of equal values over several range partitions
-    idx = with_global_index(vals, [F.col("_v"), F.rand(17)], "_i")
-    n = idx.agg(F.count(F.lit(1)).alias("_n"))   # reads the written sort
-    pos = [F.lit(p) * (F.col("_n") - 1) for p in probs]
-    # one-row frame of n: broadcast of a single row
-    j = attach_row(idx, n)
-    aggs = []
-    for i, h in enumerate(pos):
-        lo = F.floor(h)
-        aggs.append(F.max(F.when(F.col("_i") == lo, F.col("_v"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col("_i") == lo + 1, F.col("_v"))).alias(f"_hi{i}"))
-    keep = F.lit(False)
-    for h in pos:
-        keep = keep | (F.col("_i") == F.floor(h)) | (F.col("_i") == F.floor(h) + 1)
-    picked = j.filter(keep).agg(*aggs)
-    out = attach_row(picked, n)
-    cols = []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        h = F.lit(p) * (F.col("_n") - 1)
-        frac = h - F.floor(h)
-        lo, hi = F.col(f"_lo{i}"), F.coalesce(F.col(f"_hi{i}"), F.col(f"_lo{i}"))
-        cols.append(F.when(F.col("_n") == 0, F.lit(None).cast("double"))
-                    .when(frac == 0, lo).otherwise(lo + (hi - lo) * frac).alias(name))
-    return out.select(*cols)
+    images = df.select(F.lit(0).alias("_g"), v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).select(
+        "_g", double_image(F.col("_v")).alias("_value"))
+    found = select_ranks(images, lambda sizes: quantile_ranks(sizes, probs))
+    at = [F.max(F.when(F.col("_slot") == k, F.col("_value"))).alias(f"_{k}") for k in range(2 * len(probs))]
+    # a global aggregate: one row, of nulls if there are no values
+    row = found.agg(F.max("_size").alias("_n"), *at)
+    return row.select(*[quantile_value(i, p, F.col("_n"), lambda k: image_double(F.col(f"_{k}"))).alias(name)
+                        for i, (p, name) in enumerate(zip(probs, names))])
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -90,23 +75,20 @@ def box_stats(df: DataFrame, cols, k: float = 1.5) -> DataFrame:
 
     (feature, q1, median, q3, lower_whisker, upper_whisker, n_outliers):
     whiskers are the most extreme values inside [q1 - k IQR, q3 + k IQR];
-    nulls and NaN are ignored.  All columns are sorted together, once.
+    nulls and NaN are ignored.  All columns are counted together.
     """
-    idx = with_global_index(_long(df, cols), [F.col("_f"), F.col("_v"), F.rand(17)], "_i")
-    per = idx.groupBy("_f").agg(F.min("_i").alias("_i0"), F.count(F.lit(1)).alias("_n"))  # a row per column
-    j = idx.join(F.broadcast(per), "_f").withColumn("_i", F.col("_i") - F.col("_i0"))
-    aggs, cuts = [], {}
-    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-        h = F.lit(p) * (F.col("_n") - 1)
-        aggs += [F.max(F.when(F.col("_i") == F.floor(h), F.col("_v"))).alias(f"_lo_{name}"),
-                 F.max(F.when(F.col("_i") == F.floor(h) + 1, F.col("_v"))).alias(f"_hi_{name}")]
-        lo, hi = F.col(f"_lo_{name}"), F.coalesce(F.col(f"_hi_{name}"), F.col(f"_lo_{name}"))
-        cuts[name] = F.when(h - F.floor(h) == 0, lo).otherwise(lo + (hi - lo) * (h - F.floor(h)))
-    q = j.groupBy("_f", "_n").agg(*aggs).select("_f", *[e.alias(n) for n, e in cuts.items()])
+    long = _long(df, cols)
+    images = long.select(F.col("_f").alias("_g"), double_image(F.col("_v")).alias("_value"))
+    parts = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = select_ranks(images, lambda sizes: quantile_ranks(sizes, parts.values()))
+    at = [F.max(F.when(F.col("_slot") == k, F.col("_value"))).alias(f"_{k}") for k in range(2 * len(parts))]
+    q = found.groupBy(F.col("_g").alias("_f")).agg(F.max("_size").alias("_n"), *at).select("_f", *[
+        quantile_value(i, p, F.col("_n"), lambda k: image_double(F.col(f"_{k}"))).alias(name)
+        for i, (name, p) in enumerate(parts.items())])  # a row per column
     lo_f = F.col("q1") - k * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + k * (F.col("q3") - F.col("q1"))
     inside = (F.col("_v") >= lo_f) & (F.col("_v") <= hi_f)
-    out = idx.join(F.broadcast(q), "_f").groupBy("_f", "q1", "median", "q3").agg(
+    out = long.join(F.broadcast(q), "_f").groupBy("_f", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("_v"))).alias("upper_whisker"),
         F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_outliers"))
