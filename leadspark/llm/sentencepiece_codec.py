@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi.
 
-Words (runs of the word mark and what follows) are encoded once per batch and
-distinct word.  Words of equal length advance together: at each place the
+Texts are cut into words (runs of the word mark and what follows) by array
+operations on their bytes; words tile a text, so Arrow's dictionary finds a block's
+distinct ones, each of which is encoded once.  Words of equal length advance together: at each place the
 substrings that end there are looked up by hash among the sorted hashes of the
 pieces, the best of the candidates is chosen by a vectorised maximum, and the
 length of the winner is stored as the backpointer.
@@ -20,13 +21,14 @@ candidate pairs.  Characters without a piece become their bytes' pieces.
 
 Defined results: a null text gives an empty list, and an empty list the empty
 text; white space other than the space is kept as it is; the word mark itself
-(U+2581) decodes as a space; repeated rows give repeated results.
+(U+2581) decodes as a space; repeated rows give repeated results; bytes that are
+no UTF-8 count as U+FFFD; an empty table gives an empty one; other columns, whatever
+their names, are not read.  A very long text is held whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -38,12 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark.llm import common as C
+from leadspark.llm import textbytes as T
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words a worker remembers, and candidate cells handled at once.
-REMEMBER = 200_000
+REMEMBER = 400_000
+#: Bytes of text handled at once.
+BLOCK = 1 << 20
 CELLS = 1 << 21
 #: A longer word is cut where its neighbouring characters stand together in no piece.
 LONG_WORD = 48
@@ -75,6 +80,7 @@ class Pieces:
         self.raw = [b"" if sp.is_control(i) else bytes([int(self.text[i][3:5], 16)]) if sp.is_byte(i)
                     else " ⁇ ".encode() if sp.is_unknown(i) else self.text[i].replace(MARK, " ").encode()
                     for i in range(n)]
+        self.spelt = pa.array(self.raw, pa.binary())
         score = np.array([sp.get_score(i) for i in range(n)])
         self.score = score
         # a BPE model scores its pieces by the order of their merges: whole numbers from 0 down
@@ -116,14 +122,13 @@ class Pieces:
         self.pair_fits = np.zeros(1 << 21, bool)
         cut = [c for c in "\n\t\r\x0b\x0c" if not any(c in j for j in self.joint)]
         self.cut_marks = not any(j[1] == MARK != j[0] for j in self.joint)
-        alone = "".join(map(re.escape, cut))
-        self.word = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")
-                               if self.cut_marks else r"(?s).+")
+        self.alone = np.zeros(256, bool)
+        self.alone[[ord(c) for c in cut]] = True
         self.forget()
 
     def forget(self) -> None:
         """Start with no word remembered."""
-        self.known: dict[str, int] = {}  # word -> its place in the arrays below
+        self.known: dict[bytes, int] = {}  # word -> its place in the arrays below
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -263,18 +268,27 @@ class Pieces:
             count.append(n)
         return np.concatenate(flat), np.concatenate(count)
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode words and remember them."""
-        groups: dict[int, list[str]] = {}
-        for w in words:
-            groups.setdefault(len(w), []).append(w)
-        flat, count = [self.flat], [self.count]
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words and remember them; a space in a word stands for the word mark."""
+        split = [w.decode().replace(" ", MARK) for w in words]
+        split = [[w] if len(w) <= LONG_WORD else self._cut(w) for w in split]
+        groups: dict[int, dict[str, int]] = {}  # equal-length parts, each once
+        for part in chain.from_iterable(split):
+            groups.setdefault(len(part), {}).setdefault(part, 0)
+        flat, count, at = [], [], 0
         for own in groups.values():
-            self.known.update(zip(own, range(len(self.known), len(self.known) + len(own))))
-            ids, n = self._encode_equal(own)
+            own.update(zip(own, range(at, at + len(own))))
+            at += len(own)
+            ids, n = self._encode_equal(list(own))
             flat.append(ids.astype(np.int32))
             count.append(n)
-        self.flat, self.count = np.concatenate(flat), np.concatenate(count)
+        flat, count = np.concatenate(flat), np.concatenate(count)
+        place = np.fromiter((groups[len(p)][p] for p in chain.from_iterable(split)), np.int64)
+        ids, n = _gather(flat, np.cumsum(count) - count, count, place)
+        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, split)])]
+        self.known.update(zip(words, range(len(self.count), len(self.count) + len(words))))
+        self.flat = np.concatenate((self.flat, ids))
+        self.count = np.concatenate((self.count, np.diff(ends)))
         self.first = np.cumsum(self.count) - self.count
 
     def _cut(self, word: str) -> list[str]:
@@ -286,30 +300,85 @@ class Pieces:
                 at = i
         return [*parts, word[at:]]
 
-    def words(self, text: str) -> list[str]:
-        """The text's words: parts that can be encoded one by one."""
-        if not text:
-            return []
-        found = self.word.findall(MARK + text.replace(" ", MARK))
-        if max(map(len, found)) > LONG_WORD:
-            found = list(chain.from_iterable([w] if len(w) <= LONG_WORD else self._cut(w) for w in found))
-        return found
+    def _starts(self, buf: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Byte offsets at which words start; ``first`` are those at which texts start.
+
+        A word is a run of marks and what follows up to the next mark; characters
+        that stand together with no other one in any piece are words of their own.
+        """
+        start = np.zeros(len(buf), bool)
+        if self.cut_marks:
+            mark = buf == 32
+            spelt = np.flatnonzero(buf == 0xE2)  # the mark itself has three bytes
+            if len(spelt):
+                ext = np.append(buf, [0, 0])
+                spelt = spelt[(ext[spelt + 1] == 0x96) & (ext[spelt + 2] == 0x81)]
+                for k in range(3):
+                    mark[spelt + k] = True
+            alone = self.alone[buf]
+            start |= mark
+            start[1:] &= ~mark[:-1]
+            start |= alone
+            start[1:] |= alone[:-1]
+        start[first] = True
+        return np.flatnonzero(start)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other, and how many each has)."""
-        split = [self.words(t) for t in texts]
+        parts = list(self.encode_column(pa.array(texts, pa.string())))
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.concatenate([ids for _, ids, _ in parts]), np.concatenate([n for _, _, n in parts])
+
+    def encode_column(self, col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(rows, their ids one after the other, number of ids of each) of runs of a column's texts."""
+        # the blank before a text is the mark of its first word
+        col = pc.if_else(pc.equal(col, ""), "", pc.binary_join_element_wise(" ", col, ""))
+        buf, off = T.column_bytes(col)
+        row = 0
+        while row < len(col):
+            last = max(row + 1, int(np.searchsorted(off, off[row] + BLOCK, "right")) - 1)
+            own, cut = buf[off[row]:off[last]], off[row:last + 1] - off[row]
+            yield last - row, *self._block(own, cut)
+            row = last
+
+    def _block(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(buf):
+            return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
+        start = self._starts(buf, off[:-1][np.diff(off) > 0])
+        words = pa.Array.from_buffers(pa.binary(), len(start), [
+            None, pa.py_buffer(np.append(start, len(buf)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf))])
+        words = words.dictionary_encode()
         if len(self.known) > REMEMBER:
             self.forget()
-        new = set(chain.from_iterable(split)).difference(self.known)
+        distinct = words.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.known]
         if new:
             self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
-        n = self.count[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(n) else 0
-        ids = self.flat[np.repeat(self.first[at] - (ends - n), n) + np.arange(total)]
-        words = np.cumsum([0, *map(len, split)])
-        return ids, np.diff(np.concatenate(([0], ends))[words])
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        ids, n = _gather(self.flat, self.first, self.count, place[words.indices.to_numpy()])
+        ends = np.concatenate(([0], np.cumsum(n)))
+        return ids, np.diff(ends[np.searchsorted(start, off)])
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids."""
+        flat = self.spelt.take(lists.flatten())
+        size = np.asarray(pc.list_value_length(lists), np.int64)
+        parts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), flat)
+        whole = pc.binary_join(parts, b"")
+        whole = pc.if_else(pc.starts_with(whole, b" "), pc.binary_replace_slice(whole, 0, 1, b""), whole)
+        try:
+            return whole.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that are no encoding may spell broken characters
+            return pa.array([t.decode("utf-8", "replace") for t in whole.to_pylist()], pa.string())
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each) of the entries at ``place``, one after the other."""
+    n = count[place]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(n) else 0
+    return flat[np.repeat(first[place] - (ends - n), n) + np.arange(total)], n
 
 
 @lru_cache(maxsize=2)
@@ -329,17 +398,23 @@ def _inside(p: str, order: dict[str, int]) -> Iterator[tuple[str, int]]:
                 yield p[i:j], order[p[i:j]]
 
 
-def _some(values: list, size, limit: int = 1 << 20) -> Iterator[list]:
-    """Runs of values of about ``limit`` in size."""
-    held, n = [], 0
-    for v in values:
-        held.append(v)
-        n += size(v)
-        if n >= limit:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def _texts(col: pa.Array) -> pa.Array:
+    """The texts without nulls and broken characters."""
+    col = col.fill_null("") if col.null_count else col
+    try:
+        col.validate(full=True)
+    except pa.ArrowInvalid:
+        col = pa.array([t.decode("utf-8", "replace") for t in col.cast(pa.binary()).to_pylist()], pa.string())
+    return col
+
+
+def _lists(ids: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum(n)))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -348,46 +423,49 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         p = pieces(model)
         for b in batches:
             at = 0
-            for texts in _some([t or "" for t in b.column(1).to_pylist()], len):
-                flat, count = p.encode(texts)
-                ends = np.concatenate(([0], np.cumsum(count)))
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-                part = b.slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "text", "ids"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
+            for rows, ids, n in p.encode_column(_texts(b.column(1))):
+                part = b.slice(at, rows)
+                at += rows
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids, n)], ["doc_id", "text", "ids"])
+    return _rows(docs).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """``rows`` (doc_id, text, ids) with the text that the ids stand for, ``decoded``."""
     def run(batches):
-        raw = pa.array(pieces(model).raw, pa.binary())
+        p = pieces(model)
         for b in batches:
             ids = b.column(2).fill_null([]) if b.column(2).null_count else b.column(2)
-            flat = raw.take(ids.flatten())
-            size = np.asarray(pc.list_value_length(ids))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), flat)
-            whole = pc.binary_join(lists, b"")
-            whole = pc.if_else(pc.starts_with(whole, b" "), pc.binary_replace_slice(whole, 0, 1, b""), whole)
-            try:
-                text = whole.cast(pa.string())
-            except pa.ArrowInvalid:  # ids that are no encoding may spell broken characters
-                text = pa.array([t.decode("utf-8", "replace") for t in whole.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], text], ["doc_id", "text", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], p.decode(ids)], ["doc_id", "text", "ids", "decoded"])
     return rows.select("doc_id", "text", "ids").mapInArrow(
         run, "doc_id long, text string, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """(doc_id, ids, decoded, same): encoded and decoded again in one pass; ``same`` says whether the text came back."""
+    def run(batches):
+        p = pieces(model)
+        for b in batches:
+            at, texts = 0, _texts(b.column(1))
+            for rows, ids, n in p.encode_column(texts):
+                lists = _lists(ids, n)
+                decoded = p.decode(lists)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, rows), lists, decoded, pc.equal(decoded, texts.slice(at, rows))],
+                    ["doc_id", "ids", "decoded", "same"])
+                at += rows
+    return _rows(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string, same boolean")
+
+
 # -- query --------------------------------------------------------------------
 
 def digest(coded: DataFrame) -> DataFrame:
     """Per document: number and hash of its ids, digest of the decoded text, whether it is the text."""
+    same = F.col("same") if "same" in coded.columns else F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"),
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+                        F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
-    return digest(decode(encode(C.read(spark, sf_dir, "documents"))))
+    return digest(round_trip(C.read(spark, sf_dir, "documents")))

@@ -177,7 +177,23 @@ def test_round_trip(odd, empty):
     rows = S.digest(S.decode(S.encode(odd))).collect()
     assert len(rows) == len(ODD) and all(r.round_trip for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
-    assert S.decode(S.encode(empty)).count() == 0
+    assert S.decode(S.encode(empty)).count() == 0 and S.round_trip(empty).count() == 0
+    assert sorted(map(repr, S.digest(S.round_trip(odd)).collect())) == sorted(map(repr, rows))
+
+
+def test_words_at_block_ends_and_marks(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(S.MODEL))
+    r = random.Random(8)
+    texts = ["".join(r.choices(["▁", " ", "  ", "\n", "\t", "a", "the", "â", "▀", "x" * 60, "é"], k=r.randrange(9)))
+             for _ in range(1500)] + ["", "▁", " ▁ a"]
+    exp = sp.encode(texts)
+    for block in (1 << 20, 50):
+        monkeypatch.setattr(S, "BLOCK", block)
+        monkeypatch.setattr(S, "REMEMBER", block)
+        ids, count = S.pieces(S.MODEL).encode(texts)
+        assert [g.tolist() for g in np.split(ids, np.cumsum(count)[:-1])] == exp
 
 
 def test_token_counts_equal_library(docs, odd, empty):
