@@ -39,9 +39,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text (operator 4)."""
     C.ship_package(spark)
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = sentencepiece_codec.round_trip(docs)
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("same").alias("round_trip"))
 
 
 STAGES = [
