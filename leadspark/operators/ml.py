@@ -28,6 +28,39 @@ def assembler(cols, out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=check_feature_list(cols), outputCol=out)
 
 
+def zero_as_missing(train: DataFrame, cols, label: str = "label", out: str = "features") -> list:
+    """Pipeline stages that assemble ``cols`` with zeros as missing values: each feature gives them a learned side.
+
+    Where a zero says "nothing known" (no purchase in a category), it should not
+    lie at the low end by its size.  Per feature, a zero is replaced by a value
+    beyond all others, below or above them: on the side whose rows have labels
+    more like those of the zeros, so a tree's split can send them there, or set
+    them apart.  Sides and values come from one aggregation of ``train``; with no
+    zeros, or no difference, they go below.  The stages are built-in ones that
+    hold the fitted values, so the pipeline is saved and loaded as any other.
+    """
+    cols = check_feature_list(cols)
+    y = col_of(label).cast("double")
+    aggs = []
+    for i, c in enumerate(cols):
+        v = col_of(c).cast("double")
+        there = F.when((v != 0) & ~F.isnan(v), v)
+        aggs += [F.min(there).alias(f"lo{i}"), F.max(there).alias(f"hi{i}"), F.covar_pop(there, y).alias(f"slope{i}"),
+                 F.avg(F.when(there.isNotNull(), y)).alias(f"there{i}"), F.avg(F.when(v == 0, y)).alias(f"zero{i}")]
+    row = train.agg(*aggs).first()  # five numbers a feature
+    fills = []
+    for i, c in enumerate(cols):
+        lo, hi, slope, there, zero = (row[f"{x}{i}"] for x in ("lo", "hi", "slope", "there", "zero"))
+        above = zero is not None and there is not None and (zero - there) * (slope or 0.0) > 0
+        value = 0.0 if lo is None else hi + 1 + abs(hi) if above else lo - 1 - abs(lo)
+        name = c.replace("`", "``")
+        fills.append(f"CASE WHEN `{name}` = 0 THEN CAST('{value!r}' AS DOUBLE) ELSE CAST(`{name}` AS DOUBLE) END AS `_in_{name}`")
+    inputs = [f"_in_{c}" for c in cols]
+    dropped = ", ".join(f"`{c.replace('`', '``')}`" for c in inputs)
+    return [SQLTransformer(statement=f"SELECT *, {', '.join(fills)} FROM __THIS__"), assembler(inputs, out),
+            SQLTransformer(statement=f"SELECT * EXCEPT ({dropped}) FROM __THIS__")]
+
+
 def gbt(label: str = "label", features: str = "features", seed: int = 42, **kw) -> GBTClassifier:
     return GBTClassifier(labelCol=label, featuresCol=features, seed=seed, **kw)
 

@@ -35,7 +35,7 @@ def gbt_model(spark: SparkSession, d: str):
     def build():
         train, _, _ = data(spark, d)
         g = ml.gbt(P.LABEL)
-        pipe = ml.pipeline(ml.assembler(flows.feature_columns()), g)
+        pipe = ml.pipeline(*ml.zero_as_missing(train, flows.feature_columns(), P.LABEL), g)
         grid = ml.grid([(g.maxDepth, P.GBT_GRID["maxDepth"]), (g.maxIter, P.GBT_GRID["maxIter"])])
         return ml.grid_search(pipe, grid, "f1", P.LABEL, folds=P.FOLDS, seed=P.SEED).fit(train).bestModel
     return _memo(spark, d, "gbt", build)

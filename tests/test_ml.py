@@ -85,3 +85,38 @@ def test_run_log_appends(spark):
     log = ml.log_run(spark, path, "r2", "b", {"label": "label"}, m)
     assert log.count() == 6
     assert {r.name for r in log.filter("kind = 'metric'").collect()} == {"auc", "f1"}
+
+
+def _sparse(spark, zeros_are):
+    """Positives have x above 5; of the zeros, all or none are positive."""
+    import random
+    rnd, rows = random.Random(4), []
+    for i in range(300):
+        x = 0.0 if i % 3 == 0 else rnd.uniform(1, 10)
+        rows.append((f"k{i}", x, rnd.uniform(0, 1), zeros_are if x == 0 else int(x > 5)))
+    return spark.createDataFrame(rows, "MDM_CUST_KEY string, `x y` double, n double, label int")
+
+
+@pytest.mark.parametrize("zeros_are", [0, 1])
+def test_zeros_go_to_the_learned_side(spark, zeros_are):
+    df = _sparse(spark, zeros_are)
+    one_split = ml.pipeline(*ml.zero_as_missing(df, ["x y", "n"]), ml.gbt(maxIter=1, maxDepth=1))
+    model = one_split.fit(df)
+    pred = model.transform(df)
+    assert pred.columns == [*df.columns, "features", "rawPrediction", "probability", "prediction"]
+    assert pred.filter("prediction != label").count() <= 300 / 32  # one split is right but for the rows of its bin
+    side = pred.filter("`x y` = 0").select("features").first()[0][0]
+    assert side > 10 if zeros_are else side < 1
+    plain = ml.pipeline(ml.assembler(["x y", "n"]), ml.gbt(maxIter=1, maxDepth=1)).fit(df).transform(df)
+    if zeros_are:
+        assert plain.filter("prediction != label").count() >= 60
+    back = ml.load(ml.save(model, os.path.join(tempfile.mkdtemp(prefix="leadspark-model-"), "m")))
+    assert back.transform(df).select("prediction").collect() == pred.select("prediction").collect()
+
+
+def test_zeros_where_nothing_is_known(spark):
+    df = spark.createDataFrame([(0.0, 1.0, 0), (0.0, -2.0, 1)], "a double, b double, label int")
+    stages = ml.zero_as_missing(df, ["a", "b"])
+    new = spark.createDataFrame([(0.0, 0.0, 0), (3.0, 1.0, 1)], "a double, b double, label int")
+    out = ml.pipeline(*stages).fit(df).transform(new).select("features").collect()
+    assert [list(r[0]) for r in out] == [[0.0, -5.0], [3.0, 1.0]]
