@@ -16,11 +16,16 @@ executors cost a rewrite of their files only (Spark's output commit).
 Of equal payloads the page with the largest id is a ``response``; the others
 are ``revisit`` records without a payload that refer to it.
 
+A record is named by its page's id and its payload's digest (and a number, where
+several pages agree in both), so pages without an id, or of one id, stay apart.
+
 Defined results: a null payload is empty, and empty payloads are equal to each
 other; a null URL is written empty, control characters in a URL are escaped;
 a null ``page_id`` is smaller than any other; of rows equal in id and payload
 one is the response and the others revisit it; an empty table gives an empty
-archive.  The response of a payload that a third of all pages share is found
+archive; extra columns are ignored, whatever their names; a payload of any
+length is written and read in segments.  A record read back whose payload has
+not the declared digest has ``verified`` false; the query fails on it.  The response of a payload that a third of all pages share is found
 by partial aggregation and joined to them without a shuffle (``spread_join``).
 """
 
@@ -74,11 +79,12 @@ def roles(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> tuple[DataFrame,
     named = big.join(g, first, "left_semi")
     repeated = named.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.max("url").alias("url"))
     repeated = C.freeze(repeated.where("n > 1"), "llm_repeated")
-    responses = rows.join(g, first, "left_semi")
+    responses = rows.join(g, first, "left_semi").withColumn("copy", F.lit(None).cast("long"))
     if not repeated.isEmpty():  # the same page again: one of its rows is the response
         responses = responses.dropDuplicates(["digest", "page_id"])
     if min_revisit > 0:
-        responses = responses.unionByName(rows.where(F.length("payload") < min_revisit))
+        small = rows.where(F.length("payload") < min_revisit)
+        responses = responses.unionByName(small.withColumn("copy", F.monotonically_increasing_id()))
 
     others = big.join(g, first, "left_anti").withColumn("copy", F.monotonically_increasing_id())
     again = repeated.select("page_id", "url", "digest", F.lit(None).cast("int").alias("n_bytes"),
@@ -96,19 +102,21 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _urn(page_id: int | None, digest: str, *more) -> str:
+    """Name of a record; ``more`` tells those apart that agree in page id and payload digest."""
+    return "<" + ":".join(["urn:page", "" if page_id is None else str(page_id), _b32(digest), *map(str, more)]) + ">"
 
 
 def _uri(url: str | None) -> str:
     return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url or "")
 
 
-def _response(page_id, url, payload: memoryview, digest: str, segment: int) -> Iterator[bytes]:
+def _response(page_id, url, payload: memoryview, digest: str, copy, segment: int) -> Iterator[bytes]:
     n = max(1, -(-len(payload) // segment))
+    own = [] if copy is None else ["copy", copy]
     for k in range(n):
         part = bytes(payload[k * segment:(k + 1) * segment])
-        rid = _urn(page_id) if not k else f"<urn:page:{'' if page_id is None else page_id}:segment:{k + 1}>"
+        rid = _urn(page_id, digest, *own, *(["segment", k + 1] if k else []))
         f = [("WARC-Type", "continuation" if k else "response"), ("WARC-Record-ID", rid), ("WARC-Date", DATE),
              ("WARC-Target-URI", _uri(url))]
         if not k:
@@ -117,18 +125,17 @@ def _response(page_id, url, payload: memoryview, digest: str, segment: int) -> I
         if n > 1:
             f.append(("WARC-Segment-Number", str(k + 1)))
         if k:
-            f.append(("WARC-Segment-Origin-ID", _urn(page_id)))
+            f.append(("WARC-Segment-Origin-ID", _urn(page_id, digest, *own)))
             if k == n - 1:
                 f.append(("WARC-Segment-Total-Length", str(len(HTTP) + len(payload))))
         yield _record(f, part if k else HTTP + part)
 
 
 def _revisit(page_id, url, digest: str, response_id, copy) -> bytes:
-    own = "" if page_id is None else page_id
-    return _record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:page:{own}:revisit:{copy}>"),
+    return _record([("WARC-Type", "revisit"), ("WARC-Record-ID", _urn(page_id, digest, "revisit", copy)),
                     ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url)),
                     ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                    ("WARC-Payload-Digest", f"sha1:{_b32(digest)}"), ("WARC-Refers-To", _urn(response_id))], b"")
+                    ("WARC-Payload-Digest", f"sha1:{_b32(digest)}"), ("WARC-Refers-To", _urn(response_id, digest))], b"")
 
 
 def write(pages: DataFrame, path: str, segment: int = SEGMENT, min_revisit: int = MIN_REVISIT) -> None:
@@ -136,9 +143,9 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, min_revisit: int
     def put_responses(batches):
         recs, size = [], 0
         for b in batches:
-            for page_id, url, payload, digest in zip(*(b.column(i) for i in range(4))):
+            for page_id, url, payload, digest, copy in zip(*(b.column(i) for i in range(5))):
                 view = memoryview(payload.as_buffer())
-                for rec in _response(page_id.as_py(), url.as_py(), view, digest.as_py(), segment):
+                for rec in _response(page_id.as_py(), url.as_py(), view, digest.as_py(), copy.as_py(), segment):
                     recs.append(rec)
                     size += len(rec)
                     if size >= 16 * segment:
@@ -153,7 +160,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, min_revisit: int
             yield pa.RecordBatch.from_arrays([pa.array(recs, pa.binary())], ["value"])
 
     responses, revisits = roles(pages, min_revisit)
-    a = responses.select("page_id", "url", "payload", "digest").mapInArrow(put_responses, "value binary")
+    a = responses.select("page_id", "url", "payload", "digest", "copy").mapInArrow(put_responses, "value binary")
     b = revisits.mapInArrow(put_revisits, "value binary")
     (a.unionByName(b).select(F.col("value").cast("string").alias("value"))
      .write.option("lineSep", "\r\n").option("compression", "gzip").text(path))
@@ -273,8 +280,8 @@ def records(chunks: DataFrame) -> DataFrame:
     """One row per record of ``chunks`` (as ``read_chunks`` gives them): payload size and digest.
 
     A record that is not segmented lies in one archive, so its chunks come one
-    after the other and are digested where they are read.  Only the chunks of
-    segmented records, which may lie in several archives, are dealt by record
+    after the other and are digested where they are read; its first chunk ends
+    the record before, whatever their names.  Only the chunks of segmented records, which may lie in several archives, are dealt by record
     and sorted; their digest runs over them in order.
     """
     own = [*_NAMES, "declared", "segment", "chunk_no", "data"]
@@ -286,7 +293,7 @@ def records(chunks: DataFrame) -> DataFrame:
             rows = []
             heads = b.select([*_HEAD, "segment", "chunk_no"]).to_pylist()
             for head, data in zip(heads, b.column("data")):
-                if state and state.head["record_id"] != head["record_id"]:
+                if state and (head["chunk_no"] == 0 or state.head["record_id"] != head["record_id"]):
                     rows.append((*state.row(), None, None, None, None))
                     state = None
                 if head["segment"]:
@@ -345,7 +352,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     def page(c: str):
         return F.regexp_extract(c, r"^<urn:page:(-?\d+)", 1)
     own, refers = page("record_id"), page("refers_to")
-    return out.select(F.when(own != "", own.cast("long")).alias("page_id"), "payload_bytes", "payload_digest",
+    broken = F.raise_error(F.concat(F.lit("payload of another digest than declared: "), "record_id")).cast("string")
+    digest = F.when(F.col("verified") == F.lit(False), broken).otherwise(F.col("payload_digest"))
+    return out.select(F.when(own != "", own.cast("long")).alias("page_id"), "payload_bytes", digest.alias("payload_digest"),
                       F.col("type").alias("record_type"),
                       F.when(refers != "", refers.cast("long")).alias("refers_to"))
 

@@ -97,3 +97,23 @@ def test_least_revisit_size_and_empty_table(spark):
     path = _path(spark)
     A.write(_pages(spark, []), path)
     assert _read(spark, path) == []
+
+
+def test_pages_without_an_id_or_of_one_id_stay_apart(spark):
+    lost = [(None, "http://a", "one"), (None, "http://b", "two22"), (None, "http://c", "two22"),
+            (1, "http://d", "one"), (2, None, None), (None, "http://e", "w" * 250), (None, "http://f", "v" * 270)]
+    same = [(7, "http://a", "x"), (7, "http://a", "yy"), (7, "http://b", "zzz"), (7, "http://c", "w" * 250),
+            (7, "http://c", "u" * 250), (7, "http://d", "yy")]
+    for rows in (lost, same):
+        for segment in (1 << 16, 100):
+            path = _path(spark)
+            A.write(_pages(spark, rows).coalesce(1), path, segment)
+            assert _read(spark, path) == _expected(rows)
+
+
+def test_small_pages_that_agree_in_all_are_records_of_their_own(spark):
+    rows = [(None, "http://a", "ab" * 90)] * 3 + [(4, "http://b", "x")] * 2
+    path = _path(spark)
+    A.write(_pages(spark, rows).coalesce(1), path, 100, min_revisit=1000)
+    assert [r[:4] for r in _read(spark, path)] == sorted(
+        [(i, len(t), _b32(t), "response") for i, _, t in rows], key=repr)
