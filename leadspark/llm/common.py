@@ -14,7 +14,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = " \t\n\x0b\x0c\r"
 
 __all__ = ["UPPER", "SPACES", "ensure_checkpoint_dir", "freeze", "read", "ascii_lower", "let", "words",
-           "spread_join", "shuffle_partitions", "ship_package", "keep_rows", "scratch_folder"]
+           "spread_join", "shuffle_partitions", "ship_package", "keep_rows", "scratch_folder", "text_digest"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, UPPER.lower())
 
 
+def text_digest() -> Column:
+    """SHA-256 of the column ``text``, 32 bytes; null counts as empty.
+
+    What is judged by the text alone is told by it: rows without an id, or of one id, are not judged together.
+    """
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, wherever the result is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -20,7 +20,9 @@ Defined results: texts are lower-cased (A-Z) and cut at white space; an item
 of fewer than five words is one shingle of all its words and searched for as
 such; an item without words, or a null text, is never found; rows with equal
 ``doc_id`` (or ``item_id``) are judged as one document (item); a null id is an
-id like any other.
+id like any other; texts of any length are read whole; an empty table of
+documents or items gives no pairs; other columns are ignored, whatever their
+names.  ``clean`` judges each row by its own text, whatever its id.
 """
 
 from __future__ import annotations
@@ -100,12 +102,17 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
               shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles) of every item contained in a document."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return _contained(d, items, containment, shingle)
+
+
+def _contained(d: DataFrame, items: DataFrame, containment: float, shingle: int = SHINGLE) -> DataFrame:
+    """As ``contained``, for rows (doc_id, text) with a ``doc_id`` of any type."""
     i = items.select(F.col("item_id").cast("long").alias("item_id"), C.words(F.col("text")).alias("w"))
     i = i.withColumn("width", F.least(F.size("w"), F.lit(shingle))).where("width > 0")
     i = C.freeze(i, "llm_items")
     widths = [r[0] for r in i.select("width").distinct().orderBy("width").collect()]  # at most `shingle` values
     if not widths:
-        return d.where(F.lit(False)).select("doc_id", F.col("doc_id").alias("item_id"),
+        return d.where(F.lit(False)).select("doc_id", F.lit(0).cast("long").alias("item_id"),
                                             F.lit(0).cast("long").alias("n_shared"),
                                             F.lit(0).cast("long").alias("n_shingles"))
     sketch = C.freeze(sketches(_by_width(i, _hashes, widths, "h"), containment), "llm_sketch")
@@ -128,9 +135,10 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
 
 
 def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with their columns."""
-    bad = contained(docs, items, containment).select(F.col("doc_id").alias("__llm_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__llm_bad")), "left_anti")
+    """The rows of ``docs`` whose text contains no item, with their columns."""
+    d = docs.select(C.text_digest().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bad = _contained(d, items, containment).select(F.col("doc_id").alias("__llm_digest")).distinct()
+    return docs.withColumn("__llm_digest", C.text_digest()).join(bad, "__llm_digest", "left_anti").drop("__llm_digest")
 
 
 # -- query --------------------------------------------------------------------

@@ -16,8 +16,10 @@ Counts, patterns and scores cover all documents and whole texts; the sample
 bound concerns the fit alone.
 
 Defined results: a null text, or one without words, gets no vote, has score
-zero and is rejected; repeated rows are scored alike; an empty table gives an
-empty result; other columns are ignored.
+zero and is rejected; rows are judged by their own text, so rows without an
+id, or of one id, are not judged together, and equal texts are scored alike;
+rows without an id are in the fit's sample by the hash of their text; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -177,20 +179,21 @@ def _votes(signals: dict[str, np.ndarray], words: np.ndarray) -> np.ndarray:
 
 
 def patterns(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern, n_words): a digit per labeller, 1 good, 0 bad, 2 no vote."""
+    """(doc_id, digest, pattern, n_words): a digit per labeller, 1 good, 0 bad, 2 no vote."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             signals, words = _signals(b.column(1))
             votes = _votes(signals, words)
             text = ["".join(map(str, v)) for v in votes]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(text, pa.string()), pa.array(words.astype(np.int64))],
-                ["doc_id", "pattern", "n_words"])
-    return _texts(docs).mapInArrow(run, "doc_id long, pattern string, n_words long")
+                [b.column(0), b.column(2), pa.array(text, pa.string()), pa.array(words.astype(np.int64))],
+                ["doc_id", "digest", "pattern", "n_words"])
+    return _texts(docs).mapInArrow(run, "doc_id long, digest binary, pattern string, n_words long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       C.text_digest().alias("digest"))
 
 
 def label_model(counts: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[dict[str, float], np.ndarray, float]:
@@ -289,10 +292,11 @@ class Model(NamedTuple):
 
 
 def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit the scorer on at most ``sample`` documents of ``docs`` with the labels (doc_id, label)."""
-    picked = (labelled.where("n_words > 0 and doc_id is not null").select("doc_id", "label").distinct()
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample))
-    picked = picked.groupBy("doc_id").agg(F.avg("label").alias("label"))  # at most `sample` rows
+    """Fit the scorer on at most ``sample`` documents of ``docs`` with the labels (doc_id, digest, label)."""
+    place = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("digest"))
+    picked = (labelled.where("n_words > 0").select("doc_id", "digest", "label").distinct()
+              .orderBy(place, "doc_id", "digest").limit(sample))
+    picked = picked.select(F.col("doc_id").alias("__llm_id"), F.col("digest").alias("__llm_digest"), "label")
 
     def run(batches):
         for b in batches:
@@ -306,7 +310,9 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(2), pa.ListArray.from_arrays(offsets, pa.array(bucket.astype(np.int32))),
                      pa.ListArray.from_arrays(offsets, pa.array(share))], ["doc_id", "label", "bucket", "share"])
-    rows = _texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    t = _texts(docs)
+    same = (t["digest"] == F.col("__llm_digest")) & t["doc_id"].eqNullSafe(F.col("__llm_id"))
+    rows = t.join(F.broadcast(picked), same).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "label")
     got = rows.mapInArrow(run, "doc_id long, label double, bucket array<int>, share array<double>")
     got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "bucket").limit(sample).toArrow()
     bucket, share = got.column("bucket").combine_chunks(), got.column("share").combine_chunks()
@@ -318,7 +324,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every document; zero if it has no words.
+    """(doc_id, digest, score) of every document; zero if it has no words.
 
     A text of a few letters says little: its evidence is drawn towards the usual log-odds.
     """
@@ -333,12 +339,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 z = usual + (z - usual) * grams / (grams + LEAST_GRAMS)
                 words[row[bucket >= BUCKETS - 2]] = True
             p = np.where(words, 1 / (1 + np.exp(-z.clip(-30, 30))), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(p, 6))], ["doc_id", "score"])
-    return _texts(docs).mapInArrow(run, "doc_id long, score double")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.round(p, 6))],
+                                             ["doc_id", "digest", "score"])
+    return _texts(docs).mapInArrow(run, "doc_id long, digest binary, score double")
 
 
 def posteriors(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern, n_words, label): the label model's P(good) of each document."""
+    """(doc_id, digest, pattern, n_words, label): the label model's P(good) of each document."""
     spark = docs.sparkSession
     rows = C.freeze(patterns(docs), "llm_votes")
     # one row per pattern: at most 3^labellers, however many documents
@@ -347,19 +354,19 @@ def posteriors(docs: DataFrame) -> DataFrame:
     post, _, share = label_model(counts)
     table = spark.createDataFrame([(p, v) for p, v in sorted(post.items())] or [("", share)],
                                   "pattern string, label double")
-    return rows.join(F.broadcast(table), "pattern", "left").select("doc_id", "pattern", "n_words", "label")
+    return rows.join(F.broadcast(table), "pattern", "left").select("doc_id", "digest", "pattern", "n_words", "label")
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, score) of every document of ``docs``, by a scorer fitted to its own weak labels."""
+    """(doc_id, digest, score) of every document of ``docs``, by a scorer fitted to its own weak labels."""
     labelled = C.freeze(posteriors(docs), "llm_labels")
     return score(docs, train(docs, labelled, sample))
 
 
 def keep_good(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their columns."""
-    good = classify(docs).where(F.col("score") >= keep_from).select("doc_id").distinct()
-    return C.keep_rows(docs, good)
+    """The rows of ``docs`` whose text the classifier does not reject, with their columns."""
+    good = classify(docs).where(F.col("score") >= keep_from).select(F.col("digest").alias("__llm_digest")).distinct()
+    return C.keep_rows(docs.withColumn("__llm_digest", C.text_digest()), good, "__llm_digest").drop("__llm_digest")
 
 
 # -- query --------------------------------------------------------------------
@@ -369,7 +376,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read(spark, sf_dir, "documents")
     labelled = C.freeze(posteriors(docs), "llm_labels")
     out = score(docs, train(docs, labelled))
-    weak = labelled.select(F.col("doc_id"), F.round("label", 6).alias("weak_label"), "pattern")
-    weak = weak.groupBy("doc_id").agg(F.first("weak_label").alias("weak_label"), F.first("pattern").alias("votes"))
-    return out.join(weak, "doc_id", "left").select("doc_id", "weak_label", "votes", "score",
-                                                   (F.col("score") >= KEEP_FROM).alias("kept"))
+    # a text has one vote pattern and one label, however many rows have the text
+    weak = labelled.groupBy("digest", F.round("label", 6).alias("weak_label"), F.col("pattern").alias("votes"))
+    weak = C.freeze(weak.agg(F.count(F.lit(1)).alias("n")), "llm_weak")
+    out = C.spread_join(out, weak, "digest", "n", labelled.count())
+    return out.select("doc_id", "weak_label", "votes", "score", (F.col("score") >= KEEP_FROM).alias("kept"))

@@ -22,7 +22,10 @@ distinct fingerprints, 32 segments of 2 bits more.
 Defined results: a null or empty text, or one of white space only, has
 fingerprint zero and is linked like any other; fewer words than a shingle
 give one shingle of all words; repeated rows share fingerprint and component;
-a null ``doc_id`` never names a component unless it has no other member.
+a null ``doc_id`` never names a component unless it has no other member; an
+empty table gives an empty result; other columns are ignored, whatever their
+names.  ``keep_one`` keeps one row of a component: of those with its smallest
+id (null if no row has one) the one whose text has the smallest SHA-256.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -84,14 +88,17 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """(doc_id, fp): fp holds the 64 bits as a signed long; with ``digests`` also the text's digest."""
+    names = ["doc_id", "fp", "digest"] if digests else ["doc_id", "fp"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), k) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], names)
+    more = [C.text_digest().alias("digest")] if digests else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", digest binary" if more else ""))
 
 
 def _cells(fps: DataFrame, segments: int) -> DataFrame:
@@ -148,7 +155,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, de
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
-    rows = C.freeze(fingerprints(docs, k), "llm_fp")
+    return _members(C.freeze(fingerprints(docs, k), "llm_fp"), max_bits).select("doc_id", "fp", "component_id")
+
+
+def _members(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``rows`` (doc_id, fp, ...) with ``root``, a fingerprint of the component, and ``component_id``."""
     groups = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     groups = C.freeze(groups, "llm_fp_groups")
     roots = components(links(groups.select("fp"), max_bits), "a", "b")
@@ -156,14 +167,28 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS)
         "fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     named = C.freeze(named, "llm_named")
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = named.join(low, "root").select("fp", "n", "component_id")
-    return C.spread_join(rows, labels, "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
+    labels = named.join(low, "root").select("fp", "n", "root", "component_id")
+    return C.spread_join(rows, labels, "fp", "n", rows.count())
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its component."""
-    kept = near_duplicates(docs, k, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return C.keep_rows(docs, kept.select("doc_id").distinct())
+    """One row of ``docs`` of each component, with its columns: of the smallest id, then of the smallest digest."""
+    rows = _members(C.freeze(fingerprints(docs, k, digests=True), "llm_fp"), max_bits)
+    rows = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = rows.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root", "doc_id").agg(F.min(F.struct("digest", "n")).alias("s"))
+    first = first.select(F.col("doc_id").alias("__llm_id"), F.col("s.digest").alias("__llm_first"), "s.n")
+    first = C.freeze(first, "llm_first")
+    named = docs.withColumn("__llm_digest", C.text_digest())
+    here = (F.col("__llm_digest") == F.col("__llm_first")) & named["doc_id"].eqNullSafe(F.col("__llm_id"))
+    again = first.where("n > 1")
+    if again.isEmpty():
+        return named.join(first, here, "left_semi").drop("__llm_digest")
+    # rows that agree in id and text come once
+    copies = W.partitionBy("doc_id", "__llm_digest").orderBy("__llm_digest")
+    one = named.join(again, here, "left_semi").withColumn("__llm_copy", F.row_number().over(copies))
+    once = named.join(first.where("n = 1"), here, "left_semi")
+    return once.unionByName(one.where("__llm_copy = 1").drop("__llm_copy")).drop("__llm_digest")
 
 
 # -- query --------------------------------------------------------------------

@@ -151,3 +151,14 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.root for r in components(edges, "a", "b").collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
     assert components(edges.where("a < 0"), "a", "b").count() == 0
+
+
+def test_one_of_each_component_stays_whatever_the_ids(docs):
+    a, b = "one two three four five", "six seven eight nine ten"
+    rows = [(None, a), (None, a), (None, a), (None, b), (7, "red green blue and white"), (7, "up down left and right"),
+            (7, "up down left and right"), (8, "up down left and right"), (9, "mu nu xi pi rho")]
+    got = S.keep_one(docs(rows))
+    assert got.columns == docs(rows).columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(
+        [(None, a), (None, b), (7, "red green blue and white"), (7, "up down left and right"), (9, "mu nu xi pi rho")],
+        key=repr)

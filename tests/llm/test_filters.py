@@ -129,3 +129,14 @@ def test_contained_odd_rows(odd, empty, bench):
 def test_candidate_search_is_native(docs, bench):
     plan = D.contained(docs([(1, "a b c d e f")]), bench([(1, "a b c d e f")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_rows_are_judged_by_their_own_text(spark, docs):
+    item = "the seven small wolves ran over the frozen lake at dawn"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "clean words about bread and butter"), (None, f"before {item} after"), (None, "more clean words of ours"),
+            (4, f"again {item}"), (4, "clean text of the same id"), (None, None), (5, f"before {item} after")]
+    got = D.clean(docs(rows), items)
+    assert got.columns == docs(rows).columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(
+        [rows[0], rows[2], rows[4], rows[5]], key=repr)

@@ -123,6 +123,16 @@ def test_classifier_on_held_out_kinds(spark, docs):
     assert len(got) == 360 and not [i for i in wrong if i < 1000] and len(wrong) <= 3
 
 
+def test_classifier_judges_rows_by_their_own_text(docs):
+    prose = [(i, _prose(60)) for i in range(60)]
+    bad = "#$%& @@ || " * 60
+    rows = [(None, prose[0][1]), (None, bad), (None, None), (7, bad), (None, prose[1][1])]
+    d = docs(prose + [(100 + i, bad + str(i)) for i in range(20)] + rows)
+    kept = [(r.doc_id, r.text) for r in Q.keep_good(d).collect()]
+    assert sum(i is None for i, _ in kept) == 2 and bad not in {t for _, t in kept}
+    assert {t for i, t in kept if i is None} == {prose[0][1], prose[1][1]} and (7, prose[7][1]) in kept
+
+
 def test_classifier_odd_rows(docs, odd, empty):
     got = [(r.doc_id, r.score) for r in Q.classify(odd).collect()]
     assert len(got) == len(ODD) and {s for i, s in got if i in (1, 2, 3)} == {0.0}
