@@ -56,6 +56,13 @@ def q_sales_features(spark: SparkSession, d: str) -> DataFrame:
     return _sales_out(flows.unified_sales(spark, d, P.FEATURES))
 
 
+@query("sales_of_years", O.with_(O.sales_ctes(P.FEATURES))
+       + f"select {O.SALES_COLS} from sales where YYYY in ({', '.join(map(str, P.REPORT_YEARS))})")
+def q_sales_of_years(spark: SparkSession, d: str) -> DataFrame:
+    """Some years' sales, from the folders of these years alone."""
+    return _sales_out(flows.sales_fact(spark, d, P.REPORT_YEARS))
+
+
 @query("sales_master_join",
        O.with_(O.MASTER, O.DIRECT, O.channel_b(P.FEATURES)) + f"select {O.SALES_COLS} from ch_b")
 def q_sales_master_join(spark: SparkSession, d: str) -> DataFrame:

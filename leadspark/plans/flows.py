@@ -6,10 +6,13 @@ built from the operators; ``catalog`` registers them as queries.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.operators import cleanse, features, unify
+from leadspark.operators import cleanse, fact, features, unify
 from leadspark.plans import params as P
 from leadspark.sources import tables
 
@@ -22,6 +25,25 @@ def unified_sales(spark: SparkSession, d: str, profile: P.SalesProfile = P.FEATU
     return unify.sales(dealer_view(spark, d, profile), direct_view(spark, d, profile), master(spark, d), profile)
 
 
+def load_sales(spark: SparkSession, d: str, path: str, years, profile: P.SalesProfile = P.FEATURES) -> dict[int, int]:
+    """Load ``years`` of the unified sales into the fact at ``path``; the sources are read for these years only."""
+    own = replace(profile, dealer_years=[y for y in profile.dealer_years if y in years],
+                  direct_years=[y for y in profile.direct_years if y in years])
+    return fact.load_years(unified_sales(spark, d, own), path, years)
+
+
+def sales_fact(spark: SparkSession, d: str, years=None, profile: P.SalesProfile = P.FEATURES) -> DataFrame:
+    """The unified sales, or some years of them, from a fact written once per session and state of the data folder."""
+    from leadspark.session import memo, scratch_path
+
+    def build():
+        path = scratch_path(spark, f"sales_fact/{uuid.uuid4().hex}")
+        load_sales(spark, d, path, sorted({*profile.dealer_years, *profile.direct_years}), profile)
+        return path
+    path = memo(spark, d, f"sales fact {profile}", build)
+    return fact.read_years(spark, path, unified_sales(spark, d, profile).schema, years)
+
+
 def dealer_view(spark: SparkSession, d: str, profile: P.SalesProfile = P.FEATURES) -> DataFrame:
     return tables.dealer_view(spark, d, years=profile.dealer_years)
 

@@ -32,6 +32,8 @@ DIRECT_CLASS = "CUSTOMER"
 # one list per profile; a repeated value is harmless
 DIRECT_L2_MATCH = ["purchase", "error"]
 DIRECT_L2_FEATURES = ["purchase", "signup", "click", "signup"]
+# Years of the report by year.
+REPORT_YEARS = [1998, 2024]
 # Features.
 PIVOT_VALUES = [
     "STANDARD STANDARD", "SMALL SMALL", "LARGE LARGE", "MEDIUM MEDIUM",

@@ -52,6 +52,8 @@ def _in_years(date: Column, years) -> Column:
 
     Only for the views below, whose fiscal year *is* the calendar year.
     """
+    if not years:
+        return F.lit(False)
     start = F.lit(f"{min(years):04d}-01-01 00:00:00").cast("timestamp_ntz")
     stop = F.lit(f"{max(years) + 1:04d}-01-01 00:00:00").cast("timestamp_ntz")
     return (date >= start) & (date < stop)
