@@ -9,24 +9,33 @@ few thousand.  A multinomial logistic regression over the licence families and
 the class ``unknown`` is fitted to template notices in random surroundings,
 and to paragraphs of the corpus and reshuffled notices as ``unknown``.  Its
 probabilities are calibrated on held-out examples: a temperature by least
-log-loss, then the least probability of being any family at which at most
-``FALSE_ALARM`` of the held-out unknown ones pass.  In a window that passes,
-every family is confirmed by its templates: at least ``SIMILAR`` of the
-five-word shingles of one of them must occur, and not all of them inside the
-notice of another family that agrees better (the GPL's header is most of the
-AGPL's).  So a window shows as many families as it has notices.
+log-loss, then for every family the least probability of it against unknown at
+which at most ``FALSE_ALARM`` of the held-out unknown ones pass.
+
+The classifier predicts the families of a window: those at their least
+probability, the most probable first.  A prediction is confirmed by the
+templates of that family alone: one of them must align with words of the
+window in order with at most a fifth of its words inserted, deleted or
+replaced (``SIMILAR``), and the family's name, where the template has it, must
+stand there as it is (so the GPL's header is not the AGPL's).  The words of a
+confirmed notice are blanked and the window is scored again, so it shows as
+many families as it has notices; it is done when no prediction is confirmed.
 
 The fit uses at most ``SAMPLE_DOCS`` documents (smallest hash of the id) and
 ``PER_DOC`` windows of each; the scan reads all paragraphs of all documents.
 
 Defined results: a null or empty text has no paragraphs and no licence; a
 document's families are listed once each, in order of name; repeated rows get
-equal results; an empty table gives an empty result.
+equal results; a very long text is read in blocks, with the same windows as in
+one; rows without an id are read like others (only the fit leaves them out);
+other columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -40,9 +49,9 @@ from leadspark.llm import textbytes as T
 WINDOW = 64
 SAMPLE_DOCS = 512
 PER_DOC = 8
-COPIES = 24
+#: Notices of each family that the fit draws, besides its shuffled ones.
+COPIES = 160
 FALSE_ALARM = 0.001
-SHINGLE = 5
 SIMILAR = 0.8
 SEED = 7
 
@@ -70,6 +79,9 @@ TEMPLATES = {
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons "
                  "Attribution-ShareAlike 4.0 International License."],
     "CC0": ["Released under CC0 1.0 Universal.", "Dedicated to the public domain under CC0 1.0."],
+    "EPL": ["Licensed under the Eclipse Public License, version 2.0.",
+            "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+            "License 2.0"],
     "GPL": ["This work is licensed under the GNU General Public License, version 3.",
             "Licensed under the GNU General Public License, version 2.",
             "Released under the GNU General Public License.",
@@ -88,6 +100,28 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain.",
                   "Released under the Unlicense."],
 }
+# fixed values: how a notice begins, and the names and identifiers of the families
+LEADS = ["Licensed under", "This work is licensed under", "Released under", "Distributed under",
+         "Available under the terms of", "Licensed under the terms of", "You may use it under",
+         "Subject to the terms of", "Covered by"]
+NAMES = {
+    "AGPL": ["GNU Affero General Public License", "GNU AGPL"],
+    "Apache": ["Apache License", "Apache 2.0", "Apache Software License"],
+    "BSD": ["BSD License", "BSD 2-Clause", "BSD 3-Clause"],
+    "CC0": ["CC0 1.0", "Creative Commons Zero"],
+    "EPL": ["Eclipse Public License"],
+    "GPL": ["GNU General Public License", "GNU GPL"],
+    "ISC": ["ISC License"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL"],
+    "MIT": ["MIT License"],
+    "MPL": ["Mozilla Public License"],
+    "Unlicense": ["Unlicense"],
+}
+IDENTIFIERS = {"AGPL": ["AGPL-3.0"], "Apache": ["Apache-2.0"], "BSD": ["BSD-2-Clause", "BSD-3-Clause"],
+               "CC0": ["CC0-1.0"], "EPL": ["EPL-1.0", "EPL-2.0"], "GPL": ["GPL-2.0", "GPL-3.0"], "ISC": ["ISC"],
+               "LGPL": ["LGPL-2.1", "LGPL-3.0"], "MIT": ["MIT"], "MPL": ["MPL-2.0"], "Unlicense": ["Unlicense"]}
+CC_TERMS = {"CC-BY": "", "CC-BY-NC": "-NonCommercial", "CC-BY-ND": "-NoDerivatives", "CC-BY-SA": "-ShareAlike"}
+CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 # fixed values: sentences about licences that put nothing under one
 NEAR_MISSES = ["The driver showed a license at the border.", "A public license is required to sell food here.",
                "The general terms of the license were discussed in version 2 of the report.",
@@ -180,30 +214,113 @@ class Model(NamedTuple):
     weights: np.ndarray     # a row per n-gram, a column per class
     intercept: np.ndarray
     temperature: float
-    least: float            # probability of any family from which a window is looked at
+    least: np.ndarray       # of each family, the probability against unknown from which it is predicted
 
 
-def template_vocabulary() -> np.ndarray:
-    h = [_word_hashes(t) for ts in TEMPLATES.values() for t in ts]
-    return np.unique(np.concatenate([_grams(x, n) for x in h for n in (1, 2, 3)]))
+class Notice(NamedTuple):
+    lead: np.ndarray  # word hashes before the name (all of a notice that has no name)
+    name: np.ndarray
+    tail: np.ndarray
+
+
+def _names(family: str) -> list[tuple[str, list[str]]]:
+    """(name, notices made of it by rule) of each name of a family."""
+    out = [(n, [f"{lead} the {n}" for lead in LEADS]) for n in NAMES.get(family, [])]
+    if family in CC_TERMS:
+        for v in CC_VERSIONS:
+            long, short = f"Creative Commons Attribution{CC_TERMS[family]} {v}", family.replace("-", " ", 1) + f" {v}"
+            out += [(long, [f"{lead} a {long}" for lead in LEADS]), (short, [f"{lead} {short}" for lead in LEADS]),
+                    (f"{family}-{v}", [f"SPDX-License-Identifier: {family}-{v}"])]
+    return out + [(n, [f"SPDX-License-Identifier: {n}"]) for n in IDENTIFIERS.get(family, [])]
+
+
+def _places(h: np.ndarray, name: np.ndarray) -> list[int]:
+    """Where the words of a name stand."""
+    at = np.flatnonzero(h[:max(0, len(h) - len(name) + 1)] == name[0])
+    return [i for i in at.tolist() if np.array_equal(h[i:i + len(name)], name)]
 
 
-def template_shingles() -> list[tuple[int, int, np.ndarray]]:
-    """(family, words of a shingle, distinct shingles) of each template."""
+@lru_cache(maxsize=1)
+def notices() -> list[list[Notice]]:
+    """Notices of each family, those in TEMPLATES first, parted at the longest name that they hold."""
     out = []
-    for k, f in enumerate(FAMILIES):
-        for t in TEMPLATES[f]:
-            h = _word_hashes(t)
-            n = min(SHINGLE, len(h))
-            out.append((k, n, np.unique(_grams(h, n))))
+    for f in FAMILIES:
+        named = _names(f)
+        names = sorted((_word_hashes(n) for n, _ in named), key=len, reverse=True)
+        own = [_word_hashes(t) for t in TEMPLATES[f] + [t for _, ts in named for t in ts]]
+        parted = []
+        for h in own:
+            at = next(((p, n) for n in names for p in _places(h, n)), (len(h), h[:0]))
+            parted.append(Notice(h[:at[0]], at[1], h[at[0] + len(at[1]):]))
+        out.append(parted)
     return out
 
 
+def _nearest(pattern: np.ndarray, words: np.ndarray) -> tuple[int, int]:
+    """(edits, length) of the start of ``words`` that is nearest to the pattern."""
+    n = len(pattern)
+    words = words[:2 * n]  # a longer start takes more edits than dropping the pattern
+    if np.array_equal(words[:n], pattern):
+        return 0, n
+    j = np.arange(len(words) + 1)
+    d = _edits(pattern, words, j)
+    return int(d.min()), int(d.argmin())
+
+
+def _edits(pattern: np.ndarray, words: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Least edits of the pattern against words that end at each place; ``d`` is the cost to begin at a place."""
+    j = np.arange(len(words) + 1)
+    for x in pattern:
+        t = d + 1
+        t[1:] = np.minimum(d[:-1] + (words != x), t[1:])
+        d = np.minimum.accumulate(t - j) + j
+    return d
+
+
+def confirmed(h: np.ndarray, family: list[Notice], similar: float = SIMILAR) -> tuple[int, int] | None:
+    """The words [from, to) that agree best with a notice of the family (of equals, the longest), or None."""
+    best, places = (similar - 1e-9, 0, None), {}
+    for t in family:
+        n = len(t.lead) + len(t.name) + len(t.tail)
+        if not len(t.name):
+            if 1 - np.count_nonzero(~np.isin(t.lead, h)) / n < best[0]:
+                continue
+            d = _edits(t.lead, h, np.zeros(len(h) + 1, np.int64))
+            end = int(d.argmin())
+            found_at = [(int(d[end]), end - _nearest(t.lead[::-1], h[:end][::-1])[1], end)]
+        else:
+            key = t.name.tobytes()
+            if key not in places:
+                places[key] = _places(h, t.name)
+            found_at = []
+            for p in places[key]:
+                q = p + len(t.name)
+                before, after = _nearest(t.lead[::-1], h[:p][::-1]), _nearest(t.tail, h[q:])
+                found_at.append((before[0] + after[0], p - before[1], q + after[1]))
+        for edits, lo, hi in found_at:
+            best = max(best, (1 - edits / n, hi - lo, (lo, hi)), key=lambda x: x[:2])
+    return best[2]
+
+
+def _any_confirmed(h: np.ndarray) -> bool:
+    return any(confirmed(h, family) for family in notices())
+
+
+def template_vocabulary() -> np.ndarray:
+    h = [np.concatenate(t) for family in notices() for t in family]
+    return np.unique(np.concatenate([_grams(x, n) for x in h for n in (1, 2, 3)]))
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _against_unknown(z: np.ndarray) -> np.ndarray:
+    """Probability of each family against unknown."""
+    return 1 / (1 + np.exp(np.clip(z[:, UNKNOWN:] - z[:, :UNKNOWN], -50, 50)))
+
+
 def _presence(samples: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
     x = np.zeros((len(samples), len(vocabulary)), np.float32)
     for i, h in enumerate(samples):
@@ -213,46 +330,32 @@ def _presence(samples: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
     return x
 
 
-def _confirmed(h: np.ndarray, templates, similar: float = SIMILAR) -> list[int]:
-    """Families with a template that occurs in the words, by shingles that are not all part of a better one's."""
-    grams = {n: _grams(h, n) for n in {n for _, n, _ in templates} if n <= len(h)}
-    found = []
-    for k, n, s in templates:
-        if n in grams:
-            at = np.isin(grams[n], s)
-            share = len(np.unique(grams[n][at])) / len(s)
-            if share >= similar:
-                covered = np.zeros(len(h), bool)
-                for i in range(n):
-                    covered[i:len(at) + i] |= at
-                found.append((k, share, covered))
-    return sorted({k for k, share, own in found if not any(
-        j != k and more > share and not (own & ~other).any() for j, more, other in found)})
-
-
 def fit(background: list[np.ndarray], copies: int = COPIES, rounds: int = 250) -> Model:
     """Classifier of windows; ``background`` has word hashes of paragraphs of the corpus."""
     rng = np.random.default_rng(SEED)
-    vocabulary, templates = template_vocabulary(), template_shingles()
-    noise = [h for h in background if len(h) and not _confirmed(h, templates)]
+    vocabulary = template_vocabulary()
+    noise = [h for h in background if len(h) and not _any_confirmed(h)]
     pool = np.concatenate(noise) if noise else np.arange(1, 512, dtype=np.uint64) * _N2
 
     def around(h: np.ndarray) -> np.ndarray:
         a, b = rng.integers(0, max(1, WINDOW - len(h)) // 2 + 1, 2)
         return np.concatenate((rng.choice(pool, a), h, rng.choice(pool, b)))[:WINDOW]
+
+    def worn(words: np.ndarray) -> np.ndarray:
+        return words[rng.random(len(words)) > 0.1]
     samples, labels = [], []
     for k, f in enumerate(FAMILIES):
-        for t in TEMPLATES[f]:
-            h = _word_hashes(t)
-            for c in range(copies):
-                kept = h if c % 2 or len(h) < 12 else h[rng.random(len(h)) > 0.08]  # some of the long ones lose words
-                samples.append(around(kept) if c % 4 else kept)
-                labels.append(k)
-                mixed = rng.permutation(h)  # the words without their order
-                if not _confirmed(mixed, templates):
-                    samples.append(around(mixed))
-                    labels.append(UNKNOWN)
-    for h in [*noise, *map(_word_hashes, NEAR_MISSES * copies)]:
+        own = notices()[k]
+        for c in range(copies):  # half of them from the whole notices, half from those by rule
+            t = own[rng.integers(len(TEMPLATES[f]) if c % 2 else len(own))]
+            h = np.concatenate((worn(t.lead), t.name, worn(t.tail)) if c % 4 > 1 else t)
+            samples.append(around(h) if c % 8 else h)
+            labels.append(k)
+            mixed = rng.permutation(np.concatenate(t))  # the words without their order
+            if not _any_confirmed(mixed):
+                samples.append(around(mixed))
+                labels.append(UNKNOWN)
+    for h in [*noise, *map(_word_hashes, NEAR_MISSES * (copies // 8))]:
         samples.append(h[:WINDOW])
         labels.append(UNKNOWN)
     x, y = _presence(samples, vocabulary), np.array(labels)
@@ -273,9 +376,10 @@ def fit(background: list[np.ndarray], copies: int = COPIES, rounds: int = 250) -
     yh = y[held]
     heat = min(np.geomspace(0.25, 8, 40), key=lambda s: -np.log(
         _softmax(z / s)[np.arange(len(yh)), yh] + 1e-12).mean())
-    best = np.sort(1 - _softmax(z / heat)[yh == UNKNOWN, UNKNOWN])
-    least = best[max(0, int(np.ceil(len(best) * (1 - FALSE_ALARM))) - 1)] if len(best) else 0.5
-    return Model(vocabulary, w, b, float(heat), float(np.clip(least, 0.5, 0.99)))
+    alarms = np.sort(_against_unknown(z[yh == UNKNOWN] / heat), axis=0)
+    at = max(0, int(np.ceil(len(alarms) * (1 - FALSE_ALARM))) - 1)
+    least = alarms[at] if len(alarms) else np.full(UNKNOWN, 0.5)
+    return Model(vocabulary, w, b, float(heat), np.clip(least, 0.5, 0.99))
 
 
 def _background(docs: DataFrame) -> list[np.ndarray]:
@@ -307,7 +411,7 @@ def train(docs: DataFrame) -> Model:
 
 
 def _scores(ws: Windows, m: Model) -> np.ndarray:
-    """Probability that a window shows any family; 0 if it has no n-gram of the templates."""
+    """Probability of each family against unknown of each window; 0 if it has no n-gram of the templates."""
     # n-grams of the vocabulary: place of the first word, entry
     place, entry, width = [], [], []
     for k in (1, 2, 3):
@@ -325,20 +429,37 @@ def _scores(ws: Windows, m: Model) -> np.ndarray:
     inside = place[idx] + width[idx] <= ws.last[win]
     key = np.unique(win[inside] * len(m.vocabulary) + entry[idx[inside]])  # presence, not number
     win, ent = key // len(m.vocabulary), key % len(m.vocabulary)
-    prob = np.zeros(len(count))
+    prob = np.zeros((len(count), UNKNOWN), np.float32)
     seen, start = np.unique(win, return_index=True)
     for a in range(0, len(seen), 4096):  # a bounded number of windows at a time
         some = seen[a:a + 4096]
         i, j = start[a], start[a + 4096] if a + 4096 < len(start) else len(win)
         z = np.add.reduceat(m.weights[ent[i:j]], start[a:a + 4096] - i, axis=0) + m.intercept
-        prob[some] = 1 - _softmax(z / m.temperature)[:, UNKNOWN]
+        prob[some] = _against_unknown(z / m.temperature)
     return prob
 
 
-def found(ws: Windows, m: Model, templates) -> Iterator[tuple[int, int]]:
+def shown(h: np.ndarray, prob: np.ndarray, m: Model) -> set[int]:
+    """Families of a window: predicted by the classifier, confirmed by their own notices, one notice after another."""
+    h, out = h.copy(), set()
+    while True:
+        predicted = np.flatnonzero(prob >= m.least)
+        for k in predicted[np.argsort(-prob[predicted], kind="stable")].tolist():
+            span = confirmed(h, notices()[k])
+            if span:
+                break
+        else:
+            return out
+        out.add(k)
+        h[span[0]:span[1]] = 0  # no word of any notice
+        prob = _scores(Windows(h, np.array([0]), np.array([len(h)]), np.array([0])), m)[0]
+
+
+def found(ws: Windows, m: Model) -> Iterator[tuple[int, int]]:
     """(window, family) of each family that a window shows."""
-    for i in np.flatnonzero(_scores(ws, m) >= m.least).tolist():
-        for k in _confirmed(ws.hash[ws.first[i]:ws.last[i]], templates):
+    prob = _scores(ws, m)
+    for i in np.flatnonzero((prob >= m.least).any(axis=1)).tolist():
+        for k in shown(ws.hash[ws.first[i]:ws.last[i]], prob[i], m):
             yield i, k
 
 
@@ -347,12 +468,12 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     m = docs.sparkSession.sparkContext.broadcast(tuple(model))  # as large as the templates' vocabulary
 
     def run(batches):
-        model, templates = Model(*m.value), template_shingles()
+        model = Model(*m.value)
         for b in batches:
             count, names = np.zeros(len(b), np.int64), [set() for _ in range(len(b))]
             for ws in windows(b.column(1)):
                 count += np.bincount(ws.row, minlength=len(b))
-                for i, k in found(ws, model, templates):
+                for i, k in found(ws, model):
                     names[ws.row[i]].add(FAMILIES[k])
             names = [sorted(x) for x in names]
             yield pa.RecordBatch.from_arrays(

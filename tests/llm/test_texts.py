@@ -380,3 +380,80 @@ def test_two_licences_in_one_line(docs):
                 texts.append(a + " " + _prose(R.randrange(3)) + " " + b)
                 families.append(sorted([f, g]))
     assert _licences(docs, texts) == families
+
+
+#: Notices worded otherwise than any of the operator's own, and the family that they put a text under.
+PARAPHRASES = [
+    ("MIT", "The source code is licensed under the terms of the MIT license"),
+    ("MIT", "This software is released under an MIT License, see the file beside it"),
+    ("MIT", "// SPDX-License-Identifier: MIT"),
+    ("MIT", "All examples are made available under the MIT License"),
+    ("MIT", "Permission is hereby granted, without charge, to any person obtaining a copy of the software and "
+            "associated documentation files"),
+    ("Apache", "This project is distributed under the Apache License"),
+    ("Apache", "The library is made available under the terms of the Apache 2.0 license"),
+    ("Apache", "You may not use these files except in compliance with the License. You may obtain a copy of this "
+               "License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("BSD", "Distributed under the BSD license"),
+    ("BSD", "Code released under the BSD 3-Clause terms"),
+    ("BSD", "Redistribution and use in source or binary form, with or without modification, are permitted provided "
+            "that the following conditions are met"),
+    ("CC-BY", "This work is licensed under a Creative Commons Attribution 3.0 Unported License"),
+    ("CC-BY-SA", "Text is available under the terms of a Creative Commons Attribution-ShareAlike 3.0 licence"),
+    ("CC-BY-NC", "The pictures are licensed under the CC BY-NC 2.0 terms"),
+    ("CC0", "The data set is released under the CC0 1.0 dedication"),
+    ("EPL", "All content is made available under the terms of the Eclipse Public License Version 1.0"),
+    ("GPL", "The program is distributed under the terms of the GNU General Public License as it stands"),
+    ("GPL", "The tools are licensed under the GNU GPL, version 2 or later"),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+             "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+             "License, or (at your option) any later version."),
+    ("AGPL", "The server is released under the GNU Affero General Public License v3"),
+    ("MPL", "Files are subject to the terms of the Mozilla Public License"),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without a fee is "
+            "hereby granted"),
+    ("Unlicense", "All of it is released under the Unlicense"),
+]
+#: Sentences that speak of licences and put nothing under one.
+TALK = [
+    "The MIT License is short.", "Apache License and BSD License were compared in the talk.",
+    "Many projects moved away from the GNU General Public License last year.",
+    "He read the Mozilla Public License twice and put it down.", "The pub was licensed under the old act.",
+    "Creative Commons Attribution was a theme of the meeting.", "This work is licensed under the Harbour Fisheries Act.",
+    "Permission is hereby granted to the tenant to keep a dog.", "Redistribution of land was permitted by the council.",
+    "Available under the counter of the shop.", "Released under a bright moon, the birds flew to the BSD server.",
+    "The Eclipse Public License differs from others in its patent clause.",
+    "Subject to the terms of the contract, the public may use the hall.", "The Apache people signed a treaty.",
+]
+
+
+def test_licences_of_paraphrases_and_talk(docs):
+    got = _licences(docs, [t for _, t in PARAPHRASES] + TALK)
+    hit = sum(g == [f] for g, (f, _) in zip(got, PARAPHRASES))
+    alarms = sum(bool(g) for g in got[len(PARAPHRASES):])
+    assert hit >= 0.9 * len(PARAPHRASES), [(g, p) for g, p in zip(got, PARAPHRASES) if g != [p[0]]]
+    assert alarms <= 0.1 * len(TALK), [(g, t) for g, t in zip(got[len(PARAPHRASES):], TALK) if g]
+
+
+def test_licence_families_are_the_classifiers(docs):
+    """With its family columns moved on by one, the classifier predicts other families, and none is confirmed."""
+    d = docs([(i, L.TEMPLATES[f][0]) for i, f in enumerate(L.FAMILIES)])
+    model = L.train(d)
+    turn = np.append(np.roll(np.arange(L.UNKNOWN), 1), L.UNKNOWN)
+    turned = model._replace(weights=model.weights[:, turn], intercept=model.intercept[turn])
+    assert {r.doc_id: list(r.licenses) for r in L.scan(d, model).collect()} == {
+        i: [f] for i, f in enumerate(L.FAMILIES)}
+    right = [r.doc_id for r in L.scan(d, turned).collect() if L.FAMILIES[r.doc_id] in r.licenses]
+    assert len(right) <= len(L.FAMILIES) // 4
+
+
+def test_licence_notices_align_with_a_fifth_of_edits():
+    mit = L.notices()[L.FAMILIES.index("MIT")]
+
+    def span(text):
+        return L.confirmed(L._word_hashes(text), mit)
+    assert span("so it is licensed under the MIT License of old") == (3, 8)
+    assert span("licensed under MIT License") == (0, 4)  # one word of five is missing
+    assert span("they spoke at length of the MIT License") is None
+    assert span("licensed under the ISC License") is None  # the name must stand as it is
+    assert span("") is None and span("MIT") is None
