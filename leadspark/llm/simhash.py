@@ -16,8 +16,10 @@ they may meet in.  What meets is verified on the fingerprints themselves.
   differ in at most two bits, so components are the same, and the rows are 65
   a fingerprint instead of a square.
 
-More segments make cells more selective: 16 segments of 4 bits suit some 10^9
-distinct fingerprints, 32 segments of 2 bits more.
+More segments make cells more selective, and each fingerprint enters more of
+them (two a segment and its own).  The number of segments follows from the count
+of distinct fingerprints: the fewest of 16 and 32 with which a random
+fingerprint meets at most ``MEETINGS`` others; pairs and components are the same.
 
 Defined results: a null or empty text, or one of white space only, has
 fingerprint zero and is linked like any other; fewer words than a shingle
@@ -33,6 +35,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,10 @@ from leadspark.llm.components import components
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
-SEGMENTS = 16
+#: Numbers of segments to choose from.
+SEGMENTS = (16, 32)
+#: Random fingerprints that one may meet; beyond, more segments are taken.
+MEETINGS = 8
 #: A cell with more fingerprints is linked by words within one bit instead of pairs.
 DENSE = 64
 #: Bytes of text whose words are held at once.
@@ -101,6 +107,23 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, digests: bool = False) -> Da
     return rows.mapInArrow(run, "doc_id long, fp long" + (", digest binary" if more else ""))
 
 
+def meeting_share(segments: int) -> float:
+    """Share of pairs of random fingerprints whose bit counts lie within Manhattan distance two."""
+    width = 64 // segments
+    each = np.array([comb(2 * width, width + d) for d in range(-width, width + 1)]) / 4.0 ** width
+    step = np.array([each[width], 2 * each[width + 1], 2 * each[width + 2]])  # a segment's distance is 0, 1, 2
+    total = np.array([1.0, 0.0, 0.0])
+    for _ in range(segments):
+        total = np.array([total[0] * step[0], total[0] * step[1] + total[1] * step[0],
+                          total[0] * step[2] + total[1] * step[1] + total[2] * step[0]])
+    return float(total.sum())
+
+
+def segments_for(fingerprints: int) -> int:
+    """The fewest segments with which a random fingerprint meets at most MEETINGS of so many others."""
+    return next((s for s in SEGMENTS if meeting_share(s) * fingerprints <= MEETINGS), SEGMENTS[-1])
+
+
 def _cells(fps: DataFrame, segments: int) -> DataFrame:
     """(fp, cell, step): the fingerprint's own cell (step 0) and those one step away (+i, -i)."""
     width = 64 // segments
@@ -139,11 +162,12 @@ def _starred(fps: DataFrame) -> DataFrame:
     return near.join(low, "word").where("fp != a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, dense: int = DENSE) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None,
+          dense: int = DENSE) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct ``fp`` at most max_bits apart."""
     if not 0 <= max_bits <= 2:
         raise ValueError("cells one step away cover distances up to two bits")
-    cells = _cells(fps, segments)
+    cells = _cells(fps, segments or segments_for(fps.count()))
     shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = C.freeze(shared, "llm_cells")
     meet = C.freeze(cells.join(shared, "cell"), "llm_meet")

@@ -2,6 +2,7 @@
 import hashlib
 import random
 
+import numpy as np
 from xxhash import xxh64_intdigest
 
 from leadspark.llm import common as C
@@ -138,6 +139,22 @@ def test_links_equal_brute_force_sparse_and_dense(spark):
         assert got == exp, (segments, dense)
 
 
+def test_segments_follow_the_number_of_fingerprints():
+    r = random.Random(3)
+    for segments in S.SEGMENTS[:1]:  # the computed share against pairs drawn at random
+        width, near, n = 64 // segments, 0, 0
+        for _ in range(4):
+            fps = [r.getrandbits(64) for _ in range(2500)]
+            c = np.array([[(f >> width * i & (1 << width) - 1).bit_count() for i in range(segments)] for f in fps])
+            for i in range(len(c)):
+                near += int((np.abs(c[i + 1:] - c[i]).sum(axis=1) <= 2).sum())
+            n += len(c) * (len(c) - 1) // 2
+        assert 0.3 < (near + 1) / (S.meeting_share(segments) * n + 1) < 3
+    for n in (10 ** 5, 10 ** 7, 10 ** 8, 10 ** 9, 10 ** 11):
+        assert S.meeting_share(S.segments_for(n)) * n <= S.MEETINGS
+    assert S.segments_for(0) == 16 and S.segments_for(10 ** 9) == 32
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = {r.doc_id: r.component_id for r in S.near_duplicates(odd).collect()}
     assert got[5] == got[6] == got[7] == 5 and got[1] == got[2] == got[3] == 1 and got[None] is None
