@@ -48,6 +48,29 @@ WORD = 64
 _AFTER_SPACE = re.compile(r"(?<=[ \n\t\r])[^ \n\t\r]")
 
 
+_PROBES = ["a", "the", "Word", "don't", "'s", "1", "2024", ",", "...", "(x)", "\u00e9", "e\u0301", "\u4e2d\u6587", "_", "#a", "\ufb01"]
+
+
+def parts_at_white_space(t) -> bool:
+    """Whether the tokenizer gives words with white space between them the tokens that each has alone.
+
+    Tried on words of all kinds beside each other and on its own special strings; white space alone has no token.
+    """
+    words = _PROBES + [x.content for x in t.get_added_tokens_decoder().values()]
+    if any(c in w for w in words for c in " \n\t\r"):
+        return False
+
+    def ids(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    alone = dict(zip(words, ids(words)))
+    for gap in (" ", "\n", "\t", "\r", "  ", " \n "):
+        pairs = [(a, b) for a in words for b in words[:len(_PROBES) + 8]]
+        if ids([gap]) != [[]] or ids([gap + a + gap + b + gap for a, b in pairs]) != [
+                alone[a] + alone[b] for a, b in pairs]:
+            return False
+    return True
+
+
 @lru_cache(maxsize=4)
 def tokenizer(model: str):
     """The tokenizer of a file, or of a name that ``public_tokenizers`` knows."""
@@ -60,6 +83,8 @@ def tokenizer(model: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+    if not parts_at_white_space(t):
+        raise ValueError(f"white space is no boundary of the tokenizer {model}: its words cannot be counted apart")
     return t
 
 

@@ -225,6 +225,18 @@ def test_splice_refuses_what_differs():
     assert N.splice(a, a, "abcdefghijk", 0, 11) is None
 
 
+def test_a_tokenizer_that_keeps_white_space_is_refused(tmp_path):
+    with pytest.raises(ValueError, match="white space is no boundary"):
+        N.tokenizer("byte_bpe_50k.json")
+    from tokenizers import AddedToken, Tokenizer
+    t = Tokenizer.from_str(N.tokenizer(N.MODEL).to_str())
+    assert N.parts_at_white_space(t)
+    t.add_special_tokens([AddedToken("<two words>", normalized=False)])
+    t.save(str(tmp_path / "spaced.json"))
+    with pytest.raises(ValueError, match="white space is no boundary"):
+        N.tokenizer(str(tmp_path / "spaced.json"))
+
+
 # -- operator 7 ---------------------------------------------------------------
 
 def test_loser_tree_merges_and_knows_prefixes():
