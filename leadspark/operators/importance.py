@@ -1,9 +1,10 @@
 """Feature importance as DataFrames.
 
 * ``trees``: impurity importance of a tree model (``featureImportances``).
-* ``gain`` / ``weight``: average gain and number of splits per feature of a
-  boosted-tree model, read from the model's saved node table (a distributed
-  aggregation over all nodes of all trees), mapped to names by feature index.
+* ``nodes``: the splits of a tree model as a table, by a walk over its trees; the
+  rows of each split are counted by the leaves that the data fall into.
+* ``gain`` / ``weight``: average gain and number of splits per feature over such a
+  table, mapped to names by feature index.
 * ``permutation``: metric drop when one feature column is truly permuted
   across rows.  The permutation pairs the rows' positions in key order with
   positions in md5 order (two distributed sorts and an equi-join), then the
@@ -14,6 +15,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,30 +41,57 @@ def trees(spark: SparkSession, model, names) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _split_nodes(spark: SparkSession, model_path: str) -> DataFrame:
-    data = spark.read.parquet(f"{model_path.rstrip('/')}/data")
-    node = F.col("nodeData") if "nodeData" in data.columns else F.struct(*[F.col(c) for c in data.columns])
-    d = data.select(node.alias("n"))
-    fields = d.schema["n"].dataType.fieldNames()
-    # a node's gain is per instance; weight it by the node's training rows
-    count = F.col("n.rawCount") if "rawCount" in fields else F.col("n.impurityStats")[0]
-    return d.filter(F.col("n.split.featureIndex") >= 0).select(
-        F.col("n.split.featureIndex").cast("int").alias("idx"),
-        (F.col("n.gain") * count.cast("double")).alias("gain"))
-
-
-def gain(spark: SparkSession, model_path: str, names) -> DataFrame:
-    """(idx, feature, importance = average gain x node rows per split, splits) of a
-    saved tree-ensemble stage."""
-    nodes = _split_nodes(spark, model_path)
-    g = nodes.groupBy("idx").agg(F.avg("gain").alias("importance"), F.count(F.lit(1)).alias("splits"))
-    nm = F.broadcast(names_frame(spark, names))   # one row per feature
+def _walk(node, tree: int, leaves: int, out: list) -> int:
+    """Append the splits below a node, each with the range of its leaves (numbered from the left); leaves so far."""
+    if node.toString().startswith("LeafNode"):
+        return leaves + 1
+    at = len(out)
+    out.append(None)  # a split stands before those below it
+    feature, gain = node.split().featureIndex(), node.gain()
+    end = _walk(node.rightChild(), tree, _walk(node.leftChild(), tree, leaves, out), out)
+    out[at] = (tree, at, feature, float(gain), leaves, end)
+    return end
+
+
+def nodes(spark: SparkSession, model, data: DataFrame) -> DataFrame:
+    """(tree, node, idx, gain, n_rows): the splits of a tree or an ensemble, from the root of each tree.
+
+    ``gain`` is per row, as the model has it; ``n_rows`` is how many rows of
+    ``data`` (those of the fit, to weigh gains) come to the split: rows per leaf in
+    one aggregation, summed over the leaves below.  A tree of one leaf has no split.
+    The walk touches only the model, whose size its depth and number of trees bound.
+    """
+    if isinstance(model, PipelineModel):
+        model, data = model.stages[-1], PipelineModel(model.stages[:-1]).transform(data)
+    single = not hasattr(model, "trees")
+    splits = []
+    for t, tree in enumerate([model] if single else model.trees):
+        own: list = []
+        _walk(tree._call_java("rootNode"), t, 0, own)
+        splits += own
+    scored = model.copy()
+    scored.set(scored.leafCol, "_leaf")
+    leaf = F.array("_leaf") if single else vector_to_array("_leaf")
+    fell = scored.transform(data.select(scored.getFeaturesCol())).select(F.posexplode(leaf).alias("tree", "leaf"))
+    fell = fell.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
+    table = spark.createDataFrame(splits, "tree int, node int, idx int, gain double, first_leaf int, end_leaf int")
+    below = F.broadcast(table).alias("s")  # as large as the model
+    return below.join(fell.alias("f"), (F.col("s.tree") == F.col("f.tree")) & (F.col("leaf") >= F.col("first_leaf"))
+                      & (F.col("leaf") < F.col("end_leaf"))).groupBy("s.tree", "node", "idx", "gain").agg(
+        F.sum("n").alias("n_rows"))
+
+
+def gain(splits: DataFrame, names) -> DataFrame:
+    """(idx, feature, importance = average gain x rows per split, splits) of a table of ``nodes``."""
+    g = splits.groupBy("idx").agg(F.avg(F.col("gain") * F.col("n_rows")).alias("importance"),
+                                  F.count(F.lit(1)).alias("splits"))
+    nm = F.broadcast(names_frame(splits.sparkSession, names))   # one row per feature
     return nm.join(g, "idx", "left").na.fill({"importance": 0.0, "splits": 0})
 
 
-def weight(spark: SparkSession, model_path: str, names) -> DataFrame:
+def weight(splits: DataFrame, names) -> DataFrame:
     """(idx, feature, importance = number of splits on the feature)."""
-    g = gain(spark, model_path, names)
+    g = gain(splits, names)
     return g.select("idx", "feature", F.col("splits").cast("double").alias("importance"))
 
 

@@ -13,7 +13,7 @@ from leadspark.plans import flows, models
 from leadspark.plans import oracle as O
 from leadspark.plans import params as P
 from leadspark.plans.catalog import query
-from leadspark.session import scratch_path
+from leadspark.session import freeze, scratch_path
 from leadspark.sources import files
 from leadspark.operators.attach import attach_row
 
@@ -64,20 +64,27 @@ def q_tree_importance(spark: SparkSession, d: str) -> DataFrame:
         .orderBy(F.desc("importance"), F.asc("idx"))
 
 
-def _gbt_stage_path(spark: SparkSession, d: str) -> str:
+def _gbt_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Splits of the boosted trees, written once for the queries that read them."""
     def build():
-        return ml.save(models.gbt_model(spark, d).stages[-1], models.model_path(spark, "gbt-stage"))
-    return models._memo(spark, d, "gbt_stage_path", build)
+        return freeze(importance.nodes(spark, models.gbt_model(spark, d), models.data(spark, d)[0]), "gbt_nodes")
+    return models._memo(spark, d, "gbt_nodes", build)
+
+
+@query("tree_nodes")
+def q_tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every split of the boosted trees with its feature, gain and training rows."""
+    return _gbt_nodes(spark, d).join(F.broadcast(importance.names_frame(spark, flows.feature_columns())), "idx")
 
 
 @query("gain_importance")
 def q_gain_importance(spark: SparkSession, d: str) -> DataFrame:
-    return importance.gain(spark, _gbt_stage_path(spark, d), flows.feature_columns())
+    return importance.gain(_gbt_nodes(spark, d), flows.feature_columns())
 
 
 @query("split_count_importance")
 def q_split_count_importance(spark: SparkSession, d: str) -> DataFrame:
-    return importance.weight(spark, _gbt_stage_path(spark, d), flows.feature_columns())
+    return importance.weight(_gbt_nodes(spark, d), flows.feature_columns())
 
 
 @query("permutation_importance")
@@ -94,7 +101,7 @@ def q_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
 @query("top_features")
 def q_top_features(spark: SparkSession, d: str) -> DataFrame:
     """Top features of the boosted trees by number of splits (ties: input order)."""
-    imp = importance.weight(spark, _gbt_stage_path(spark, d), flows.feature_columns())
+    imp = importance.weight(_gbt_nodes(spark, d), flows.feature_columns())
     return importance.top(imp, P.TOP_FEATURES)
 
 
@@ -313,5 +320,5 @@ def q_lead_top_features(spark: SparkSession, d: str) -> DataFrame:
     cols = flows.feature_columns()
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     long = leads.selectExpr(P.KEY, "lead_gen_prob", f"stack({len(cols)}, {stack}) as (feature, value)")
-    top = importance.top(importance.weight(spark, _gbt_stage_path(spark, d), cols), P.TOP_FEATURES)
+    top = importance.top(importance.weight(_gbt_nodes(spark, d), cols), P.TOP_FEATURES)
     return long.join(F.broadcast(top.select("feature", F.col("idx").alias("rank_idx"))), "feature")

@@ -30,12 +30,30 @@ def test_gbt_pipeline_scores_and_roundtrip(spark, planted):
     again = score.with_probability(back.transform(planted)).select("MDM_CUST_KEY", F.col("lead_gen_prob").alias("q"))
     j = pred.select("MDM_CUST_KEY", "lead_gen_prob").join(again, "MDM_CUST_KEY")
     assert j.filter(F.col("lead_gen_prob") != F.col("q")).count() == 0
-    # gain importance from the saved stage: the planted feature dominates
-    stage_path = ml.save(model.stages[-1], path + "-stage")
-    g = {r.feature: r.importance for r in importance.gain(spark, stage_path, ["x", "n"]).collect()}
+    # gain importance: the planted feature dominates; a loaded model has the same splits
+    splits = importance.nodes(spark, model, planted)
+    g = {r.feature: r.importance for r in importance.gain(splits, ["x", "n"]).collect()}
     assert g["x"] > g["n"]
-    top = [r.feature for r in importance.top(importance.gain(spark, stage_path, ["x", "n"]), 1).collect()]
+    top = [r.feature for r in importance.top(importance.gain(splits, ["x", "n"]), 1).collect()]
     assert top == ["x"]
+    rows = splits.collect()
+    assert sorted(rows) == sorted(importance.nodes(spark, back, planted).collect())
+    assert [r.n_rows for r in sorted(rows) if r.node == 0] == [400] * len({r.tree for r in rows})
+
+
+def test_node_table_of_a_hand_computed_tree(spark):
+    rows = [(x, 7.0, y) for x, y in ((0.0, 0.0), (1.0, 2.0), (2.0, 8.0))] * 2
+    df = spark.createDataFrame(rows, "x double, c double, label double")
+    model = ml.pipeline(ml.assembler(["x", "c"]), ml.tree(maxDepth=2)).fit(df)
+    got = sorted(importance.nodes(spark, model, df).collect())
+    # variance 104/9; split at 1 leaves 4 rows of variance 1; these split into pure leaves
+    assert [(r.tree, r.node, r.idx, r.n_rows) for r in got] == [(0, 0, 0, 6), (0, 1, 0, 4)]
+    assert [r.gain for r in got] == pytest.approx([98 / 9, 1.0])
+    imp = {r.feature: (r.importance, r.splits) for r in importance.gain(
+        importance.nodes(spark, model, df), ["x", "c"]).collect()}
+    assert imp["x"] == (pytest.approx((98 / 9 * 6 + 4) / 2), 2) and imp["c"] == (0.0, 0)
+    flat = ml.pipeline(ml.assembler(["x", "c"]), ml.tree(maxDepth=2)).fit(df.withColumn("label", F.lit(1.0)))
+    assert importance.nodes(spark, flat, df).count() == 0
 
 
 def test_cross_validation_with_key_folds(spark, planted):
