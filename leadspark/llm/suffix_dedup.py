@@ -12,8 +12,9 @@ a document of smaller id, or earlier in the same one).
    Hashes are exchanged by value, once per part with its number of holders, and
    counted.
 3. *Sorted runs.*  Each part sorts the suffixes at its remaining anchors, with
-   the bytes before the anchor as context.  Suffixes that agree in all they
-   are compared by collapse to the first one in their part.  The run is front-coded.
+   the bytes before the anchor as context, at most some ``ENTRIES`` in a run.  Suffixes
+   that agree in all they are compared by collapse to the first one in their run.
+   Runs are front-coded.
 4. *Exchange and merge.*  Runs are cut at splitters (quantiles of a bounded
    sample of keys, no longer than an anchor, so suffixes of one anchor stay
    together) and each range is merged by a loser tree that never
@@ -26,9 +27,13 @@ a document of smaller id, or earlier in the same one).
 A key with very many holders: an anchor found at more than ``DENSE_FROM`` places
 (parts round their number up to a power of two), however few the parts are, is
 replaced by the suffixes of its windows themselves, which differ at the
-passage's edges, so ranges split them; equal ones collapse in their part, stretch
+passage's edges, so ranges split them; equal ones collapse in their run, stretch
 by stretch before their bytes are copied.
 
+The numbers of parts, buckets and ranges follow the bytes and suffixes, so what a
+task holds at once (a part, a bucket of hashes, a run, a range) does not grow with
+the table.
+
 All texts are handled whole, and all windows; nothing is sampled but the
 splitters, which only balance the ranges.
 
@@ -56,11 +61,21 @@ from leadspark.llm import textbytes as T
 LENGTH = 100
 GRAM = 40
 #: Places that may share an anchor before its windows are sorted one by one.
-DENSE_FROM = 4096
+DENSE_FROM = 1 << 15
 #: Keys the splitters are chosen from, at most.
-SAMPLE = 1 << 14
+SAMPLE = 1 << 16
 #: Windows handled at once.
-WINDOWS = 1 << 20
+WINDOWS = 1 << 18
+#: Bytes of text in a part, about: its texts lie in one task's memory.
+PART_BYTES = 4 << 20
+#: Suffixes sorted at once, and about those of a range.
+ENTRIES = 1 << 16
+#: Every so many keys of a run, one is a candidate for the splitters.
+EVERY = 64
+#: Runs in a row group of the written file: a reader holds one group at a time.
+ROW_GROUP = 4
+#: Buckets of a table, at most (Spark's own limit).
+BUCKETS = 100_000
 _FLAGS = np.uint64(63)
 #: Rows of bytes gathered at once.
 _ROWS = 1 << 14
@@ -301,16 +316,31 @@ def _sorted_run(g: dict[str, np.ndarray], part: int, ids: np.ndarray, ties: np.n
     return run.pack(0, len(keys)), keys[every // 2::every], removed
 
 
-def _run_rows(length: int, size: int, every: int = 64):
-    """Part and its repeated hashes -> a row for each kind of suffixes it has."""
+def _run_rows(length: int, size: int, every: int = EVERY, entries: int | None = None):
+    """Part and its repeated hashes -> a row for each run of each kind of suffixes it has."""
+    entries = entries or ENTRIES
+
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
+        rows: list = []
         found, gone = {SAMPLED: [], DENSE: []}, {SAMPLED: [], DENSE: []}
 
-        def add(kind, a, at, near, far, doc, shift):
-            if len(at):
+        def flush(kind):
+            got = found[kind]
+            if got:
+                g = {k: np.concatenate([x[k] for x in got]) for k in got[0]}
+                part = docs.column("part")[0].as_py()
+                rows.append((part, kind, *_sorted_run(g, part, docs.column("doc_id").to_numpy(),
+                                                      docs.column("tie").to_numpy(), length, every, gone[kind])))
+            found[kind], gone[kind] = [], []
+
+        def add(kind, a, *all_):
+            for i in range(0, len(all_[0]), entries):
+                at, near, far, doc, shift = (x[i:i + entries] for x in all_)
                 found[kind].append({"key": _matrix(a.buf, at, length - near, length), "key_n": length - near,
                                     "ctx": _matrix(a.buf, at - 1, far, length - size, -1), "ctx_n": far,
                                     "near": near, "far": far, "doc": doc, "at": at + shift})
+                if sum(len(x["at"]) for x in found[kind]) >= entries:
+                    flush(kind)
         if len(docs) and len(hits):
             docs = _in_order(docs)
             want = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in hits.column("hits").to_pylist()]))
@@ -330,13 +360,8 @@ def _run_rows(length: int, size: int, every: int = 64):
                 own, doc, shift = own[~again], doc[~again], shift[~again]
                 zero = np.zeros(len(own), np.int64)
                 add(DENSE, a, own, zero, zero, doc, shift)
-        rows = []
-        for kind, got in found.items():
-            if got:
-                g = {k: np.concatenate([x[k] for x in got]) for k in got[0]}
-                part = docs.column("part")[0].as_py()
-                rows.append((part, kind, *_sorted_run(g, part, docs.column("doc_id").to_numpy(),
-                                                      docs.column("tie").to_numpy(), length, every, gone[kind])))
+        for kind in found:
+            flush(kind)
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
         cols = list(zip(*rows)) or [[]] * len(kinds)
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], [f.split()[0] for f in RUNS.split(", ")])
@@ -451,12 +476,14 @@ def _removal(docs: pa.Table, removed: pa.Table) -> pa.Table:
 # -- operator -----------------------------------------------------------------
 
 def _splitters(runs: DataFrame, kind: int, ranges: int, sample: int, whole: int) -> list[bytes]:
-    """Quantiles of a bounded sample of keys; they only balance the ranges.
+    """Quantiles of a bounded sample of keys, for ``ranges`` ranges and more if these were large; they only
+    balance the ranges.
 
     A splitter has at most ``whole`` bytes: keys that agree so far stay together.
     """
     keys = runs.where(F.col("kind") == kind).select(F.explode("sample").alias("key"))
     n = keys.count()
+    ranges = max(ranges, n * EVERY // ENTRIES)
     if n > sample:  # thinned where they lie, so that no task sends more than its share to the driver
         keys = keys.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < (1 << 30) * sample // n)
     rows = keys.limit(2 * sample).collect()  # at most twice `sample` keys
@@ -465,7 +492,7 @@ def _splitters(runs: DataFrame, kind: int, ranges: int, sample: int, whole: int)
 
 
 def removed_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
-                     dense_from: int = DENSE_FROM, sample: int = SAMPLE) -> DataFrame:
+                     dense_from: int = DENSE_FROM, sample: int = SAMPLE, part_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if not 1 <= length - gram + 1 <= 64:
         raise ValueError("a window has at most 64 strings to choose its anchor from")
@@ -486,7 +513,10 @@ def removed_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     repeated = light.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():
         own = own.dropDuplicates(["doc_id", "sha"])
-    parts = 2 * n
+    total, n_rows = light.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    parts = max(2 * n, -(-total // (part_bytes or PART_BYTES)))
+    buckets = max(n, total // (8 * (part_bytes or PART_BYTES)))  # of hashes: 8 bytes for some 31 of text
+    n = max(n, min(parts // 2, BUCKETS))
     own = own.select(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)).cast("int").alias("part"),
                      "doc_id", "tie", "text")
     name = f"llm_parts_{uuid.uuid4().hex}"
@@ -494,22 +524,25 @@ def removed_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     own.repartition(n, "part").write.format("parquet").bucketBy(n, "part").option("path", path).saveAsTable(name)
     table = spark.table(name)
 
-    hashes = table.groupBy("part").applyInArrow(_hash_rows(n, length, gram), "bucket int, part int, hashes binary")
+    hashes = table.groupBy("part").applyInArrow(_hash_rows(buckets, length, gram), "bucket int, part int, hashes binary")
     hits = hashes.groupBy("bucket").applyInArrow(_repeated_rows(dense_from), "part int, hits binary")
     hits = C.freeze(hits, "llm_hits")
     runs = table.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(
         _run_rows(length, gram), RUNS)
-    runs = C.freeze(runs, "llm_runs")
+    path = C.scratch_folder(spark, "llm_runs")
+    runs.write.option("parquet.block.row.count.limit", ROW_GROUP).parquet(path)
+    runs = spark.read.parquet(path)
 
     # suffixes of one anchor are compared by prefixes of ``gram`` bytes and more: none is cut off from another;
     # windows are compared whole
     splitters = {SAMPLED: _splitters(runs, SAMPLED, n, sample, gram), DENSE: _splitters(runs, DENSE, n, sample, length)}
-    cut = runs.select("kind", "run").mapInArrow(_cut_runs(splitters, n), "range int, run binary")
+    most = 1 + max(map(len, splitters.values()))
+    cut = runs.select("kind", "run").mapInArrow(_cut_runs(splitters, most), "range int, run binary")
     merged = cut.groupBy("range").applyInArrow(_merge_rows(length, gram), "part int, removed binary")
     removed = merged.unionByName(runs.select("part", "removed"))
     lost = table.groupBy("part").cogroup(removed.groupBy("part")).applyInArrow(_removal, OUT)
 
-    everything = C.spread_join(light, first, "sha", "n", light.count())
+    everything = C.spread_join(light, first, "sha", "n", n_rows)
     lost = lost.withColumnRenamed("doc_id", "__d").withColumnRenamed("tie", "__t")
     out = everything.join(lost, (F.col("doc_id") == F.col("__d")) & (F.col("tie") == F.col("__t")), "left")
     copy = (F.col("doc_id") != F.col("first_id")) & (F.col("n_bytes") >= length)

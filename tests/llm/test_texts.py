@@ -314,6 +314,20 @@ def test_hot_passages_equal_brute_force(docs, dense, monkeypatch):
     assert got == _removed(rows) and dict(kinds)[X.DENSE] > 0
 
 
+def test_a_task_holds_a_bounded_number_of_bytes_and_suffixes(docs, monkeypatch):
+    monkeypatch.setattr(X.C, "shuffle_partitions", lambda s: 2)
+    monkeypatch.setattr(X, "ENTRIES", 50)
+    rows, runs, split, hash_rows = _boilerplate(40), [], X._splitters, X._hash_rows
+    buckets = []
+    monkeypatch.setattr(X, "_hash_rows", lambda n, *a: buckets.append(n) or hash_rows(n, *a))
+    monkeypatch.setattr(X, "_splitters", lambda df, kind, *a: runs.append(df) or split(df, kind, *a))
+    got = {x.doc_id: tuple(x)[1:] for x in X.removed_passages(docs(rows), dense_from=10, part_bytes=4000).collect()}
+    assert got == _removed(rows)
+    kept = [X.Run.unpack(bytes(r.run)) for r in runs[0].collect()]
+    assert max(len(r.keys) for r in kept) <= 100 and runs[0].select("part").distinct().count() > 4  # 4 = twice the partitions
+    assert buckets == [max(2, sum(len(t.encode()) for _, t in rows) // 32000)]
+
+
 def test_passages_odd_rows(odd, empty):
     got = {x.doc_id: tuple(x)[1:] for x in X.removed_passages(odd).collect()}
     exp = _removed([x for x in ODD if x[0] not in (8, 9)])
