@@ -144,17 +144,17 @@ def q_null_safe_lookup(spark: SparkSession, d: str) -> DataFrame:
     return enrich.lookup(f, bands, "LAT_BAND", "BAND_KEY", "left", null_safe=True)
 
 
-_STAR_INTS = ["INSTALL_LINES"]
+_STAR_INTS = ["INSTALL_LINES", "IDB_SIGNUPS"]
 
 
-@query("star_aged", _DIMS.rstrip() + ",\n" + O.star_sql("inner") + "\n" + _dbl_sql("select * from s7", _STAR_INTS))
+@query("star_aged", _DIMS.rstrip() + ",\n" + O.star_totals_sql("inner") + "\n" + _dbl_sql("select * from s9", _STAR_INTS))
 def q_star_aged(spark: SparkSession, d: str) -> DataFrame:
-    return _dbl(flows.star_list(spark, d, "inner"), _STAR_INTS)
+    return _dbl(flows.star_list(spark, d, "inner", totals=True), _STAR_INTS)
 
 
-@query("star_prospect", _DIMS.rstrip() + ",\n" + O.star_sql("left") + "\n" + _dbl_sql("select * from s7", _STAR_INTS))
+@query("star_prospect", _DIMS.rstrip() + ",\n" + O.star_totals_sql("left") + "\n" + _dbl_sql("select * from s9", _STAR_INTS))
 def q_star_prospect(spark: SparkSession, d: str) -> DataFrame:
-    return _dbl(flows.star_list(spark, d, "left"), _STAR_INTS)
+    return _dbl(flows.star_list(spark, d, "left", totals=True), _STAR_INTS)
 
 
 @query("implant_full_merge", O.with_(O.MASTER, O.USERS) + _dbl_sql("select * from users", ["IMPLANT_QTY"]))

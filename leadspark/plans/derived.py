@@ -106,20 +106,26 @@ def order_lookups(spark: SparkSession, d: str) -> DataFrame:
 
 def event_lookups(spark: SparkSession, d: str) -> DataFrame:
     """Keep-first tech call and implant records of each user: ``tech_calls``, ``implants_a`` and ``implants_b``
-    from one scan."""
+    from one scan; and of all its events the money by type, the number of signups and the earliest one."""
     e = tables.load(spark, d, "events")
     money = F.round(_money("value").cast("double"), 2)
     kinds = [t for t in P.EVENT_TYPES if t in P.IMPLANT_KINDS]
     e = e.select("*", *[F.when(F.col("event_type") == t, money).alias(f"_{t}") for t in kinds])
     is_a = lambda t: F.col("event_type") == t
+    of = lambda t: F.when(is_a(t), _money("value"))
+    totals = {f"_sum_{t}": F.sum(of(t)) for t in kinds} | {
+        "IDB_SIGNUPS": F.count(F.when(is_a("signup"), F.lit(1))), "_earliest": F.min(F.when(is_a("signup"), F.col("ts")))}
     out = firsts(e, "user_id", [
         First("event_id", {"_call": "ts", "TECH_CALL_VALUE": "value"}, is_a(P.TECH_EVENT_TYPE)),
         First("event_id", {f"IMPL_{t.upper()}": f"_{t}" for t in kinds}),
-        First("event_id", {"IDB_VALUE": "value", "_signup": "ts"}, is_a("signup"))])
+        First("event_id", {"IDB_VALUE": "value", "_signup": "ts"}, is_a("signup"))], totals)
     return out.select(F.col("user_id").cast("string").alias("EVENT_KEY"),
                       F.date_format("_call", _TS).alias("TECH_CALL_TS"), "TECH_CALL_VALUE",
                       *[f"IMPL_{t.upper()}" for t in kinds], "IDB_VALUE",
-                      F.date_format("_signup", _TS).alias("IDB_FIRST_SIGNUP"))
+                      F.date_format("_signup", _TS).alias("IDB_FIRST_SIGNUP"),
+                      *[F.round(F.col(f"_sum_{t}").cast("double"), 2).alias(f"IMPL_TOTAL_{t.upper()}") for t in kinds],
+                      F.when(F.col("IDB_SIGNUPS") > 0, F.col("IDB_SIGNUPS")).alias("IDB_SIGNUPS"),
+                      F.date_format("_earliest", _TS).alias("IDB_EARLIEST_SIGNUP"))
 
 
 def _user_list(spark: SparkSession, d: str, event_type: str, agg) -> DataFrame:

@@ -270,6 +270,28 @@ def star_sql(first_how: str, s: str = "s") -> str:
   select s.*, b.IDB_VALUE, b.IDB_FIRST_SIGNUP from {s}6 s left join impl_b b on s.MDM_CUST_KEY is not distinct from b.IDB_KEY)"""
 
 
+def star_totals_sql(first_how: str) -> str:
+    """``star_sql`` and, as ``s9``, all events of a customer: money by type, signups and the earliest of them.
+
+    The implant records kept first stay beside them, under names of their own.
+    """
+    impl = ", ".join(
+        f"round(cast(sum(cast(value as decimal(18,2)) * 100) filter (where event_type = {_q(t)}) as double), 2)"
+        f" as IMPL_{t.upper()}" for t in P.EVENT_TYPES)
+    return star_sql(first_how) + f""",
+impl_t as (
+  select cast(user_id as varchar) as IMPL_KEY, {impl} from events group by user_id),
+idb_t as (
+  select cast(user_id as varchar) as IDB_KEY, count(*) as IDB_SIGNUPS, strftime(min(ts), {TS}) as IDB_FIRST_SIGNUP
+  from events where event_type = 'signup' group by user_id),
+s8 as (
+  select s.* exclude (IMPL_PURCHASE, IMPL_SIGNUP, IDB_FIRST_SIGNUP), s.IMPL_PURCHASE as IMPL_KEPT_PURCHASE,
+         s.IMPL_SIGNUP as IMPL_KEPT_SIGNUP, s.IDB_FIRST_SIGNUP as IDB_KEPT_SIGNUP, a.IMPL_PURCHASE, a.IMPL_SIGNUP
+  from s7 s left join impl_t a on s.MDM_CUST_KEY is not distinct from a.IMPL_KEY),
+s9 as (
+  select s.*, b.IDB_SIGNUPS, b.IDB_FIRST_SIGNUP from s8 s left join idb_t b on s.MDM_CUST_KEY is not distinct from b.IDB_KEY)"""
+
+
 USERS = f"""ulist_m as (
   select MDM_CUST_KEY as mk, ACCT_OFFICE_NAME as CUSTOMER_NAME, CONT_FULLPHONE, ADDR_STREETADDR as STREET,
          ADDR_CITY as CITY, ADDR_STATE as STATE, ADDR_ZIP as ZIP, CONT_EMAIL from master),

@@ -11,6 +11,7 @@ from leadspark.functions import images
 from leadspark.operators import cleanse
 from leadspark.operators.firsts import First, firsts
 from leadspark.operators.store import JOIN_KEY, LookupStore
+from leadspark.plans import derived
 
 
 def _bits(x):
@@ -118,3 +119,24 @@ def test_store_joins_without_exchange(spark):
     assert store.join(fact, "d0", "inner").count() == 2
     with pytest.raises(ValueError):
         store.join(fact.withColumn("v0", F.lit(1)), "d0")
+
+
+def test_event_lookups_total_all_events_beside_the_first(spark, tmp_path):
+    rows = [(1, 7, "purchase", 2.5, 3), (2, 7, "purchase", 4.0, 2), (3, 7, "signup", 1.0, 9), (4, 7, "signup", 2.0, 1),
+            (5, 8, "view", 1.0, 1), (6, None, "signup", 3.0, 4)]
+    rows = [(e, u, t, v, dt.datetime(2024, 1, day)) for e, u, t, v, day in rows]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz") \
+        .write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["EVENT_KEY"]: r for r in derived.event_lookups(spark, str(tmp_path)).collect()}
+    totals = {k: (r["IMPL_TOTAL_PURCHASE"], r["IMPL_TOTAL_SIGNUP"], r["IDB_SIGNUPS"], r["IDB_EARLIEST_SIGNUP"]) for k, r in got.items()}
+    assert totals == {"7": (650.0, 300.0, 2, "2024-01-01 00:00:00"), "8": (None, None, None, None),
+                      None: (None, 300.0, 1, "2024-01-04 00:00:00")}
+    first = got["7"]
+    assert (first["IMPL_PURCHASE"], first["IDB_VALUE"], first["IDB_FIRST_SIGNUP"]) == (250.0, 1.0, "2024-01-09 00:00:00")
+
+
+def test_star_lists_show_totals():
+    from leadspark.plans import catalog
+    for name in ("star_aged", "star_prospect"):
+        sql = catalog.oracle_sql()[name]
+        assert "sum(cast(value" in sql and "count(*) as IDB_SIGNUPS" in sql and "min(ts)" in sql
