@@ -138,3 +138,38 @@ def test_zeros_where_nothing_is_known(spark):
     new = spark.createDataFrame([(0.0, 0.0, 0), (3.0, 1.0, 1)], "a double, b double, label int")
     out = ml.pipeline(*stages).fit(df).transform(new).select("features").collect()
     assert [list(r[0]) for r in out] == [[0.0, -5.0], [3.0, 1.0]]
+
+
+def test_fits_of_all_folds_run_at_once_and_choose_as_cross_validator_does(spark):
+    import threading
+    from pyspark.ml import Estimator, Transformer
+    from pyspark.ml.tuning import CrossValidator
+    rows = spark.createDataFrame([(f"k{i}", float(i % 7), float(i * 31 % 5), int(i % 7 > i % 3)) for i in range(90)],
+                                 "k string, x double, y double, label int")
+    train = ml.freeze(ml.with_fold(rows, "k", 3))
+    both, seen = threading.Barrier(3), []
+
+    class One(Transformer):
+        def _transform(self, df):
+            return df.withColumn("prediction", F.lit(1.0))
+
+    class Waits(Estimator):
+        def copy(self, extra=None):
+            return self
+
+        def _fit(self, df):
+            seen.append(df)
+            if len(seen) <= 3:  # a fit of each fold; the fourth is that of all rows
+                both.wait(60)
+            return One()
+    ml.grid_search(Waits(), [{}]).fit(train)
+    assert len(seen) == 4
+
+    def search():
+        t = ml.tree("label", max_bins=40)
+        pipe = ml.pipeline(ml.assembler(["x", "y"]), t, ml.threshold_stage())
+        return ml.grid_search(pipe, ml.grid([(t.maxDepth, [1, 2, 4])]), "f1", "label", prediction="pred01")
+    mine = search().fit(train)
+    theirs = CrossValidator._fit(search(), train)
+    assert mine.avgMetrics == theirs.avgMetrics and mine.stdMetrics == theirs.stdMetrics
+    assert mine.bestModel.stages[1].toDebugString.split("\n")[1:] == theirs.bestModel.stages[1].toDebugString.split("\n")[1:]
